@@ -1,0 +1,22 @@
+"""Registered queries of the document and catalogue operators."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and text volume by language."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"flagship": flagship}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"flagship": "SELECT lang, count(*) AS n_docs, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY lang"}
