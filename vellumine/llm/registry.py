@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellumine.llm import simhash
+from vellumine.llm import quality_classifier, quality_rules, simhash
 from vellumine.llm.shared import read
 
 
@@ -14,8 +15,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(read(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality_rules.rate(read(spark, sf_dir, "documents"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return rated.select("doc_id", *counts, "base_failed", "kept", F.round("distance", 6).alias("distance"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash,)}
+    return {f.__name__: f for f in (op5_simhash, op6_quality_rules, op7_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
