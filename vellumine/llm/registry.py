@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import decontaminate, quality_classifier, quality_rules, simhash
+from vellumine.llm import decontaminate, line_dedup, quality_classifier, quality_rules, simhash
 from vellumine.llm.shared import read
 
 
@@ -48,8 +48,14 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
+    kept = line_dedup.dedup_lines(docs)
+    return kept.select("doc_id", "n_lines", F.col("vq_lines_out").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash, op6_quality_rules, op7_quality_classifier, op8_decontamination)}
+    return {f.__name__: f for f in (op5_simhash, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
