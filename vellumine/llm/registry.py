@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import decontaminate, line_dedup, quality_classifier, quality_rules, simhash
+from vellumine.llm import decontaminate, line_dedup, quality_classifier, quality_rules, simhash, substring_dedup
 from vellumine.llm.shared import read
 
 
@@ -54,8 +54,21 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", F.col("vq_lines_out").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.dedup_substrings(read(spark, sf_dir, "documents"))
+    out = F.aggregate("vq_spans", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
+    return kept.select(
+        "doc_id",
+        F.size("vq_spans").cast("long").alias("n_repeats"),
+        out.alias("repeated_chars"),
+        F.col("vq_first_ids").alias("first_doc_ids"),
+        F.array_join(F.transform("vq_spans", lambda x: F.concat_ws(":", x["a"], x["b"])), ",").alias("spans"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_line_dedup)}
+    return {f.__name__: f for f in (op5_simhash, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_line_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
