@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm import words as W
-from vellumine.llm.shared import joined, keyed, saved
+from vellumine.llm.shared import broadcast_if_small, joined, keyed, saved
 
 U = W.U
 #: Entries of the frequency table (a power of two); its size does not follow the vocabulary.
@@ -26,8 +26,6 @@ TABLE = 1 << 20
 #: Bits of a word's hash beside the line's number in a sort key.
 HASH_BITS = 44
 _HASH_MASK = U((1 << HASH_BITS) - 1)
-#: Rows up to which a side of a join is broadcast (some tens of bytes each).
-BROADCAST_ROWS = 500_000
 
 
 def _sorted(line: np.ndarray, value: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,17 +159,12 @@ def _candidates(sets: DataFrame, threshold: float) -> DataFrame:
     return met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    """``df``, a saved table, marked for broadcast if it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _verified(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """The pairs of classes whose words are similar enough."""
     classes = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     where = firsts.join(classes, "class").groupBy("first.doc_id", "first.h").agg(F.collect_list(F.struct("first.line", "class")).alias("wanted"))
     where = saved(where.withColumnsRenamed({"doc_id": "vq_id", "h": "vq_h"}), "wanted")
-    found = rows.join(_maybe_broadcast(where), rows["doc_id"].eqNullSafe(where["vq_id"]) & (rows["h"] == where["vq_h"]))
+    found = rows.join(broadcast_if_small(where), rows["doc_id"].eqNullSafe(where["vq_id"]) & (rows["h"] == where["vq_h"]))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     lines = found.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
     words = F.array_distinct(F.filter(F.split(F.translate(F.element_at("lines", F.col("w.line") + 1), upper, lower), "[\\x20\\x09-\\x0D]+"), lambda x: x != ""))
@@ -197,7 +190,7 @@ def later_lines(rows: DataFrame, threshold: float = 0.8, least: int = 5) -> Data
     earlier = ends.join(firsts.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.min("first").alias("near"))
     bound = firsts.join(earlier, "class", "left").where((F.col("copies") > 1) | (F.col("near") < F.col("first")))
     bound = saved(bound.select("class", F.least("first", F.coalesce("near", "first")).alias("bound")), "bounds")
-    later = sets.select("doc_id", "h", "line", "class").join(_maybe_broadcast(bound), "class").where(_place() > F.col("bound"))
+    later = sets.select("doc_id", "h", "line", "class").join(broadcast_if_small(bound), "class").where(_place() > F.col("bound"))
     return later.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
@@ -215,7 +208,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     """
     gone = saved(later_lines(keyed(docs, doc_id, text), threshold, least), "later")
     verdicts = gone.withColumnRenamed("lines", "vq_gone")
-    marked = joined(docs, _maybe_broadcast(verdicts), "left", doc_id, text)
+    marked = joined(docs, broadcast_if_small(verdicts), "left", doc_id, text)
     out = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("vq_gone", i)), "\n")
     kept = F.when(F.col("vq_gone").isNull(), F.col(text)).otherwise(out)
     return marked.withColumn(text, kept).withColumn("vq_lines_out", F.coalesce(F.size("vq_gone"), F.lit(0)).cast("long")).drop("vq_gone")

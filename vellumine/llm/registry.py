@@ -7,10 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import decontaminate, line_dedup, quality_classifier, quality_rules, simhash, substring_dedup
+from vellumine.llm import decontaminate, line_dedup, pii, quality_classifier, quality_rules, simhash, substring_dedup, token_counts
 from vellumine.llm.shared import read
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_histogram(read(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents"))
+    kinds = tuple(pii.PATTERNS)
+    return found.select(
+        "doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in kinds],
+        F.sha2(pii.listed(kinds), 256).alias("base_sha256"),
+        pii.listed((*kinds, "terms"), (*kinds, "term")).alias("spans"),
+        F.size("terms").cast("long").alias("n_terms"),
+        F.sha2(pii.sanitised(found), 256).alias("text_sha256"),
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(read(spark, sf_dir, "documents"))
 
@@ -68,7 +85,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_line_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_token_counts, op4_pii, op5_simhash, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_line_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -40,6 +40,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rows up to which ``broadcast_if_small`` broadcasts a table of narrow rows.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df``, a saved table of narrow rows, marked for broadcast if it has few; else Spark shuffles it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, h, text) of ``docs``: id as long, hash of the text, text; other columns are not read.
 

@@ -20,8 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm import words as W
-from vellumine.llm.line_dedup import _maybe_broadcast
-from vellumine.llm.shared import joined, keyed, saved
+from vellumine.llm.shared import broadcast_if_small, joined, keyed, saved
 
 U = W.U
 #: Bytes that the gear hash sees, and how far around a cut its hash is the largest.
@@ -150,7 +149,7 @@ def repeats(rows: DataFrame, least: int = 80) -> DataFrame:
     found = saved(_occurrences(rows), "chunks")
     firsts = found.groupBy("d0", "d1").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first < last").drop("last")
     firsts = saved(firsts, "firsts")
-    later = found.join(_maybe_broadcast(firsts), ["d0", "d1"]).where(_place() > F.col("first"))
+    later = found.join(broadcast_if_small(firsts), ["d0", "d1"]).where(_place() > F.col("first"))
     # A repeated digest covers its chunk and the next.
     piece = F.struct(F.col("point").alias("a"), (F.col("point") + F.col("points") + F.col("next")).alias("b"))
     grouped = later.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(piece)).alias("pieces"), F.array_sort(F.collect_set("first.doc_id")).alias("first_ids"))
@@ -185,7 +184,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     found = saved(repeats(keyed(docs, doc_id, text), least), "passages")
     verdicts = found.withColumnsRenamed({"spans": "vq_spans", "first_ids": "vq_first_ids"})
-    marked = joined(docs, _maybe_broadcast(verdicts), "left", doc_id, text)
+    marked = joined(docs, broadcast_if_small(verdicts), "left", doc_id, text)
     whole = F.col(text)
     start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at"))
     rest = F.aggregate("vq_spans", start, lambda s, x: F.struct(F.concat(s["kept"], whole.substr((s["at"] + 1).cast("int"), (x["a"] - s["at"]).cast("int"))).alias("kept"), x["b"].alias("at")))
