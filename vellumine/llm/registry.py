@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import decontaminate, line_dedup, pii, quality_classifier, quality_rules, simhash, substring_dedup, token_counts
+from vellumine.llm import decontaminate, line_dedup, pii, quality_classifier, quality_rules, secrets, simhash, substring_dedup, token_counts
 from vellumine.llm.shared import read
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    start, end = F.col("a").cast("long").alias("start"), F.col("b").cast("long").alias("end")
+    return found.select("doc_id", start, end, F.sha2("value", 256).alias("value_sha256"), F.col("label").cast("int").alias("label"), "probability", "is_secret")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_histogram(read(spark, sf_dir, "documents"))
 
@@ -85,7 +91,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_pii, op5_simhash, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_line_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op4_pii, op5_simhash, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_line_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
