@@ -140,8 +140,7 @@ def revealing_terms(found: DataFrame, generalise_at: float = 0.8, remove_at: flo
     terms = saved(pairs.select("term").distinct(), "terms")
     held = saved(_term_rows(found, terms), "held")
     n_t = held.groupBy("term").agg(F.count("*").alias("n_t"))
-    n = found.select("h").agg(F.count("*").alias("n_all"))
-    told = pairs.join(n_t, "term").crossJoin(F.broadcast(n))  # one row
+    told = pairs.join(n_t, "term").withColumn("n_all", F.lit(found.select("h").count()))
     bits = F.when(F.col("n_e") < F.col("n_all"), F.log(F.col("n_all") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.col("n_all") / F.col("n_e")))
     told = told.withColumn("revealed", bits).groupBy("term").agg(F.max("revealed").alias("revealed")).where(F.col("revealed") >= generalise_at)
     told = saved(told.withColumn("remove", F.col("revealed") >= remove_at), "revealing")

@@ -124,9 +124,9 @@ def _pools(stats: DataFrame, least: int) -> DataFrame:
     by_lang = sizes.where("small").groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("n_lang"))
     level = F.when(~F.col("small"), 0).when(F.col("n_lang") >= least, 1).otherwise(2)
     put = sizes.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("level", level)
-    last = put.where("level = 2").agg(F.sum("n").alias("n_last"))
-    name = F.when(F.col("level") == 0, F.to_json(F.struct("level", "lang", "source"))).when(F.col("level") == 1, F.to_json(F.struct("level", "lang"))).when(F.col("n_last") >= least, F.lit("all"))
-    return put.crossJoin(F.broadcast(last)).select("lang", "source", name.alias("pool"))  # last is one row
+    last = put.where("level = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    name = F.when(F.col("level") == 0, F.to_json(F.struct("level", "lang", "source"))).when(F.col("level") == 1, F.to_json(F.struct("level", "lang"))).when(F.lit(last >= least), F.lit("all"))
+    return put.select("lang", "source", name.alias("pool"))
 
 
 def _start(stats: DataFrame) -> DataFrame:
