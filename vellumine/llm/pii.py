@@ -33,15 +33,17 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]
 _OCTETS = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
 #: Words that may reveal an entity: three letters or more.
 TERM = r"\p{L}{3,}+"
-#: Code points on either side of an entity that are its context.
-CONTEXT = 200
+#: Code points on either side of an entity that are its context, and the terms next to it on
+#: either side that tell one context from another: lightly edited copies show the same context.
+CONTEXT, NEAREST = 200, 3
 
 _SPAN = "struct<a:int,b:int,v:string>"
 
 
-def _matches(text: Column, pattern: str) -> Column:
+def _matches(text: Column, pattern: str | Column) -> Column:
     """array<struct<a, b, v>>: the bounds in code points and the text of each match of a pattern."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
     paired = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda gap, v: F.struct(F.length(gap).alias("gap"), v.alias("v")))
     start = F.struct(F.array().cast(f"array<{_SPAN}>").alias("out"), F.lit(0).alias("at"))
 
@@ -112,14 +114,18 @@ def _contexts(found: DataFrame) -> DataFrame:
     # A word that the window cuts is no term.
     left = F.when(a > CONTEXT, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
     right = F.when(F.length(right) == CONTEXT, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    around = F.regexp_replace(F.concat_ws(" ", left, right), PATTERNS["email"], " ")
-    terms = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(around), F.lit(TERM), F.lit(0))))
-    return each.select("doc_id", "h", "e.kind", "e.value", terms.alias("terms")).withColumn("seen", F.xxhash64("terms"))
+
+    def terms(side: Column) -> Column:
+        return F.regexp_extract_all(F.lower(F.regexp_replace(side, PATTERNS["email"], " ")), F.lit(TERM), F.lit(0))
+
+    sides = each.select("doc_id", "h", "e.kind", "e.value", terms(left).alias("left"), terms(right).alias("right"))
+    seen = F.xxhash64(F.slice(F.reverse("left"), 1, NEAREST), F.slice("right", 1, NEAREST))
+    return sides.select("doc_id", "h", "kind", "value", F.array_distinct(F.concat("left", "right")).alias("terms"), seen.alias("seen"))
 
 
 def _term_rows(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, h, term): which of ``terms`` each document holds."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda w: F.length(w) >= 3)
     return rows.select("doc_id", "h", F.explode(words).alias("term")).join(broadcast_if_small(terms), "term")
 
 
@@ -155,11 +161,13 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", generalise
     ``remove``. Null text counts as empty. Repeated rows get the same result
     each; an empty table gives an empty result.
     """
-    rows = find_base(keyed(docs, doc_id, text))
+    rows = saved(find_base(keyed(docs, doc_id, text)), "base")  # patterns are searched once
     _, held = revealing_terms(rows, generalise_at, remove_at, contexts)
     listed = held.distinct().groupBy("doc_id", "h").agg(F.collect_list(F.when(F.col("remove"), F.col("term"))).alias("out"), F.collect_list(F.when(~F.col("remove"), F.col("term"))).alias("wide"))
     marked = joined(rows, broadcast_if_small(saved(listed, "listed")), "left")
-    words = F.transform(_matches(F.col("text"), TERM), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["v"].alias("v"), F.array_contains("out", F.lower(x["v"])).alias("remove")))
+    # Terms are letters only, so they are a pattern as they stand; it finds few matches in few texts.
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.concat("out", "wide"), "|"), F.lit(r")(?!\p{L})"))
+    words = F.transform(_matches(F.col("text"), pattern), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["v"].alias("v"), F.array_contains("out", F.lower(x["v"])).alias("remove")))
     words = F.filter(words, lambda x: x["remove"] | F.array_contains("wide", F.lower(x["v"])))
     none = F.array().cast("array<struct<a:int,b:int,v:string,remove:boolean>>")
     return marked.withColumn("terms", F.when(F.col("out").isNotNull(), words).otherwise(none)).drop("out", "wide")

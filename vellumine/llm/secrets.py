@@ -62,7 +62,7 @@ def _coverage(found: DataFrame, rows: DataFrame) -> DataFrame:
     runs = found.select("value").distinct().select("value", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{3,}+"), F.lit(0))).alias("word"))
     runs = saved(runs, "runs")
     wanted = saved(runs.select("word").distinct(), "wanted")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<!\p{L})[a-z]{3,}+(?!\p{L})"), F.lit(0)))
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     words = rows.select(F.explode(words).alias("word"))
     if wanted.count() <= BROADCAST_ROWS:
         counts = words.join(F.broadcast(wanted), "word").groupBy("word").count()
