@@ -4,10 +4,14 @@ A line is the set of its lower-cased words. Sets are classes: equal sets meet
 by a hash and are compared once. The words of a set are ordered from rare to
 common by a frequency table of fixed size; two sets with Jaccard similarity t
 or more share a word in their prefixes (the first n - ceil(t n) + 1 words).
-Prefixes are equality-joined; length, position and a bitmap (the Hamming
-distance of two parity bitmaps never exceeds the sets' difference) discard
-pairs inside the join without losing any that qualifies. What is left is
-verified on the words themselves. A line goes if an earlier line matches it.
+Prefixes meet by word; length, position and a bitmap (the Hamming distance of
+two parity bitmaps never exceeds the sets' difference) discard pairs without
+losing any that qualifies. What is left is verified on the words themselves.
+A line goes if an earlier line matches it.
+
+One earlier match decides, so large groups of similar lines need not meet
+pair by pair: at a word a set is paired with its nearest predecessors only,
+and just the sets that this leaves undecided are compared with all others.
 """
 
 from __future__ import annotations
@@ -136,27 +140,98 @@ def _sets(rows: DataFrame, threshold: float, least: int) -> DataFrame:
     return rows.mapInArrow(of_batches, "doc_id long, h long, line int, class long, n int, bits0 long, bits1 long, prefix array<int>, again boolean")
 
 
-def _most_apart(n: Column, m: Column, threshold: float) -> Column:
-    """The largest symmetric difference of sets of n and m words that are similar enough."""
-    return F.floor((n + m) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+#: Earlier classes that a class is paired with at a word; what goes beyond is settled by ``_rest``.
+NEAREST = 4
+
+
+def _filters(n: list, place: list, apart, threshold: float):
+    """Whether two sets may be similar enough: length, position and bitmap filter.
+
+    Sets of n and m words may differ by (n + m)(1 - t) / (1 + t) words. Of the
+    words before a shared one only those before it in the other set can be
+    shared too, so the sets differ by the difference of its places at least.
+    Works on columns and on arrays.
+    """
+    most = (n[0] + n[1]) * ((1 - threshold) / (1 + threshold)) + 1e-9
+    return (abs(n[0] - n[1]) <= most) & (abs(place[0] - place[1]) <= most) & (apart <= most)
+
+
+def _tokens(sets: DataFrame, *more: str) -> DataFrame:
+    """(token, class, n, place, bits0, bits1, ...) of the prefixes of ``sets``."""
+    return sets.where("NOT again").select("class", "n", "bits0", "bits1", *more, F.posexplode("prefix").alias("place", "token"))
+
+
+def _met_at(group: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b) of classes that share a token and pass the filters, and classes with pairs left out.
+
+    ``group`` has columns token, order, class, n, place, bits0, bits1, sorted
+    by token and order. A class is paired with the NEAREST classes before it;
+    both ends of a further pair are named as left out.
+    """
+    token, order, code, n, place = group[:5]
+    bits0, bits1 = (x.view(np.uint64) for x in group[5:])  # bitwise_count counts the bits of a signed number's size
+    by_class = np.lexsort((order, code, token))
+    same = np.zeros(len(token), bool)
+    same[by_class[1:]] = (token[by_class[1:]] == token[by_class[:-1]]) & (code[by_class[1:]] == code[by_class[:-1]])
+    token, code, n, place, bits0, bits1 = (x[~same] for x in (token, code, n, place, bits0, bits1))
+    taken, cut = np.zeros(len(token), np.int64), np.zeros(len(token), bool)
+    left, right, step, later = [], [], 1, np.arange(1, len(token))
+    while len(later := later[(later >= step)]) and len(later := later[token[later] == token[later - step]]):
+        before = later - step
+        apart = np.bitwise_count(bits0[later] ^ bits0[before]).astype(np.int64) + np.bitwise_count(bits1[later] ^ bits1[before])
+        met = _filters([n[later], n[before]], [place[later], place[before]], apart, threshold)
+        x, y = later[met], before[met]
+        fits = taken[x] < NEAREST
+        left.append(code[x[fits]])
+        right.append(code[y[fits]])
+        taken[x[fits]] += 1
+        cut[x[~fits]] = cut[y[~fits]] = True
+        step += 1
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right]), np.unique(code[cut])
 
 
 def _candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: pairs of classes that the filters leave."""
-    tokens = sets.where("NOT again").select("class", "n", "bits0", "bits1", F.posexplode("prefix").alias("place", "token"))
-    side = tokens.select("token", "class", (F.col("n").cast("long") * 65536 + F.least("place", F.lit(65535))).alias("np"), "bits0", "bits1")
-    side = side.repartition("token").distinct()
-    left, right = (side.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "np", "bits0", "bits1")]) for s in "ab")
-    n = {s: F.shiftright(f"np_{s}", 16) for s in "ab"}
-    place = {s: F.col(f"np_{s}").bitwiseAND(65535) for s in "ab"}
+    """(a, b) of classes to compare; with b null, a class of which a pair was left out."""
+    order = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("order")
+    names = ["token", "order", "class", "n", "place", "bits0", "bits1"]
+    side = _tokens(sets, "doc_id").select("token", order, *names[2:]).repartition("token").sortWithinPartitions("token", "order", "class")
+
+    def of_batches(batches):
+        held = None
+        for batch in batches:
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            whole = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last token may go on
+            held = [x[whole:] for x in now]
+            if whole:
+                yield _pair_rows(_met_at([x[:whole] for x in now], threshold))
+        if held is not None:
+            yield _pair_rows(_met_at(held, threshold))
+
+    return side.mapInArrow(of_batches, "a long, b long").distinct()
+
+
+def _pair_rows(made: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    left, right, cut = made
+    a, b = np.minimum(left, right), np.maximum(left, right)
+    pairs = np.unique(np.stack([a, b], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], cut])), pa.array(np.concatenate([pairs[:, 1], cut]), mask=np.arange(len(pairs) + len(cut)) >= len(pairs))], ["a", "b"])
+
+
+def _rest(sets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): every pair that the filters leave for the given classes (a saved table)."""
+    chosen = sets.join(broadcast_if_small(classes), "class")
+    left = saved(_tokens(chosen, "prefix").dropDuplicates(["token", "class"]), "rest")
+    right = _tokens(sets, "prefix")
+    left, right = (x.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "place", "bits0", "bits1", "prefix")]) for x, s in ((left, "a"), (right, "b")))
     apart = F.bit_count(F.col("bits0_a").bitwiseXOR(F.col("bits0_b"))) + F.bit_count(F.col("bits1_a").bitwiseXOR(F.col("bits1_b")))
-    most = _most_apart(n["a"], n["b"], threshold)
-    # Of the words before a shared one, only those before it in the other set can be shared too: the
-    # sets differ by the difference of its places at least.
-    met = left.join(right, "token").where(
-        (F.col("class_a") < F.col("class_b")) & (F.abs(n["a"] - n["b"]) <= most) & (F.abs(place["a"] - place["b"]) <= most) & (apart <= most)
-    )
-    return met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+    n, place = [F.col("n_a"), F.col("n_b")], [F.col("place_a"), F.col("place_b")]
+    most = (n[0] + n[1]) * ((1 - threshold) / (1 + threshold)) + 1e-9
+    near = (F.abs(n[0] - n[1]) <= most) & (F.abs(place[0] - place[1]) <= most) & (apart <= most)
+    first_shared = F.get(F.array_intersect("prefix_a", "prefix_b"), F.lit(0)) == F.col("token")
+    met = right.join(broadcast_if_small(left), "token").where((F.col("class_a") != F.col("class_b")) & near & first_shared)
+    return met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
@@ -180,15 +255,26 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "line")
 
 
+def _earlier(links: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(class, near): of each class that matches an earlier one, the place of the earliest match known."""
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = ends.join(firsts.select(F.col("class").alias("b"), F.col("first").alias("near")), "b").join(firsts.select(F.col("class").alias("a"), "first"), "a")
+    return ends.where("near < first").groupBy(F.col("a").alias("class")).agg(F.min("near").alias("near"))
+
+
 def later_lines(rows: DataFrame, threshold: float = 0.8, least: int = 5) -> DataFrame:
     """(doc_id, h, lines): the numbers of the lines that go, for each row of ``keyed`` that loses any."""
     sets = saved(_sets(rows, threshold, least), "lines")
     firsts = saved(sets.groupBy("class").agg(F.min(_place()).alias("first"), F.count("*").alias("copies")), "classes")
-    pairs = saved(_candidates(sets, threshold), "candidates")
-    links = saved(_verified(pairs, firsts, rows, threshold), "matches")
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    earlier = ends.join(firsts.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.min("first").alias("near"))
-    bound = firsts.join(earlier, "class", "left").where((F.col("copies") > 1) | (F.col("near") < F.col("first")))
+    found = saved(_candidates(sets, threshold), "candidates")
+    links = saved(_verified(found.where("b IS NOT NULL"), firsts, rows, threshold), "matches")
+    # A class is settled by an earlier match. One that has none, but pairs that were left out, meets all of them.
+    open_ = found.where("b IS NULL").select(F.col("a").alias("class")).join(_earlier(links, firsts), "class", "left_anti")
+    open_ = saved(open_, "open")
+    if not open_.isEmpty():
+        links = links.unionByName(saved(_verified(_rest(sets, open_, threshold), firsts, rows, threshold), "rest-matches"))
+    earlier = _earlier(links, firsts)
+    bound = firsts.join(earlier, "class", "left").where((F.col("copies") > 1) | F.col("near").isNotNull())
     bound = saved(bound.select("class", F.least("first", F.coalesce("near", "first")).alias("bound")), "bounds")
     later = sets.select("doc_id", "h", "line", "class").join(broadcast_if_small(bound), "class").where(_place() > F.col("bound"))
     return later.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("lines"))
