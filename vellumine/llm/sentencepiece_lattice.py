@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,9 @@ SPACE = "▁"
 #: Words whose pieces are broadcast to the documents, the most frequent ones; about 20 bytes each.
 HEAD_WORDS = 4_000_000
 
+#: Bytes of text and distinct words that a task works on at a time; they bound its memory.
+SLICE_BYTES, TASK_WORDS = 500_000, 100_000
+
 U = W.U
 
 
@@ -114,13 +118,13 @@ def _spelled(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str
 
 
 def distinct_words(rows: DataFrame, path: str = MODEL) -> DataFrame:
-    """(word, n): the words of the corpus and how often they occur; counted in tasks, summed by Spark."""
+    """(word, n, hash): the words of the corpus, how often they occur and their hash; counted in tasks, summed by Spark."""
     pieces = [p[0] for p in _pieces(path)[0]]
 
     def of_batches(batches):
         cutter, seen = Cutter(pieces), {}
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", SLICE_BYTES):
                 points, start, end, _ = cutter.words(W.Texts(part.column("text")))
                 hashes, first, n = np.unique(word_hashes(points, start, end), return_index=True, return_counts=True)
                 hashes, n = hashes.tolist(), n.tolist()
@@ -128,19 +132,21 @@ def distinct_words(rows: DataFrame, path: str = MODEL) -> DataFrame:
                 spelled = dict(zip(new, _spelled(points, start[first[new]], end[first[new]])))
                 for k, h in enumerate(hashes):
                     if k in spelled:
-                        seen[h] = [spelled[k], n[k]]
+                        seen[h] = [spelled[k], n[k], h]
                     else:
                         seen[h][1] += n[k]
-            if len(seen) > 500_000:  # bounds the task's memory; Spark adds the parts up
-                yield _counts(seen)
-                seen = {}
+                if len(seen) > TASK_WORDS:  # Spark adds the parts up
+                    yield _counts(seen)
+                    seen = {}
         yield _counts(seen)
 
-    return rows.select("text").mapInArrow(of_batches, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = rows.select("text").mapInArrow(of_batches, "word string, n long, hash long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.max("hash").alias("hash"))
 
 
 def _counts(seen: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen.values()], pa.string()), pa.array([n for _, n in seen.values()], pa.int64())], ["word", "n"])
+    words, n, hashes = zip(*seen.values()) if seen else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64))], ["word", "n", "hash"])
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
@@ -212,7 +218,7 @@ def folded(edges: DataFrame, first_byte: int) -> DataFrame:
 
 
 def dictionary(rows: DataFrame, path: str = MODEL) -> DataFrame:
-    """(word, n, ids) of the distinct words of ``rows`` of ``keyed``; a saved table."""
+    """(word, n, hash, ids) of the distinct words of ``rows`` of ``keyed``; a saved table."""
     pieces, _, first_byte = _pieces(path)
     words = distinct_words(rows, path)
     table = piece_table(rows.sparkSession, path)
@@ -223,18 +229,13 @@ class Lookup:
     """Word hashes with their pieces, as arrays."""
 
     def __init__(self, got: pa.Table):
-        ids = got.column("ids").combine_chunks()
-        ids = ids if isinstance(ids, pa.Array) else ids.chunk(0)
-        spelled = "".join(got.column("word").to_pylist())
-        points = np.frombuffer(spelled.encode("utf-32-le"), np.uint32)
-        sizes = np.array([len(w) for w in got.column("word").to_pylist()], np.int64)
-        end = np.cumsum(sizes)
-        hashes = word_hashes(points, end - sizes, end)
+        hashes = got.column("hash").to_numpy().view(np.uint64)
+        sizes = pc.list_value_length(got.column("ids")).to_numpy().astype(np.int32)
         order = np.argsort(hashes)
-        offsets = np.asarray(ids.offsets).astype(np.int64)
-        self.hashes, self.first = hashes[order], (offsets[:-1] - offsets[0])[order].astype(np.int32)
-        self.size = np.diff(offsets)[order].astype(np.int32)
-        self.ids = np.asarray(ids.flatten()).astype(np.uint16)
+        self.hashes = hashes[order]
+        self.size = sizes[order]
+        self.first = (np.cumsum(sizes) - sizes)[order].astype(np.int32)
+        self.ids = pc.list_flatten(got.column("ids")).to_numpy().astype(np.uint16)
         if len(hashes) and (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two words share a hash")  # 64 bits; never seen
 
@@ -278,7 +279,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     rows = keyed(docs, doc_id, text)
     words = dictionary(rows, path)
     head, everything = _head(words, head_words)
-    lookup = Lookup(head.select("word", "ids").toArrow())
+    lookup = Lookup(head.select("hash", "ids").toArrow())
     sent = rows.sparkSession.sparkContext.broadcast(lookup)
     pieces = [p[0] for p in _pieces(path)[0]]
     if not everything:
@@ -288,7 +289,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     def of_batches(batches):
         cutter, known = Cutter(pieces), sent.value
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", SLICE_BYTES):
                 points, start, end, owner = cutter.words(W.Texts(part.column("text")))
                 hashes, back = np.unique(word_hashes(points, start, end), return_inverse=True)
                 at = known.find(hashes)
@@ -307,9 +308,9 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
 
 
 def _rare_table(part: pa.RecordBatch) -> pa.Table:
-    """The distinct (word, ids) that the rows' ``rare`` lists hold."""
-    known = {x["word"]: x["ids"] for row in part.column("rare").to_pylist() if row for x in row}
-    return pa.table({"word": pa.array(list(known), pa.string()), "ids": pa.array(list(known.values()), pa.list_(pa.int32()))})
+    """The distinct (hash, ids) that the rows' ``rare`` lists hold."""
+    known = {x["hash"]: x["ids"] for row in part.column("rare").to_pylist() if row for x in row}
+    return pa.table({"hash": pa.array(list(known), pa.int64()), "ids": pa.array(list(known.values()), pa.list_(pa.int32()))})
 
 
 def _rare(rows: DataFrame, words: DataFrame, sent, pieces: list[str]) -> DataFrame:
@@ -318,7 +319,7 @@ def _rare(rows: DataFrame, words: DataFrame, sent, pieces: list[str]) -> DataFra
     def of_batches(batches):
         cutter, known = Cutter(pieces), sent.value
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", SLICE_BYTES):
                 points, start, end, owner = cutter.words(W.Texts(part.column("text")))
                 hashes = word_hashes(points, start, end)
                 some, back = np.unique(hashes, return_inverse=True)
@@ -329,7 +330,7 @@ def _rare(rows: DataFrame, words: DataFrame, sent, pieces: list[str]) -> DataFra
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(whose), part.column("h").take(whose), pa.array(_spelled(points, start[out], end[out]), pa.string())], ["doc_id", "h", "word"])
 
     held = rows.mapInArrow(of_batches, "doc_id long, h long, word string").distinct()
-    return held.join(words.select("word", "ids"), "word").groupBy("doc_id", "h").agg(F.collect_list(F.struct("word", "ids")).alias("rare"))
+    return held.join(words.select("word", "hash", "ids"), "word").groupBy("doc_id", "h").agg(F.collect_list(F.struct("hash", "ids")).alias("rare"))
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str = MODEL) -> DataFrame:
