@@ -39,20 +39,13 @@ def _count(term: str) -> Column:
 
 def phrase(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_hits): documents that hold the query's tokens in a row; an empty query finds nothing."""
-    wanted = [t for t in "".join(c if c.isalnum() else " " for c in query.lower()).split()]
+    wanted = "".join(c if c.isalnum() else " " for c in query.lower()).split()
     if not wanted:
         return docs.select(key, F.lit(0).alias("n_hits")).limit(0)
-    words = docs.where(F.contains(F.lower(text), F.lit(wanted[0]))).select(key, tokens(F.col(text)).alias("w"))
-    last = F.size("w") - len(wanted) + 1
-
-    def here(i: Column) -> Column:
-        same = F.lit(True)
-        for k, t in enumerate(wanted):
-            same = same & (F.get("w", i + k) == F.lit(t))
-        return same
-
-    hits = F.when(last > 0, F.size(F.filter(F.sequence(F.lit(0), last - 1), here))).otherwise(0)
-    return words.select(key, hits.alias("n_hits")).where("n_hits > 0")
+    edge, gap = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]+"
+    rest = rf"(?={gap}{gap.join(wanted[1:])}(?!{edge}))" if len(wanted) > 1 else rf"(?!{edge})"
+    hits = F.regexp_count(F.lower(text), F.lit(rf"(?<!{edge}){wanted[0]}{rest}"))
+    return docs.where(F.contains(F.lower(text), F.lit(wanted[0]))).select(key, hits.alias("n_hits")).where("n_hits > 0")
 
 
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
