@@ -123,10 +123,10 @@ def _contexts(found: DataFrame) -> DataFrame:
     return sides.select("doc_id", "h", "kind", "value", F.array_distinct(F.concat("left", "right")).alias("terms"), seen.alias("seen"))
 
 
-def _term_rows(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, h, term): which of ``terms`` each document holds."""
+def _term_rows(rows: DataFrame) -> DataFrame:
+    """(doc_id, h, term): the terms that each document holds."""
     words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda w: F.length(w) >= 3)
-    return rows.select("doc_id", "h", F.explode(words).alias("term")).join(broadcast_if_small(terms), "term")
+    return rows.select("doc_id", "h", F.explode(words).alias("term"))
 
 
 def revealing_terms(found: DataFrame, generalise_at: float = 0.8, remove_at: float = 0.95, contexts: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -143,14 +143,13 @@ def revealing_terms(found: DataFrame, generalise_at: float = 0.8, remove_at: flo
     pairs = near.select("doc_id", "h", "kind", "value", "seen", F.explode("terms").alias("term")).groupBy("kind", "value", "term")
     pairs = pairs.agg(F.count_distinct(doc).alias("n_et"), F.count_distinct("seen").alias("contexts")).where(F.col("contexts") >= contexts)
     pairs = saved(pairs.join(entities, ["kind", "value"]), "pairs")
-    terms = saved(pairs.select("term").distinct(), "terms")
-    held = saved(_term_rows(found, terms), "held")
-    n_t = held.groupBy("term").agg(F.count("*").alias("n_t"))
+    # Tasks add up their own counts, so what is shuffled follows the vocabulary, not the words.
+    n_t = _term_rows(found).groupBy("term").agg(F.count("*").alias("n_t"))
     told = pairs.join(n_t, "term").withColumn("n_all", F.lit(found.select("h").count()))
     bits = F.when(F.col("n_e") < F.col("n_all"), F.log(F.col("n_all") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.col("n_all") / F.col("n_e")))
     told = told.withColumn("revealed", bits).groupBy("term").agg(F.max("revealed").alias("revealed")).where(F.col("revealed") >= generalise_at)
     told = saved(told.withColumn("remove", F.col("revealed") >= remove_at), "revealing")
-    return told, held.join(broadcast_if_small(told), "term").select("doc_id", "h", "term", "remove")
+    return told, _term_rows(found).join(broadcast_if_small(told), "term").select("doc_id", "h", "term", "remove")
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", generalise_at: float = 0.8, remove_at: float = 0.95, contexts: int = 3) -> DataFrame:
