@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vellumine.llm import components, decontaminate, line_dedup, pii, quality_classifier, quality_rules, registry, secrets, sentencepiece_lattice, simhash, substring_dedup, token_counts, words
+from vellumine.llm import components, decontaminate, line_dedup, near_copies, pii, quality_classifier, quality_rules, registry, secrets, sentencepiece_lattice, simhash, substring_dedup, token_counts, words
 from vellumine.llm.shared import keyed
 
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -107,6 +107,48 @@ def test_simhash_odd(odd, none):
     assert simhash.components(none).count() == 0 and simhash.one_of_each(none).count() == 0
 
 
+def five_word_sets(texts):
+    split = {i: split_words((t or "").translate(ASCII)) for i, t in texts.items()}
+    return {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in split.items()}
+
+
+def test_near_copies(spark):
+    """Planted pairs at 0.75 to 0.97; a chain and a crowd of near copies."""
+    rng = np.random.default_rng(12)
+    texts, twins = {}, []
+    for i in range(240):
+        n = int(rng.integers(100, 1000))
+        base = [f"w{x}" for x in rng.integers(0, 5000, n)]
+        changed = list(base)
+        # Each changed word takes five shingles of either side.
+        for k in rng.choice(n, max(1, round((n - 4) * (1 - (j := 0.75 + 0.22 * i / 240)) / (1 + j) / 5)), replace=False):
+            changed[k] = f"x{k}"
+        texts |= {2 * i: " ".join(base), 2 * i + 1: " ".join(changed)}
+        twins.append((2 * i, 2 * i + 1))
+    crowd = [f"c{x}" for x in range(300)]
+    for i in range(40):
+        one = list(crowd)
+        for k in rng.choice(300, 4, replace=False):
+            one[k] = f"y{i}{k}"
+        texts[1000 + i] = " ".join(one)
+    sets = five_word_sets(texts)
+
+    def alike(a, b):
+        return len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9
+
+    hard = [p for p in twins if alike(*p) and len(sets[p[0]] & sets[p[1]]) < 0.95 * len(sets[p[0]] | sets[p[1]])]
+    assert len(hard) > 100 and not all(alike(*p) for p in twins)
+    root = reach([p for p in twins if alike(*p)] + [(a, b) for a in range(1000, 1040) for b in range(a + 1, 1040) if alike(a, b)], texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in near_copies.one_of_each(df).collect()} == set(root.values())
+
+
+def test_near_copies_odd(odd, none):
+    kept = near_copies.one_of_each(odd)
+    assert kept.columns == odd.columns and kept.where("text IS NULL OR text = ''").count() == 1
+    assert near_copies.one_of_each(none).count() == 0
+
+
 def test_token_counts(docs, rows, odd, none):
     encode = token_counts._encoding(open(f"{token_counts.TOKENIZERS}/{token_counts.RANKS}", "rb").read()).encode_ordinary
     n = sorted(len(encode(t)) for t in rows.values())

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
@@ -73,7 +75,7 @@ def map_texts(rows: DataFrame, compute, fields: str) -> DataFrame:
     carried = [c for c in rows.columns if c != "text"]
     schema = rows.select(*carried).schema
     for name, kind in (f.split() for f in fields.split(",")):
-        schema = schema.add(name, kind)
+        schema = schema.add(name, StructType.fromDDL(f"{name} {kind}")[0].dataType)
     names = schema.names
 
     def of_batches(batches):

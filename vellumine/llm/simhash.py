@@ -79,8 +79,8 @@ def xxh64(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 42)
     return h ^ (h >> U(32))
 
 
-def fingerprints_of(texts: W.Texts, shingle: int) -> np.ndarray:
-    """The 64-bit fingerprint of each text; 0 for a text without words."""
+def shingles_of(texts: W.Texts, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The text number and the hash of each shingle, in order."""
     data = texts.lowered()
     start, end = W.spans(data, W.NOT_BLANK)
     owner = texts.owner(start)
@@ -96,8 +96,12 @@ def fingerprints_of(texts: W.Texts, shingle: int) -> np.ndarray:
     last_word = np.minimum(np.arange(len(start)) + shingle - 1, (first + per)[owner] - 1)
     wanted = (np.arange(len(start)) == first[owner]) | (np.arange(len(start)) + shingle <= (first + per)[owner])
     at = np.flatnonzero(wanted)
-    h = xxh64(clean, begin[at], stop[last_word[at]])
-    owner = owner[at]
+    return owner[at], xxh64(clean, begin[at], stop[last_word[at]])
+
+
+def fingerprints_of(texts: W.Texts, shingle: int) -> np.ndarray:
+    """The 64-bit fingerprint of each text; 0 for a text without words."""
+    owner, h = shingles_of(texts, shingle)
     n = W.counts(owner, texts.n)
     out = np.zeros(texts.n, np.uint64)
     full = np.flatnonzero(n)
@@ -209,7 +213,11 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     that share the least id the one with the smaller text hash stays, and of
     rows that share id and text one. An empty table stays empty.
     """
-    rooted = _rooted(keyed(docs, doc_id, text), shingle, max_bits)
+    return first_of_each(docs, _rooted(keyed(docs, doc_id, text), shingle, max_bits), doc_id, text)
+
+
+def first_of_each(docs: DataFrame, rooted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The first row of ``docs`` of each root of ``rooted`` (doc_id, h, root)."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     kept = rooted.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("n")).select("first.doc_id", "first.h", "n")
     stay = joined(docs, kept, "inner", doc_id, text)
