@@ -282,6 +282,26 @@ def test_decontamination(spark, docs, sf, block, monkeypatch):
     assert {r.doc_id: tuple(r[1:]) for r in registry.op8_decontamination(spark, sf).collect()} == want
 
 
+def test_decontamination_periodic(spark):
+    """Repeated grams, items of 1 to 13 words and items that follow one another, against the SQL."""
+    import duckdb
+
+    rng = np.random.default_rng(5)
+    plain = [f"v{i}" for i in range(400)]
+    items = [["0"] * 13, ["yes"], ["ha"] * 7 + plain[:6], plain[20:33], plain[33:46], ["a", "b"] * 6, ["x"] * 20]
+    items += [plain[50 + 15 * n : 50 + 16 * n] for n in range(1, 14)] + [["r", "s", "t"] * 3 + ["r"]]
+    texts = [[f"f{i}" for i in range(150)] + ["0"] * 100 + [f"g{i}" for i in range(150)], ["yes", "yes"], ["ha"] * 8 + plain[:6], plain[10:60], ["a", "b"] * 40, ["x"] * 45 + plain[:3], ["r", "s", "t"] * 9, plain]
+    texts += [rng.choice(["0", "ha", "a", "b", "x"], 60, p=[0.6, 0.1, 0.1, 0.1, 0.1]).tolist() for _ in range(30)]
+    documents = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", documents.toPandas())
+    con.register("benchmark", benchmark.toPandas())
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated FROM ({registry.OP8_SQL})").fetchall()}
+    got = {r.doc_id: (r.n_words, r.n_hit, len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.contaminated) for r in decontaminate.contamination(documents, benchmark).collect()}
+    assert got == want and want[0][1] == 100 and want[0][4] and want[1][1] == 2
+
+
 def test_decontamination_odd(spark, odd, none):
     items = spark.createDataFrame([(1, "One LINE here"), (2, None), (3, ""), (None, "many words"), (4, " ".join(f"word{i}" for i in range(20)))], "item_id long, text string")
     got = {(r.doc_id, r.n_words): (r.n_hit, r["items"]) for r in decontaminate.contamination(odd, items).collect()}

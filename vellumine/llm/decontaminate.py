@@ -110,16 +110,20 @@ def hits(texts: W.Texts, index: Index) -> tuple[np.ndarray, list[list[tuple[int,
         at, least = doc.kept(window)
         if not len(at):
             continue
-        new = np.ones(len(at), bool)
-        new[1:] = (least[1:] != least[:-1]) | (doc.owner[at[1:]] != doc.owner[at[:-1]])
-        maybe = np.flatnonzero(sieve[(least & SIEVE).astype(np.int64)] & new)
+        maybe = np.flatnonzero(sieve[(least & SIEVE).astype(np.int64)])
         low, high = np.searchsorted(hashes, least[maybe], "left"), np.searchsorted(hashes, least[maybe], "right")
+        found_at = np.flatnonzero(high > low)
+        maybe, low, high = maybe[found_at], low[found_at], high[found_at]
+        # The first place of the least gram in each window; windows with the same one meet the same words.
+        place = at[maybe].copy()
+        for j in range(window - min(GRAM, window), -1, -1):
+            same = doc.grams[at[maybe] + j] == least[maybe]
+            place[same] = at[maybe][same] + j
         done: dict[tuple[int, int], int] = {}
-        for k in np.flatnonzero(high > low):
-            begin = int(at[maybe[k]])
-            p = begin + int(np.argmax(doc.grams[begin : begin + window] == least[maybe[k]]))
+        for k in np.flatnonzero(np.diff(place, prepend=-1)):
+            p = int(place[k])
             for q in places[low[k] : high[k]].tolist():
-                if done.get((int(doc.owner[p]), p - q), -1) >= p:
+                if done.get((int(doc.owner[p]), p - q), -1) > p:
                     continue
                 a, b = _run(doc, p, items, q)
                 done[int(doc.owner[p]), p - q] = b
