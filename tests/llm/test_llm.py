@@ -334,6 +334,19 @@ def test_lines(spark, docs, rows, nearest, monkeypatch):
     assert got == brute_lines(rows | near)
 
 
+def test_lines_short(spark, docs, rows, sf, monkeypatch):
+    """op9 takes repeats of lines of any number of words, also 4 words of another line's 5."""
+    base = ["All rights reserved", "buy now " * 300, "Share this article", "x", "one two three four", "a b c d e", "p q r s", "p q r"]
+    again = ["ALL rights  reserved", "now buy", "Share this", "x", "four five one two three", "e d c b", "", "s r q p"]
+    near = {2000: "\n".join(base), 2001: "\n".join(again)}
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(near.items()), "doc_id long, text string"))
+    monkeypatch.setattr(registry, "read", lambda *_: df)
+    got = {r.doc_id: (r.n_removed, r.text_sha256) for r in registry.op9_line_dedup(spark, sf).collect()}
+    want = brute_lines(rows | near, least=1)
+    assert {i: d for i, (_, d) in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+    assert got[2001][0] == 6
+
+
 def test_lines_odd(odd, none):
     got = line_dedup.dedup_lines(odd)
     assert got.columns == [*odd.columns, "vq_lines_out"] and got.count() == odd.count()

@@ -119,6 +119,7 @@ def _sets(rows: DataFrame, threshold: float, least: int) -> DataFrame:
                 bits = np.bincount(slot * 128 + (token & U(127)).astype(np.int64), minlength=len(fresh) * 128) & 1
                 packed = np.packbits(bits.astype(np.uint8).reshape(-1, 128), axis=1).view(np.int64)
                 length = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+                length[n < threshold * (n + 1) - 1e-9] = 0  # one more word is too many: only equal sets match
                 inside = np.arange(len(token)) - first[slot] < length[slot]
                 tokens = token[inside].astype(np.uint32).view(np.int32)
                 lengths = np.zeros(len(code), np.int64)

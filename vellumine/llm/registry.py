@@ -78,7 +78,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
-    kept = line_dedup.dedup_lines(docs)
+    kept = line_dedup.dedup_lines(docs, least=1)
     return kept.select("doc_id", "n_lines", F.col("vq_lines_out").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
