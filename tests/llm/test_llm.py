@@ -172,6 +172,12 @@ def test_sentencepiece(docs, rows, head):
     assert got == {i: m.encode(t) for i, t in rows.items()}
 
 
+def test_sentencepiece_query_decodes(spark, sf, rows):
+    m = model()
+    for r in registry.op3_sentencepiece(spark, sf).collect():
+        assert r.ids == m.encode(rows[r.doc_id]) and r.decoded_sha256 == hashlib.sha256(m.decode(r.ids).encode()).hexdigest()
+
+
 def test_sentencepiece_odd(odd, none, spark):
     m, texts = model(), ["aaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "  two  spaces ", "tab\tnew\nline", "①½ﬁ 😀", "=" * 200, "x" * 300, "internationalization", "\x00\x01"]
     more = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
