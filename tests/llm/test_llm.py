@@ -166,9 +166,9 @@ def model():
     return sentencepiece.SentencePieceProcessor(model_file=sentencepiece_lattice.MODEL)
 
 
-@pytest.mark.parametrize("head", [sentencepiece_lattice.HEAD_WORDS, 50])
+@pytest.mark.parametrize("head", [sentencepiece_lattice.HEAD_BYTES, 1500])
 def test_sentencepiece(docs, rows, head):
-    m, got = model(), {r.doc_id: r.ids for r in sentencepiece_lattice.encode(docs, head_words=head).collect()}
+    m, got = model(), {r.doc_id: r.ids for r in sentencepiece_lattice.encode(docs, head_bytes=head).collect()}
     assert got == {i: m.encode(t) for i, t in rows.items()}
 
 
@@ -188,6 +188,50 @@ def test_sentencepiece_odd(odd, none, spark):
     assert sentencepiece_lattice.encode(none).count() == 0
 
 
+def test_sentencepiece_long_words(spark):
+    """Words of up to 30,000 characters: random letters, runs and periods that no window is aligned with."""
+    m, rng = model(), np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n)) for n in (59, 60, 61, 150, 30_000)] + ["b" + "=" * 999, "ab" * 500, "xab" * 333, "ha" * 77 + "q" + "ha" * 301]
+    texts += [" ".join("".join(rng.choice(list("abcdefghij")[:k], int(rng.integers(1, 90)))) for _ in range(200)) for k in (2, 4, 10)]
+    encoded = sentencepiece_lattice.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.ids for r in encoded.collect()} == {i: m.encode(t) for i, t in enumerate(texts)}
+
+
+def test_sentencepiece_whole_words(spark):
+    """The fold for words that windows can't settle gives the same pieces."""
+    own, texts = sentencepiece_lattice.load(), ["internationalization", "b" + "=" * 70, "thequickbrownfox" * 5]
+    words = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "n long, hash long, word string")
+    edges = sentencepiece_lattice.lattice(words, sentencepiece_lattice.piece_table(spark, own), own.longest)
+    size = F.col("size")
+    long, whole = (f.alias(c) for f, c in ((sentencepiece_lattice._pieces_of_long(F.col("edges"), size, own.longest), "long"), (sentencepiece_lattice._pieces_of_whole(F.col("edges"), size), "whole")))
+    assert all(r.long == r.whole for r in edges.select(long, whole).collect())
+
+
+def test_sentencepiece_viterbi(spark):
+    """A made-up unigram model: the best path by scores, against brute force over all cuts."""
+    rng = np.random.default_rng(9)
+    pieces = {"".join(rng.choice(list("abc▁"), int(rng.integers(1, 5)))) for _ in range(60)}
+    scored = [(p, 10 + i, float(-rng.random() * 8)) for i, p in enumerate(sorted(pieces))]
+    own = sentencepiece_lattice.model_of(scored, None, 0, True)
+    score = {p: (s, i) for p, i, s in scored}
+    unknown = min(s for _, _, s in scored) - 10
+
+    def best(text):
+        found = [(0.0, [])]
+        for e in range(1, len(text) + 1):
+            ways = [(found[s][0] + score[text[s:e]][0], found[s][1] + [score[text[s:e]][1]]) for s in range(max(0, e - 4), e) if text[s:e] in score]
+            if text[e - 1] not in score:
+                ways.append((found[e - 1][0] + unknown, found[e - 1][1] + [0]))
+            found.append(max(ways, key=lambda x: x[0]))
+        return found[-1]
+
+    texts = ["".join(rng.choice(list("abcx "), int(n))) for n in rng.integers(1, 200, 40)]
+    ids = {i: s for _, i, s in scored} | {0: unknown}
+    for r in sentencepiece_lattice.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model=own).collect():
+        want = best("▁" + texts[r.doc_id].replace(" ", "▁"))
+        assert abs(sum(ids[i] for i in r.ids) - want[0]) < 1e-9 and len(r.ids) == len(want[1])
+
+
 def test_pii_base(spark, docs):
     luhn = "4111 1111 1111 1111"
     texts = [f"a.b@c.de x@y 1.2.3.4 300.1.1.1 {luhn} +1 (212) 555-0100.", "", None, "a@b.cc_d@e.f.g 1.2.3.4.5.6.7.8 0012.1.1.1", "😀 é x@y.z", "+12 3 4", luhn.replace(" ", "-") + "1", "a" * 50_000 + "@", "1" * 50_000, "1.1.1.1" * 3]

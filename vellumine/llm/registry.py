@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.llm import decontaminate, line_dedup, pii, quality_classifier, quality_rules, secrets, sentencepiece_lattice, simhash, substring_dedup, token_counts
-from vellumine.llm.shared import read, saved
+from vellumine.llm.shared import read
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +23,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = sentencepiece_lattice.encode(read(spark, sf_dir, "documents"))
-    # Decoding shuffles on its rows' values, so the encoding is kept, not made again.
-    decoded = sentencepiece_lattice.decode(saved(encoded.select("doc_id", "ids"), "encoded"))
+    decoded = sentencepiece_lattice.decode(encoded)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -6,16 +6,17 @@ and equality-joined to the piece table; the edges of a word are grouped and
 folded by a higher-order aggregate into the word's pieces. Documents then
 look their words up.
 
-The fold follows the model's kind. A unigram model's best path maximises a
-sum of scores; the model here is a BPE model, whose encoder merges the
-best-ranked neighbours until none merge, and a best path over its scores gives
-other pieces. So the fold applies merges: its state is a string of flags, one
-for each boundary in the word, and an edge over two symbols clears the flag
-between them.
+The fold follows the model's kind. A unigram model's is Viterbi: the path
+with the highest sum of scores. The model file here is a BPE model, whose
+encoder merges the best-ranked neighbours until none merge, and a best path
+over its scores gives other pieces. So for it the fold applies merges: its
+state holds the boundaries in the word as bits, and an edge over two symbols
+clears the boundary between them.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -31,8 +32,10 @@ from vellumine.llm.shared import joined, keyed, saved
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Stands for a space in pieces; a fixed value of the format.
 SPACE = "▁"
-#: Words whose pieces are broadcast to the documents, the most frequent ones; about 20 bytes each.
-HEAD_WORDS = 4_000_000
+#: Bytes of the words' pieces that are broadcast to the documents, those of the most frequent words.
+HEAD_BYTES = 96_000_000
+#: What an unknown character costs on a best path beside the least score; a fixed value of the format.
+UNKNOWN_PENALTY = 10.0
 
 #: Bytes of text and distinct words that a task works on at a time; they bound its memory.
 SLICE_BYTES, TASK_WORDS = 500_000, 100_000
@@ -40,33 +43,50 @@ SLICE_BYTES, TASK_WORDS = 500_000, 100_000
 U = W.U
 
 
-@lru_cache(maxsize=4)
-def _pieces(path: str) -> tuple[list[tuple[str, int, int, bool]], dict[int, str], int]:
-    """(piece, id, rank, reopens) of the normal pieces; byte pieces by id; the id of byte 0.
+@dataclass(frozen=True)
+class Model:
+    """What encoding and decoding need of a model file."""
 
-    Rank 0 is merged first. ``reopens``: a better-ranked piece begins or ends
-    with this one, so making it can open a better merge.
-    """
-    import sentencepiece
+    #: (piece, id, rank, reopens, score) of the normal pieces. Rank 0 is merged first. ``reopens``: a
+    #: better-ranked piece begins or ends with this one, so making it can open a better merge.
+    pieces: list[tuple[str, int, int, bool, float]]
+    #: The id of byte 0 (the other bytes follow), or None if the model has no byte pieces.
+    first_byte: int | None
+    unknown: int
+    #: Whether the best path by scores is asked for (a unigram model) and not merges (BPE).
+    unigram: bool
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    ids = range(model.get_piece_size())
-    normal = [i for i in ids if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-    ranked = sorted(normal, key=lambda i: (-model.get_score(i), i))
-    rank = {model.id_to_piece(i): k for k, i in enumerate(ranked)}
+    @property
+    def longest(self) -> int:
+        return max(len(p[0]) for p in self.pieces)
+
+
+def model_of(scored: list[tuple[str, int, float]], first_byte: int | None, unknown: int, unigram: bool) -> Model:
+    """A model from (piece, id, score) of its normal pieces."""
+    ranked = sorted(scored, key=lambda x: (-x[2], x[1]))
+    rank = {p: k for k, (p, _, _) in enumerate(ranked)}
     reopens = set()
     for piece, k in rank.items():
         for cut in range(1, len(piece)):
             reopens.update(part for part in (piece[:cut], piece[cut:]) if rank.get(part, -1) > k)
-    if any(SPACE in p.lstrip(SPACE) for p in rank):
-        raise ValueError("pieces with inner spaces are not supported")
+    return Model([(p, i, rank[p], p in reopens, score) for p, i, score in ranked], first_byte, unknown, unigram)
+
+
+@lru_cache(maxsize=4)
+def load(path: str = MODEL, unigram: bool = False) -> Model:
+    """The model of a file; ``unigram`` says of which kind it is."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    ids = range(model.get_piece_size())
+    normal = [i for i in ids if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
     byte = [i for i in ids if model.is_byte(i)]
-    return [(p, model.piece_to_id(p), k, p in reopens) for p, k in rank.items()], {i: model.id_to_piece(i) for i in byte}, min(byte)
+    return model_of([(model.id_to_piece(i), i, model.get_score(i)) for i in normal], min(byte, default=None), model.unk_id(), unigram)
 
 
-def piece_table(spark: SparkSession, path: str = MODEL) -> DataFrame:
-    """(piece, id, rank, reopens): the model's normal pieces, a table of fixed size."""
-    return spark.createDataFrame(_pieces(path)[0], "piece string, id int, rank int, reopens boolean")
+def piece_table(spark: SparkSession, model: Model) -> DataFrame:
+    """(piece, id, rank, reopens, score): the model's normal pieces, a table of fixed size."""
+    return spark.createDataFrame(model.pieces, "piece string, id int, rank int, reopens boolean, score double")
 
 
 class Cutter:
@@ -75,7 +95,7 @@ class Cutter:
     def __init__(self, pieces: list[str]):
         pairs = {(ord(a), ord(b)) for p in pieces for a, b in zip(p, p[1:])}
         letters = sorted({c for pair in pairs for c in pair})
-        self.kind = np.zeros(0x110000, np.uint16)
+        self.kind = np.zeros(0x110000, np.uint32)
         self.kind[letters] = np.arange(1, len(letters) + 1)
         self.within = np.zeros((len(letters) + 1, len(letters) + 1), bool)
         a, b = np.array(sorted(pairs)).T
@@ -117,9 +137,9 @@ def _spelled(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str
     return [text[a:b] for a, b in zip(start.tolist(), end.tolist())]
 
 
-def distinct_words(rows: DataFrame, path: str = MODEL) -> DataFrame:
+def distinct_words(rows: DataFrame, model: Model) -> DataFrame:
     """(word, n, hash): the words of the corpus, how often they occur and their hash; counted in tasks, summed by Spark."""
-    pieces = [p[0] for p in _pieces(path)[0]]
+    pieces = [p[0] for p in model.pieces]
 
     def of_batches(batches):
         cutter, seen = Cutter(pieces), {}
@@ -149,80 +169,230 @@ def _counts(seen: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64))], ["word", "n", "hash"])
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """``words`` with ``edges``: the pieces inside each word, as array<struct<rank, s, l, id, reopens>>.
+#: Characters whose boundaries are the bits of one long.
+WINDOW = 60
 
-    s is a piece's place from 1 and l its length. A single character is an
-    edge even if it is no piece (id null). Best rank first, then from the
-    left. The substrings of a word never leave its partition: the piece
-    table is broadcast and words are grouped where they are.
+
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, by_end: bool = False) -> DataFrame:
+    """(n, hash, size, edges) of ``words``: its characters, and the pieces inside it, an array of structs.
+
+    s is a piece's place from 0 and e its end. A single character is an edge
+    even if it is no piece; then id is null and ``raw`` its bytes in hex.
+    Sorted by rank, then from the left, or else ``by_end``. Substrings are
+    taken from parts of a word, so no row carries a long word; they never
+    leave their partition: the piece table is broadcast and words are grouped
+    where they are.
     """
-    n = F.length("word")
-    places = F.transform(F.sequence(F.lit(1), n), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - s + 1)), lambda m: F.struct(s.alias("s"), m.alias("l"))))
-    parts = words.select(*words.columns, F.explode(F.flatten(places)).alias("x"))
-    parts = parts.withColumn("piece", F.col("word").substr(F.col("x.s"), F.col("x.l")))
-    edges = parts.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR x.l = 1")
-    edge = F.struct(F.coalesce("rank", F.lit(1 << 30)).alias("rank"), F.col("x.s").alias("s"), F.col("x.l").alias("l"), "id", "reopens")
-    return edges.groupBy(*words.columns).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    size, block = F.length("word"), F.lit(WINDOW)
+    cut = F.transform(F.sequence(F.lit(0), size - 1, block), lambda a: F.struct(a.alias("a"), F.col("word").substr(a + 1, block + longest - 1).alias("part")))
+    blocks = words.select("n", "hash", size.alias("size"), F.explode(F.when(size > 0, cut)).alias("b"))
+    begins = F.sequence(F.lit(0), F.least(block, F.length("b.part")) - 1)
+    places = F.transform(begins, lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("b.part") - s)), lambda m: F.struct(s.alias("s"), m.alias("m"))))
+    parts = blocks.select("n", "hash", "size", "b", F.explode(F.flatten(places)).alias("x"))
+    s = F.col("b.a") + F.col("x.s")
+    parts = parts.select("n", "hash", "size", s.alias("s"), (s + F.col("x.m")).alias("e"), F.col("b.part").substr(F.col("x.s") + 1, F.col("x.m")).alias("piece"))
+    edges = parts.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR e = s + 1")
+    order = ["e", "s"] if by_end else [F.coalesce("rank", F.lit(1 << 30)).alias("rank"), "s", "e"]
+    raw = F.when(F.col("id").isNull(), F.hex(F.encode("piece", "UTF-8"))).alias("raw")
+    edge = F.struct(*order, "id", "score" if by_end else "reopens", raw)
+    return edges.groupBy("n", "hash", "size").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
 
-def _merges(flags: Column, e: Column) -> Column:
-    """Whether an edge spans exactly two symbols: boundaries at its ends and one between."""
-    inside = flags.substr(e["s"], e["l"] + 1)
-    return (F.left(inside, F.lit(1)) == "1") & (F.right(inside, F.lit(1)) == "1") & (F.length(F.replace(inside, F.lit("0"), F.lit(""))) == 3)
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _merged(flags: Column, e: Column) -> Column:
-    return F.overlay(flags, F.repeat(F.lit("0"), e["l"] - 1), e["s"] + 1)
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
-def folded(edges: DataFrame, first_byte: int) -> DataFrame:
-    """``edges`` of ``lattice`` with ``ids`` in their place: each word's piece ids.
+def _merged(edges: Column, n: Column, at: Column) -> Column:
+    """The boundaries left in n characters from place ``at`` when all merges are made; bit 0 is ``at``.
 
-    One pass over the edges by rank is exact unless a merge opens a
-    better-ranked one; words where that happens are folded again, one best
-    merge at a time.
+    ``edges`` are pieces of two characters or more inside, by rank. An edge
+    merges two symbols if its ends are boundaries and one is between. A sweep
+    over the edges by rank merges all it can, but stops where a merge opens a
+    better-ranked one; the next sweep goes on from the best edge again.
     """
-    n = F.length("word")
-    many = F.filter("edges", lambda e: e["l"] > 1)
-    none = F.repeat(F.lit("1"), n + 1)
 
-    def once(state: Column, e: Column) -> Column:
-        now = F.when(_merges(state["flags"], e), _merged(state["flags"], e)).otherwise(state["flags"])
-        opened = (now != state["flags"]) & e["reopens"]
-        again = F.when(opened, F.exists("many", lambda b: (b["rank"] < e["rank"]) & _merges(now, b))).otherwise(F.lit(False))
-        return F.struct(now.alias("flags"), (state["again"] | again).alias("again"))
+    def merges(flags: Column, e: Column) -> Column:
+        a, b = _bit(e["s"] - at), _bit(e["e"] - at)
+        return (flags.bitwiseAND(a.bitwiseOR(b)) == a.bitwiseOR(b)) & (F.bit_count(flags.bitwiseAND(b - a)) == 2)
+
+    def sweep(s: Column, e: Column) -> Column:
+        now = s["flags"].bitwiseAND(F.bitwise_not(_bit(e["e"] - at) - 2 * _bit(e["s"] - at)))
+        stop = e["reopens"] & F.exists(edges, lambda b: (b["rank"] < e["rank"]) & merges(now, b))
+        return F.when(~s["stop"] & merges(s["flags"], e), F.struct(now.alias("flags"), stop.alias("stop"))).otherwise(s)
+
+    def again(s: Column, _: Column) -> Column:
+        return F.when(s["stop"], F.aggregate(edges, F.struct(s["flags"].alias("flags"), F.lit(False).alias("stop")), sweep)).otherwise(s)
+
+    # Every stop has an edge of its own that reopens, so there are no more sweeps than those and one.
+    sweeps = F.sequence(F.lit(0), F.size(F.filter(edges, lambda e: e["reopens"])))
+    none = F.struct((2 * _bit(n) - 1).alias("flags"), F.lit(True).alias("stop"))
+    return F.aggregate(sweeps, none, again, lambda s: s["flags"])
+
+
+def _kept(flags: Column, at: Column):
+    """Whether an edge's ends are neighbours among the boundaries: the word's pieces."""
+
+    def neighbours(e: Column) -> Column:
+        a, b = _bit(e["s"] - at), _bit(e["e"] - at)
+        return flags.bitwiseAND(2 * b - a) == a.bitwiseOR(b)
+
+    return neighbours
+
+
+def _path(e: Column) -> Column:
+    return F.struct(e["s"].alias("s"), e["e"].alias("e"), e["id"].alias("id"), e["raw"].alias("raw"))
+
+
+def _merges(e: Column) -> Column:
+    return F.struct(e["rank"].alias("rank"), e["s"].alias("s"), e["e"].alias("e"), e["reopens"].alias("reopens"))
+
 
-    swept = edges.withColumn("many", many).withColumn("swept", F.aggregate("many", F.struct(none.alias("flags"), F.lit(False).alias("again")), once))
+def _pieces_of_short(edges: Column, n: Column) -> Column:
+    """The pieces, in order, of a word of up to WINDOW characters."""
+    zero = F.lit(0)
+    flags = _let(F.transform(F.filter(edges, lambda e: e["e"] > e["s"] + 1), _merges), lambda many: _merged(many, n, zero))
+    return _let(flags, lambda f: F.array_sort(F.transform(F.filter(edges, _kept(f, zero)), _path)))
 
-    def best(flags: Column, _: Column) -> Column:
-        open_edges = F.filter("many", lambda e: _merges(flags, e))
-        return F.when(F.size(open_edges) > 0, _merged(flags, open_edges[0])).otherwise(flags)
 
-    exact = F.when(~F.col("swept.again"), F.col("swept.flags")).otherwise(F.aggregate(F.sequence(F.lit(1), n), none, best))
-    done = swept.withColumn("flags", exact)
-    starts = F.filter(F.sequence(F.lit(1), n), lambda i: F.col("flags").substr(i, F.lit(1)) == "1")
-    done = done.withColumn("starts", starts)
-    place = F.transform("edges", lambda e: e["s"] * 64 + e["l"])
-    done = done.withColumn("place", place).withColumn("found", F.col("edges.id"))
+def _pieces_of_long(edges: Column, n: Column, longest: int) -> Column:
+    """The pieces, in order, of a long word, merged window by window; null if that can't settle them.
+
+    Of a window's pieces those that begin before about its middle stand; the
+    next window begins where they end. No merge crossed that boundary, so the
+    next window's first piece is the one seen here unless what follows the
+    window changes it. If it is the same, each two neighbours of the whole
+    are merged as they would be alone, and such a whole is what merging all
+    of it gives.
+    """
+    half = WINDOW // 2
+    path_type = "array<array<struct<s:int,e:int,id:int,raw:string>>>"
+
+    def of_placed(placed: Column) -> Column:
+        def count(s: Column, e: Column) -> Column:  # every half window begins with an edge
+            now = F.when(F.floor(e["s"] / half) >= F.size(s["offsets"]), F.concat(s["offsets"], F.array(s["i"]))).otherwise(s["offsets"])
+            return F.struct((s["i"] + 1).alias("i"), now.alias("offsets"))
+
+        none = F.struct(F.lit(0).alias("i"), F.array().cast("array<int>").alias("offsets"))
+        offsets = F.aggregate(placed, none, count, lambda s: F.concat(s["offsets"], F.array_repeat(s["i"], 4)))
+        return _let(offsets, lambda o: windows(placed, o))
+
+    def windows(placed: Column, offsets: Column) -> Column:
+        def step(s: Column, _: Column) -> Column:
+            at, size = s["at"], F.least(n - s["at"], F.lit(WINDOW))
+            k = F.floor(at / half).cast("int")
+            near = F.slice(placed, F.get(offsets, k) + 1, F.get(offsets, k + 3) - F.get(offsets, k))
+            inside = F.filter(near, lambda e: (e["s"] >= at) & (e["e"] <= at + size))
+            return _let(inside, lambda x: of_inside(s, x, at, size))
+
+        def of_inside(s: Column, inside: Column, at: Column, size: Column) -> Column:
+            flags = _let(F.array_sort(F.transform(F.filter(inside, lambda e: e["e"] > e["s"] + 1), _merges)), lambda many: _merged(many, size, at))
+            path = _let(flags, lambda f: F.transform(F.filter(inside, _kept(f, at)), _path))
+            return _let(path, lambda p: advanced(s, p, at, at + size >= n))
+
+        def advanced(s: Column, path: Column, at: Column, last: Column) -> Column:
+            fits = (s["expected"] == 0) | (F.get(path, F.lit(0))["e"] == s["expected"])
+            stand = F.filter(path, lambda p: p["s"] <= at + half)
+            follower = F.element_at(stand, -1)  # the next window begins with it
+            made = [F.when(last, n).otherwise(follower["s"]), F.when(last, 0).otherwise(follower["e"]), fits, F.concat(s["out"], F.array(F.when(last, path).otherwise(F.slice(stand, F.lit(1), F.size(stand) - 1))))]
+            return F.struct(*[m.alias(x) for m, x in zip(made, ("at", "expected", "fits", "out"))])
+
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("expected"), F.lit(True).alias("fits"), F.array().cast(path_type).alias("out"))
+        steps = F.sequence(F.lit(0), F.floor(n / (half - longest + 1)).cast("int") + 1)
+        go = F.aggregate(steps, start, lambda s, k: F.when((s["at"] < n) & s["fits"], step(s, k)).otherwise(s))
+        return _let(go, lambda s: F.when(s["fits"] & (s["at"] >= n), F.flatten(s["out"])))
+
+    place = lambda e: F.struct(*[e[x].alias(x) for x in ("s", "e", "rank", "id", "reopens", "raw")])
+    return _let(F.array_sort(F.transform(edges, place)), of_placed)
+
+
+def _pieces_of_whole(edges: Column, n: Column) -> Column:
+    """The pieces, in order, of a word of any length, one best merge at a time; for what windows can't settle."""
+    none = F.array_repeat(F.lit(True), n + 1)
+
+    def within(b: Column, e: Column) -> Column:
+        return F.size(F.filter(F.slice(b, e["s"] + 1, e["e"] - e["s"] + 1), lambda x: x))
+
+    def merges(b: Column, e: Column) -> Column:
+        return F.get(b, e["s"]) & F.get(b, e["e"]) & (within(b, e) == 3)
+
+    def best(b: Column, _: Column) -> Column:
+        first = F.filter(edges, lambda e: (e["e"] > e["s"] + 1) & merges(b, e))
+        return _let(F.get(first, F.lit(0)), lambda e: F.when(e.isNull(), b).otherwise(F.transform(b, lambda x, i: x & ~((i > e["s"]) & (i < e["e"])))))
+
+    left = F.aggregate(F.sequence(F.lit(1), n), none, best)
+    return _let(left, lambda b: F.array_sort(F.transform(F.filter(edges, lambda e: F.get(b, e["s"]) & F.get(b, e["e"]) & (within(b, e) == 2)), _path)))
+
+
+def _best_path(edges: Column, n: Column, longest: int, unknown: float) -> Column:
+    """The pieces, in order, on the path with the highest sum of scores (Viterbi); of equal ones the first by end and place.
+
+    ``edges`` are sorted by end. The state holds the best scores of the last
+    ``longest`` places, and of each place the best piece that ends there.
+    """
+    path_type = "array<struct<s:int,e:int,id:int,raw:string>>"
+    none = F.get(F.array().cast(path_type), F.lit(0))
+    start = [F.array().cast("array<double>"), F.lit(0), F.lit(0.0), none, F.array().cast(path_type)]
+    names = ("recent", "at", "best", "piece", "back")
+
+    def add(s: Column, e: Column) -> Column:
+        new = e["e"] > s["at"]
+        more = F.concat(s["recent"], F.array(s["best"]))
+        recent = F.when(new, F.slice(more, F.greatest(F.size(more) - longest, F.lit(0)) + 1, F.lit(longest))).otherwise(s["recent"])
+        back = F.when(new & (s["at"] > 0), F.concat(s["back"], F.array(s["piece"]))).otherwise(s["back"])
+        return _let(F.struct(recent.alias("recent"), back.alias("back")), lambda r: scored(s, e, new, r))
+
+    def scored(s: Column, e: Column, new: Column, r: Column) -> Column:
+        # ``recent`` ends with the score of the place before e's end.
+        score = F.element_at(r["recent"], e["s"] - e["e"]) + F.coalesce(e["score"], F.lit(unknown))
+        better = new | (score > s["best"])
+        made = [r["recent"], e["e"], F.when(better, score).otherwise(s["best"]), F.when(better, _path(e)).otherwise(s["piece"]), r["back"]]
+        return F.struct(*[m.alias(x) for m, x in zip(made, names)])
+
+    first = F.struct(*[m.alias(x) for m, x in zip(start, names)])
+    back = F.aggregate(edges, first, add, lambda s: F.concat(s["back"], F.array(s["piece"])))
+
+    def walked(back: Column) -> Column:
+        def step(s: Column, _: Column) -> Column:
+            piece = F.get(back, s["at"] - 1)
+            return F.when(s["at"] > 0, F.struct(piece["s"].alias("at"), F.concat(s["out"], F.array(piece)).alias("out"))).otherwise(s)
+
+        end = F.struct(n.alias("at"), F.array().cast(path_type).alias("out"))
+        return F.aggregate(back, end, step, lambda s: F.reverse(s["out"]))
+
+    return _let(back, walked)
+
+
+def folded(edges: DataFrame, model: Model) -> DataFrame:
+    """``edges`` of ``lattice`` with ``ids`` in their place: each word's piece ids.
+
+    A character that is no piece gives its bytes' pieces, or the unknown id if
+    the model has none.
+    """
+    n, e = F.col("size"), F.col("edges")
+    if model.unigram:
+        pieces = _best_path(e, n, model.longest, min(p[4] for p in model.pieces) - UNKNOWN_PENALTY)
+    else:
+        long = F.coalesce(_pieces_of_long(e, n, model.longest), _pieces_of_whole(e, n)) if model.longest <= WINDOW // 2 else _pieces_of_whole(e, n)
+        pieces = F.when(n <= WINDOW, _pieces_of_short(e, n)).otherwise(long)
 
-    def ids(i: Column, k: Column) -> Column:
-        stop = F.coalesce(F.get("starts", k + 1), n + 1)
-        one = F.get("found", (F.array_position("place", i * 64 + (stop - i)) - 1).cast("int"))
-        spelled = F.hex(F.encode(F.col("word").substr(i, F.lit(1)), "UTF-8"))
-        raw = F.transform(F.sequence(F.lit(1), F.length(spelled), F.lit(2)), lambda p: (F.conv(spelled.substr(p, F.lit(2)), 16, 10).cast("int") + first_byte))
-        return F.when(one.isNotNull(), F.array(one)).otherwise(raw)
+    def ids(p: Column) -> Column:
+        if model.first_byte is None:
+            return F.array(F.coalesce(p["id"], F.lit(model.unknown)))
+        raw = F.transform(F.sequence(F.lit(1), F.length(p["raw"]), F.lit(2)), lambda k: F.conv(p["raw"].substr(k, F.lit(2)), 16, 10).cast("int") + model.first_byte)
+        return F.when(p["id"].isNotNull(), F.array(p["id"])).otherwise(raw)
 
-    columns = [c for c in edges.columns if c != "edges"]
-    return done.select(*columns, F.flatten(F.transform("starts", ids)).alias("ids"))
+    return edges.select("n", "hash", F.flatten(F.transform(pieces, ids)).alias("ids"))
 
 
-def dictionary(rows: DataFrame, path: str = MODEL) -> DataFrame:
-    """(word, n, hash, ids) of the distinct words of ``rows`` of ``keyed``; a saved table."""
-    pieces, _, first_byte = _pieces(path)
-    words = distinct_words(rows, path)
-    table = piece_table(rows.sparkSession, path)
-    return saved(folded(lattice(words, table, max(len(p[0]) for p in pieces)), first_byte), "dictionary")
+def dictionary(rows: DataFrame, model: Model) -> DataFrame:
+    """(n, hash, ids) of the distinct words of ``rows`` of ``keyed``; a saved table."""
+    words = distinct_words(rows, model)
+    return saved(folded(lattice(words, piece_table(rows.sparkSession, model), model.longest, model.unigram), model), "dictionary")
 
 
 class Lookup:
@@ -235,9 +405,11 @@ class Lookup:
         self.hashes = hashes[order]
         self.size = sizes[order]
         self.first = (np.cumsum(sizes) - sizes)[order].astype(np.int32)
-        self.ids = pc.list_flatten(got.column("ids")).to_numpy().astype(np.uint16)
+        self.ids = pc.list_flatten(got.column("ids")).to_numpy().astype(np.int32)
+        if len(self.ids) and self.ids.max() < 1 << 16:
+            self.ids = self.ids.astype(np.uint16)
         if len(hashes) and (self.hashes[1:] == self.hashes[:-1]).any():
-            raise ValueError("two words share a hash")  # 64 bits; never seen
+            raise ValueError("two words share a hash of 64 bits")
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The entry of each hash, -1 where there is none."""
@@ -248,13 +420,14 @@ class Lookup:
 
 
 def _head(words: DataFrame, most: int) -> tuple[DataFrame, bool]:
-    """The most frequent words, at most ``most`` of them, and whether those are all."""
-    steps = words.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect()  # 10,000 rows at most
+    """The most frequent words, with ``most`` bytes of pieces in all, and whether those are all words."""
+    size = 16 + 4 * F.size("ids")
+    steps = words.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.sum(size).alias("size")).orderBy(F.desc("n")).collect()  # 10,000 rows at most
     total, least = 0, None
     for r in steps:
-        if total + r["count"] > most:
+        if total + r["size"] > most:
             break
-        total, least = total + r["count"], r["n"]
+        total, least = total + r["size"], r["n"]
     everything = least == (steps[-1]["n"] if steps else None)
     return words.where(F.col("n") >= F.lit(least)) if least is not None else words.limit(0), everything
 
@@ -267,21 +440,23 @@ def _gathered(first: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarra
     return ids[np.arange(total[-1]) - np.repeat(total - size - first, size)]
 
 
-def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = MODEL, head_words: int = HEAD_WORDS) -> DataFrame:
+def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None, head_bytes: int = HEAD_BYTES) -> DataFrame:
     """(doc_id, h, ids) of each row of ``docs``: the piece ids of its whole text.
 
-    The same ids as the model's own encoder. Null and empty texts have none;
-    characters outside the vocabulary become byte pieces; repeated rows are
-    encoded each; an empty table gives an empty result. The pieces of the
-    most frequent ``head_words`` words are broadcast; if there are more
-    words, documents are joined with the pieces of their rare ones.
+    With the model of MODEL (none given) the same ids as its own encoder's.
+    Null and empty texts have none; characters outside the vocabulary become
+    byte pieces; repeated rows are encoded each; an empty table gives an
+    empty result. Of the words' pieces ``head_bytes``, those of the most
+    frequent words, are broadcast; if there are more, documents are joined
+    with the pieces of their rare words.
     """
+    model = model or load()
     rows = keyed(docs, doc_id, text)
-    words = dictionary(rows, path)
-    head, everything = _head(words, head_words)
-    lookup = Lookup(head.select("hash", "ids").toArrow())
+    words = dictionary(rows, model)
+    head, everything = _head(words, head_bytes)
+    lookup = Lookup(head.select("hash", "ids").toArrow())  # ``head_bytes`` at most
     sent = rows.sparkSession.sparkContext.broadcast(lookup)
-    pieces = [p[0] for p in _pieces(path)[0]]
+    pieces = [p[0] for p in model.pieces]
     if not everything:
         rows = joined(rows, saved(_rare(rows, words, sent, pieces), "rare"), "left")
     columns = ["doc_id", "h", "ids"]
@@ -324,32 +499,27 @@ def _rare(rows: DataFrame, words: DataFrame, sent, pieces: list[str]) -> DataFra
                 hashes = word_hashes(points, start, end)
                 some, back = np.unique(hashes, return_inverse=True)
                 out = np.flatnonzero((known.find(some) < 0)[back])
-                _, pick = np.unique(np.stack([owner[out].astype(np.uint64), hashes[out]], 1), axis=0, return_index=True)
-                out = out[pick]
-                whose = pa.array(owner[out])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(whose), part.column("h").take(whose), pa.array(_spelled(points, start[out], end[out]), pa.string())], ["doc_id", "h", "word"])
+                pairs = np.unique(np.stack([owner[out].astype(np.uint64), hashes[out]], 1), axis=0)
+                whose = pa.array(pairs[:, 0].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(whose), part.column("h").take(whose), pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64))], ["doc_id", "h", "hash"])
 
-    held = rows.mapInArrow(of_batches, "doc_id long, h long, word string").distinct()
-    return held.join(words.select("word", "hash", "ids"), "word").groupBy("doc_id", "h").agg(F.collect_list(F.struct("hash", "ids")).alias("rare"))
+    held = rows.mapInArrow(of_batches, "doc_id long, h long, hash long").distinct()
+    return held.join(words.select("hash", "ids"), "hash").groupBy("doc_id", "h").agg(F.collect_list(F.struct("hash", "ids")).alias("rare"))
 
 
-def decode(encoded: DataFrame, ids: str = "ids", path: str = MODEL) -> DataFrame:
-    """``encoded`` with ``decoded``, the text of each row's piece ids.
+def decode(encoded: DataFrame, ids: str = "ids", model: Model | None = None) -> DataFrame:
+    """``encoded`` with ``decoded``, the text of each row's piece ids, which replaces a column of that name.
 
-    Ids are exploded, equality-joined to the piece table and put together by
-    row and place. Null or empty ids give an empty text; ids that are no
-    piece and control pieces give nothing. Rows are told apart by their
-    values; rows that repeat one another stay.
+    Each id is looked up in the piece table, a constant of the vocabulary's
+    size; no row leaves its task. Null or empty ids give an empty text; ids
+    that are no piece, null ones and control pieces give nothing. The space
+    that encoding put in front goes. All other columns and repeated rows stay.
     """
-    spark = encoded.sparkSession
-    normal, byte, first = _pieces(path)
-    spelled = [(i, p.replace(SPACE, " ").encode().hex()) for p, i, _, _ in normal] + [(i, f"{i - first:02x}") for i in byte]
-    table = spark.createDataFrame(spelled, "vq_id int, vq_hex string")
-    columns = [F.col(f"`{c}`") for c in encoded.columns]
-    whole = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    keyed_rows = encoded.withColumn("vq_key", F.sha2(whole, 256))
-    each = keyed_rows.select("vq_key", F.col(ids).alias("vq_ids")).distinct().select("vq_key", F.posexplode("vq_ids").alias("vq_at", "vq_id"))
-    parts = each.join(F.broadcast(table), "vq_id").groupBy("vq_key").agg(F.array_sort(F.collect_list(F.struct("vq_at", "vq_hex"))).alias("vq_parts"))
-    text = F.decode(F.unhex(F.array_join(F.transform("vq_parts", lambda x: x["vq_hex"]), "")), "UTF-8")
-    text = F.regexp_replace(text, "^ ", "")  # the space symbol that encoding put in front
-    return keyed_rows.join(parts.select("vq_key", text.alias("decoded")), "vq_key", "left").drop("vq_key").withColumn("decoded", F.coalesce("decoded", F.lit("")))
+    model = model or load()
+    spelled = {i: p.replace(SPACE, " ").encode().hex() for p, i, _, _, _ in model.pieces}
+    if model.first_byte is not None:
+        spelled |= {model.first_byte + b: f"{b:02x}" for b in range(256)}
+    table = F.split(F.lit(",".join(spelled.get(i, "") for i in range(max(spelled) + 1))), ",")
+    parts = F.transform(ids, lambda i: F.coalesce(F.get(table, i), F.lit("")))
+    text = F.decode(F.unhex(F.array_join(F.coalesce(parts, F.array().cast("array<string>")), "")), "UTF-8")
+    return encoded.withColumn("decoded", F.regexp_replace(text, "^ ", ""))
