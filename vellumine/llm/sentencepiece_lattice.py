@@ -161,7 +161,8 @@ def distinct_words(rows: DataFrame, model: Model) -> DataFrame:
         yield _counts(seen)
 
     counted = rows.select("text").mapInArrow(of_batches, "word string, n long, hash long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.max("hash").alias("hash"))
+    # Dealt out by hash, as the edges are grouped later; tasks have counted already.
+    return counted.repartition("hash").groupBy("hash", "word").agg(F.sum("n").alias("n"))
 
 
 def _counts(seen: dict) -> pa.RecordBatch:
