@@ -360,7 +360,7 @@ def test_decontamination_odd(spark, odd, none):
     assert decontaminate.contamination(odd, items.limit(0)).where("contaminated").count() == 0 and decontaminate.contamination(none, items).count() == 0
 
 
-def brute_lines(texts, t=0.8, least=5):
+def brute_lines(texts, t=0.8, least=1):
     seen, gone = [], defaultdict(set)
     for i in sorted(texts):
         for k, line in enumerate((texts[i] or "").split("\n")):
@@ -397,6 +397,36 @@ def test_lines_short(spark, docs, rows, sf, monkeypatch):
     assert got[2001][0] == 6
 
 
+@pytest.mark.parametrize("frequent,nearest,back", [(2, 8, 4096), (2, 1, 3), (40, 2, 2)])
+def test_lines_hot_words(spark, docs, rows, frequent, nearest, back, monkeypatch):
+    """Most words frequent, so that sets meet by size class and next word; little looked back."""
+    for name, value in (("FREQUENT", frequent), ("NEAREST", nearest), ("BACK", back)):
+        monkeypatch.setattr(line_dedup, name, value)
+    rng = np.random.default_rng(18)
+    near = {}
+    for i in range(150):
+        base = [f"w{x}" for x in range(int(rng.integers(4, 120)))] if i % 2 else [f"v{i % 7}{x}" for x in range(25)]
+        near[1000 + i] = " ".join(w if rng.random() > 0.08 else f"x{int(rng.integers(9))}" for w in base)
+    # Ties: several lines of one document, of which the earliest is not the first in any other order.
+    near[999] = "\n".join(near[1000 + i] for i in range(0, 60, 3))
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(near.items()), "doc_id long, text string").repartition(3))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert got == brute_lines(rows | near)
+
+
+def test_lines_one_word_in_all(spark):
+    """50,000 different lines that share one word end in seconds; each tenth has a match."""
+    import time
+
+    rng = np.random.default_rng(19)
+    lines = ["shared " + " ".join(f"t{x}" for x in rng.integers(0, 200_000, 9)) for _ in range(50_000)]
+    lines = [x if i % 10 or not i else lines[i - 1] + " more" for i, x in enumerate(lines)]
+    df = spark.createDataFrame([(i, "\n".join(lines[i * 500 : i * 500 + 500])) for i in range(100)], "doc_id long, text string")
+    began = time.time()
+    out = sum(r.n for r in line_dedup.dedup_lines(df).select(F.col("vq_lines_out").alias("n")).collect())
+    assert out == sum(len(set(x.split()) & set(y.split())) >= 0.8 * len(set(x.split()) | set(y.split())) for x, y in zip(lines[1:], lines)) and time.time() - began < 120
+
+
 def test_lines_odd(odd, none):
     got = line_dedup.dedup_lines(odd)
     assert got.columns == [*odd.columns, "vq_lines_out"] and got.count() == odd.count()

@@ -9,9 +9,14 @@ two parity bitmaps never exceeds the sets' difference) discard pairs without
 losing any that qualifies. What is left is verified on the words themselves.
 A line goes if an earlier line matches it.
 
+Words of a prefix that are frequent are no keys by themselves: beside a
+frequent word sets meet by size class too and, unless they are large, by the
+next word that they share, which is in the prefix of what follows the first.
+
 One earlier match decides, so large groups of similar lines need not meet
-pair by pair: at a word a set is paired with its nearest predecessors only,
-and just the sets that this leaves undecided are compared with all others.
+pair by pair: at a key a set is paired with its nearest predecessors only,
+its most promising pair is verified before its others, and just the sets that
+this leaves undecided are compared with all others.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm import words as W
-from vellumine.llm.shared import broadcast_if_small, joined, keyed, saved
+from vellumine.llm.shared import broadcast_if_small, joined, keyed, saved, unused
 
 U = W.U
 #: Entries of the frequency table (a power of two); its size does not follow the vocabulary.
@@ -67,35 +72,90 @@ def _sums(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray
     return total[first + size] - total[first]
 
 
+#: Entries of the frequency table that are one row between tasks.
+PART = 1 << 12
+
+
 def _frequencies(rows: DataFrame) -> np.ndarray:
-    """How many words of all line sets fall in each entry of the table; summed by Spark."""
+    """How many words of all line sets fall in each entry of the table; tasks' tables are added up part by part."""
 
     def of_batches(batches):
         table = np.zeros(TABLE, np.int64)
         for batch in batches:
             for part in W.slices(batch, "text"):
                 table += np.bincount((Lines(W.Texts(part.column("text"))).word & U(TABLE - 1)).astype(np.int64), minlength=TABLE)
-        at = np.flatnonzero(table)
-        for a in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 100_000].astype(np.int32)), pa.array(table[at[a : a + 100_000]])], ["entry", "n"])
+        for a in range(0, TABLE, PART):
+            if table[a : a + PART].any():
+                yield pa.RecordBatch.from_arrays([pa.array([a // PART], pa.int32()), pa.array([table[a : a + PART].tobytes()])], ["part", "counts"])
 
-    summed = rows.select("text").mapInArrow(of_batches, "entry int, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    def added(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
+                sums[k] = sums.get(k, 0) + np.frombuffer(counts, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
+
+    parts = rows.select("text").mapInArrow(of_batches, "part int, counts binary").repartition("part").mapInArrow(added, "part int, counts binary")
     table = np.zeros(TABLE, np.int64)
-    got = summed.toArrow()  # TABLE rows at most
-    table[got.column("entry").to_numpy()] = got.column("n").to_numpy()
+    for r in parts.collect():  # TABLE / PART rows at most
+        table[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], np.int64)
     return table
 
 
+#: Lines that hold a word from which on it is frequent, and words of a set up to which the next word is a key too.
+FREQUENT, LARGE = 4096, 64
+
+
+def _keys(token: np.ndarray, frequent: np.ndarray, place: np.ndarray, start: np.ndarray, n: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of sets' prefixes, place in the low 16 bits, and the number of each one's set.
+
+    Tokens are given for all words, by set (``start``, ``n``) and rarity;
+    ``length`` is that of the prefix. A word of a set of size class c meets
+    those of c - 1 to c + 1; classes grow by a quarter.
+    """
+    slot = np.repeat(np.arange(len(n)), n)
+    inside = np.flatnonzero(place < length[slot])
+    rare = inside[~frequent[inside]]
+    owners, keys, places = [slot[rare]], [W.mix(token[rare])], [place[rare]]
+    often = inside[frequent[inside]]
+    if len(often):
+        size = np.floor(np.log(np.maximum(n, 1)) / np.log(1.25) + 1e-9).astype(np.int64)
+        largest = int(np.floor(np.log(LARGE) / np.log(1.25)))
+        for more in (0, 1):
+            cell = size[slot[often]] + more
+            base = W.mix(token[often] * U(0x9E3779B97F4A7C15) + cell.astype(np.uint64) + U(1))
+            whole = cell > largest
+            owners.append(slot[often][whole])
+            keys.append(base[whole])
+            places.append(place[often][whole])
+            at, head = often[~whole], base[~whole]
+            # The next shared word stands at one of the places up to the prefix's length.
+            last = np.minimum(length[slot[at]], n[slot[at]] - 1)
+            follow = np.maximum(last - place[at], 0)
+            which = np.repeat(np.arange(len(at)), follow)
+            step = np.arange(len(which)) - np.repeat(np.cumsum(follow) - follow, follow) + 1
+            owners.append(slot[at][which])
+            keys.append(W.mix(head[which] + token[at[which] + step] * U(0xC2B2AE3D27D4EB4F)))
+            places.append(place[at][which])
+    owner, key, at = (np.concatenate(x) for x in (owners, keys, places))
+    order = np.argsort(owner, kind="stable")
+    packed = (key & ~U(0xFFFF)) | np.minimum(at, 0xFFFF).astype(np.uint64)
+    return packed[order], owner[order]
+
+
 def _sets(rows: DataFrame, threshold: float, least: int) -> DataFrame:
-    """(doc_id, h, line, class, n, bits, prefix) of each line of at least ``least`` different words.
+    """(doc_id, h, line, class, set) of each line of at least ``least`` different words.
 
-    ``bits`` and ``prefix`` stand with a task's first line of a class only.
+    ``set`` (n, bits0, bits1, keys) stands with a task's first line of a class only.
     """
-    table = np.minimum(np.log2(1.0 + _frequencies(rows)) * 100, 4095).astype(np.uint64)
-    sent = rows.sparkSession.sparkContext.broadcast(table)
+    table = _frequencies(rows)
+    rank = np.minimum(np.log2(1.0 + table) * 100, 4095).astype(np.uint16)
+    sent = rows.sparkSession.sparkContext.broadcast((rank, np.packbits(table > FREQUENT)))
+    set_type = pa.struct([("n", pa.int32()), ("bits0", pa.int64()), ("bits1", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def of_batches(batches):
-        rank, seen = sent.value, np.zeros(0, np.uint64)  # rarity by table entry; classes this task has shown
+        rank, often = sent.value  # rarity by table entry; whether it is frequent
+        often, seen = np.unpackbits(often).astype(bool), np.zeros(0, np.uint64)  # seen: classes this task has shown
         for batch in batches:
             for part in W.slices(batch, "text"):
                 lines = Lines(W.Texts(part.column("text")))
@@ -111,149 +171,135 @@ def _sets(rows: DataFrame, threshold: float, least: int) -> DataFrame:
                 mine = full[lines.line]
                 # Rare words first: a token is a word's rarity before 32 bits of its own.
                 word = lines.word[mine]
-                rarity = rank[(word & U(TABLE - 1)).astype(np.int64)]
-                line, token = _sorted(lines.line[mine], (rarity << U(32)) | (W.mix(word) & U(0xFFFFFFFF)), len(code))
+                rarity = rank[(word & U(TABLE - 1)).astype(np.int64)].astype(np.uint64)
+                frequent = often[(word & U(TABLE - 1)).astype(np.int64)].astype(np.uint64)
+                line, token = _sorted(lines.line[mine], (rarity << U(32)) | (frequent << U(31)) | (W.mix(word) & U(0x7FFFFFFF)), len(code))
                 n = lines.size[fresh]
                 first = np.cumsum(n) - n
-                slot = np.repeat(np.arange(len(fresh)), n)
-                bits = np.bincount(slot * 128 + (token & U(127)).astype(np.int64), minlength=len(fresh) * 128) & 1
-                packed = np.packbits(bits.astype(np.uint8).reshape(-1, 128), axis=1).view(np.int64)
                 length = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
                 length[n < threshold * (n + 1) - 1e-9] = 0  # one more word is too many: only equal sets match
-                inside = np.arange(len(token)) - first[slot] < length[slot]
-                tokens = token[inside].astype(np.uint32).view(np.int32)
-                lengths = np.zeros(len(code), np.int64)
-                lengths[fresh] = length
-                offsets = np.concatenate([[0], np.cumsum(lengths[wide])]).astype(np.int32)
-                both = np.zeros((len(code), 2), np.int64)
-                both[fresh] = packed
+                own, place = token & U(0x7FFFFFFF), np.arange(len(token)) - np.repeat(first, n)
+                keys, owner = _keys(own, (token >> U(31)) & U(1) == 1, place, first, n, length)
+                low = own & U(64) == 0
+                bit = U(1) << (own & U(63))
+                bits = [np.bitwise_xor.reduceat(np.where(x, bit, U(0)), first) if len(first) else bit for x in (low, ~low)]
+                offsets = np.concatenate([[0], np.cumsum(W.counts(owner, len(fresh)))]).astype(np.int32)
+                made = [pa.array(n.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in bits], pa.ListArray.from_arrays(offsets, keys.view(np.int64))]
+                shown = pa.StructArray.from_arrays(made, fields=list(set_type))
+                at = np.full(len(code), -1)
+                at[fresh] = np.arange(len(fresh))
+                at = at[wide]
                 owner = pa.array(lines.owner[wide])
-                empty = pa.array(~full[wide])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id").take(owner), part.column("h").take(owner), pa.array(lines.number[wide].astype(np.int32)),
-                        pa.array(code[wide].view(np.int64)), pa.array(lines.size[wide].astype(np.int32)),
-                        pa.array(both[wide, 0]), pa.array(both[wide, 1]), pa.ListArray.from_arrays(offsets, tokens), empty,
-                    ],
-                    ["doc_id", "h", "line", "class", "n", "bits0", "bits1", "prefix", "again"],
-                )
+                columns = [part.column("doc_id").take(owner), part.column("h").take(owner), pa.array(lines.number[wide].astype(np.int32)), pa.array(code[wide].view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*columns, shown.take(pa.array(at, mask=at < 0))], ["doc_id", "h", "line", "class", "set"])
 
-    return rows.mapInArrow(of_batches, "doc_id long, h long, line int, class long, n int, bits0 long, bits1 long, prefix array<int>, again boolean")
+    return rows.mapInArrow(of_batches, "doc_id long, h long, line int, class long, set struct<n:int,bits0:bigint,bits1:bigint,keys:array<bigint>>")
 
 
-#: Earlier classes that a class is paired with at a word; what goes beyond is settled by ``_rest``.
-NEAREST = 4
-
+def _place() -> Column:
+    """A line's place in the order of all lines; rows without an id come last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "line")
 
-def _filters(n: list, place: list, apart, threshold: float):
-    """Whether two sets may be similar enough: length, position and bitmap filter.
 
-    Sets of n and m words may differ by (n + m)(1 - t) / (1 + t) words. Of the
-    words before a shared one only those before it in the other set can be
-    shared too, so the sets differ by the difference of its places at least.
-    Works on columns and on arrays.
-    """
-    most = (n[0] + n[1]) * ((1 - threshold) / (1 + threshold)) + 1e-9
-    return (abs(n[0] - n[1]) <= most) & (abs(place[0] - place[1]) <= most) & (apart <= most)
+def _classes(sets: DataFrame) -> DataFrame:
+    """(class, first, copies, n, bits0, bits1, keys): each class with the place of its first line."""
+    # Of a class the tasks' sets are alike, and null is less than any.
+    return sets.groupBy("class").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"), F.max("set").alias("set")).select("class", "first", "copies", "set.*")
 
 
-def _tokens(sets: DataFrame, *more: str) -> DataFrame:
-    """(token, class, n, place, bits0, bits1, ...) of the prefixes of ``sets``."""
-    return sets.where("NOT again").select("class", "n", "bits0", "bits1", *more, F.posexplode("prefix").alias("place", "token"))
+#: Earlier sets that a set is paired with at a key, and how far back it looks; what goes beyond is settled by ``_rest``.
+NEAREST, BACK = 8, 4096
 
 
-def _met_at(group: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a, b) of classes that share a token and pass the filters, and classes with pairs left out.
+def _met(key, order, code, size, bits0, bits1, old: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b, apart) of sets at a key that pass the filters, b before a, and sets with pairs left out.
 
-    ``group`` has columns token, order, class, n, place, bits0, bits1, sorted
-    by token and order. A class is paired with the NEAREST classes before it;
-    both ends of a further pair are named as left out.
+    Entries are sorted by key and order; the first ``old`` are not paired
+    again. Of sets that share their order either may be the earlier one.
     """
-    token, order, code, n, place = group[:5]
-    bits0, bits1 = (x.view(np.uint64) for x in group[5:])  # bitwise_count counts the bits of a signed number's size
-    by_class = np.lexsort((order, code, token))
-    same = np.zeros(len(token), bool)
-    same[by_class[1:]] = (token[by_class[1:]] == token[by_class[:-1]]) & (code[by_class[1:]] == code[by_class[:-1]])
-    token, code, n, place, bits0, bits1 = (x[~same] for x in (token, code, n, place, bits0, bits1))
-    taken, cut = np.zeros(len(token), np.int64), np.zeros(len(token), bool)
-    left, right, step, later = [], [], 1, np.arange(1, len(token))
-    while len(later := later[(later >= step)]) and len(later := later[token[later] == token[later - step]]):
+    n, place = size >> 16, size & 0xFFFF
+    taken, cut = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    out, step, later = [], 1, np.arange(max(old, 1), len(key))
+    while len(later := later[later >= step]) and len(later := later[key[later] == key[later - step]]):
+        if step > BACK:
+            cut[later] = True
+            break
         before = later - step
         apart = np.bitwise_count(bits0[later] ^ bits0[before]).astype(np.int64) + np.bitwise_count(bits1[later] ^ bits1[before])
-        met = _filters([n[later], n[before]], [place[later], place[before]], apart, threshold)
+        most = (n[later] + n[before]) * ((1 - threshold) / (1 + threshold)) + 1e-9
+        met = (abs(n[later] - n[before]) <= most) & (abs(place[later] - place[before]) <= most) & (apart <= most) & (code[later] != code[before])
         x, y = later[met], before[met]
-        fits = taken[x] < NEAREST
-        left.append(code[x[fits]])
-        right.append(code[y[fits]])
-        taken[x[fits]] += 1
-        cut[x[~fits]] = cut[y[~fits]] = True
+        out.append(np.stack([code[x], code[y], apart[met]], 1))
+        same = order[x] == order[y]
+        out.append(np.stack([code[y[same]], code[x[same]], apart[met][same]], 1))
+        taken[x] += 1
+        ended = taken[later] >= NEAREST
+        cut[later[ended]] = True
+        later = later[~ended]
         step += 1
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right]), np.unique(code[cut])
+    run = np.cumsum((np.diff(key, prepend=key[:1] - 1) != 0) | (np.diff(order, prepend=order[:1] - 1) != 0)) if len(key) else key
+    ties = np.isin(run, run[cut])  # those of the same order may lack a pair as well
+    return np.concatenate([np.zeros((0, 3), np.int64), *out]), np.unique(code[ties])
+
 
+def _entries(classes: DataFrame, *more: str) -> DataFrame:
+    """(key, order, class, size, bits0, bits1, ...): the classes at their keys; size holds n and the place."""
+    order = F.coalesce("first.doc_id", F.lit((1 << 63) - 1)).alias("order")
+    each = classes.select("class", order, "n", "bits0", "bits1", *more, F.explode("keys").alias("k"))
+    size = F.shiftleft(F.col("n").cast("long"), 16).bitwiseOR(F.col("k").bitwiseAND(0xFFFF)).alias("size")
+    return each.select(F.shiftright("k", 16).alias("key"), "order", "class", size, "bits0", "bits1", *more)
 
-def _candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of classes to compare; with b null, a class of which a pair was left out."""
-    order = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("order")
-    names = ["token", "order", "class", "n", "place", "bits0", "bits1"]
-    side = _tokens(sets, "doc_id").select("token", order, *names[2:]).repartition("token").sortWithinPartitions("token", "order", "class")
+
+def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, apart) of classes to compare, b the earlier; with b null, a class of which pairs were left out."""
+    names = ["key", "order", "class", "size", "bits0", "bits1"]
+    side = _entries(classes).repartition("key").sortWithinPartitions("key", "order")
 
     def of_batches(batches):
-        held = None
+        held = [np.zeros(0, np.int64)] * len(names)
         for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-            now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            whole = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last token may go on
-            held = [x[whole:] for x in now]
-            if whole:
-                yield _pair_rows(_met_at([x[:whole] for x in now], threshold))
-        if held is not None:
-            yield _pair_rows(_met_at(held, threshold))
-
-    return side.mapInArrow(of_batches, "a long, b long").distinct()
-
-
-def _pair_rows(made: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    left, right, cut = made
-    a, b = np.minimum(left, right), np.maximum(left, right)
-    pairs = np.unique(np.stack([a, b], 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], cut])), pa.array(np.concatenate([pairs[:, 1], cut]), mask=np.arange(len(pairs) + len(cut)) >= len(pairs))], ["a", "b"])
-
-
-def _rest(sets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): every pair that the filters leave for the given classes (a saved table)."""
-    chosen = sets.join(broadcast_if_small(classes), "class")
-    left = saved(_tokens(chosen, "prefix").dropDuplicates(["token", "class"]), "rest")
-    right = _tokens(sets, "prefix")
-    left, right = (x.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "place", "bits0", "bits1", "prefix")]) for x, s in ((left, "a"), (right, "b")))
+            now = [np.concatenate([a, batch.column(c).to_numpy(zero_copy_only=False)]) for a, c in zip(held, names)]
+            old = len(held[0])
+            pairs, cut = _met(*now[:4], *(x.view(np.uint64) for x in now[4:]), old, threshold)
+            none = np.arange(len(pairs) + len(cut)) >= len(pairs)
+            columns = [np.concatenate([pairs[:, 0], cut]), np.concatenate([pairs[:, 1], cut]), np.concatenate([pairs[:, 2], cut * 0])]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), *(pa.array(c, mask=none) for c in columns[1:])], ["a", "b", "apart"])
+            # The last key may go on; what a later entry looks back to is kept.
+            same = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+            held = [x[max(same, len(x) - BACK - 1) :] for x in now]
+
+    return side.mapInArrow(of_batches, "a long, b long, apart long").distinct()
+
+
+def _rest(classes: DataFrame, open_: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): every pair that the filters leave for the classes of ``open_`` (a saved table)."""
+    left = saved(_entries(classes.join(broadcast_if_small(open_), "class")), "rest")
+    left, right = (x.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "size", "bits0", "bits1")]) for x, s in ((left, "a"), (_entries(classes), "b")))
     apart = F.bit_count(F.col("bits0_a").bitwiseXOR(F.col("bits0_b"))) + F.bit_count(F.col("bits1_a").bitwiseXOR(F.col("bits1_b")))
-    n, place = [F.col("n_a"), F.col("n_b")], [F.col("place_a"), F.col("place_b")]
+    n, place = ([f(F.col(f"size_{s}")) for s in "ab"] for f in (lambda x: F.shiftright(x, 16), lambda x: x.bitwiseAND(0xFFFF)))
     most = (n[0] + n[1]) * ((1 - threshold) / (1 + threshold)) + 1e-9
     near = (F.abs(n[0] - n[1]) <= most) & (F.abs(place[0] - place[1]) <= most) & (apart <= most)
-    first_shared = F.get(F.array_intersect("prefix_a", "prefix_b"), F.lit(0)) == F.col("token")
-    met = right.join(broadcast_if_small(left), "token").where((F.col("class_a") != F.col("class_b")) & near & first_shared)
-    return met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
+    met = right.join(broadcast_if_small(left), "key").where((F.col("class_a") != F.col("class_b")) & near)
+    return met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """The pairs of classes whose words are similar enough."""
-    classes = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    where = firsts.join(classes, "class").groupBy("first.doc_id", "first.h").agg(F.collect_list(F.struct("first.line", "class")).alias("wanted"))
+def _word_sets(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(class, words): the words, as 64-bit hashes, of each class of ``pairs``, read from its first line; a saved table."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    where = classes.select("class", "first").join(wanted, "class").groupBy("first.doc_id", "first.h").agg(F.collect_list(F.struct("first.line", "class")).alias("wanted"))
     where = saved(where.withColumnsRenamed({"doc_id": "vq_id", "h": "vq_h"}), "wanted")
     found = rows.join(broadcast_if_small(where), rows["doc_id"].eqNullSafe(where["vq_id"]) & (rows["h"] == where["vq_h"]))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     lines = found.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    words = F.array_distinct(F.filter(F.split(F.translate(F.element_at("lines", F.col("w.line") + 1), upper, lower), "[\\x20\\x09-\\x0D]+"), lambda x: x != ""))
-    sets = lines.select(F.col("w.class").alias("class"), words.alias("words")).dropDuplicates(["class"])
-    sets = saved(sets, "sets")
-    both = pairs.join(sets.withColumnsRenamed({"class": "a", "words": "wa"}), "a").join(sets.withColumnsRenamed({"class": "b", "words": "wb"}), "b")
-    shared = F.size(F.array_intersect("wa", "wb"))
-    return both.where(shared >= threshold * (F.size("wa") + F.size("wb") - shared) - 1e-9).select("a", "b")
+    words = F.filter(F.split(F.translate(F.element_at("lines", F.col("w.line") + 1), upper, lower), "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
+    return saved(lines.select(F.col("w.class").alias("class"), F.array_distinct(F.transform(words, lambda x: F.xxhash64(x))).alias("words")).dropDuplicates(["class"]), "sets")
 
 
-def _place() -> Column:
-    """A line's place in the order of all lines; rows without an id come last."""
-    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "line")
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of classes whose words are similar enough."""
+    both = pairs.select("a", "b").join(sets.withColumnsRenamed({"class": "a", "words": "wa"}), "a").join(sets.withColumnsRenamed({"class": "b", "words": "wb"}), "b")
+    shared = F.size(F.array_intersect("wa", "wb"))
+    return both.where(shared >= threshold * (F.size("wa") + F.size("wb") - shared) - 1e-9).select("a", "b")
 
 
 def _earlier(links: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -263,25 +309,30 @@ def _earlier(links: DataFrame, firsts: DataFrame) -> DataFrame:
     return ends.where("near < first").groupBy(F.col("a").alias("class")).agg(F.min("near").alias("near"))
 
 
-def later_lines(rows: DataFrame, threshold: float = 0.8, least: int = 5) -> DataFrame:
+def later_lines(rows: DataFrame, threshold: float = 0.8, least: int = 1) -> DataFrame:
     """(doc_id, h, lines): the numbers of the lines that go, for each row of ``keyed`` that loses any."""
     sets = saved(_sets(rows, threshold, least), "lines")
-    firsts = saved(sets.groupBy("class").agg(F.min(_place()).alias("first"), F.count("*").alias("copies")), "classes")
-    found = saved(_candidates(sets, threshold), "candidates")
-    links = saved(_verified(found.where("b IS NOT NULL"), firsts, rows, threshold), "matches")
-    # A class is settled by an earlier match. One that has none, but pairs that were left out, meets all of them.
-    open_ = found.where("b IS NULL").select(F.col("a").alias("class")).join(_earlier(links, firsts), "class", "left_anti")
-    open_ = saved(open_, "open")
+    classes = saved(_classes(sets), "classes")
+    found = saved(_candidates(classes, threshold), "candidates")
+    pairs = found.where("b IS NOT NULL")
+    words = _word_sets(pairs, classes, rows)
+    # A class is settled by an earlier match: the most alike by bitmap is tried first, then its others.
+    best = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x")).select("a", "x.b")
+    links = saved(_verified(best, words, threshold), "matches")
+    others = pairs.join(_earlier(links, classes).select(F.col("class").alias("a")), "a", "left_anti")
+    links = links.unionByName(saved(_verified(others, words, threshold), "more-matches"))
+    # One that has none, but pairs that were left out, meets all of them.
+    open_ = saved(found.where("b IS NULL").select(F.col("a").alias("class")).join(_earlier(links, classes), "class", "left_anti"), "open")
     if not open_.isEmpty():
-        links = links.unionByName(saved(_verified(_rest(sets, open_, threshold), firsts, rows, threshold), "rest-matches"))
-    earlier = _earlier(links, firsts)
-    bound = firsts.join(earlier, "class", "left").where((F.col("copies") > 1) | F.col("near").isNotNull())
+        rest = saved(_rest(classes, open_, threshold), "rest-pairs")
+        links = links.unionByName(saved(_verified(rest, _word_sets(rest, classes, rows), threshold), "rest-matches"))
+    bound = classes.join(_earlier(links, classes), "class", "left").where((F.col("copies") > 1) | F.col("near").isNotNull())
     bound = saved(bound.select("class", F.least("first", F.coalesce("near", "first")).alias("bound")), "bounds")
     later = sets.select("doc_id", "h", "line", "class").join(broadcast_if_small(bound), "class").where(_place() > F.col("bound"))
     return later.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, least: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, least: int = 1) -> DataFrame:
     """``docs`` with matched later lines taken out of ``text``, and ``vq_lines_out``, how many those are.
 
     Lines are compared as sets of words and ordered by doc_id, text hash and
@@ -290,12 +341,12 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     fewer than ``least`` different words always stay. Rows that share id and
     text are one row here: none is later than the other, and they stay
     alike. Null text stays null; a document that loses every line keeps its
-    row with an empty text. All other columns stay. An empty table stays
-    empty.
+    row with an empty text. All other columns stay, but one named
+    ``vq_lines_out`` is replaced. An empty table stays empty.
     """
-    gone = saved(later_lines(keyed(docs, doc_id, text), threshold, least), "later")
-    verdicts = gone.withColumnRenamed("lines", "vq_gone")
-    marked = joined(docs, broadcast_if_small(verdicts), "left", doc_id, text)
-    out = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("vq_gone", i)), "\n")
-    kept = F.when(F.col("vq_gone").isNull(), F.col(text)).otherwise(out)
-    return marked.withColumn(text, kept).withColumn("vq_lines_out", F.coalesce(F.size("vq_gone"), F.lit(0)).cast("long")).drop("vq_gone")
+    lost = unused(docs, "vq_gone")
+    gone = saved(later_lines(keyed(docs, doc_id, text), threshold, least), "later").withColumnRenamed("lines", lost)
+    marked = joined(docs, broadcast_if_small(gone), "left", doc_id, text)
+    out = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(lost, i)), "\n")
+    kept = F.when(F.col(lost).isNull(), F.col(text)).otherwise(out)
+    return marked.withColumn(text, kept).withColumn("vq_lines_out", F.coalesce(F.size(lost), F.lit(0)).cast("long")).drop(lost)

@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.shared import BROADCAST_ROWS, keyed, saved
+from vellumine.llm.shared import BROADCAST_BYTES, keyed, saved, table_bytes
 
 _KEY = "[A-Za-z0-9+/_-]"
 #: Twelve key characters or more, with a digit among them or sixteen capitals and digits in front.
@@ -64,7 +64,7 @@ def _coverage(found: DataFrame, rows: DataFrame) -> DataFrame:
     wanted = saved(runs.select("word").distinct(), "wanted")
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     words = rows.select(F.explode(words).alias("word"))
-    if wanted.count() <= BROADCAST_ROWS:
+    if table_bytes(wanted) <= BROADCAST_BYTES:
         counts = words.join(F.broadcast(wanted), "word").groupBy("word").count()
     else:  # count the vocabulary first: the shuffle then has a row for each word and task
         counts = words.groupBy("word").count().join(wanted, "word")

@@ -5,21 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder is
-    made and set, so that one session keeps one folder.
+    Only on a local master that names none (tests, a laptop) a temporary
+    folder is made and set, so that one session keeps one folder; on a cluster
+    that would be no shared folder, and an error is raised.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="vellumine-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -42,13 +45,39 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Rows up to which ``broadcast_if_small`` broadcasts a table of narrow rows.
-BROADCAST_ROWS = 200_000
+#: Bytes of a table, by ``table_bytes``, up to which ``broadcast_if_small`` broadcasts it.
+BROADCAST_BYTES = 24 << 20
+
+
+def _width(c: Column, kind: DataType) -> Column:
+    """The bytes of a value, list elements and text included."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, StructType):
+        return sum((_width(c[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    if isinstance(kind, ArrayType):
+        each = F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + _width(x, kind.elementType))
+        return F.coalesce(each, F.lit(0)) + 16
+    return F.lit(8)
+
+
+def table_bytes(df: DataFrame) -> int:
+    """The bytes of a saved table's rows, lists and texts in them counted in full."""
+    size = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(8))
+    return df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """``df``, a saved table of narrow rows, marked for broadcast if it has few; else Spark shuffles it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df``, a saved table, marked for broadcast if its bytes are few; else Spark shuffles it."""
+    return F.broadcast(df) if table_bytes(df) <= BROADCAST_BYTES else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -93,6 +122,7 @@ def joined(docs: DataFrame, verdicts: DataFrame, how: str, doc_id: str = "doc_id
     All columns of ``docs`` stay under their own names, whatever those are;
     the other columns of ``verdicts`` follow, named as there.
     """
-    v = verdicts.withColumnsRenamed({"doc_id": "vq_id", "h": "vq_h"})
-    on = docs[doc_id].cast("long").eqNullSafe(v["vq_id"]) & (F.xxhash64(docs[text].cast("string")) == v["vq_h"])
-    return docs.join(v, on, how) if how in ("left_semi", "left_anti") else docs.join(v, on, how).drop(v["vq_id"], v["vq_h"])
+    i, h = unused(docs, "vq_id"), unused(docs, "vq_h")
+    v = verdicts.withColumnsRenamed({"doc_id": i, "h": h})
+    on = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col(h))
+    return docs.join(v, on, how) if how in ("left_semi", "left_anti") else docs.join(v, on, how).drop(i, h)
