@@ -38,7 +38,7 @@ HEAD_BYTES = 96_000_000
 UNKNOWN_PENALTY = 10.0
 
 #: Bytes of text and distinct words that a task works on at a time; they bound its memory.
-SLICE_BYTES, TASK_WORDS = 500_000, 100_000
+SLICE_BYTES, TASK_WORDS = 500_000, 600_000
 
 U = W.U
 
@@ -132,9 +132,12 @@ def word_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return W.mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * _FACTORS[0])
 
 
-def _spelled(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
-    text = points.tobytes().decode("utf-32-le")
-    return [text[a:b] for a, b in zip(start.tolist(), end.tolist())]
+def _spelled(points: np.ndarray, start: np.ndarray) -> pa.Array:
+    """The spans of code points that begin at ``start`` and end where the next begins, the last at the end, as strings."""
+    size = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    offsets = np.concatenate([[0], np.cumsum(size, dtype=np.int32)]).astype(np.int32)
+    text = points.tobytes().decode("utf-32-le").encode()
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(np.append(offsets[start], offsets[-1]).tobytes()), pa.py_buffer(text))
 
 
 def distinct_words(rows: DataFrame, model: Model) -> DataFrame:
@@ -142,32 +145,44 @@ def distinct_words(rows: DataFrame, model: Model) -> DataFrame:
     pieces = [p[0] for p in model.pieces]
 
     def of_batches(batches):
-        cutter, seen = Cutter(pieces), {}
+        cutter, held = Cutter(pieces), []
         for batch in batches:
             for part in W.slices(batch, "text", SLICE_BYTES):
                 points, start, end, _ = cutter.words(W.Texts(part.column("text")))
+                if not len(start):
+                    continue
                 hashes, first, n = np.unique(word_hashes(points, start, end), return_index=True, return_counts=True)
-                hashes, n = hashes.tolist(), n.tolist()
-                new = [k for k, h in enumerate(hashes) if h not in seen]
-                spelled = dict(zip(new, _spelled(points, start[first[new]], end[first[new]])))
-                for k, h in enumerate(hashes):
-                    if k in spelled:
-                        seen[h] = [spelled[k], n[k], h]
-                    else:
-                        seen[h][1] += n[k]
-                if len(seen) > TASK_WORDS:  # Spark adds the parts up
-                    yield _counts(seen)
-                    seen = {}
-        yield _counts(seen)
+                held.append((hashes, n, _spans(points, start[first], end[first])))
+                if sum(len(h[0]) for h in held) > TASK_WORDS:
+                    held = [_summed(held)]
+                    if len(held[0][0]) > TASK_WORDS // 2:  # Spark adds the parts up
+                        yield _counts(held)
+                        held = []
+        yield _counts(held)
 
     counted = rows.select("text").mapInArrow(of_batches, "word string, n long, hash long")
     # Dealt out by hash, as the edges are grouped later; tasks have counted already.
     return counted.repartition("hash").groupBy("hash", "word").agg(F.sum("n").alias("n"))
 
 
-def _counts(seen: dict) -> pa.RecordBatch:
-    words, n, hashes = zip(*seen.values()) if seen else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64))], ["word", "n", "hash"])
+def _spans(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Spans of code points, in any order, as strings."""
+    order = np.argsort(start)
+    edges = np.stack([start[order], end[order]], 1).ravel()  # spans and the gaps between them
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order)) * 2
+    return _spelled(points, edges).take(pa.array(back))
+
+
+def _summed(held: list) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    hashes, n = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+    hashes, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    return hashes, np.bincount(back, weights=n).astype(np.int64), pa.concat_arrays([h[2] for h in held]).take(pa.array(first))
+
+
+def _counts(held: list) -> pa.RecordBatch:
+    hashes, n, words = _summed(held) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64), pa.array([], pa.string()))
+    return pa.RecordBatch.from_arrays([words, pa.array(n), pa.array(hashes.view(np.int64))], ["word", "n", "hash"])
 
 
 #: Characters whose boundaries are the bits of one long.
@@ -521,6 +536,5 @@ def decode(encoded: DataFrame, ids: str = "ids", model: Model | None = None) ->
     if model.first_byte is not None:
         spelled |= {model.first_byte + b: f"{b:02x}" for b in range(256)}
     table = F.split(F.lit(",".join(spelled.get(i, "") for i in range(max(spelled) + 1))), ",")
-    parts = F.transform(ids, lambda i: F.coalesce(F.get(table, i), F.lit("")))
-    text = F.decode(F.unhex(F.array_join(F.coalesce(parts, F.array().cast("array<string>")), "")), "UTF-8")
-    return encoded.withColumn("decoded", F.regexp_replace(text, "^ ", ""))
+    text = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")), "UTF-8")  # nulls are left out
+    return encoded.withColumn("decoded", F.coalesce(F.regexp_replace(text, "^ ", ""), F.lit("")))
