@@ -14,7 +14,7 @@ from vellumine.llm.shared import read
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents"))
     start, end = F.col("a").cast("long").alias("start"), F.col("b").cast("long").alias("end")
-    return found.select("doc_id", start, end, F.sha2("value", 256).alias("value_sha256"), F.col("label").cast("int").alias("label"), "probability", "is_secret")
+    return found.select("doc_id", start, end, F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

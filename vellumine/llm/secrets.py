@@ -1,10 +1,13 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long runs of key characters. Their features are length,
-transitions between kinds of characters, how much of them the corpus's own
-words cover, how path-like they are, and the words before them. A random
-forest trained on labelled findings tells secrets from look-alikes. All of it
-is DataFrame operations and Spark's own forest.
+Candidates are cast wide: private key blocks, values that are assigned to any
+name, long runs of key characters. A random forest tells secrets from
+look-alikes by length, transitions between kinds of characters, how much of a
+candidate the corpus's own words cover, how path-like it is and the words
+around it, hashed. It is trained on labelled findings: spans in texts of
+their own that are known to be secrets or not. Without any of the caller's,
+``planted`` makes some; their labels come from what was planted, not from
+the features. All of it is DataFrame operations and Spark's own forest.
 """
 
 from __future__ import annotations
@@ -12,31 +15,112 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.llm.shared import BROADCAST_BYTES, keyed, saved, table_bytes
 
 _KEY = "[A-Za-z0-9+/_-]"
-#: Twelve key characters or more, with a digit among them or sixteen capitals and digits in front.
-CANDIDATE = rf"(?<!{_KEY})(?:(?=[A-Za-z+/_-]*[0-9])|(?=[A-Z0-9]{{16}})){_KEY}{{12,}}+"
-#: Code points before a candidate that count as its neighbourhood.
-BEFORE = 40
-#: Words that name a secret, and words that name other long values; fixed lists.
-NAMED = r"(?i)(?:^|[^a-z])(?:api|auth|access|bearer|credential|key|passwd|password|private|pwd|secret|token)[a-z_-]*"
-OTHER = r"(?i)(?:^|[^a-z])(?:checksum|commit|digest|hash|id|isbn|md5|sha1|sha256|uuid|version)[a-z_-]*"
-#: A value that is given to such a name, right before it.
-GIVEN = NAMED + r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?$"
-#: Shapes that are keys wherever they stand; fixed public formats.
-FORMATS = r"^(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{24,})$"
+#: A private key block; what is assigned to a name, six characters or more; a run of key characters,
+#: twelve or more with a digit among them or twenty of any.
+CANDIDATE = (
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
+    r"|(?<=[A-Za-z0-9_][\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?<![^\s:=\"'])[^\s\"',;<>(){}=]{6,}+"
+    rf"|(?<!{_KEY})(?:(?=[A-Za-z+/_-]*[0-9]){_KEY}{{12,}}+|{_KEY}{{20,}}+)"
+)
+#: Code points before and after a candidate whose words are its neighbours, how many words of
+#: either side count, and the hash buckets that a side's words fall in.
+NEAR, NEIGHBOURS, BUCKETS = 80, 2, 24
 #: Documents that have to hold a run of letters for it to be a dictionary word.
 DICTIONARY_DOCS = 3
 FEATURES = (
-    "length", "digits", "capitals", "small", "marks", "digit_letter", "letter_digit", "case_changes", "vowel_turns",
-    "repeats", "hex", "coverage", "slashes", "in_path", "named", "given", "other_name", "quoted", "after_space",
+    "length", "digits", "capitals", "small", "marks", "other", "digit_letter", "letter_digit", "case_changes", "vowel_turns", "repeats",
+    "hex", "groups", "coverage", "slashes", "dots", "in_path", "extension", "assigned", "quoted", "after_space", "block",
+    *(f"before_{k}" for k in range(BUCKETS)), *(f"after_{k}" for k in range(BUCKETS)),
 )
 #: Labelled findings that a forest is trained on at most; beyond it a hash sample of about so many.
 TRAIN_ROWS = 100_000
+#: Labelled findings that ``planted`` makes where the caller has none.
+PLANTED_ROWS = 6_000
+
+
+#: Words that stand around planted findings.
+_FILLER = "the we this then server config file value please note that our build when deploy user page read old new with from into after before line test system data list for and is run open check".split()
+#: Planted findings: label, how the value is made, what stands before it and after it.
+_PLANTS = (
+    (1, "hex40", ("token = \"", "auth_token: ", "access token = \"", "api token: "), ("\"", " ", "\n")),
+    (1, "hex64", ("secret = \"", "client_secret: ", "signing secret = '", "private key = "), ("\"", "'", "\n")),
+    (1, "base64", ("api_key = \"", "secret_key: ", "apikey=", "encryption key: "), ("\"", " ", "\n")),
+    (1, "aws", ("aws_access_key_id = ", "key ", "access key ", "credential "), (" ", "\n", ".")),
+    (1, "github", ("token ", "git clone with ", "export TOKEN=", "bearer "), (" ", "\n", ".")),
+    (1, "password", ("password = ", "passwd: ", "PWD=", "db password: \"", "login secret = '"), ("\n", " ", "\"", "'")),
+    (1, "jwt", ("Authorization: Bearer ", "bearer ", "session token = \"", "jwt: "), ("\n", " ", "\"")),
+    (1, "pem", ("", "\n", "key file:\n"), ("\n", " ")),
+    (0, "hex40", ("commit ", "git revert ", "sha1: ", "revision = \""), (" ", "\n", "\"")),
+    (0, "hex64", ("sha256: ", "checksum = ", "digest ", "image hash: "), (" ", "\n")),
+    (0, "md5", ("md5 = ", "etag: \"", "hash ", "file digest: "), ("\"", " ", "\n")),
+    (0, "uuid", ("id = ", "request ", "uuid: ", "trace id: "), (" ", "\n", ",")),
+    (0, "digits", ("", "number ", "call ", "order ", "isbn: "), (" ", ", ", ".")),
+    (0, "path", ("in ", "see ", "path = \"", "open "), (" ", "\"", "\n")),
+    (0, "slug", ("https://example.org/", "url: ", "link = "), (" ", "\n")),
+    (0, "words", ("", "called ", "name = \"", "mode: ", "color = \""), (" ", "\"", ".")),
+    (0, "camel", ("call ", "function = ", "class ", "method: "), (" ", "(", "\n")),
+    (0, "stamp", ("version = ", "date: ", "build ", "at "), (" ", "\n", ",")),
+)
+
+
+def planted(spark: SparkSession, n: int = PLANTED_ROWS, seed: int = 7) -> DataFrame:
+    """(text, a, b, label): n texts, each with one planted value from code point a to b, secret (1) or not (0).
+
+    Kinds of values, and the words before and after them, are drawn by a hash
+    of the row's number and ``seed``.
+    """
+    i = F.col("id")
+
+    def draw(j: int) -> Column:
+        return F.xxhash64(i, F.lit(j), F.lit(seed))
+
+    def pick(options, j: int) -> Column:
+        return F.element_at(F.array(*[F.lit(x) for x in options]), (F.pmod(draw(j), F.lit(len(options))) + 1).cast("int"))
+
+    def random_hex(j: int) -> Column:
+        return F.sha2(F.concat_ws("-", i, F.lit(j), F.lit(seed)), 256)
+
+    def letters(j: int) -> Column:
+        return F.base64(F.unhex(random_hex(j)))
+
+    def filler(j: int) -> Column:
+        return F.concat_ws(" ", *[pick(_FILLER, 100 * j + k) for k in range(5)])
+
+    alnum = F.translate(letters(1), "+/=", "aZ7")
+    number = F.pmod(draw(11), F.lit(100_000)).cast("string")
+    words = [pick(_FILLER, 20 + k) for k in range(5)]
+    made = {
+        "hex40": F.substring(random_hex(1), 1, 40),
+        "hex64": random_hex(1),
+        "md5": F.md5(random_hex(1)),
+        "base64": letters(1),
+        "aws": F.concat(F.lit("AKIA"), F.substring(F.translate(F.upper(alnum), "0189", "GHJK"), 1, 16)),
+        "github": F.concat(F.lit("ghp_"), F.substring(alnum, 1, 36)),
+        "password": F.concat(F.substring(alnum, 1, 5), pick("!@#$%&*?", 12), F.substring(alnum, 9, 4), number, pick("!.#?_", 13)),
+        "jwt": F.concat_ws(".", F.concat(F.lit("eyJ"), F.substring(alnum, 1, 30)), F.translate(letters(2), "+/=", "_-q"), F.translate(letters(3), "+/=", "-_w")),
+        "pem": F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), letters(1), F.lit("\n"), letters(2), F.lit("\n"), letters(3), F.lit("\n-----END RSA PRIVATE KEY-----")),
+        "uuid": F.regexp_replace(F.substring(random_hex(1), 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"),
+        "digits": F.translate(F.substring(random_hex(1), 1, 16), "abcdef", "204861"),
+        "path": F.concat_ws("/", F.lit(""), *words[:4], F.concat(words[4], F.lit("_"), number, pick((".py", ".txt", ".java", ".conf"), 14))),
+        "slug": F.concat_ws("-", *words, number),
+        "words": F.concat(*words[:4]),
+        "camel": F.concat(words[0], *[F.initcap(w) for w in words[1:5]], number),
+        "stamp": F.concat(F.lit("20"), F.substring(F.lpad(number, 5, "3"), 1, 2), F.lit("-0"), F.substring(F.lpad(number, 5, "3"), 3, 1), F.lit("-1"), F.substring(F.lpad(number, 5, "3"), 4, 1), pick(("T10:22:33Z", "-rc-build-12", ".12.0-beta-3"), 15)),
+    }
+    kind = F.pmod(draw(0), F.lit(len(_PLANTS)))
+    value, before, after, label = (F.lit(None).cast(t) for t in ("string", "string", "string", "int"))
+    for k, (is_secret, how, fronts, backs) in enumerate(_PLANTS):
+        value, before = F.when(kind == k, made[how]).otherwise(value), F.when(kind == k, pick(fronts, 16)).otherwise(before)
+        after, label = F.when(kind == k, pick(backs, 17)).otherwise(after), F.when(kind == k, is_secret).otherwise(label)
+    parts = spark.range(n).select(F.concat(filler(1), F.lit(" "), before).alias("front"), value.alias("value"), F.concat(after, filler(2)).alias("back"), label.alias("label"))
+    a = F.length("front")
+    return parts.select(F.concat("front", "value", "back").alias("text"), a.alias("a"), (a + F.length("value")).alias("b"), "label")
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -53,8 +137,8 @@ def candidates(rows: DataFrame) -> DataFrame:
 
     each = rows.where(text.rlike(CANDIDATE)).select("doc_id", "h", text.alias("text"), F.explode(F.aggregate(paired, start, add, lambda s: s["out"])).alias("c"))
     a, b = F.col("c.a"), F.col("c.b")
-    before = F.col("text").substr(F.greatest(a - BEFORE, F.lit(0)) + 1, F.least(a, F.lit(BEFORE)))
-    return each.select("doc_id", "h", "c.a", "c.b", "c.value", before.alias("before"), F.col("text").substr(b + 1, F.lit(1)).alias("after"))
+    before = F.col("text").substr(F.greatest(a - NEAR, F.lit(0)) + 1, F.least(a, F.lit(NEAR)))
+    return each.select("doc_id", "h", "c.a", "c.b", "c.value", before.alias("before"), F.col("text").substr(b + 1, F.lit(NEAR)).alias("after"))
 
 
 def _coverage(found: DataFrame, rows: DataFrame) -> DataFrame:
@@ -73,81 +157,84 @@ def _coverage(found: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def featured(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """``found`` with FEATURES, all doubles."""
+    """``found`` with FEATURES, all doubles; the dictionary is that of ``rows``."""
     v, n = F.col("value"), F.length("value")
 
     def share(pattern: str) -> Column:
         return F.regexp_count(v, F.lit(pattern)) / n
 
+    def words(side: str) -> Column:
+        return F.regexp_extract_all(F.lower(side), F.lit(r"\p{L}{2,}+"), F.lit(0))
+
     made = {
-        "length": n,
+        "length": F.log(n.cast("double")),
         "digits": share("[0-9]"),
         "capitals": share("[A-Z]"),
         "small": share("[a-z]"),
         "marks": share("[+/_-]"),
+        "other": share("[^A-Za-z0-9+/_-]"),
         "digit_letter": share("[0-9](?=[A-Za-z])"),
         "letter_digit": share("[A-Za-z](?=[0-9])"),
         "case_changes": share("[a-z](?=[A-Z])|[A-Z](?=[a-z])"),
         "vowel_turns": share("(?i)[aeiou](?=[b-df-hj-np-tv-z])|[b-df-hj-np-tv-z](?=[aeiou])"),
         "repeats": share(r"(.)(?=\1)"),
         "hex": v.rlike("^[0-9a-f]+$").cast("int"),
+        "groups": F.regexp_count(v, F.lit("[-_]")),
         "coverage": F.coalesce("covered", F.lit(0)) / n,
         "slashes": share("/"),
-        "in_path": (F.col("before").rlike(r"[/.\\]$") | F.col("after").isin("/", ".", "\\")).cast("int"),
-        "named": F.col("before").rlike(NAMED).cast("int"),
-        "given": F.col("before").rlike(GIVEN).cast("int"),
-        "other_name": F.col("before").rlike(OTHER).cast("int"),
+        "dots": F.regexp_count(v, F.lit(r"\.")),
+        "in_path": (F.col("before").rlike(r"[/.\\]$") | F.col("after").rlike(r"^[/\\]")).cast("int"),
+        "extension": (v.rlike(r"\.[A-Za-z]{1,5}$") | F.col("after").rlike(r"^\.[a-z]{1,5}\b")).cast("int"),
+        "assigned": F.col("before").rlike("[:=]\\s{0,3}[\"']?$").cast("int"),
         "quoted": F.col("before").rlike("[\"']$").cast("int"),
         "after_space": F.col("before").rlike(r"\s$").cast("int"),
+        "block": v.startswith("-----BEGIN").cast("int"),
     }
+    near = {"before": F.slice(F.reverse(words("before")), 1, NEIGHBOURS), "after": F.slice(words("after"), 1, NEIGHBOURS)}
+    hashed = {side: F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS))) for side, w in near.items()}
     covered = _coverage(found, rows)
-    return found.join(covered, "value", "left").select(*found.columns, *[made[f].cast("double").alias(f) for f in FEATURES])
-
-
-def rule_labels(found: DataFrame) -> DataFrame:
-    """(doc_id, h, a, label): findings that need no forest.
-
-    1 for a public key format or a value given to a secret's name; 0 for bare
-    digits and for letters that dictionary words cover to a half or that hold
-    no digit. The rest stays unlabelled.
-    """
-    v = F.col("value")
-    good = v.rlike(FORMATS) | (F.col("given") == 1)
-    bad = (F.col("given") == 0) & (v.rlike("^[0-9-]+$") | ~v.rlike("[0-9]") | (F.col("coverage") >= 0.5))
-    return found.withColumn("label", F.when(good, 1.0).when(bad, 0.0)).where("label IS NOT NULL").select("doc_id", "h", "a", "label")
-
-
-def scan(docs: DataFrame, findings: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5, trees: int = 40, depth: int = 6, seed: int = 11) -> DataFrame:
-    """(doc_id, h, a, b, value, label, probability, is_secret): each candidate in ``docs``.
-
-    ``findings`` are labelled ones (doc_id, a, label 0 or 1; code-point start);
-    without any, ``rule_labels`` gives them. A forest trained on at most about
-    TRAIN_ROWS of them gives every candidate its probability; if all labels
-    agree, that label does; without labels it is null and nothing is a
-    secret. Null and empty texts hold no candidate; repeated rows give each
-    of their candidates again; an empty table gives an empty result.
+    marked = found.join(covered, "value", "left").select(*found.columns, *[c.cast("double").alias(f) for f, c in made.items()], *[w.alias(f"{side}_words") for side, w in hashed.items()])
+    buckets = [F.array_contains(f"{side}_words", F.lit(k).cast("long")).cast("double").alias(f"{side}_{k}") for side in near for k in range(BUCKETS)]
+    return marked.select(*found.columns, *made, *buckets)
+
+
+def _labelled(findings: DataFrame) -> DataFrame:
+    """The candidates in the findings' texts that overlap a labelled span, with ``label``."""
+    marks = findings.where("text IS NOT NULL AND label IS NOT NULL").select(F.xxhash64("text").alias("h"), F.col("a").cast("int").alias("x"), F.col("b").cast("int").alias("y"), F.col("label").cast("double").alias("label"), "text")
+    texts = marks.select(F.lit(None).cast("long").alias("doc_id"), "h", "text").distinct()
+    met = candidates(texts).join(marks.drop("text"), "h").where("a < y AND x < b")
+    return met.groupBy("doc_id", "h", "a", "b", "value", "before", "after").agg(F.max("label").alias("label"))
+
+
+def scan(docs: DataFrame, findings: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5, trees: int = 60, depth: int = 8, seed: int = 11) -> DataFrame:
+    """(doc_id, h, a, b, value, probability, is_secret): each candidate in ``docs``.
+
+    ``findings`` are labelled ones: (text, a, b, label), a span of a text in
+    code points and 1 for a secret, 0 for none; without any, ``planted``
+    gives them. A candidate in such a text is labelled by the span that it
+    overlaps, by the secret if it overlaps both kinds. A forest trained on at
+    most about TRAIN_ROWS of them gives every candidate in ``docs`` its
+    probability; if all labels agree, that label does; without labels it is
+    null and nothing is a secret. Null and empty texts hold no candidate;
+    repeated rows give each of their candidates again; an empty table gives
+    an empty result.
     """
+    spark = docs.sparkSession
     rows = keyed(docs, doc_id, text)
-    found = saved(candidates(rows), "candidates")
-    known = saved(featured(found, rows), "features")
-    if findings is None:
-        labels = rule_labels(known)
-    else:
-        ids = findings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("a").cast("int").alias("a"), F.col("label").cast("double").alias("label"))
-        labels = known.select("doc_id", "h", "a").join(ids.where("label IS NOT NULL"), ["doc_id", "a"]).select("doc_id", "h", "a", "label")
-    labels = labels.groupBy("doc_id", "h", "a").agg(F.max("label").alias("label")).withColumnsRenamed({"doc_id": "i", "h": "g", "a": "s"})
-    marked = known.join(labels, known["doc_id"].eqNullSafe(labels["i"]) & (known["h"] == labels["g"]) & (known["a"] == labels["s"]), "left").drop("i", "g", "s")
-    marked = saved(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(marked), "marked")
-    train = marked.where("label IS NOT NULL").select("features", "label", F.xxhash64("value", "before").alias("key"))
+    known = _labelled(saved(planted(spark) if findings is None else findings.select("text", "a", "b", "label"), "findings"))
+    found = candidates(rows).withColumn("label", F.lit(None).cast("double")).withColumn("own", F.lit(True))
+    both = saved(found.unionByName(known.withColumn("own", F.lit(False))), "candidates")
+    marked = saved(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(featured(both, rows)).drop(*FEATURES), "marked")
+    train = marked.where("NOT own").select("features", "label", F.xxhash64("value", "before", "after").alias("key"))
     kinds = train.groupBy("label").count().orderBy("label").collect()  # two rows at most
     n = sum(r["count"] for r in kinds)
     if len(kinds) == 2:
         share = TRAIN_ROWS / n
         if share < 1:
             train = train.where(F.pmod("key", F.lit(1_000_003)) < int(share * 1_000_003))
-        model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(train)
-        scored = model.transform(marked).withColumn("p", vector_to_array("probability")[1])
+        model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(train.orderBy("key"))
+        scored = model.transform(marked.where("own")).withColumn("p", vector_to_array("probability")[1])
     else:
-        scored = marked.withColumn("p", F.lit(kinds[0]["label"] if kinds else None).cast("double"))
+        scored = marked.where("own").withColumn("p", F.lit(kinds[0]["label"] if kinds else None).cast("double"))
     p = F.round("p", 6)
-    return scored.select("doc_id", "h", "a", "b", "value", "label", p.alias("probability"), F.coalesce(F.col("p") >= threshold, F.lit(False)).alias("is_secret"))
+    return scored.select("doc_id", "h", "a", "b", "value", p.alias("probability"), F.coalesce(F.col("p") >= threshold, F.lit(False)).alias("is_secret"))
