@@ -80,10 +80,14 @@ def _frequencies(rows: DataFrame) -> np.ndarray:
     """How many words of all line sets fall in each entry of the table; tasks' tables are added up part by part."""
 
     def of_batches(batches):
-        table = np.zeros(TABLE, np.int64)
+        table, held = np.zeros(TABLE, np.int64), []
         for batch in batches:
             for part in W.slices(batch, "text"):
-                table += np.bincount((Lines(W.Texts(part.column("text"))).word & U(TABLE - 1)).astype(np.int64), minlength=TABLE)
+                held.append(Lines(W.Texts(part.column("text"))).word & U(TABLE - 1))
+                if sum(map(len, held)) > TABLE:
+                    table += np.bincount(np.concatenate(held).astype(np.int64), minlength=TABLE)
+                    held = []
+        table += np.bincount(np.concatenate([np.zeros(0, np.uint64), *held]).astype(np.int64), minlength=TABLE)
         for a in range(0, TABLE, PART):
             if table[a : a + PART].any():
                 yield pa.RecordBatch.from_arrays([pa.array([a // PART], pa.int32()), pa.array([table[a : a + PART].tobytes()])], ["part", "counts"])
@@ -212,10 +216,11 @@ NEAREST, BACK = 8, 4096
 
 
 def _met(key, order, code, size, bits0, bits1, old: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b, apart) of sets at a key that pass the filters, b before a, and sets with pairs left out.
+    """Pairs (a, b, apart, tie) of sets at a key that pass the filters, b before a, and sets with pairs left out.
 
     Entries are sorted by key and order; the first ``old`` are not paired
-    again. Of sets that share their order either may be the earlier one.
+    again. Of sets that share their order (tie) either may be the earlier
+    one, and the pair is given both ways.
     """
     n, place = size >> 16, size & 0xFFFF
     taken, cut = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
@@ -229,9 +234,9 @@ def _met(key, order, code, size, bits0, bits1, old: int, threshold: float) -> tu
         most = (n[later] + n[before]) * ((1 - threshold) / (1 + threshold)) + 1e-9
         met = (abs(n[later] - n[before]) <= most) & (abs(place[later] - place[before]) <= most) & (apart <= most) & (code[later] != code[before])
         x, y = later[met], before[met]
-        out.append(np.stack([code[x], code[y], apart[met]], 1))
         same = order[x] == order[y]
-        out.append(np.stack([code[y[same]], code[x[same]], apart[met][same]], 1))
+        out.append(np.stack([code[x], code[y], apart[met], same], 1))
+        out.append(np.stack([code[y[same]], code[x[same]], apart[met][same], same[same]], 1))
         taken[x] += 1
         ended = taken[later] >= NEAREST
         cut[later[ended]] = True
@@ -239,7 +244,7 @@ def _met(key, order, code, size, bits0, bits1, old: int, threshold: float) -> tu
         step += 1
     run = np.cumsum((np.diff(key, prepend=key[:1] - 1) != 0) | (np.diff(order, prepend=order[:1] - 1) != 0)) if len(key) else key
     ties = np.isin(run, run[cut])  # those of the same order may lack a pair as well
-    return np.concatenate([np.zeros((0, 3), np.int64), *out]), np.unique(code[ties])
+    return np.concatenate([np.zeros((0, 4), np.int64), *out]), np.unique(code[ties])
 
 
 def _entries(classes: DataFrame, *more: str) -> DataFrame:
@@ -251,7 +256,7 @@ def _entries(classes: DataFrame, *more: str) -> DataFrame:
 
 
 def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, apart) of classes to compare, b the earlier; with b null, a class of which pairs were left out."""
+    """(a, b, apart, tie) of classes to compare, b the earlier; with b null, a class of which pairs were left out."""
     names = ["key", "order", "class", "size", "bits0", "bits1"]
     side = _entries(classes).repartition("key").sortWithinPartitions("key", "order")
 
@@ -262,17 +267,17 @@ def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
             old = len(held[0])
             pairs, cut = _met(*now[:4], *(x.view(np.uint64) for x in now[4:]), old, threshold)
             none = np.arange(len(pairs) + len(cut)) >= len(pairs)
-            columns = [np.concatenate([pairs[:, 0], cut]), np.concatenate([pairs[:, 1], cut]), np.concatenate([pairs[:, 2], cut * 0])]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), *(pa.array(c, mask=none) for c in columns[1:])], ["a", "b", "apart"])
+            columns = [np.concatenate([x, y]) for x, y in zip(pairs.T, (cut, cut, cut * 0, cut * 0))]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), *(pa.array(c, mask=none) for c in columns[1:])], ["a", "b", "apart", "tie"])
             # The last key may go on; what a later entry looks back to is kept.
             same = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
             held = [x[max(same, len(x) - BACK - 1) :] for x in now]
 
-    return side.mapInArrow(of_batches, "a long, b long, apart long").distinct()
+    return side.mapInArrow(of_batches, "a long, b long, apart long, tie long").distinct()
 
 
 def _rest(classes: DataFrame, open_: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): every pair that the filters leave for the classes of ``open_`` (a saved table)."""
+    """(a, b, tie): every pair that the filters leave for the classes of ``open_`` (a saved table); which is earlier is not told (tie)."""
     left = saved(_entries(classes.join(broadcast_if_small(open_), "class")), "rest")
     left, right = (x.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "size", "bits0", "bits1")]) for x, s in ((left, "a"), (_entries(classes), "b")))
     apart = F.bit_count(F.col("bits0_a").bitwiseXOR(F.col("bits0_b"))) + F.bit_count(F.col("bits1_a").bitwiseXOR(F.col("bits1_b")))
@@ -280,7 +285,7 @@ def _rest(classes: DataFrame, open_: DataFrame, threshold: float) -> DataFrame:
     most = (n[0] + n[1]) * ((1 - threshold) / (1 + threshold)) + 1e-9
     near = (F.abs(n[0] - n[1]) <= most) & (F.abs(place[0] - place[1]) <= most) & (apart <= most)
     met = right.join(broadcast_if_small(left), "key").where((F.col("class_a") != F.col("class_b")) & near)
-    return met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+    return met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), F.lit(1).cast("long").alias("tie")).distinct()
 
 
 def _word_sets(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -290,16 +295,23 @@ def _word_sets(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFra
     where = saved(where.withColumnsRenamed({"doc_id": "vq_id", "h": "vq_h"}), "wanted")
     found = rows.join(broadcast_if_small(where), rows["doc_id"].eqNullSafe(where["vq_id"]) & (rows["h"] == where["vq_h"]))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    lines = found.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    words = F.filter(F.split(F.translate(F.element_at("lines", F.col("w.line") + 1), upper, lower), "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
-    return saved(lines.select(F.col("w.class").alias("class"), F.array_distinct(F.transform(words, lambda x: F.xxhash64(x))).alias("words")).dropDuplicates(["class"]), "sets")
+
+    def hashed(lines: Column):
+        def of(w: Column) -> Column:
+            words = F.filter(F.split(F.translate(F.get(lines, w["line"]), upper, lower), "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
+            return F.struct(w["class"].alias("class"), F.array_distinct(F.transform(words, lambda x: F.xxhash64(x))).alias("words"))
+
+        return F.transform("wanted", of)
+
+    each = found.select(F.explode(F.get(F.transform(F.array(F.split("text", "\n")), hashed), F.lit(0))).alias("x"))  # split once
+    return saved(each.select("x.*").dropDuplicates(["class"]), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs of classes whose words are similar enough."""
-    both = pairs.select("a", "b").join(sets.withColumnsRenamed({"class": "a", "words": "wa"}), "a").join(sets.withColumnsRenamed({"class": "b", "words": "wb"}), "b")
+    both = pairs.select("a", "b", "tie").join(sets.withColumnsRenamed({"class": "a", "words": "wa"}), "a").join(sets.withColumnsRenamed({"class": "b", "words": "wb"}), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
-    return both.where(shared >= threshold * (F.size("wa") + F.size("wb") - shared) - 1e-9).select("a", "b")
+    return both.where(shared >= threshold * (F.size("wa") + F.size("wb") - shared) - 1e-9).select("a", "b", "tie")
 
 
 def _earlier(links: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -317,12 +329,13 @@ def later_lines(rows: DataFrame, threshold: float = 0.8, least: int = 1) -> Data
     pairs = found.where("b IS NOT NULL")
     words = _word_sets(pairs, classes, rows)
     # A class is settled by an earlier match: the most alike by bitmap is tried first, then its others.
-    best = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x")).select("a", "x.b")
+    best = pairs.groupBy("a").agg(F.min(F.struct("tie", "apart", "b")).alias("x")).select("a", "x.b", "x.tie")
     links = saved(_verified(best, words, threshold), "matches")
-    others = pairs.join(_earlier(links, classes).select(F.col("class").alias("a")), "a", "left_anti")
+    others = pairs.join(links.where("tie = 0").select("a"), "a", "left_anti")
     links = links.unionByName(saved(_verified(others, words, threshold), "more-matches"))
     # One that has none, but pairs that were left out, meets all of them.
-    open_ = saved(found.where("b IS NULL").select(F.col("a").alias("class")).join(_earlier(links, classes), "class", "left_anti"), "open")
+    settled = links.where("tie = 0").select(F.col("a").alias("class"))
+    open_ = saved(found.where("b IS NULL").select(F.col("a").alias("class")).join(settled, "class", "left_anti"), "open")
     if not open_.isEmpty():
         rest = saved(_rest(classes, open_, threshold), "rest-pairs")
         links = links.unionByName(saved(_verified(rest, _word_sets(rest, classes, rows), threshold), "rest-matches"))

@@ -1,15 +1,17 @@
 """Personal data: patterns, then information-theoretic sanitisation.
 
 Patterns find the protected entities: mail addresses, IP addresses, card and
-phone numbers. The corpus then tells which terms reveal one of them: with N
-documents, an entity e and a term t near it, t reveals
+phone numbers. An entity is a value and also its kind, any value of it. The
+corpus then tells which terms reveal one of them: with N documents, an entity
+e and a term t near it, t reveals
 
     log(N n(e,t) / (n(e) n(t))) / log(N / n(e))
 
 of e's information, 1 if t never stands without e. Terms beyond the
 thresholds are generalised or removed wherever they occur. A term has to be
 seen near the entity in several different contexts, so that copies of one
-text prove nothing. All of it is DataFrame operations.
+text prove nothing; rows that repeat one another count once. All of it is
+DataFrame operations.
 """
 
 from __future__ import annotations
@@ -120,7 +122,18 @@ def _contexts(found: DataFrame) -> DataFrame:
 
     sides = each.select("doc_id", "h", "e.kind", "e.value", terms(left).alias("left"), terms(right).alias("right"))
     seen = F.xxhash64(F.slice(F.reverse("left"), 1, NEAREST), F.slice("right", 1, NEAREST))
-    return sides.select("doc_id", "h", "kind", "value", F.array_distinct(F.concat("left", "right")).alias("terms"), seen.alias("seen"))
+    both = F.explode(F.array("value", F.lit(None).cast("string"))).alias("value")  # null: the kind itself
+    return sides.select("doc_id", "h", "kind", both, F.array_distinct(F.concat("left", "right")).alias("terms"), seen.alias("seen"))
+
+
+def _once(found: DataFrame) -> DataFrame:
+    """``found`` (a saved table with ``rid``, a number of its own for each row) with one row of those that share id and text."""
+    same = found.groupBy("doc_id", "h").agg(F.min("rid").alias("first"), F.count("*").alias("n")).where("n > 1")
+    same = saved(same.withColumnsRenamed({"doc_id": "vq_id", "h": "vq_h"}), "repeated")
+    if same.isEmpty():
+        return found
+    met = found["doc_id"].eqNullSafe(same["vq_id"]) & (found["h"] == same["vq_h"]) & (found["rid"] > same["first"])
+    return found.join(broadcast_if_small(same), met, "left_anti")
 
 
 def _term_rows(rows: DataFrame) -> DataFrame:
@@ -129,45 +142,48 @@ def _term_rows(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "h", F.explode(words).alias("term"))
 
 
-def revealing_terms(found: DataFrame, generalise_at: float = 0.8, remove_at: float = 0.95, contexts: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(term, revealed, remove) of the terms beyond the thresholds, and (doc_id, h, term) of their documents.
+def revealing_terms(found: DataFrame, generalise_at: float = 0.8, remove_at: float = 0.95, contexts: int = 2) -> DataFrame:
+    """(term, revealed, remove) of the terms beyond the thresholds; a saved table.
 
     ``revealed`` is the largest share of an entity's information that the
-    term gives away. Counts are of documents over the whole corpus; a pair
-    counts if the term stands near the entity in ``contexts`` different
-    contexts at least.
+    term gives away. Counts are of documents over the whole corpus, rows that
+    share id and text being one; a pair counts if the term stands near the
+    entity in ``contexts`` different contexts at least.
     """
+    found = _once(found)
     doc = F.struct("doc_id", "h")
     near = saved(_contexts(found), "contexts")
-    entities = near.groupBy("kind", "value").agg(F.count_distinct(doc).alias("n_e"))
+    entities = near.groupBy("kind", "value").agg(F.count_distinct(doc).alias("n_e")).withColumnsRenamed({"kind": "k", "value": "v"})
     pairs = near.select("doc_id", "h", "kind", "value", "seen", F.explode("terms").alias("term")).groupBy("kind", "value", "term")
     pairs = pairs.agg(F.count_distinct(doc).alias("n_et"), F.count_distinct("seen").alias("contexts")).where(F.col("contexts") >= contexts)
-    pairs = saved(pairs.join(entities, ["kind", "value"]), "pairs")
+    pairs = saved(pairs.join(entities, (F.col("kind") == F.col("k")) & F.col("value").eqNullSafe(F.col("v"))).drop("k", "v"), "pairs")
     # Tasks add up their own counts, so what is shuffled follows the vocabulary, not the words.
     n_t = _term_rows(found).groupBy("term").agg(F.count("*").alias("n_t"))
     told = pairs.join(n_t, "term").withColumn("n_all", F.lit(found.select("h").count()))
     bits = F.when(F.col("n_e") < F.col("n_all"), F.log(F.col("n_all") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.col("n_all") / F.col("n_e")))
     told = told.withColumn("revealed", bits).groupBy("term").agg(F.max("revealed").alias("revealed")).where(F.col("revealed") >= generalise_at)
-    told = saved(told.withColumn("remove", F.col("revealed") >= remove_at), "revealing")
-    return told, _term_rows(found).join(broadcast_if_small(told), "term").select("doc_id", "h", "term", "remove")
+    return saved(told.withColumn("remove", F.col("revealed") >= remove_at), "revealing")
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", generalise_at: float = 0.8, remove_at: float = 0.95, contexts: int = 3) -> DataFrame:
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", generalise_at: float = 0.8, remove_at: float = 0.95, contexts: int = 2) -> DataFrame:
     """(doc_id, h, text, email, ip, card, phone, terms) of each row of ``docs``.
 
     Each kind is array<struct<a, b, v>> of code-point bounds and text, sorted;
-    ``terms`` holds the revealing terms' occurrences, which also have
-    ``remove``. Null text counts as empty. Repeated rows get the same result
-    each; an empty table gives an empty result.
+    ``terms`` holds the revealing terms' occurrences outside those, which also
+    have ``remove``. Null text counts as empty. Repeated rows get the same
+    result each, the one they had alone; an empty table gives an empty result.
     """
-    rows = saved(find_base(keyed(docs, doc_id, text)), "base")  # patterns are searched once
-    _, held = revealing_terms(rows, generalise_at, remove_at, contexts)
+    # Patterns are searched once; what is counted and looked up again is read from the table.
+    rows = saved(find_base(keyed(docs, doc_id, text)).withColumn("rid", F.monotonically_increasing_id()), "base")
+    told = revealing_terms(rows, generalise_at, remove_at, contexts)
+    held = _term_rows(rows).join(broadcast_if_small(told), "term").select("doc_id", "h", "term", "remove")
     listed = held.distinct().groupBy("doc_id", "h").agg(F.collect_list(F.when(F.col("remove"), F.col("term"))).alias("out"), F.collect_list(F.when(~F.col("remove"), F.col("term"))).alias("wide"))
-    marked = joined(rows, broadcast_if_small(saved(listed, "listed")), "left")
+    marked = joined(rows.drop("rid"), broadcast_if_small(saved(listed, "listed")), "left")
     # Terms are letters only, so they are a pattern as they stand; it finds few matches in few texts.
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.concat("out", "wide"), "|"), F.lit(r")(?!\p{L})"))
     words = F.transform(_matches(F.col("text"), pattern), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["v"].alias("v"), F.array_contains("out", F.lower(x["v"])).alias("remove")))
-    words = F.filter(words, lambda x: x["remove"] | F.array_contains("wide", F.lower(x["v"])))
+    inside = [lambda x, k=k: F.exists(k, lambda p: (p["a"] < x["b"]) & (x["a"] < p["b"])) for k in PATTERNS]
+    words = F.filter(words, lambda x: (x["remove"] | F.array_contains("wide", F.lower(x["v"]))) & ~(inside[0](x) | inside[1](x) | inside[2](x) | inside[3](x)))
     none = F.array().cast("array<struct<a:int,b:int,v:string,remove:boolean>>")
     return marked.withColumn("terms", F.when(F.col("out").isNotNull(), words).otherwise(none)).drop("out", "wide")
 

@@ -38,7 +38,7 @@ HEAD_BYTES = 96_000_000
 UNKNOWN_PENALTY = 10.0
 
 #: Bytes of text and distinct words that a task works on at a time; they bound its memory.
-SLICE_BYTES, TASK_WORDS = 500_000, 600_000
+SLICE_BYTES, TASK_WORDS = 500_000, 300_000
 
 U = W.U
 

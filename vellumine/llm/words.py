@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are worked on at a time; a longer text is one slice.
-SLICE_BYTES = 2_000_000
+#: Bytes of text that are worked on at a time, so that arrays over them stay in a core's cache; a longer text is one slice.
+SLICE_BYTES = 500_000
 
 U = np.uint64
 
@@ -69,6 +69,11 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         yield batch.slice(a, b - a)
 
 
+def looked_up(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """``table[data]`` for a table of one byte for each byte value."""
+    return np.frombuffer(data.tobytes().translate(table.view(np.uint8).tobytes()), np.uint8)
+
+
 class Texts:
     """The texts of a string column as one byte array.
 
@@ -90,7 +95,7 @@ class Texts:
         self.data = whole[int(offsets[0]) : int(offsets[-1])] if n else whole[:0]
 
     def lowered(self) -> np.ndarray:
-        return LOWER[self.data]
+        return looked_up(self.data, LOWER)
 
     def owner(self, positions: np.ndarray) -> np.ndarray:
         """The number of the text that each byte position is in."""
@@ -99,7 +104,7 @@ class Texts:
 
 def spans(data: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes of a class."""
-    inside = kind[data].view(np.int8)
+    inside = looked_up(data, kind).view(np.int8)
     edge = np.diff(inside, prepend=np.int8(0), append=np.int8(0))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
