@@ -316,7 +316,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def _earlier(links: DataFrame, firsts: DataFrame) -> DataFrame:
     """(class, near): of each class that matches an earlier one, the place of the earliest match known."""
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     ends = ends.join(firsts.select(F.col("class").alias("b"), F.col("first").alias("near")), "b").join(firsts.select(F.col("class").alias("a"), "first"), "a")
     return ends.where("near < first").groupBy(F.col("a").alias("class")).agg(F.min("near").alias("near"))
 
