@@ -252,6 +252,66 @@ def test_pii_base(spark, docs):
         assert got == {r.doc_id: want(r.text) for r in df.collect()}
 
 
+def brute_terms(texts, contexts=2):
+    """term: share of an entity's information that it reveals, for terms of 0.8 and more."""
+    import regex
+
+    email = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+    kinds = {"email": (email, str.lower), "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: re.sub("[^0-9]", "", v))}
+    docs, seen, n_e, n_et = [set(regex.findall(r"\p{L}{3,}", t.lower())) for t in texts], defaultdict(set), defaultdict(set), defaultdict(set)
+    for i, text in enumerate(texts):
+        for kind, (pattern, spelled) in kinds.items():
+            for m in re.finditer(pattern, text):
+                left, right = text[max(0, m.start() - 200) : m.start()], text[m.end() : m.end() + 200]
+                left = regex.sub(r"^\p{L}+", "", left) if m.start() > 200 else left
+                right = regex.sub(r"\p{L}+$", "", right) if len(right) == 200 else right
+                sides = [regex.findall(r"\p{L}{3,}", re.sub(email, " ", s).lower()) for s in (left, right)]
+                for e in ((kind, spelled(m[0])), (kind, None)):
+                    n_e[e].add(i)
+                    for term in set(sides[0] + sides[1]):
+                        n_et[e, term].add(i)
+                        seen[e, term].add((tuple(sides[0][::-1][:3]), tuple(sides[1][:3])))
+    n, told = len(texts), {}
+    for (e, term), where in n_et.items():
+        if len(seen[e, term]) >= contexts and len(n_e[e]) < n:
+            bits = math.log(n * len(where) / (len(n_e[e]) * sum(term in d for d in docs))) / math.log(n / len(n_e[e]))
+            told[term] = max(bits, told.get(term, -9))
+    return {t: b for t, b in told.items() if b >= 0.8}
+
+
+def test_pii_formula(spark):
+    """The disclosure of each term against brute force, by value and by kind; repeated rows change nothing."""
+    rng = np.random.default_rng(14)
+    texts = []
+    for i in range(160):
+        words = [f"{'abcdefgh'[k % 8]}{'word' if k < 40 else 'rare'}{'xyzuvw'[k // 8 % 6]}" for k in rng.integers(0, 56, int(rng.integers(5, 120)))]
+        if i % 4 == 0:
+            at = int(rng.integers(0, len(words)))
+            v = int(rng.integers(5))
+            words[at:at] = ["".join(("reveal", "abcde"[v])), f"Jo{v}@corp.example.com" if i % 8 else f"+1 (212) 555-01{v}0", "kindly" if i % 8 else "ring"]
+        texts.append(" ".join(words))
+
+    def told(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        base = pii.saved(pii.find_base(keyed(df)).withColumn("rid", F.monotonically_increasing_id()), "base")
+        return {r.term: r.revealed for r in pii.revealing_terms(base).collect()}
+
+    rows, want = list(enumerate(texts)), brute_terms(texts)
+    got, again = told(rows), told(rows + rows[::4] * 2)
+    assert len(want) >= 4 and "kindly" in want and got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want)
+    assert again == got
+
+
+def test_pii_terms_on_documents(spark):
+    """Terms show on the driver's documents, outside the base spans, as whole words in any case."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = pii.find(docs).where("size(terms) > 0").collect()
+    assert found
+    for r in found:
+        base = [(s.a, s.b) for k in pii.PATTERNS for s in r[k]]
+        assert all(r.text[t.a : t.b] == t.v and not any(a < t.b and t.a < b for a, b in base) for t in r.terms)
+
+
 def test_pii_terms(spark, odd, none):
     near = [f"{a} wrote quarkford {b} mail to jo@corp.example.com about {c}" for a, b, c in zip(("anna then", "bert soon", "carl late", "dora once"), ("early", "gladly", "rarely", "kindly"), ("cats", "dogs", "hens", "bees"), strict=True)]
     texts = near + [f"plain wrote about mail number {x} then" for x in range(25)] + ["Quarkford alone"]
