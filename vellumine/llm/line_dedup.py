@@ -46,8 +46,8 @@ def _sorted(line: np.ndarray, value: np.ndarray, lines: int) -> tuple[np.ndarray
     return (key >> U(HASH_BITS)).astype(np.int64), key & _HASH_MASK
 
 
-class Lines:
-    """The lines of some texts as sets of word hashes, one entry per word of a set."""
+class Words:
+    """The words of some texts: a hash of HASH_BITS bits and the line of each; where each line is."""
 
     def __init__(self, texts: W.Texts):
         data = texts.lowered()
@@ -57,13 +57,26 @@ class Lines:
         per = W.counts(self.owner, texts.n)
         self.number = np.arange(len(begin)) - (np.cumsum(per) - per)[self.owner]
         start, end = W.spans(data, W.NOT_BLANK)
-        line = np.searchsorted(begin, start, side="right") - 1
-        h = W.span_hashes(data, start, end) & _HASH_MASK
-        line, h = _sorted(line, h, len(begin))
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-        self.line, self.word = line[new], h[new]
-        self.size = W.counts(self.line, len(begin))
+        self.line = np.searchsorted(begin, start, side="right") - 1
+        self.hash = W.span_hashes(data, start, end) & _HASH_MASK
+
+
+class Lines:
+    """The lines of some texts as sets of tokens, one entry per word of a set, rare words first.
+
+    A token is a word's rarity before 32 bits of its own, the first of which
+    says whether it is frequent.
+    """
+
+    def __init__(self, words: Words, rank: np.ndarray, often: np.ndarray):
+        self.owner, self.number = words.owner, words.number
+        entry = (words.hash & U(TABLE - 1)).astype(np.int64)
+        token = (rank[entry] << U(32)) | (often[entry] << U(31)) | (W.mix(words.hash) & U(0x7FFFFFFF))
+        line, token = _sorted(words.line, token, len(self.owner))
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
+        self.line, self.token = line[new], token[new]
+        self.size = W.counts(self.line, len(self.owner))
         self.first = np.cumsum(self.size) - self.size
 
 
@@ -77,13 +90,13 @@ PART = 1 << 12
 
 
 def _frequencies(rows: DataFrame) -> np.ndarray:
-    """How many words of all line sets fall in each entry of the table; tasks' tables are added up part by part."""
+    """How many words of all lines fall in each entry of the table; tasks' tables are added up part by part."""
 
     def of_batches(batches):
         table, held = np.zeros(TABLE, np.int64), []
         for batch in batches:
             for part in W.slices(batch, "text"):
-                held.append(Lines(W.Texts(part.column("text"))).word & U(TABLE - 1))
+                held.append(Words(W.Texts(part.column("text"))).hash & U(TABLE - 1))
                 if sum(map(len, held)) > TABLE:
                     table += np.bincount(np.concatenate(held).astype(np.int64), minlength=TABLE)
                     held = []
@@ -150,7 +163,8 @@ def _keys(token: np.ndarray, frequent: np.ndarray, place: np.ndarray, start: np.
 def _sets(rows: DataFrame, threshold: float, least: int) -> DataFrame:
     """(doc_id, h, line, class, set) of each line of at least ``least`` different words.
 
-    ``set`` (n, bits0, bits1, keys) stands with a task's first line of a class only.
+    ``set`` (n, bits0, bits1, keys) stands with a task's first line of a
+    class only, in the order of lines.
     """
     table = _frequencies(rows)
     rank = np.minimum(np.log2(1.0 + table) * 100, 4095).astype(np.uint16)
@@ -159,12 +173,11 @@ def _sets(rows: DataFrame, threshold: float, least: int) -> DataFrame:
 
     def of_batches(batches):
         rank, often = sent.value  # rarity by table entry; whether it is frequent
-        often, seen = np.unpackbits(often).astype(bool), np.zeros(0, np.uint64)  # seen: classes this task has shown
+        rank, often, seen = rank.astype(np.uint64), np.unpackbits(often).astype(np.uint64), np.zeros(0, np.uint64)  # seen: classes this task has shown
         for batch in batches:
             for part in W.slices(batch, "text"):
-                lines = Lines(W.Texts(part.column("text")))
-                code = _sums(W.mix(lines.word), lines.first, lines.size)
-                code = W.mix(code + lines.size.astype(np.uint64))
+                lines = Lines(Words(W.Texts(part.column("text"))), rank, often)
+                code = W.mix(_sums(W.mix(lines.token), lines.first, lines.size) + lines.size.astype(np.uint64))
                 wide = np.flatnonzero(lines.size >= least)
                 _, place = np.unique(code[wide], return_index=True)
                 fresh = wide[place]
@@ -172,12 +185,7 @@ def _sets(rows: DataFrame, threshold: float, least: int) -> DataFrame:
                 seen = np.union1d(seen, code[fresh])
                 full = np.zeros(len(code), bool)
                 full[fresh] = True
-                mine = full[lines.line]
-                # Rare words first: a token is a word's rarity before 32 bits of its own.
-                word = lines.word[mine]
-                rarity = rank[(word & U(TABLE - 1)).astype(np.int64)].astype(np.uint64)
-                frequent = often[(word & U(TABLE - 1)).astype(np.int64)].astype(np.uint64)
-                line, token = _sorted(lines.line[mine], (rarity << U(32)) | (frequent << U(31)) | (W.mix(word) & U(0x7FFFFFFF)), len(code))
+                token = lines.token[full[lines.line]]
                 n = lines.size[fresh]
                 first = np.cumsum(n) - n
                 length = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
@@ -197,7 +205,8 @@ def _sets(rows: DataFrame, threshold: float, least: int) -> DataFrame:
                 columns = [part.column("doc_id").take(owner), part.column("h").take(owner), pa.array(lines.number[wide].astype(np.int32)), pa.array(code[wide].view(np.int64))]
                 yield pa.RecordBatch.from_arrays([*columns, shown.take(pa.array(at, mask=at < 0))], ["doc_id", "h", "line", "class", "set"])
 
-    return rows.mapInArrow(of_batches, "doc_id long, h long, line int, class long, set struct<n:int,bits0:bigint,bits1:bigint,keys:array<bigint>>")
+    ordered = rows.sortWithinPartitions(F.asc_nulls_last("doc_id"), "h")
+    return ordered.mapInArrow(of_batches, "doc_id long, h long, line int, class long, set struct<n:int,bits0:bigint,bits1:bigint,keys:array<bigint>>")
 
 
 def _place() -> Column:
@@ -206,9 +215,8 @@ def _place() -> Column:
 
 
 def _classes(sets: DataFrame) -> DataFrame:
-    """(class, first, copies, n, bits0, bits1, keys): each class with the place of its first line."""
-    # Of a class the tasks' sets are alike, and null is less than any.
-    return sets.groupBy("class").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"), F.max("set").alias("set")).select("class", "first", "copies", "set.*")
+    """(class, first, copies): each class with the place of its first line."""
+    return sets.groupBy("class").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"))
 
 
 #: Earlier sets that a set is paired with at a key, and how far back it looks; what goes beyond is settled by ``_rest``.
@@ -216,11 +224,12 @@ NEAREST, BACK = 8, 4096
 
 
 def _met(key, order, code, size, bits0, bits1, old: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b, apart, tie) of sets at a key that pass the filters, b before a, and sets with pairs left out.
+    """Pairs (a, b, apart) of sets at a key that pass the filters, b before a, and sets with pairs left out.
 
     Entries are sorted by key and order; the first ``old`` are not paired
-    again. Of sets that share their order (tie) either may be the earlier
-    one, and the pair is given both ways.
+    again. Of sets that share their order either may be the earlier one, so
+    the pair is given both ways. A set that several tasks have shown has an
+    entry of each; the first of them has its true order.
     """
     n, place = size >> 16, size & 0xFFFF
     taken, cut = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
@@ -235,8 +244,8 @@ def _met(key, order, code, size, bits0, bits1, old: int, threshold: float) -> tu
         met = (abs(n[later] - n[before]) <= most) & (abs(place[later] - place[before]) <= most) & (apart <= most) & (code[later] != code[before])
         x, y = later[met], before[met]
         same = order[x] == order[y]
-        out.append(np.stack([code[x], code[y], apart[met], same], 1))
-        out.append(np.stack([code[y[same]], code[x[same]], apart[met][same], same[same]], 1))
+        out.append(np.stack([code[x], code[y], apart[met]], 1))
+        out.append(np.stack([code[y[same]], code[x[same]], apart[met][same]], 1))
         taken[x] += 1
         ended = taken[later] >= NEAREST
         cut[later[ended]] = True
@@ -244,21 +253,21 @@ def _met(key, order, code, size, bits0, bits1, old: int, threshold: float) -> tu
         step += 1
     run = np.cumsum((np.diff(key, prepend=key[:1] - 1) != 0) | (np.diff(order, prepend=order[:1] - 1) != 0)) if len(key) else key
     ties = np.isin(run, run[cut])  # those of the same order may lack a pair as well
-    return np.concatenate([np.zeros((0, 4), np.int64), *out]), np.unique(code[ties])
+    return np.concatenate([np.zeros((0, 3), np.int64), *out]), np.unique(code[ties])
 
 
-def _entries(classes: DataFrame, *more: str) -> DataFrame:
-    """(key, order, class, size, bits0, bits1, ...): the classes at their keys; size holds n and the place."""
-    order = F.coalesce("first.doc_id", F.lit((1 << 63) - 1)).alias("order")
-    each = classes.select("class", order, "n", "bits0", "bits1", *more, F.explode("keys").alias("k"))
+def _entries(sets: DataFrame) -> DataFrame:
+    """(key, order, class, size, bits0, bits1): the shown sets at their keys; size holds n and the place."""
+    order = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("order")
+    each = sets.where("set IS NOT NULL").select("class", order, "set.n", "set.bits0", "set.bits1", F.explode("set.keys").alias("k"))
     size = F.shiftleft(F.col("n").cast("long"), 16).bitwiseOR(F.col("k").bitwiseAND(0xFFFF)).alias("size")
-    return each.select(F.shiftright("k", 16).alias("key"), "order", "class", size, "bits0", "bits1", *more)
+    return each.select(F.shiftright("k", 16).alias("key"), "order", "class", size, "bits0", "bits1")
 
 
-def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, apart, tie) of classes to compare, b the earlier; with b null, a class of which pairs were left out."""
+def _candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, apart) of classes to compare; with b null, a class of which pairs were left out."""
     names = ["key", "order", "class", "size", "bits0", "bits1"]
-    side = _entries(classes).repartition("key").sortWithinPartitions("key", "order")
+    side = _entries(sets).repartition("key").sortWithinPartitions("key", "order")
 
     def of_batches(batches):
         held = [np.zeros(0, np.int64)] * len(names)
@@ -267,25 +276,26 @@ def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
             old = len(held[0])
             pairs, cut = _met(*now[:4], *(x.view(np.uint64) for x in now[4:]), old, threshold)
             none = np.arange(len(pairs) + len(cut)) >= len(pairs)
-            columns = [np.concatenate([x, y]) for x, y in zip(pairs.T, (cut, cut, cut * 0, cut * 0))]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), *(pa.array(c, mask=none) for c in columns[1:])], ["a", "b", "apart", "tie"])
+            columns = [np.concatenate([x, y]) for x, y in zip(pairs.T, (cut, cut, cut * 0))]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), *(pa.array(c, mask=none) for c in columns[1:])], ["a", "b", "apart"])
             # The last key may go on; what a later entry looks back to is kept.
             same = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
             held = [x[max(same, len(x) - BACK - 1) :] for x in now]
 
-    return side.mapInArrow(of_batches, "a long, b long, apart long, tie long").distinct()
+    return side.mapInArrow(of_batches, "a long, b long, apart long").distinct()
 
 
-def _rest(classes: DataFrame, open_: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, tie): every pair that the filters leave for the classes of ``open_`` (a saved table); which is earlier is not told (tie)."""
-    left = saved(_entries(classes.join(broadcast_if_small(open_), "class")), "rest")
-    left, right = (x.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "size", "bits0", "bits1")]) for x, s in ((left, "a"), (_entries(classes), "b")))
+def _rest(sets: DataFrame, open_: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): every pair that the filters leave for the classes of ``open_`` (a saved table)."""
+    entries = _entries(sets).drop("order")
+    left = saved(entries.join(broadcast_if_small(open_), "class").distinct(), "rest")
+    left, right = (x.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "size", "bits0", "bits1")]) for x, s in ((left, "a"), (entries, "b")))
     apart = F.bit_count(F.col("bits0_a").bitwiseXOR(F.col("bits0_b"))) + F.bit_count(F.col("bits1_a").bitwiseXOR(F.col("bits1_b")))
     n, place = ([f(F.col(f"size_{s}")) for s in "ab"] for f in (lambda x: F.shiftright(x, 16), lambda x: x.bitwiseAND(0xFFFF)))
     most = (n[0] + n[1]) * ((1 - threshold) / (1 + threshold)) + 1e-9
     near = (F.abs(n[0] - n[1]) <= most) & (F.abs(place[0] - place[1]) <= most) & (apart <= most)
     met = right.join(broadcast_if_small(left), "key").where((F.col("class_a") != F.col("class_b")) & near)
-    return met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), F.lit(1).cast("long").alias("tie")).distinct()
+    return met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
 def _word_sets(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -309,14 +319,14 @@ def _word_sets(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFra
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs of classes whose words are similar enough."""
-    both = pairs.select("a", "b", "tie").join(sets.withColumnsRenamed({"class": "a", "words": "wa"}), "a").join(sets.withColumnsRenamed({"class": "b", "words": "wb"}), "b")
+    both = pairs.select("a", "b").join(sets.withColumnsRenamed({"class": "a", "words": "wa"}), "a").join(sets.withColumnsRenamed({"class": "b", "words": "wb"}), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
-    return both.where(shared >= threshold * (F.size("wa") + F.size("wb") - shared) - 1e-9).select("a", "b", "tie")
+    return both.where(shared >= threshold * (F.size("wa") + F.size("wb") - shared) - 1e-9).select("a", "b")
 
 
 def _earlier(links: DataFrame, firsts: DataFrame) -> DataFrame:
     """(class, near): of each class that matches an earlier one, the place of the earliest match known."""
-    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     ends = ends.join(firsts.select(F.col("class").alias("b"), F.col("first").alias("near")), "b").join(firsts.select(F.col("class").alias("a"), "first"), "a")
     return ends.where("near < first").groupBy(F.col("a").alias("class")).agg(F.min("near").alias("near"))
 
@@ -325,19 +335,18 @@ def later_lines(rows: DataFrame, threshold: float = 0.8, least: int = 1) -> Data
     """(doc_id, h, lines): the numbers of the lines that go, for each row of ``keyed`` that loses any."""
     sets = saved(_sets(rows, threshold, least), "lines")
     classes = saved(_classes(sets), "classes")
-    found = saved(_candidates(classes, threshold), "candidates")
+    found = saved(_candidates(sets, threshold), "candidates")
     pairs = found.where("b IS NOT NULL")
     words = _word_sets(pairs, classes, rows)
     # A class is settled by an earlier match: the most alike by bitmap is tried first, then its others.
-    best = pairs.groupBy("a").agg(F.min(F.struct("tie", "apart", "b")).alias("x")).select("a", "x.b", "x.tie")
+    best = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x")).select("a", "x.b")
     links = saved(_verified(best, words, threshold), "matches")
-    others = pairs.join(links.where("tie = 0").select("a"), "a", "left_anti")
+    others = pairs.join(_earlier(links, classes).select(F.col("class").alias("a")), "a", "left_anti")
     links = links.unionByName(saved(_verified(others, words, threshold), "more-matches"))
     # One that has none, but pairs that were left out, meets all of them.
-    settled = links.where("tie = 0").select(F.col("a").alias("class"))
-    open_ = saved(found.where("b IS NULL").select(F.col("a").alias("class")).join(settled, "class", "left_anti"), "open")
+    open_ = saved(found.where("b IS NULL").select(F.col("a").alias("class")).join(_earlier(links, classes), "class", "left_anti"), "open")
     if not open_.isEmpty():
-        rest = saved(_rest(classes, open_, threshold), "rest-pairs")
+        rest = saved(_rest(sets, open_, threshold), "rest-pairs")
         links = links.unionByName(saved(_verified(rest, _word_sets(rest, classes, rows), threshold), "rest-matches"))
     bound = classes.join(_earlier(links, classes), "class", "left").where((F.col("copies") > 1) | F.col("near").isNotNull())
     bound = saved(bound.select("class", F.least("first", F.coalesce("near", "first")).alias("bound")), "bounds")

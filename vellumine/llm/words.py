@@ -104,18 +104,37 @@ class Texts:
 
 def spans(data: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes of a class."""
-    inside = looked_up(data, kind).view(np.int8)
-    edge = np.diff(inside, prepend=np.int8(0), append=np.int8(0))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    inside = np.zeros(len(data) + 2, np.uint8)
+    inside[1:-1] = looked_up(data, kind)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+#: Bytes up to which a span is hashed by blocks of eight; a longer one by sums over all bytes.
+_SHORT = 64
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span, alike for equal bytes wherever they stand."""
-    power, inverse = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * power[:-1], out=total[1:])
-    h = (total[end] - total[start]) * inverse[start]
-    return mix(h + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    size = end - start
+    h = size.astype(np.uint64) * U(0xD6E8FEB86659FD93)
+    blocks = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    live = np.flatnonzero(size <= _SHORT)
+    for at in range(0, _SHORT, 8):
+        if at:
+            live = live[size[live] > at]
+        if not len(live):
+            break
+        word = blocks[start[live] + at] & _MASKS[np.minimum(size[live] - at, 8)]
+        mixed = (h[live] ^ word) * U(0x9FB21C651E98DF25)
+        h[live] = mixed ^ (mixed >> U(32))
+    if len(long := np.flatnonzero(size > _SHORT)):
+        power, inverse = _power_tables(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(BYTE_CODE[data] * power[:-1], out=total[1:])
+        h[long] += (total[end[long]] - total[start[long]]) * inverse[start[long]]
+    return mix(h)
 
 
 def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
