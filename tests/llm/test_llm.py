@@ -99,6 +99,16 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_simhash_hot_fingerprint(spark):
+    """Hundreds of copies among a few others: the hot fingerprint is joined by broadcast, results are the same."""
+    texts = ["the same text of many copies here"] * 400 + [f"text {i} of its own {i * 7} words {i * i}" for i in range(60)] + ["", None]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    prints = {i: brute_print(t) for i, t in enumerate(texts)}
+    some = {p: i for i, p in reversed(prints.items())}
+    root = reach([(some[a], some[b]) for a in some for b in some if a < b and (a ^ b).bit_count() <= 4], some.values())
+    assert got == {i: (f"{p:016x}", root[some[p]]) for i, p in prints.items()}
+
+
 def test_simhash_odd(odd, none):
     got = simhash.components(odd)
     assert got.count() == odd.count() and got.where("fingerprint = '0000000000000000'").count() >= 4
@@ -544,6 +554,25 @@ def test_substrings(docs, rows):
         before += "\0" + rows[i]
 
 
+def test_substrings_periodic_short_and_whole(spark):
+    """Stretches of a short period among different texts, repeats in CJK, and short whole copies."""
+    rng = np.random.default_rng(21)
+
+    def words(n):
+        return " ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(n))
+
+    stretch = {10: "no " * 120, 20: "-" * 400, 30: "0, " * 90, 40: "".join(chr(0x4E00 + int(k)) for k in rng.integers(0, 3000, 200))}
+    rows = []
+    for k, x in stretch.items():
+        rows += [(k, f"{words(30)} {x}{words(20)}"), (k + 1, f"{words(41)} {x}{words(25)}")]
+    rows += [(50, "short copy"), (51, "short copy"), (52, "short"), (53, "-" * 30), (54, "-" * 30), (60, "\n" * 70 + words(9)), (61, words(8) + "\n" * 70)]
+    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(sum(s.b - s.a for s in got[k + 1].vq_spans) >= 0.6 * len(x) and not got[k].vq_spans for k, x in stretch.items())
+    assert got[51].text == "" and got[54].text == "" and got[51].vq_first_ids == [50] and got[50].text == "short copy" and not got[52].vq_spans
+    again = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert substring_dedup.dedup_substrings(again).columns == again.columns
+
+
 def test_substrings_odd(odd, none):
     got = substring_dedup.dedup_substrings(odd)
     assert got.count() == odd.count() and got.where("doc_id = 1 AND text IS NULL AND size(vq_spans) = 0").count() == 1

@@ -179,10 +179,14 @@ def _sets(rows: DataFrame, threshold: float, least: int) -> DataFrame:
                 lines = Lines(Words(W.Texts(part.column("text"))), rank, often)
                 code = W.mix(_sums(W.mix(lines.token), lines.first, lines.size) + lines.size.astype(np.uint64))
                 wide = np.flatnonzero(lines.size >= least)
-                _, place = np.unique(code[wide], return_index=True)
-                fresh = wide[place]
-                fresh = np.sort(fresh[~np.isin(code[fresh], seen)])
-                seen = np.union1d(seen, code[fresh])
+                order = wide[np.argsort(code[wide], kind="stable")]
+                sorted_code = code[order]
+                new = np.ones(len(order), bool)
+                new[1:] = sorted_code[1:] != sorted_code[:-1]
+                at = np.searchsorted(seen, sorted_code)
+                new &= np.append(seen, U(0))[at] != sorted_code if len(seen) else True
+                seen = np.insert(seen, at[new], sorted_code[new])
+                fresh = np.sort(order[new])
                 full = np.zeros(len(code), bool)
                 full[fresh] = True
                 token = lines.token[full[lines.line]]
@@ -220,10 +224,12 @@ def _classes(sets: DataFrame) -> DataFrame:
 
 
 #: Earlier sets that a set is paired with at a key, and how far back it looks; what goes beyond is settled by ``_rest``.
-NEAREST, BACK = 8, 4096
+NEAREST, BACK = 32, 4096
+#: Entries that are paired at a time, with those that they look back to.
+ENTRIES = 100_000
 
 
-def _met(key, order, code, size, bits0, bits1, old: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def _met(key, order, code, size, bits0, bits1, old: int, threshold: float, nearest: int, back: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (a, b, apart) of sets at a key that pass the filters, b before a, and sets with pairs left out.
 
     Entries are sorted by key and order; the first ``old`` are not paired
@@ -233,27 +239,34 @@ def _met(key, order, code, size, bits0, bits1, old: int, threshold: float) -> tu
     """
     n, place = size >> 16, size & 0xFFFF
     taken, cut = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-    out, step, later = [], 1, np.arange(max(old, 1), len(key))
+    left, right, bits, step, later = [], [], [], 1, np.arange(max(old, 1), len(key))
     while len(later := later[later >= step]) and len(later := later[key[later] == key[later - step]]):
-        if step > BACK:
+        if step > back:
             cut[later] = True
             break
         before = later - step
         apart = np.bitwise_count(bits0[later] ^ bits0[before]).astype(np.int64) + np.bitwise_count(bits1[later] ^ bits1[before])
         most = (n[later] + n[before]) * ((1 - threshold) / (1 + threshold)) + 1e-9
         met = (abs(n[later] - n[before]) <= most) & (abs(place[later] - place[before]) <= most) & (apart <= most) & (code[later] != code[before])
-        x, y = later[met], before[met]
-        same = order[x] == order[y]
-        out.append(np.stack([code[x], code[y], apart[met]], 1))
-        out.append(np.stack([code[y[same]], code[x[same]], apart[met][same]], 1))
-        taken[x] += 1
-        ended = taken[later] >= NEAREST
-        cut[later[ended]] = True
-        later = later[~ended]
+        if met.any():
+            x, y = later[met], before[met]
+            left.append(x)
+            right.append(y)
+            bits.append(apart[met])
+            taken[x] += 1
+            ended = taken[later] >= nearest
+            cut[later[ended]] = True
+            later = later[~ended]
         step += 1
-    run = np.cumsum((np.diff(key, prepend=key[:1] - 1) != 0) | (np.diff(order, prepend=order[:1] - 1) != 0)) if len(key) else key
-    ties = np.isin(run, run[cut])  # those of the same order may lack a pair as well
-    return np.concatenate([np.zeros((0, 3), np.int64), *out]), np.unique(code[ties])
+    none = np.zeros(0, np.int64)
+    x, y, apart = (np.concatenate([none, *z]) for z in (left, right, bits))
+    same = order[x] == order[y]
+    pairs = np.stack([np.concatenate([code[x], code[y[same]]]), np.concatenate([code[y], code[x[same]]]), np.concatenate([apart, apart[same]])], 1)
+    ties = cut
+    if cut.any():  # those of the same order may lack a pair as well
+        run = np.cumsum((np.diff(key, prepend=key[:1] - 1) != 0) | (np.diff(order, prepend=order[:1] - 1) != 0))
+        ties = np.isin(run, run[cut])
+    return np.unique(pairs, axis=0) if len(pairs) else pairs, np.unique(code[ties])
 
 
 def _entries(sets: DataFrame) -> DataFrame:
@@ -268,33 +281,44 @@ def _candidates(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, apart) of classes to compare; with b null, a class of which pairs were left out."""
     names = ["key", "order", "class", "size", "bits0", "bits1"]
     side = _entries(sets).repartition("key").sortWithinPartitions("key", "order")
+    nearest, back = NEAREST, BACK
 
     def of_batches(batches):
-        held = [np.zeros(0, np.int64)] * len(names)
-        for batch in batches:
-            now = [np.concatenate([a, batch.column(c).to_numpy(zero_copy_only=False)]) for a, c in zip(held, names)]
-            old = len(held[0])
-            pairs, cut = _met(*now[:4], *(x.view(np.uint64) for x in now[4:]), old, threshold)
+        def paired(held: list, waiting: list) -> tuple[list, pa.RecordBatch]:
+            now = [np.concatenate([a, *x]) for a, x in zip(held, zip(*waiting))]
+            pairs, cut = _met(*now[:4], *(x.view(np.uint64) for x in now[4:]), len(held[0]), threshold, nearest, back)
             none = np.arange(len(pairs) + len(cut)) >= len(pairs)
             columns = [np.concatenate([x, y]) for x, y in zip(pairs.T, (cut, cut, cut * 0))]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), *(pa.array(c, mask=none) for c in columns[1:])], ["a", "b", "apart"])
             # The last key may go on; what a later entry looks back to is kept.
-            same = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
-            held = [x[max(same, len(x) - BACK - 1) :] for x in now]
+            same = int(np.searchsorted(now[0], now[0][-1]))
+            held = [x[max(same, len(x) - back - 1) :] for x in now]
+            return held, pa.RecordBatch.from_arrays([pa.array(columns[0]), *(pa.array(c, mask=none) for c in columns[1:])], ["a", "b", "apart"])
+
+        held, waiting = [np.zeros(0, np.int64)] * len(names), []
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+            if sum(len(x[0]) for x in waiting) >= ENTRIES:
+                held, made = paired(held, waiting)
+                waiting = []
+                yield made
+        if waiting:
+            yield paired(held, waiting)[1]
 
     return side.mapInArrow(of_batches, "a long, b long, apart long").distinct()
 
 
 def _rest(sets: DataFrame, open_: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): every pair that the filters leave for the classes of ``open_`` (a saved table)."""
-    entries = _entries(sets).drop("order")
-    left = saved(entries.join(broadcast_if_small(open_), "class").distinct(), "rest")
-    left, right = (x.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "size", "bits0", "bits1")]) for x, s in ((left, "a"), (entries, "b")))
+    """(a, b): every pair that the filters leave for the classes of ``open_`` (class, until; a saved table) and those not after ``until``."""
+    entries = _entries(sets)
+    left = saved(entries.drop("order").join(broadcast_if_small(open_), "class").distinct(), "rest")
+    left = left.select("key", "until", *[F.col(c).alias(f"{c}_a") for c in ("class", "size", "bits0", "bits1")])
+    right = entries.select("key", "order", *[F.col(c).alias(f"{c}_b") for c in ("class", "size", "bits0", "bits1")])
     apart = F.bit_count(F.col("bits0_a").bitwiseXOR(F.col("bits0_b"))) + F.bit_count(F.col("bits1_a").bitwiseXOR(F.col("bits1_b")))
     n, place = ([f(F.col(f"size_{s}")) for s in "ab"] for f in (lambda x: F.shiftright(x, 16), lambda x: x.bitwiseAND(0xFFFF)))
     most = (n[0] + n[1]) * ((1 - threshold) / (1 + threshold)) + 1e-9
     near = (F.abs(n[0] - n[1]) <= most) & (F.abs(place[0] - place[1]) <= most) & (apart <= most)
-    met = right.join(broadcast_if_small(left), "key").where((F.col("class_a") != F.col("class_b")) & near)
+    met = right.join(broadcast_if_small(left), "key").where((F.col("class_a") != F.col("class_b")) & (F.col("order") <= F.col("until")) & near)
     return met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
@@ -344,7 +368,9 @@ def later_lines(rows: DataFrame, threshold: float = 0.8, least: int = 1) -> Data
     others = pairs.join(_earlier(links, classes).select(F.col("class").alias("a")), "a", "left_anti")
     links = links.unionByName(saved(_verified(others, words, threshold), "more-matches"))
     # One that has none, but pairs that were left out, meets all of them.
-    open_ = saved(found.where("b IS NULL").select(F.col("a").alias("class")).join(_earlier(links, classes), "class", "left_anti"), "open")
+    until = F.coalesce("first.doc_id", F.lit((1 << 63) - 1)).alias("until")
+    open_ = found.where("b IS NULL").select(F.col("a").alias("class")).join(_earlier(links, classes), "class", "left_anti")
+    open_ = saved(open_.join(classes.select("class", until), "class"), "open")
     if not open_.isEmpty():
         rest = saved(_rest(sets, open_, threshold), "rest-pairs")
         links = links.unionByName(saved(_verified(rest, _word_sets(rest, classes, rows), threshold), "rest-matches"))
