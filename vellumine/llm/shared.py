@@ -72,6 +72,22 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if table_bytes(df) <= BROADCAST_BYTES else df
 
 
+#: A key with more than one in so many of all rows is joined by broadcast: there are no more such keys.
+HOT_SHARE = 1000
+
+
+def with_known(rows: DataFrame, known: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined with ``known`` (a saved table with one row for each key, which counts its rows in ``count``).
+
+    Rows of hot keys never meet in one task: these keys, HOT_SHARE at most,
+    are broadcast to the rows where they are.
+    """
+    total = known.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = F.broadcast(known.where(F.col(count) * HOT_SHARE > total))
+    rest = rows.join(hot.select(key), key, "left_anti").join(known.where(F.col(count) * HOT_SHARE <= total), key)
+    return rows.join(hot, key).unionByName(rest).drop(count)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, made longer until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}
@@ -80,6 +96,23 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+RUNS = "array<struct<a:bigint,b:bigint>>"
+
+
+def merged_runs(pieces: Column) -> Column:
+    """The union of runs (a, b), as an array in order; runs that touch are one."""
+    none = F.struct(F.array().cast(RUNS).alias("out"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
+
+    def closed(s: Column) -> Column:
+        return F.when(s["a"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b")))))
+
+    def add(s: Column, p: Column) -> Column:
+        on = F.coalesce(p["a"] <= s["b"], F.lit(False))
+        return F.when(on, F.struct(s["out"].alias("out"), s["a"].alias("a"), F.greatest(s["b"], p["b"]).alias("b"))).otherwise(F.struct(closed(s).alias("out"), p["a"].alias("a"), p["b"].alias("b")))
+
+    return F.aggregate(F.array_sort(pieces), none, add, closed)
+
+
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, h, text) of ``docs``: id as long, hash of the text, text; other columns are not read.
 

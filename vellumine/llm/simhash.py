@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from vellumine.llm import words as W
 from vellumine.llm.components import connected
-from vellumine.llm.shared import joined, keyed, map_texts, saved
+from vellumine.llm.shared import joined, keyed, map_texts, saved, with_known
 
 U = np.uint64
 _P1, _P2, _P3, _P4, _P5 = (
@@ -38,7 +38,11 @@ def _round(acc: np.ndarray, lane: np.ndarray) -> np.ndarray:
 
 
 def xxh64(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 42) -> np.ndarray:
-    """XXH64 of many byte spans of ``data`` at once."""
+    """XXH64 of many byte spans of ``data`` at once.
+
+    ``F.xxhash64`` gives the same, but each shingle would have to be a string
+    of its own in Spark; here shingles are spans of one array.
+    """
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     u64 = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
     u32 = np.ndarray((len(data) + 1,), "<u4", padded, strides=(1,))
@@ -187,23 +191,21 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     id of their component, null if it has none; repeated rows stay repeated.
     An empty table gives an empty result. No other column of ``docs`` is read.
     """
-    rooted = _rooted(keyed(docs, doc_id, text), shingle, max_bits)
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root").select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"),
-        "component_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-    )
-
-
-def _rooted(rows: DataFrame, shingle: int, max_bits: int) -> DataFrame:
-    """(doc_id, h, bits, root, n_links) of each row; root is the component's least fingerprint."""
-    prints = saved(fingerprints(rows, shingle), "fingerprints")
-    found = saved(links(prints.select("bits").distinct(), max_bits), "near")
+    prints = saved(fingerprints(keyed(docs, doc_id, text), shingle), "fingerprints")
+    # One row for each fingerprint from here on; copies were counted in the tasks that made them.
+    each = saved(prints.groupBy("bits").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), "distinct")
+    placed = each.join(_roots(each.select("bits"), max_bits), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = saved(placed.join(least, "root").select("bits", "copies", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "components")
+    met = with_known(prints.select("doc_id", "bits"), known, "bits", "copies")
+    return met.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
+def _roots(bits: DataFrame, max_bits: int) -> DataFrame:
+    """(bits, root, n_links) of each fingerprint that has links; root is the component's least fingerprint."""
+    found = saved(links(bits, max_bits), "near")
     ends = found.select(F.explode(F.array("a", "b")).alias("bits")).groupBy("bits").agg(F.count("*").alias("n_links"))
-    roots = saved(connected(found).select(F.col("node").alias("bits"), "root").join(ends, "bits"), "roots")
-    return prints.join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+    return connected(found).select(F.col("node").alias("bits"), "root").join(ends, "bits")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, max_bits: int = 4) -> DataFrame:
@@ -213,7 +215,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     that share the least id the one with the smaller text hash stays, and of
     rows that share id and text one. An empty table stays empty.
     """
-    return first_of_each(docs, _rooted(keyed(docs, doc_id, text), shingle, max_bits), doc_id, text)
+    prints = saved(fingerprints(keyed(docs, doc_id, text), shingle), "fingerprints")
+    each = saved(prints.groupBy("bits").agg(F.count("*").alias("copies")), "distinct")
+    known = saved(each.join(_roots(each.select("bits"), max_bits), "bits", "left").select("bits", "copies", F.coalesce("root", "bits").alias("root")), "roots")
+    return first_of_each(docs, with_known(prints, known, "bits", "copies").select("doc_id", "h", "root"), doc_id, text)
 
 
 def first_of_each(docs: DataFrame, rooted: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -226,7 +231,8 @@ def first_of_each(docs: DataFrame, rooted: DataFrame, doc_id: str, text: str) ->
 
 
 def _first_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One of the rows of ``docs`` that share id and text."""
+    """Of the rows of ``docs`` that share id and text the one that is first as JSON; such rows are alike or differ elsewhere."""
     key = [F.col(doc_id).cast("long").alias("i"), F.xxhash64(F.col(text).cast("string")).alias("h")]
-    whole = docs.select(*key, F.struct("*").alias("row")).groupBy("i", "h").agg(F.first("row").alias("row"))
+    row = F.struct("*")
+    whole = docs.select(*key, row.alias("row"), F.to_json(row, {"ignoreNullFields": "false"}).alias("order")).groupBy("i", "h").agg(F.min_by("row", "order").alias("row"))
     return whole.select("row.*")
