@@ -3,7 +3,9 @@
 A gear rolling hash runs over a text's bytes; a cut falls where the hash of
 the bytes just before is the largest of its neighbourhood. Cuts depend on the
 bytes around them only, so they return with a repeated passage wherever it
-stands and whatever was inserted before it. Chunks are deduplicated by the
+stands and whatever was inserted before it. Where a few bytes repeat on and
+on, no hash is the largest; there cuts fall at fixed steps from where that
+begins, and where it ends. Chunks are deduplicated by the
 digest of a chunk and its successor; runs of repeated chunks are the repeated
 passages, and all but the first of each goes.
 
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm import words as W
-from vellumine.llm.shared import broadcast_if_small, joined, keyed, saved
+from vellumine.llm.shared import RUNS, broadcast_if_small, joined, keyed, merged_runs, saved
 
 U = W.U
 #: Bytes that the gear hash sees, and how far around a cut its hash is the largest.
@@ -51,6 +53,33 @@ def _highest(h: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+#: A stretch with a period of up to SIGHT bytes counts from so many bytes on; bytes between its cuts.
+STRETCH, STEP = 48, 64
+
+
+def periodic_cuts(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places to cut in stretches that repeat 1 to SIGHT bytes: each STEP bytes from their start, and their end.
+
+    Beside them each one's number in its stretch (0 for the ends), which is
+    part of a chunk's digest: a stretch is no repeat of itself. ``start`` are
+    the places where texts begin; no stretch crosses them.
+    """
+    taken, cuts, numbers = np.zeros(len(data), bool), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for period in range(1, min(SIGHT, len(data) - 1) + 1):
+        same = np.zeros(len(data) - period + 2, bool)
+        same[1:-1] = (data[period:] == data[:-period]) & ~taken[period:]
+        head = (start[:, None] + np.arange(period)).ravel() - period
+        same[1 + head[(head >= 0) & (head < len(data) - period)]] = False
+        edge = np.flatnonzero(same[1:] != same[:-1])
+        begin, end = edge[::2], edge[1::2]
+        long = end - begin >= STRETCH
+        for a, b in zip(begin[long].tolist(), end[long].tolist()):  # data[a:b + period] has the period
+            taken[a : b + period] = True
+            cuts.append(np.append(np.arange(a, b + period, STEP), b + period))
+            numbers.append(np.append(np.arange(len(cuts[-1]) - 1), 0))
+    return np.concatenate(cuts), np.concatenate(numbers)
+
+
 class Chunks:
     """The chunks of some texts: bounds in bytes and code points, owner, number."""
 
@@ -71,7 +100,13 @@ class Chunks:
         left, right = top[:size], top[REACH + 1 : REACH + 1 + size]
         cut = np.flatnonzero((before > left) & (before >= right))
         full = np.flatnonzero(start[1:] - 1 > start[:-1])
-        self.begin = np.sort(np.concatenate([start[:-1][full], cut]))
+        extra, number = periodic_cuts(data, start)
+        extra, number = extra[extra < size], number[extra < size]
+        while len(back := np.flatnonzero(~lead[extra])):  # to where a code point begins
+            extra[back] -= 1
+        inside = ~np.isin(extra, start[1:] - 1)
+        extra, number = extra[inside], number[inside]
+        self.begin = np.unique(np.concatenate([start[:-1][full], cut, extra]))
         self.owner = texts.owner(self.begin)
         last = np.ones(len(self.begin), bool)
         last[:-1] = self.owner[1:] != self.owner[:-1]
@@ -85,6 +120,8 @@ class Chunks:
         self.point = points[self.begin] - points[start[:-1][self.owner]]
         self.points = points[self.end] - points[self.begin]
         self.digest = W.span_hashes(data, self.begin, self.end)
+        at = np.searchsorted(self.begin, extra[number > 0])
+        self.digest[at] = W.mix(self.digest[at] + number[number > 0].astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Chunks that have a successor, and two digests of both."""
@@ -143,32 +180,27 @@ def _place() -> Column:
 def repeats(rows: DataFrame, least: int = 80) -> DataFrame:
     """(doc_id, h, spans, first_ids): the repeated passages of each row of ``keyed`` that has any.
 
-    ``spans`` are (a, b) in code points, in order, each of ``least`` at
-    least; ``first_ids`` the ids of the documents that hold the first copies.
+    ``spans`` are (a, b) in code points, in order, each of ``least`` at least
+    or the whole text; ``first_ids`` the ids of the documents that hold the
+    first copies.
     """
     found = saved(_occurrences(rows), "chunks")
     firsts = found.groupBy("d0", "d1").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first < last").drop("last")
     firsts = saved(firsts, "firsts")
     later = found.join(broadcast_if_small(firsts), ["d0", "d1"]).where(_place() > F.col("first"))
     # A repeated digest covers its chunk and the next.
-    piece = F.struct(F.col("point").alias("a"), (F.col("point") + F.col("points") + F.col("next")).alias("b"))
-    grouped = later.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(piece)).alias("pieces"), F.array_sort(F.collect_set("first.doc_id")).alias("first_ids"))
-
-    def merged(frames):
-        for f in frames:
-            out = []
-            for pieces in f["pieces"]:
-                runs: list[list[int]] = []
-                for p in pieces:
-                    if runs and p["a"] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], p["b"])
-                    else:
-                        runs.append([p["a"], p["b"]])
-                out.append([{"a": a, "b": b} for a, b in runs if b - a >= least])
-            f["spans"] = out
-            yield f.loc[f["spans"].map(len) > 0, ["doc_id", "h", "spans", "first_ids"]]
-
-    return grouped.mapInPandas(merged, "doc_id long, h long, spans array<struct<a:bigint,b:bigint>>, first_ids array<bigint>")
+    pieces = later.select("doc_id", "h", F.col("point").alias("a"), (F.col("point") + F.col("points") + F.col("next")).alias("b"), F.col("first.doc_id").alias("first_id"), F.lit(False).alias("whole"))
+    # Copies of a whole text, however short, are settled by its own digest.
+    size = F.length("text").cast("long")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    texts = rows.where("text <> ''").select("h", "doc_id", size.alias("size"))
+    first = texts.groupBy("h", "size").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select(F.col("h").alias("g"), F.col("size").alias("n"), "first")
+    met = texts.join(broadcast_if_small(saved(first, "copies")), (F.col("h") == F.col("g")) & (F.col("size") == F.col("n"))).where(place > F.col("first"))
+    copies = met.select("doc_id", "h", F.lit(0).cast("long").alias("a"), F.col("size").alias("b"), F.col("first.doc_id").alias("first_id"), F.lit(True).alias("whole"))
+    each = pieces.unionByName(copies).groupBy("doc_id", "h")
+    grouped = each.agg(F.collect_set(F.struct("a", "b")).alias("pieces"), F.array_sort(F.collect_set("first_id")).alias("first_ids"), F.max("whole").alias("whole"))
+    spans = F.filter(merged_runs(F.col("pieces")), lambda x: F.col("whole") | (x["b"] - x["a"] >= least))
+    return grouped.select("doc_id", "h", spans.alias("spans"), "first_ids").where("size(spans) > 0")
 
 
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 80) -> DataFrame:
@@ -176,15 +208,17 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     Of all copies of a passage the one in the row with the least doc_id (then
     text hash, then place; null ids last) stays. A passage is a run of
-    repeated chunks of ``least`` code points or more; repeats of over about
-    150 bytes hold such a run. Rows that share id and text are one row here
-    and stay alike. Null text stays null; a text that goes whole leaves an
-    empty one; both lists are empty where nothing went. All other columns
-    stay. An empty table stays empty.
+    repeated chunks of ``least`` code points or more, or a whole text of any
+    length; a run begins and ends at a cut, so that a repeat may keep a few
+    bytes at either end, and one of under about 150 bytes may be missed. Rows
+    that share id and text are one row here and stay alike. Null text stays
+    null; a text that goes whole leaves an empty one; both lists are empty
+    where nothing went. All other columns stay, but those named ``vq_spans``
+    and ``vq_first_ids`` are replaced. An empty table stays empty.
     """
+    docs = docs.drop("vq_spans", "vq_first_ids")
     found = saved(repeats(keyed(docs, doc_id, text), least), "passages")
-    verdicts = found.withColumnsRenamed({"spans": "vq_spans", "first_ids": "vq_first_ids"})
-    marked = joined(docs, broadcast_if_small(verdicts), "left", doc_id, text)
+    marked = joined(docs, broadcast_if_small(found.withColumnsRenamed({"spans": "vq_spans", "first_ids": "vq_first_ids"})), "left", doc_id, text)
     whole = F.col(text)
     start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at"))
     rest = F.aggregate("vq_spans", start, lambda s, x: F.struct(F.concat(s["kept"], whole.substr((s["at"] + 1).cast("int"), (x["a"] - s["at"]).cast("int"))).alias("kept"), x["b"].alias("at")))
@@ -192,7 +226,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return marked.withColumns(
         {
             text: F.when(F.col("vq_spans").isNull(), whole).otherwise(out),
-            "vq_spans": F.coalesce("vq_spans", F.array().cast("array<struct<a:bigint,b:bigint>>")),
+            "vq_spans": F.coalesce("vq_spans", F.array().cast(RUNS)),
             "vq_first_ids": F.coalesce("vq_first_ids", F.array().cast("array<bigint>")),
         }
     )
