@@ -28,9 +28,16 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 #: The transformed statistics and the resolution of each: a spread that is always allowed for,
 #: so that a statistic that is the same in most texts (no symbols) has no zero scatter.
 STATS = {"word_length": 0.05, "symbols": 0.03, "letters": 0.1, "repeats": 0.2, "variety": 0.05, "length": 0.2, "stops": 0.15}
-#: Share of a group that the estimate rests on, and what makes its scatter consistent for a
-#: normal sample of seven statistics.
+#: Share of a group that the estimate rests on, and what makes its scatter consistent for a normal sample
+#: of d = 7 statistics: 0.75 / P(chi-square of d + 2 <= q) with q the 0.75 quantile of chi-square of d.
 CORE, CONSISTENCY = 0.75, 1.33
+#: Texts a statistic from which on a group has an estimate of its own. In a smaller one the distance of a text
+#: outside the core says more of the sample than of the text: by Hotelling's law with 11 texts one clean text
+#: in a hundred is beyond the cutoff.
+TEXTS_A_STATISTIC = 4
+#: The distance at which a text is rejected. A normal sample of seven has one in a thousand beyond 4.9; clean
+#: texts have longer tails, and those that the rule is for lie far beyond 10.
+CUTOFF = 10.0
 
 
 def count_texts(texts: W.Texts) -> list[np.ndarray]:
@@ -184,14 +191,15 @@ def _concentrated(stats: DataFrame, fit: DataFrame) -> DataFrame:
     return moments.mapInPandas(rows, "pool string, mean array<double>, inverse array<double>")
 
 
-def rate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = 10.0, least: int = 100, steps: int = 5) -> DataFrame:
-    """(doc_id, h, COUNTS, base_failed, distance, kept) of each row of ``docs``.
+def rate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF, least: int = TEXTS_A_STATISTIC * len(STATS), steps: int = 5) -> DataFrame:
+    """(doc_id, h, COUNTS, base_failed, distance, kept, pool) of each row of ``docs``.
 
     ``distance`` is the Mahalanobis distance from the robust estimate of the
     row's language and source, over texts that pass the hard rules; a row is
     kept if it passes them and its distance is ``cutoff`` at most. Groups of
-    fewer than ``least`` such texts are pooled; without a pool of that size
-    the distance is null and the hard rules decide alone. Null text counts as
+    fewer than ``least`` such texts are pooled (``pool`` names the estimate
+    that a row used); without a pool of that size the distance is null and
+    the hard rules decide alone. Null text counts as
     empty (fails), null language or source as a group of its own. Repeated
     rows get the same verdict each; an empty table gives an empty result.
     """
@@ -207,7 +215,7 @@ def rate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         fit = saved(_concentrated(fitted, fit), "step")
     rated = put.join(fit, "pool", "left").withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(_distance())))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
-    return rated.select("doc_id", "h", *COUNTS, "base_failed", "distance", kept.alias("kept"))
+    return rated.select("doc_id", "h", *COUNTS, "base_failed", "distance", kept.alias("kept"), "pool")
 
 
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:

@@ -47,7 +47,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality_rules.rate(read(spark, sf_dir, "documents"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return rated.select("doc_id", *counts, "base_failed", "kept", F.round("distance", 6).alias("distance"))
+    return rated.select("doc_id", *counts, "base_failed", "kept", F.round("distance", 6).alias("distance"), "pool")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
