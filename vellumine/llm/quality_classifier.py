@@ -138,7 +138,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id:
     stats = saved(statistics(docs, doc_id, text), "statistics")
     marks = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     marks = marks.where(crc_fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.avg("label").alias("label"))
-    model = fit(stats.join(marks, "doc_id").withColumn("calibrate", crc_fold(F.col("doc_id")) == 4))
+    model = fit(saved(stats.join(marks, "doc_id").withColumn("calibrate", crc_fold(F.col("doc_id")) == 4), "train"))
     if model is None:
         scored = stats.select("doc_id", F.lit(0.5).alias("score"))
     else:
