@@ -7,9 +7,10 @@ the kept hash at the same place in it. Documents' kept hashes are looked up
 among the benchmark's; every hit is extended word by word to the longest
 shared run, which counts if it holds a whole window.
 
-The benchmark is split into blocks of bounded text. A block's index is
-broadcast to all documents; with more than one block the documents pass
-through them in turn, each pass a table in the shared folder.
+A benchmark of bounded text is broadcast to the documents as an index. A
+larger one stays a table of kept hashes: a bitmap of fixed size sifts the
+documents' own, what passes is equality-joined with the table, and each pair
+of a document and an item that meet is extended by itself.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm import words as W
-from vellumine.llm.shared import joined, keyed, saved
+from vellumine.llm.shared import RUNS, broadcast_if_small, joined, keyed, merged_runs, saved, table_bytes
 
 #: Words of a k-gram where the window is that long.
 GRAM = 6
-#: Bytes of benchmark text whose index is broadcast at once.
-BLOCK_BYTES = 4_000_000
+#: Bytes of benchmark text up to which its index is broadcast, and bits of the bitmap beyond that.
+BLOCK_BYTES, BITMAP = 4_000_000, 1 << 27
 #: Low bits of a hash that are looked up before the hash itself.
 SIEVE = W.U((1 << 20) - 1)
 
@@ -66,13 +67,14 @@ class Index:
     """The fingerprints of a block of items, by window length."""
 
     words: Words
-    ids: list[str]
+    #: Of each text the ids of the items that have it.
+    ids: list[list[str]]
     #: window: sorted hashes, the word of each, and a sieve of their low bits.
     by_window: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def index_of(items: pa.RecordBatch, window: int) -> Index:
-    """Index of the items (``item``, ``text``) of a block; items without words have none."""
+    """Index of item texts (``items``, their ids; ``text``); a text without words has none."""
     words = Words(W.Texts(items.column("text")))
     length = np.minimum(words.count, window)
     by_window = {}
@@ -88,7 +90,7 @@ def index_of(items: pa.RecordBatch, window: int) -> Index:
         sieve = np.zeros(int(SIEVE) + 1, bool)
         sieve[(pairs[:, 0] & SIEVE).astype(np.int64)] = True
         by_window[size] = (pairs[:, 0], pairs[:, 1].astype(np.int64), sieve)
-    return Index(words, ["" if x is None else x for x in items.column("item").to_pylist()], by_window)
+    return Index(words, items.column("items").to_pylist(), by_window)
 
 
 def _run(doc: Words, p: int, items: Words, q: int) -> tuple[int, int]:
@@ -131,28 +133,23 @@ def hits(texts: W.Texts, index: Index) -> tuple[np.ndarray, list[list[tuple[int,
                     continue
                 owner = int(doc.owner[p])
                 runs[owner].append((a - int(doc.first[owner]), b - int(doc.first[owner])))
-                found[owner].add(index.ids[int(items.owner[q])])
+                found[owner].update(index.ids[int(items.owner[q])])
     return doc.count, runs, found
 
 
-def _merged(runs: list[tuple[int, int]]) -> list[dict[str, int]]:
-    out: list[dict[str, int]] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1]["b"]:
-            out[-1]["b"] = max(b, out[-1]["b"])
-        else:
-            out.append({"a": a, "b": b})
-    return out
+_RUNS_ARROW = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+_FOUND = f"doc_id long, h long, runs {RUNS}, items array<string>, n_words long"
 
 
-_RUNS = "array<struct<a:bigint,b:bigint>>"
-_RUNS_ARROW = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+def _found_rows(part: pa.RecordBatch, n, runs, found) -> pa.RecordBatch:
+    runs = pa.array([[{"a": a, "b": b} for a, b in r] for r in runs], _RUNS_ARROW)
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), runs, pa.array([sorted(f) for f in found], pa.list_(pa.string())), pa.array(n)], ["doc_id", "h", "runs", "items", "n_words"])
 
 
-def _pass(rows: DataFrame, items: list, window: int, carry_text: bool) -> DataFrame:
-    """``rows`` (doc_id, h, runs, items, text) with what one block of items adds."""
-    block = pa.RecordBatch.from_pylist([r.asDict() for r in items], pa.schema([("item", pa.string()), ("text", pa.string())]))
-    sent = rows.sparkSession.sparkContext.broadcast(block.serialize().to_pybytes() if items else None)
+def _by_broadcast(rows: DataFrame, texts: DataFrame, window: int) -> DataFrame:
+    """(doc_id, h, runs, items, n_words) of each row of ``keyed``; ``texts`` holds BLOCK_BYTES of text at most."""
+    block = texts.select("items", "text").toArrow().combine_chunks()
+    sent = rows.sparkSession.sparkContext.broadcast(block.to_batches()[0].serialize().to_pybytes() if block.num_rows else None)
     schema = block.schema.serialize().to_pybytes()
 
     def of_batches(batches):
@@ -161,18 +158,71 @@ def _pass(rows: DataFrame, items: list, window: int, carry_text: bool) -> DataFr
             index = index_of(pa.ipc.read_record_batch(pa.py_buffer(sent.value), pa.ipc.read_schema(pa.py_buffer(schema))), window)
         for batch in batches:
             for part in W.slices(batch, "text"):
-                texts = W.Texts(part.column("text"))
-                n, runs, found = hits(texts, index) if index else (Words(texts).count, [[]] * texts.n, [set()] * texts.n)
-                old_runs, old_items = part.column("runs"), part.column("items")
-                runs = [r if not len(o) else r + [(x["a"], x["b"]) for x in o.as_py()] for r, o in zip(runs, old_runs)]
-                found = [f if not len(o) else f | set(o.as_py()) for f, o in zip(found, old_items)]
-                made = [part.column("doc_id"), part.column("h"), pa.array([_merged(r) for r in runs], _RUNS_ARROW), pa.array([sorted(f) for f in found], pa.list_(pa.string())), pa.array(n)]
-                names = ["doc_id", "h", "runs", "items", "n_words"]
-                if carry_text:
-                    made, names = [*made, part.column("text")], [*names, "text"]
-                yield pa.RecordBatch.from_arrays(made, names)
+                own = W.Texts(part.column("text"))
+                yield _found_rows(part, *(hits(own, index) if index else (Words(own).count, [[]] * own.n, [set()] * own.n)))
+
+    return rows.mapInArrow(of_batches, _FOUND)
+
+
+def _keys(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The text number and a key of each distinct kept hash of the windows of that many words."""
+    at, least = words.kept(window)
+    pairs = np.unique(np.stack([words.owner[at].astype(np.uint64), W.mix(least + W.U(window))], 1), axis=0)
+    return pairs[:, 0].astype(np.int64), np.ascontiguousarray(pairs[:, 1])
+
+
+def _by_join(rows: DataFrame, texts: DataFrame, window: int) -> DataFrame:
+    """As ``_by_broadcast``, for ``texts`` (a saved table) of any size."""
+
+    def of_items(batches):
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                words = Words(W.Texts(part.column("text")))
+                length = np.minimum(words.count, window)
+                for size in sorted(set(length[length > 0].tolist())):
+                    owner, key = _keys(words, size)
+                    owner, key = (x[length[owner] == size] for x in (owner, key))
+                    yield pa.RecordBatch.from_arrays([part.column("g").take(pa.array(owner)), pa.array(key.view(np.int64)), pa.array(np.full(len(key), size, np.int32))], ["g", "key", "size"])
+
+    prints = saved(texts.select("g", "text").mapInArrow(of_items, "g long, key long, size int"), "prints")
+    bit = F.col("key").bitwiseAND(BITMAP - 1)
+    maps = prints.groupBy(F.shiftright(bit, 15).alias("part")).agg(F.bitmap_construct_agg(bit.bitwiseAND(32767)).alias("bits"))
+    sieve = np.zeros(BITMAP // 8, np.uint8)
+    for r in maps.toLocalIterator():  # BITMAP / 32768 rows of 4 KB at most
+        sieve[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    sizes = [r["size"] for r in prints.select("size").distinct().collect()]  # ``window`` rows at most
+    sent = rows.sparkSession.sparkContext.broadcast(sieve)
+
+    def of_docs(batches):
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                words = Words(W.Texts(part.column("text")))
+                lists = [np.zeros(0, np.uint64)] * part.num_rows
+                for size in sizes:
+                    owner, key = _keys(words, size)
+                    b = (key & W.U(BITMAP - 1)).astype(np.int64)
+                    maybe = (sent.value[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
+                    for k in np.unique(owner[maybe]).tolist():
+                        lists[k] = np.concatenate([lists[k], key[maybe & (owner == k)]])
+                keys = pa.array([x.view(np.int64) for x in lists], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(words.count), keys], ["doc_id", "h", "n_words", "keys"])
+
+    sifted = saved(rows.mapInArrow(of_docs, "doc_id long, h long, n_words long, keys array<bigint>"), "sifted")
+    met = sifted.select("doc_id", "h", F.explode("keys").alias("key")).join(prints.select("key", "g").distinct(), "key").select("doc_id", "h", "g").distinct()
+    pairs = joined(rows, broadcast_if_small(saved(met, "met")), "inner").join(texts.select("g", "items", F.col("text").alias("item_text")), "g")
+
+    def of_pairs(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                index = index_of(pa.RecordBatch.from_arrays([one.column("items"), one.column("item_text")], ["items", "text"]), window)
+                yield _found_rows(one, *hits(W.Texts(one.column("text")), index))
 
-    return rows.mapInArrow(of_batches, f"doc_id long, h long, runs {_RUNS}, items array<string>, n_words long" + ", text string" * carry_text)
+    found = pairs.select("doc_id", "h", "text", "items", "item_text").mapInArrow(of_pairs, _FOUND).groupBy("doc_id", "h")
+    found = found.agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = saved(found.withColumnsRenamed({"doc_id": "i", "h": "g"}), "found")
+    full = sifted.join(found, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
+    return full.select("doc_id", "h", F.coalesce("runs", F.array().cast(RUNS)).alias("runs"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "n_words")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -186,18 +236,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, perce
     that share an id count once. Repeated rows get the same result each. An
     empty benchmark leaves every document clean.
     """
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("text IS NOT NULL")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = -(-size // BLOCK_BYTES) or 1
-    rows = keyed(docs, doc_id, text).withColumns({"runs": F.lit(None).cast(_RUNS), "items": F.lit(None).cast("array<string>")})
-    rows = rows.withColumns({"runs": F.coalesce("runs", F.array().cast(_RUNS)), "items": F.coalesce("items", F.array().cast("array<string>"))})
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()  # about BLOCK_BYTES of text
-        rows = _pass(rows, block, window, k + 1 < blocks)
-        if k + 1 < blocks:
-            rows = saved(rows.drop("n_words"), "decontaminated")
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("text")).where("text IS NOT NULL")
+    texts = saved(items.groupBy("text").agg(F.collect_set("item").alias("items")).select(F.xxhash64("text").alias("g"), "text", "items"), "items")
+    rows = keyed(docs, doc_id, text)
+    found = _by_broadcast(rows, texts, window) if table_bytes(texts) <= BLOCK_BYTES else _by_join(rows, texts, window)
+    found = found.withColumn("runs", merged_runs(F.col("runs")))
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"])
-    return rows.withColumn("n_hit", n_hit).select("doc_id", "h", "n_words", "runs", "n_hit", "items", ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"))
+    return found.withColumn("n_hit", n_hit).select("doc_id", "h", "n_words", "runs", "n_hit", "items", ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
