@@ -224,7 +224,7 @@ def _classes(sets: DataFrame) -> DataFrame:
 
 
 #: Earlier sets that a set is paired with at a key, and how far back it looks; what goes beyond is settled by ``_rest``.
-NEAREST, BACK = 32, 4096
+NEAREST, BACK = 64, 4096
 #: Entries that are paired at a time, with those that they look back to.
 ENTRIES = 100_000
 
@@ -237,7 +237,7 @@ def _met(key, order, code, size, bits0, bits1, old: int, threshold: float, neare
     the pair is given both ways. A set that several tasks have shown has an
     entry of each; the first of them has its true order.
     """
-    n, place = size >> 16, size & 0xFFFF
+    n, place, share = size >> 16, size & 0xFFFF, (1 - threshold) / (1 + threshold)
     taken, cut = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
     left, right, bits, step, later = [], [], [], 1, np.arange(max(old, 1), len(key))
     while len(later := later[later >= step]) and len(later := later[key[later] == key[later - step]]):
@@ -245,14 +245,18 @@ def _met(key, order, code, size, bits0, bits1, old: int, threshold: float, neare
             cut[later] = True
             break
         before = later - step
-        apart = np.bitwise_count(bits0[later] ^ bits0[before]).astype(np.int64) + np.bitwise_count(bits1[later] ^ bits1[before])
-        most = (n[later] + n[before]) * ((1 - threshold) / (1 + threshold)) + 1e-9
-        met = (abs(n[later] - n[before]) <= most) & (abs(place[later] - place[before]) <= most) & (apart <= most) & (code[later] != code[before])
-        if met.any():
-            x, y = later[met], before[met]
+        most = (n[later] + n[before]) * share + 1e-9
+        fits = np.abs(n[later] - n[before]) <= most
+        x, y, most = later[fits], before[fits], most[fits]
+        fits = np.abs(place[x] - place[y]) <= most
+        x, y, most = x[fits], y[fits], most[fits]
+        apart = np.bitwise_count(bits0[x] ^ bits0[y]).astype(np.int64) + np.bitwise_count(bits1[x] ^ bits1[y])
+        fits = (apart <= most) & (code[x] != code[y])
+        if fits.any():
+            x = x[fits]
             left.append(x)
-            right.append(y)
-            bits.append(apart[met])
+            right.append(y[fits])
+            bits.append(apart[fits])
             taken[x] += 1
             ended = taken[later] >= nearest
             cut[later[ended]] = True
@@ -266,7 +270,10 @@ def _met(key, order, code, size, bits0, bits1, old: int, threshold: float, neare
     if cut.any():  # those of the same order may lack a pair as well
         run = np.cumsum((np.diff(key, prepend=key[:1] - 1) != 0) | (np.diff(order, prepend=order[:1] - 1) != 0))
         ties = np.isin(run, run[cut])
-    return np.unique(pairs, axis=0) if len(pairs) else pairs, np.unique(code[ties])
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)
+    return pairs[new], np.unique(code[ties])
 
 
 def _entries(sets: DataFrame) -> DataFrame:
