@@ -70,11 +70,29 @@ def test_spreads(spark):
 
 
 def test_scan_and_next_snapshot(spark):
-    old = spark.createDataFrame([("a", 1, 0, "h1", "present"), ("b", 1, 0, "h2", "present"), ("c", 1, 0, "h3", "present")], "path string, size long, mtime long, hash string, state string")
-    new = spark.createDataFrame([("a", 1, 0, "h1"), ("b", 2, 1, "h9"), ("d", 1, 0, "h3"), ("e", 1, 0, "h1"), ("f", 1, 0, "h7")], "path string, size long, mtime long, hash string")
-    got = {r.path: (r.action, r.old_path) for r in changes.classify(old, new).collect()}
-    assert got == {"a": ("unchanged", None), "b": ("modified", None), "d": ("moved", "c"), "e": ("duplicate", None), "f": ("new", None)}
-    assert {r.path: r.state for r in changes.next_snapshot(old, new.where("path <> 'a' AND path <> 'e'")).collect()} == {"a": "missing", "b": "present", "d": "present", "f": "present"}
+    kept = "path string, size long, mtime long, hash string"
+    old = [(1, "a", 1, 0, "h1", "present"), (2, "b", 1, 0, "h2", "present"), (3, "c", 1, 0, "h3", "present"), (4, "m", 1, 0, "h4", "missing"), (5, "x", 1, 0, "h5", "present"), (6, "g", 1, 0, "h1", "present")]
+    new = [("a", 1, 0, "h1", True), ("b", 2, 1, "h9", True), ("d", 1, 0, "h3", True), ("d2", 1, 0, "h3", True), ("e", 1, 0, "h1", True), ("f", 1, 0, "h7", True), ("f2", 1, 0, "h7", True)]
+    # A file equal to a modified one's new content is a copy; one equal to its old content is new.
+    new += [("k", 1, 0, "h9", True), ("l", 1, 0, "h2", True), ("n", 1, 0, "h4", True), ("x", 2, 1, "h8", False), ("y", 1, 0, "h6", False)]
+    old, new = spark.createDataFrame(old, "id long, path string, size long, mtime long, hash string, state string"), spark.createDataFrame(new, kept + ", ok boolean")
+    got = {r.path: (r.action, r.old_path, r.id) for r in changes.classify(old, new).collect()}
+    assert got == {
+        "a": ("unchanged", None, 1), "b": ("modified", None, 2), "d": ("moved", "c", 3), "d2": ("duplicate", None, None), "e": ("duplicate", None, None), "f": ("new", None, None), "f2": ("duplicate", None, None),
+        "k": ("duplicate", None, None), "l": ("new", None, None), "n": ("moved", "m", 4), "x": ("failed", None, 5), "y": ("failed", None, None), "g": ("missing", None, 6),
+    }
+    after = {r.path: (r.id, r.state, r.hash) for r in changes.next_snapshot(old, new).collect()}
+    assert after["d"] == (3, "present", "h3") and after["n"] == (4, "present", "h4") and after["x"] == (5, "error", "h8") and after["g"] == (6, "missing", "h1") and after["e"] == (None, "duplicate", "h1")
+    assert not {"c", "m", "y"} & after.keys() and len(after) == 12
+
+
+def test_heading_scores(spark):
+    """Points of each rule, written out."""
+    text = "Chapter 1\n\nChapter 2\ntext\nPart 3\n\nBook 4\n\n第三章 風\n\n第四回\n\nChapter 9"
+    rows = text_structure.headings(spark.createDataFrame([(1, text)], "doc_id long, text string"), novel=True).collect()
+    # 55 for a number, 12 short, 8 at line 0, 14 after a blank line, 8 before one, 15 in sequence, 18 off it.
+    assert {r.line: r.score for r in rows} == {0: 83, 2: 96, 4: 75, 6: 89, 8: 89, 10: 89, 12: 89}
+    assert [r.detector for r in sorted(rows, key=lambda r: r.line)] == ["english_chapter_detector"] * 2 + ["english_part_detector", "english_book_detector", "cjk_explicit_chapter", "chinese_novel_hui", "english_chapter_detector"]
 
 
 def test_catalogue_writes(spark):
@@ -100,10 +118,10 @@ def test_linkage(spark):
 
 def test_files(spark, tmp_path):
     (tmp_path / "x.txt").write_text("héllo", encoding="utf-8")
-    (tmp_path / "y.epub").write_bytes(b"PK\x03\x04rest")
+    (tmp_path / "y.epub").write_bytes(b"PK\x03\x04" + bytes(26) + b"mimetypeapplication/epub+zip")
     (tmp_path / "z.txt").write_bytes("これは日本語のテキストです。ひらがなとカタカナ".encode("shift_jis"))
     (tmp_path / "n.bin").write_bytes(b"\x00\x01\x02\x03\x04")
     found = files.files(spark, f"file://{tmp_path}").withColumn("name", F.regexp_extract("path", "([^/]+)$", 1))
-    assert {r.name: r.f for r in found.select("name", files.detected_format(F.col("path"), F.col("content")).alias("f")).collect()} == {"x.txt": "text", "y.epub": "epub", "z.txt": "text", "n.bin": "unknown"}
+    assert {r.name: r.f for r in found.select("name", files.detected_format(F.col("path"), F.col("content")).alias("f")).collect()} == {"x.txt": "text", "y.epub": "epub", "z.txt": "text", "n.bin": "unsupported"}
     got = {r.name: (r.encoding, r.text) for r in files.decoded(found.select("name", "content")).collect()}
     assert got["x.txt"] == ("utf-8", "héllo") and got["z.txt"][0] == "shift_jis" and got["n.bin"] == (None, None)

@@ -8,7 +8,7 @@ value), variants (id, book_id, root_id, path, ..., state, hash).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +28,7 @@ class Catalogue:
     identifiers: DataFrame
     variants: DataFrame
     file_metadata: DataFrame
+    roots: DataFrame
 
 
 #: Rows that a page or an identifier lookup gives at most.
@@ -75,8 +76,9 @@ def best_variant(variants: DataFrame) -> DataFrame:
 
 def statistics(c: Catalogue) -> DataFrame:
     """One row: books, files, present and missing files, roots."""
-    files = c.variants.agg(F.count("*").alias("n_files"), F.count_if(F.col("state") == "present").alias("n_present"), F.count_if(F.col("state") == "missing").alias("n_missing"), F.count_distinct("root_id").alias("n_roots"))
-    return c.books.agg(F.count("*").alias("n_books")).join(files, how="full_outer", on=F.lit(True))
+    files = c.variants.agg(F.count("*").alias("n_files"), F.count_if(F.col("state") == "present").alias("n_present"), F.count_if(F.col("state") == "missing").alias("n_missing"))
+    one = [x.withColumn("one", F.lit(1)) for x in (c.books.agg(F.count("*").alias("n_books")), files, c.roots.agg(F.count("*").alias("n_roots")))]
+    return one[0].join(one[1], "one").join(one[2], "one").drop("one")
 
 
 def search_documents(c: Catalogue) -> DataFrame:
@@ -92,7 +94,7 @@ def search_documents(c: Catalogue) -> DataFrame:
         listed(c.book_people, c.people, "person_id", ["position"], "authors"),
         listed(c.book_series, c.series, "series_id", [], "series"),
         listed(c.book_tags, c.tags, "tag_id", [], "tags"),
-        c.identifiers.groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_list("value")), " ").alias("identifiers")),
+        c.identifiers.groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "scheme", "value"))), " ").alias("identifiers")),
     ):
         out = out.join(part, "book_id", "left")
     return out.select("book_id", *[F.coalesce(x, F.lit("")).alias(x) for x in ("title", "authors", "series", "tags", "identifiers")])
@@ -106,8 +108,9 @@ def orphans(links: DataFrame, key: str, parents: DataFrame, parent_key: str = "i
 def with_new_names(dimension: DataFrame, names: DataFrame) -> DataFrame:
     """``dimension`` (id, name) with the names it lacks, ids going on from its largest.
 
-    Ids follow the names' order: a range sort, with a count for each
-    partition, not one window over all rows.
+    New ids are dense and follow from the names alone: names are numbered in
+    blocks of their hash, not in one window over all rows. One writer at a
+    time, as for any snapshot.
     """
     new = names.select("name").where("name IS NOT NULL").distinct().join(dimension, "name", "left_anti")
     top = dimension.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
@@ -119,6 +122,43 @@ def with_new_names(dimension: DataFrame, names: DataFrame) -> DataFrame:
     return dimension.select("id", "name").unionByName(block.join(F.broadcast(starts), "block").select((F.lit(top) + F.col("start") + place).cast("long").alias("id"), "name"))
 
 
+def put_books(c: Catalogue, drafts: DataFrame) -> Catalogue:
+    """The catalogue after books are created or updated, as new tables.
+
+    ``drafts`` has book_id (one that is new creates a book), title,
+    sort_title, authors (in order), series, series_index, tags and
+    identifiers (array<struct<scheme, value>>). A draft replaces all links
+    of its book; names that are not known yet are added once; repeated tags
+    and identifiers of a book count once.
+    """
+    ids = drafts.select("book_id")
+
+    def kept(links: DataFrame) -> DataFrame:
+        return links.join(ids, "book_id", "left_anti")
+
+    authors = drafts.select("book_id", F.posexplode("authors").alias("position", "name"))
+    series = drafts.where("series IS NOT NULL").select("book_id", "series_index", F.col("series").alias("name"))
+    tags = drafts.select("book_id", F.explode(F.array_distinct("tags")).alias("name"))
+    people, all_series, all_tags = with_new_names(c.people, authors), with_new_names(c.series, series), with_new_names(c.tags, tags)
+
+    def linked(rows: DataFrame, names: DataFrame, key: str, like: DataFrame) -> DataFrame:
+        return rows.join(names.withColumnRenamed("id", key), "name").select(*[F.col(x).cast(like.schema[x].dataType) for x in like.columns])
+
+    books = c.books.join(ids.withColumnRenamed("book_id", "id"), "id", "left_anti").unionByName(drafts.select(F.col("book_id").alias("id"), "title", "sort_title"))
+    identifiers = drafts.select("book_id", F.inline("identifiers")).select("book_id", "scheme", "value").distinct()
+    return replace(
+        c,
+        books=books,
+        people=people,
+        series=all_series,
+        tags=all_tags,
+        book_people=kept(c.book_people).unionByName(linked(authors, people, "person_id", c.book_people)),
+        book_series=kept(c.book_series).unionByName(linked(series, all_series, "series_id", c.book_series)),
+        book_tags=kept(c.book_tags).unionByName(linked(tags, all_tags, "tag_id", c.book_tags)),
+        identifiers=kept(c.identifiers).unionByName(identifiers),
+    )
+
+
 def synthetic_books(spark: SparkSession, n: int) -> DataFrame:
     """A catalogue of any size by rule: id, title, author, series, tag, identifier."""
     i = F.col("id")

@@ -2,34 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def classify(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(path, action, old_path) from snapshots (path, size, mtime, hash; ``old`` with state).
+    """(path, action, old_path, id) from snapshots: ``old`` (id, path, size, mtime, hash, state), ``new`` (path, size, mtime, hash, ok).
 
     unchanged: known, present, size and time equal; modified: known but not
-    so; moved: unknown, with the hash of a path that is gone (old_path);
-    duplicate: unknown, with the hash of a kept path or of another unknown
-    one before it; new; missing: gone, not moved, not missing already. Of
-    several files with one hash those earlier in path order move first.
+    so; failed: to be looked at, but ``ok`` is false; then unknown files, in
+    path order, by the file with their hash once the known ones are updated,
+    the present one with the least id, or else any: moved if that is gone
+    (old_path), duplicate if it is there, new if there is none. A file that
+    was moved or is new is there for those after it, so of several unknown
+    ones with one hash all but the first are duplicates. missing: known, not
+    seen, not moved and not missing before. ``id`` is the file's in ``old``.
     """
-    o = old.select("path", F.col("size").alias("o_size"), F.col("mtime").alias("o_mtime"), F.col("hash").alias("o_hash"), "state")
-    both = o.join(new, "path", "full_outer").select("*", F.col("state").isNotNull().alias("known"), F.col("hash").isNotNull().alias("seen"))
+    o = old.select("id", "path", F.col("size").alias("o_size"), F.col("mtime").alias("o_mtime"), F.col("hash").alias("o_hash"), "state")
+    both = o.join(new.withColumn("seen", F.lit(True)), "path", "full_outer")
+    known, seen = F.col("id").isNotNull(), F.col("seen").isNotNull()
     same = (F.col("state") == "present") & (F.col("o_size") == F.col("size")) & (F.col("o_mtime") == F.col("mtime"))
-    settled = both.where("known AND seen").select("path", F.when(same, "unchanged").otherwise("modified").alias("action"), F.lit(None).cast("string").alias("old_path"))
-    kept = both.where("known AND seen").select(F.col("o_hash").alias("hash")).distinct().withColumn("kept", F.lit(True))
-    place = F.row_number().over(Window.partitionBy("hash").orderBy("path"))
-    gone = both.where("known AND NOT seen").select(F.col("o_hash").alias("hash"), "path", "state").withColumn("k", place)
-    fresh = both.where("NOT known").select("hash", "path").withColumn("k", place)
-    ever_gone = gone.select("hash").distinct().withColumn("gone", F.lit(True))
-    met = fresh.join(gone.select("hash", "k", F.col("path").alias("old_path")), ["hash", "k"], "left").join(kept, "hash", "left").join(ever_gone, "hash", "left")
-    action = F.when(F.col("old_path").isNotNull(), "moved").when(F.col("kept") | F.col("gone") | (F.col("k") > 1), "duplicate").otherwise("new")
-    put = met.select("path", action.alias("action"), "old_path")
-    moved = put.where("old_path IS NOT NULL").select(F.col("old_path").alias("path"))
-    missing = gone.where("state <> 'missing'").join(moved, "path", "left_anti").select("path", F.lit("missing").alias("action"), F.lit(None).cast("string").alias("old_path"))
-    return settled.unionByName(put).unionByName(missing)
+    none = F.lit(None).cast("string").alias("old_path")
+    settled = both.where(known & seen).withColumn("action", F.when(same, "unchanged").when(F.col("ok"), "modified").otherwise("failed"))
+    failed = both.where(~known & seen & ~F.col("ok")).select("path", F.lit("failed").alias("action"), none, "id")
+    # The files by hash as unknown ones find them.
+    hashes = settled.select(F.when(same, F.col("o_hash")).otherwise(F.col("hash")).alias("hash"), "id", "path", (F.col("action") == "failed").alias("absent"), F.lit(False).alias("gone"))
+    hashes = hashes.unionByName(both.where(known & ~seen).select(F.col("o_hash").alias("hash"), "id", "path", (F.col("state") != "present").alias("absent"), F.lit(True).alias("gone")))
+    best = hashes.groupBy("hash").agg(F.min(F.struct("absent", "id", "gone", "path")).alias("best"))
+    fresh = both.where(~known & seen & F.col("ok")).select("hash", "path")
+    first = fresh.groupBy("hash").agg(F.min("path").alias("first"))
+    met = fresh.join(first, "hash", "left").join(best, "hash", "left")
+    moved = F.col("best.gone") & (F.col("path") == F.col("first"))
+    action = F.when(F.col("best").isNull() & F.coalesce(F.col("path") == F.col("first"), F.lit(True)), "new").when(moved, "moved").otherwise("duplicate")
+    put = met.select("path", action.alias("action"), F.when(moved, F.col("best.path")).alias("old_path"), F.when(moved, F.col("best.id")).alias("id"))
+    gone = both.where(known & ~seen & (F.col("state") != "missing"))
+    missing = gone.join(put.where("action = 'moved'").select(F.col("old_path").alias("path")), "path", "left_anti").select("path", F.lit("missing").alias("action"), none, "id")
+    return settled.select("path", "action", none, "id").unionByName(failed).unionByName(put).unionByName(missing)
 
 
 def report(actions: DataFrame) -> DataFrame:
@@ -38,8 +46,18 @@ def report(actions: DataFrame) -> DataFrame:
 
 
 def next_snapshot(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The snapshot after a scan: what was seen is present, what is gone and was not moved stays as missing."""
-    left = classify(old, new).where("action = 'missing'").select("path")
-    was = old.join(new.select("path"), "path", "left_anti")
-    lost = was.join(left, "path", "left_semi").withColumn("state", F.lit("missing")).unionByName(was.where("state = 'missing'"))
-    return new.select("path", "size", "mtime", "hash", F.lit("present").alias("state")).unionByName(lost.select("path", "size", "mtime", "hash", "state"))
+    """The snapshot (id, path, size, mtime, hash, state) after a scan.
+
+    Files that were there, moved or are new are present, copies duplicate,
+    known ones that failed in error; what is gone stays as missing under its
+    old path. Files without an id yet have null.
+    """
+    actions = classify(old, new)
+    state = F.when(F.col("action") == "failed", "error").when(F.col("action") == "duplicate", "duplicate").otherwise("present")
+    there = actions.where("action <> 'missing' AND NOT (action = 'failed' AND id IS NULL)").join(new.drop("ok"), "path").select("id", "path", "size", "mtime", "hash", state.alias("state"))
+    # A file that is unchanged keeps the hash it was known by.
+    there = there.join(old.select("id", F.col("hash").alias("o_hash"), (F.col("state") == "present").alias("was"), F.col("size").alias("o_size"), F.col("mtime").alias("o_mtime")), "id", "left")
+    kept = F.col("was") & (F.col("size") == F.col("o_size")) & (F.col("mtime") == F.col("o_mtime")) & (F.col("state") == "present")
+    there = there.select("id", "path", "size", "mtime", F.when(kept, F.coalesce("o_hash", "hash")).otherwise(F.col("hash")).alias("hash"), "state")
+    lost = old.join(there.where("id IS NOT NULL").select("id"), "id", "left_anti").withColumn("state", F.lit("missing"))
+    return there.unionByName(lost.select("id", "path", "size", "mtime", "hash", "state"))

@@ -61,11 +61,10 @@ def media_type(path: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(v) for pair in known.items() for v in pair])[F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))], F.lit("application/octet-stream"))
 
 
-def tag_counts(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(tag, n_tags, n_pages) over all pages: counted inside each row first."""
-    found = F.regexp_extract_all(F.lower(html), F.lit(r"<([a-z][a-z0-9]*)"), F.lit(1))
-    per_page = pages.select(F.explode(F.transform(F.array_distinct(found), lambda t: F.struct(t.alias("tag"), F.size(F.filter(found, lambda x: x == t)).alias("n")))).alias("c"))
-    return per_page.groupBy("c.tag").agg(F.sum("c.n").alias("n_tags"), F.count("*").alias("n_pages"))
+def tag_counts(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
+    """(tag, n_tags, n_pages) over all pages; a page's tags are counted where it is read."""
+    tags = pages.select(key, F.explode(F.regexp_extract_all(F.lower(html), F.lit(r"<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag"))
+    return tags.groupBy(key, "tag").agg(F.count("*").alias("n")).groupBy("tag").agg(F.sum("n").alias("n_tags"), F.count("*").alias("n_pages"))
 
 
 class _Nodes(HTMLParser):

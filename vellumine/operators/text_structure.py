@@ -19,14 +19,27 @@ SPECIAL = {
     "Afterword": ("后记", "後記", "afterword"),
     "Introduction": ("introduction", "引言"),
 }
-#: The same for Japanese headings; fixed values.
+#: The same for whole Japanese lines; fixed values.
 JAPANESE = {
-    "Prologue": ("プロローグ",),
-    "Epilogue": ("エピローグ",),
     "Afterword": ("あとがき", "まえがき"),
+    "Epilogue": ("終章",),
+    "Prologue": ("序章",),
 }
-_MARK = "^第\\s*(.{1,12}?)\\s*([章回节節卷部篇幕集話话])[\\s　:：.—-]*(.{0,50})$"
-_WORDED = r"(?i)^(chapter|part|book)[ \t:：]+([^\s:：.—-]+)"
+#: Marks after 第 and a number, with the detector that each counts as; fixed values.
+MARKS = {
+    "章": "cjk_explicit_chapter",
+    "回": "chinese_novel_hui",
+    "节": "cjk_explicit_section",
+    "卷": "cjk_volume_detector",
+    "部": "cjk_volume_detector",
+    "篇": "cjk_explicit_essay",
+    "幕": "cjk_explicit_act",
+    "集": "cjk_explicit_episode",
+}
+_MARK = "^第([^" + "".join(MARKS) + "]*)([" + "".join(MARKS) + "])[ \t：:、—-]*+(.{0,50})$"
+_KANA = "[\u3040-\u30ff\u31f0-\u31ff]"
+_KANA_MARK = "^第([^章]*)章\\s*+(.{0,50})$"
+_WORDED = r"(?i)^(chapter|part|book)(?=[ \t:：])[ \t:：]*([^ \t:：.—-]*)"
 
 
 def with_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -98,12 +111,12 @@ def paragraph_mode(stats: DataFrame) -> DataFrame:
 _HEADING = "struct<kind:string,number:int,detector:string>"
 
 
-def _found(kind: Column | str, n: Column, detector: str) -> Column:
-    kind = F.lit(kind) if isinstance(kind, str) else kind
-    return F.struct(kind.alias("kind"), n.cast("int").alias("number"), F.lit(detector).alias("detector")).cast(_HEADING)
+def _found(kind: Column | str, n: Column, detector: Column | str) -> Column:
+    kind, detector = (F.lit(x) if isinstance(x, str) else x for x in (kind, detector))
+    return F.struct(kind.alias("kind"), n.cast("int").alias("number"), detector.alias("detector")).cast(_HEADING)
 
 
-def _if_number(text: Column, kind: Column, detector: str) -> Column:
+def _if_number(text: Column, kind: Column | str, detector: Column | str) -> Column:
     return let(number(text), lambda n: F.when(n.isNotNull(), _found(kind, n, detector)))
 
 
@@ -111,20 +124,20 @@ def _heading(line: Column) -> Column:
     """struct<kind, number, detector> of a trimmed line that is a heading; null for others."""
     none = F.lit(None).cast("int")
     fits = (line != "") & (F.length(line) <= 70) & ~line.rlike("[。！？!?；;]\\s*$")
-    by_mark = _if_number(F.regexp_extract(line, _MARK, 1), F.when(F.regexp_extract(line, _MARK, 2).isin("卷", "部"), "Volume").otherwise("Chapter"), "cjk")
-    extra = F.when(F.startswith(line, F.lit("番外")), _found("Supplement", number(F.regexp_extract(line, "^番外[篇章]?\\s*([^\\s:：.—-]*)", 1)), "supplement"))
-    worded = F.when(
-        line.rlike(_WORDED),
-        _if_number(F.regexp_extract(line, _WORDED, 2), F.when(F.lower(F.regexp_extract(line, _WORDED, 1)) == "chapter", "Chapter").otherwise("Volume"), "english"),
-    )
+    japanese = [F.when(line.isin(*ws), _found(kind, none, "japanese_detector")) for kind, ws in JAPANESE.items()]
+    kana = F.when(line.rlike(_KANA) & line.rlike(_KANA_MARK), _if_number(F.regexp_extract(line, _KANA_MARK, 1), "Chapter", "japanese_detector"))
+    mark = F.regexp_extract(line, _MARK, 2)
+    detector = F.create_map(*[F.lit(v) for pair in MARKS.items() for v in pair])[mark]
+    by_mark = _if_number(F.regexp_extract(line, _MARK, 1), F.when(mark.isin("卷", "部"), "Volume").otherwise("Chapter"), detector)
+    extra = F.when(F.startswith(line, F.lit("番外")), _found("Supplement", number(F.substring(line, 3, 70)), "cjk_supplement"))
+    word = F.lower(F.regexp_extract(line, _WORDED, 1))
+    worded = F.when(word != "", _if_number(F.regexp_extract(line, _WORDED, 2), F.when(word == "chapter", "Chapter").otherwise("Volume"), F.concat(F.lit("english_"), word, F.lit("_detector"))))
 
     def named(bare: Column) -> Column:
-        japanese = [F.when(F.startswith(bare, F.lit(w)) & (F.length(bare) <= 30), _found(kind, none, "japanese")) for kind, ws in JAPANESE.items() for w in ws]
-        special = [F.when(bare.isin(*ws), _found(kind, none, "special")) for kind, ws in SPECIAL.items()]
-        return F.coalesce(*japanese, *special)
+        return F.coalesce(*[F.when(bare.isin(*ws), _found(kind, none, f"{kind.lower()}_detector")) for kind, ws in SPECIAL.items()])
 
-    words = let(F.lower(F.regexp_replace(line, "^[ 　.:：—-]+|[ 　.:：—-]+$", "")), named)
-    return F.when(fits, F.when(F.startswith(line, F.lit("第")), by_mark).otherwise(F.coalesce(words, extra, worded)))
+    special = let(F.lower(F.regexp_replace(line, "^[ 　.:：—-]+|[ 　.:：—-]+$", "")), named)
+    return F.when(fits, F.coalesce(*japanese, kana, F.when(F.startswith(line, F.lit("第")), by_mark).otherwise(F.coalesce(extra, special, worded))))
 
 
 def headings(docs: DataFrame, key: str = "doc_id", text: str = "text", novel: bool = False) -> DataFrame:
@@ -148,7 +161,7 @@ def headings(docs: DataFrame, key: str = "doc_id", text: str = "text", novel: bo
             points = (
                 F.when(h["head"]["number"].isNotNull(), 55).otherwise(50)
                 + F.when(size <= 30, 12).when(size <= 60, 6).otherwise(0)
-                + F.when(h["before"], F.when(h["line"] == 0, 22).otherwise(14)).otherwise(0)
+                + F.when(h["before"], F.when(h["line"] == 0, 8).otherwise(14)).otherwise(0)
                 + F.when(h["after"], 8).otherwise(0)
                 + F.when(~h["before"] & ~h["after"], -12).otherwise(0)
             )

@@ -36,6 +36,7 @@ def tables(spark: SparkSession, sf_dir: str) -> C.Catalogue:
             F.when(F.col("l_returnflag") == "R", "missing").otherwise("present").alias("state"), (F.col("l_partkey") % 50).alias("hash"),
         ),
         line.where("l_linenumber % 2 = 0").groupBy(file_id.alias("file_id")).agg(F.min(F.col("l_quantity").cast("long")).alias("pages")),
+        read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")),
     )
 
 
@@ -88,14 +89,14 @@ def library_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LIBRARY_STATISTICS = """SELECT (SELECT count(*) FROM orders) AS n_books, count(*) AS n_files, count(*) FILTER (WHERE l_returnflag <> 'R') AS n_present,
-count(*) FILTER (WHERE l_returnflag = 'R') AS n_missing, count(DISTINCT l_suppkey) AS n_roots FROM lineitem"""
+count(*) FILTER (WHERE l_returnflag = 'R') AS n_missing, (SELECT count(*) FROM supplier) AS n_roots FROM lineitem"""
 
 
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.search_documents(tables(spark, sf_dir))
 
 
-SEARCH_DOCUMENTS = f"""SELECT o_orderkey AS book_id, {_TITLE} AS title, coalesce(c_name, '') AS authors, coalesce(n_name, '') AS series, coalesce(tags, '') AS tags, (o_orderkey % 500)::VARCHAR AS identifiers
+SEARCH_DOCUMENTS = f"""SELECT o_orderkey AS book_id, {_TITLE} AS title, coalesce(c_name, '') AS authors, coalesce(n_name, '') AS series, coalesce(tags, '') AS tags, 'order:' || (o_orderkey % 500) AS identifiers
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
 LEFT JOIN (SELECT l_orderkey, string_agg(DISTINCT p_brand, ' ' ORDER BY p_brand) AS tags FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) ON l_orderkey = o_orderkey"""
 
@@ -131,15 +132,18 @@ CASE WHEN n0 IS DISTINCT FROM n1 OR s0 IS DISTINCT FROM s1 THEN 'different' ELSE
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as files before and after: moved, edited (some to another file's content), gone, copied and unreadable ones."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"), F.col("n_chars").alias("size"))
-    path = F.concat(F.lit("lib/"), F.col("doc_id"), F.lit(".txt"))
-    state = F.when(F.col("doc_id") % 13 == 0, "missing").otherwise("present")
-    old = docs.where("doc_id % 10 <> 9").select(path.alias("path"), "size", F.lit(0).cast("long").alias("mtime"), "hash", state.alias("state"))
-    moved = F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("moved/"), F.col("doc_id"), F.lit(".txt"))).otherwise(path)
-    edited = F.when(F.col("doc_id") % 10 == 5, F.sha2(F.concat("hash", F.lit("x")), 256)).otherwise(F.col("hash"))
-    new = docs.where("doc_id % 10 <> 7").select(moved.alias("path"), "size", F.when(F.col("doc_id") % 10 == 5, 1).otherwise(0).cast("long").alias("mtime"), edited.alias("hash"))
-    copies = docs.where("doc_id % 50 = 1").select(F.concat(F.lit("copy/"), F.col("doc_id"), F.lit(".txt")), "size", F.lit(0).cast("long"), "hash")
-    return old, new.union(copies)
+    k, zero = F.col("doc_id"), F.lit(0).cast("long")
+    path = F.concat(F.lit("lib/"), k, F.lit(".txt"))
+    state = F.when(k % 13 == 0, "missing").when(k % 17 == 0, "error").otherwise("present")
+    old = docs.where("doc_id % 10 <> 9").select(k.alias("id"), path.alias("path"), "size", zero.alias("mtime"), "hash", state.alias("state"))
+    moved = F.when(k % 10 == 3, F.concat(F.lit("moved/"), k, F.lit(".txt"))).otherwise(path)
+    edited = F.when(k % 10 == 5, F.sha2(F.concat((k % 20).cast("string"), F.lit("x")), 256)).otherwise(F.col("hash"))
+    new = docs.where("doc_id % 10 <> 7").select(moved.alias("path"), "size", F.when(k % 10 == 5, 1).otherwise(0).cast("long").alias("mtime"), edited.alias("hash"), (k % 11 != 0).alias("ok"))
+    copies = docs.where("doc_id % 50 = 1").select(F.concat(F.lit("copy/"), k, F.lit(".txt")), "size", zero, "hash", F.lit(True))
+    same = docs.where("doc_id % 50 = 5").select(F.concat(F.lit("same/"), k, F.lit(".txt")), "size", zero, F.sha2(F.lit("5x"), 256), F.lit(True))
+    return old, new.union(copies).union(same)
 
 
 def scan_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,27 +151,39 @@ def scan_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.classify(*_snapshots(spark, sf_dir))
 
 
-SCAN_CHANGES = """WITH d AS (SELECT doc_id, sha256(text) AS hash, n_chars AS size FROM documents),
-o AS (SELECT 'lib/' || doc_id || '.txt' AS path, size, 0 AS mtime, hash, CASE WHEN doc_id % 13 = 0 THEN 'missing' ELSE 'present' END AS state FROM d WHERE doc_id % 10 <> 9),
+_SNAPSHOTS = """d AS (SELECT doc_id, sha256(text) AS hash, n_chars AS size FROM documents),
+o AS (SELECT doc_id AS id, 'lib/' || doc_id || '.txt' AS path, size, 0 AS mtime, hash, CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 17 = 0 THEN 'error' ELSE 'present' END AS state FROM d WHERE doc_id % 10 <> 9),
 n AS (SELECT CASE WHEN doc_id % 10 = 3 THEN 'moved/' ELSE 'lib/' END || doc_id || '.txt' AS path, size, CASE WHEN doc_id % 10 = 5 THEN 1 ELSE 0 END AS mtime,
-  CASE WHEN doc_id % 10 = 5 THEN sha256(hash || 'x') ELSE hash END AS hash FROM d WHERE doc_id % 10 <> 7
-  UNION ALL SELECT 'copy/' || doc_id || '.txt', size, 0, hash FROM d WHERE doc_id % 50 = 1),
-f AS (SELECT n.path, n.hash, o.path IS NOT NULL AS known, o.state = 'present' AND o.size = n.size AND o.mtime = n.mtime AS same FROM n LEFT JOIN o USING (path)),
-gone AS (SELECT hash, path, row_number() OVER (PARTITION BY hash ORDER BY path) AS k FROM o WHERE path NOT IN (SELECT path FROM n)),
-kept AS (SELECT DISTINCT hash FROM o WHERE path IN (SELECT path FROM n)),
-fresh AS (SELECT hash, path, row_number() OVER (PARTITION BY hash ORDER BY path) AS k FROM f WHERE NOT known),
-put AS (SELECT fresh.path, gone.path AS old_path, CASE WHEN gone.path IS NOT NULL THEN 'moved' WHEN fresh.hash IN (SELECT hash FROM kept) OR fresh.hash IN (SELECT hash FROM gone) OR fresh.k > 1 THEN 'duplicate' ELSE 'new' END AS action
-  FROM fresh LEFT JOIN gone ON fresh.hash = gone.hash AND fresh.k = gone.k)
-SELECT path, action, old_path FROM put
-UNION ALL SELECT path, CASE WHEN same THEN 'unchanged' ELSE 'modified' END, NULL FROM f WHERE known
-UNION ALL SELECT o.path, 'missing', NULL FROM o WHERE path NOT IN (SELECT path FROM n) AND path NOT IN (SELECT old_path FROM put WHERE old_path IS NOT NULL) AND state <> 'missing'"""
+  CASE WHEN doc_id % 10 = 5 THEN sha256((doc_id % 20) || 'x') ELSE hash END AS hash, doc_id % 11 <> 0 AS ok FROM d WHERE doc_id % 10 <> 7
+  UNION ALL SELECT 'copy/' || doc_id || '.txt', size, 0, hash, true FROM d WHERE doc_id % 50 = 1
+  UNION ALL SELECT 'same/' || doc_id || '.txt', size, 0, sha256('5x'), true FROM d WHERE doc_id % 50 = 5),
+f AS (SELECT n.*, o.id, o.hash AS old_hash, CASE WHEN o.id IS NULL THEN CASE WHEN ok THEN 'unknown' ELSE 'failed' END
+  WHEN o.state = 'present' AND o.size = n.size AND o.mtime = n.mtime THEN 'unchanged' WHEN ok THEN 'modified' ELSE 'failed' END AS action FROM n LEFT JOIN o USING (path)),
+files AS (SELECT CASE WHEN action = 'unchanged' THEN old_hash ELSE hash END AS hash, id, path, action = 'failed' AS absent, false AS gone FROM f WHERE id IS NOT NULL
+  UNION ALL SELECT hash, id, path, state <> 'present', true FROM o WHERE path NOT IN (SELECT path FROM n)),
+best AS (SELECT * FROM files QUALIFY row_number() OVER (PARTITION BY hash ORDER BY absent, id) = 1),
+fresh AS (SELECT hash, path, row_number() OVER (PARTITION BY hash ORDER BY path) AS k FROM f WHERE action = 'unknown'),
+put AS (SELECT fresh.path, CASE WHEN best.id IS NULL AND k = 1 THEN 'new' WHEN gone AND k = 1 THEN 'moved' ELSE 'duplicate' END AS action, CASE WHEN gone AND k = 1 THEN best.path END AS old_path, CASE WHEN gone AND k = 1 THEN best.id END AS id FROM fresh LEFT JOIN best USING (hash)),
+acts AS (SELECT path, action, old_path, id FROM put UNION ALL SELECT path, action, NULL, id FROM f WHERE action <> 'unknown'
+UNION ALL SELECT path, 'missing', NULL, id FROM o WHERE path NOT IN (SELECT path FROM n) AND path NOT IN (SELECT old_path FROM put WHERE old_path IS NOT NULL) AND state <> 'missing')"""
+SCAN_CHANGES = f"WITH {_SNAPSHOTS} SELECT path, action, old_path, id FROM acts"
+
+
+def scan_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files' table after the scan."""
+    return changes.next_snapshot(*_snapshots(spark, sf_dir))
+
+
+SCAN_SNAPSHOT = f"""WITH {_SNAPSHOTS}, there AS (SELECT a.id, n.path, n.size, n.mtime, CASE WHEN action = 'unchanged' THEN o.hash ELSE n.hash END AS hash,
+CASE action WHEN 'failed' THEN 'error' WHEN 'duplicate' THEN 'duplicate' ELSE 'present' END AS state FROM acts a JOIN n USING (path) LEFT JOIN o ON a.id = o.id WHERE action <> 'missing' AND NOT (action = 'failed' AND a.id IS NULL))
+SELECT id, path, size, mtime::BIGINT AS mtime, hash, state FROM there UNION ALL SELECT id, path, size, mtime, hash, 'missing' FROM o WHERE id NOT IN (SELECT id FROM there WHERE id IS NOT NULL)"""
 
 
 def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.report(scan_changes(spark, sf_dir))
 
 
-SCAN_REPORT = f"SELECT action, count(*) AS n FROM ({SCAN_CHANGES}) GROUP BY action"
+SCAN_REPORT = f"WITH {_SNAPSHOTS} SELECT action, count(*) AS n FROM acts GROUP BY action"
 
 
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,6 +206,53 @@ PHRASE_SEARCH = """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\
 SELECT doc_id, n_hits FROM (SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS n_hits FROM t) WHERE n_hits > 0"""
 
 
-_ALL = (book_relations, book_page, books_by_identifier, files_with_metadata, best_variants, library_statistics, search_documents, file_orphans, metadata_changes, scan_changes, scan_report, text_search, phrase_search)
+def catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the books that hold a phrase in any field, best rank first, then by id."""
+    c = tables(spark, sf_dir)
+    found = search.ranked_phrase(C.search_documents(c).withColumn("book_id", F.col("book_id").cast("string")), "1-Urgent", ["title", "authors", "series", "tags", "identifiers"])
+    hits = found.withColumn("rank", F.round("rank", 9)).join(c.books, found["book_id"].cast("long") == c.books["id"])
+    return hits.orderBy("rank", "id").offset(20).limit(200).select("id", "title", "rank")
+
+
+CATALOGUE_SEARCH = f"""WITH s AS ({SEARCH_DOCUMENTS}), u AS (SELECT book_id, unnest([title, authors, series, tags, identifiers]) AS x FROM s),
+t AS (SELECT book_id, regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}]+') AS w FROM u),
+c AS (SELECT book_id, sum(len(w)) AS d, sum(len(list_filter(range(1, len(w)), lambda i: w[i] = '1' AND w[i + 1] = 'urgent'))) AS f FROM t GROUP BY book_id),
+m AS (SELECT count(*) AS n, count(*) FILTER (WHERE f > 0) AS hit, avg(d) AS mean FROM c)
+SELECT book_id AS id, title, round(-greatest(ln((n - hit + 0.5) / (hit + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / mean)), 9) AS rank FROM c JOIN s USING (book_id), m WHERE f > 0 ORDER BY rank, id LIMIT 200 OFFSET 20"""
+
+
+def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh order edited, and a new book for every hundredth."""
+    o = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    edited = o.where("o_orderkey % 7 = 0 OR o_orderkey % 100 = 1").withColumn("book_id", F.when(k % 7 == 0, k).otherwise(k + 100_000_000))
+    pair = lambda a, b: F.struct(F.lit(a).alias("scheme"), b.alias("value"))
+    return edited.select(
+        "book_id",
+        F.concat(F.lit("Edited "), k).alias("title"),
+        F.concat(F.lit("edited "), k).alias("sort_title"),
+        F.array(F.concat(F.lit("New Author "), k % 11), F.lit("Second Hand")).alias("authors"),
+        F.when(k % 2 == 0, F.concat(F.lit("Series "), k % 5)).alias("series"),
+        (k % 9).alias("series_index"),
+        F.array(F.lit("edited"), F.lit("edited"), F.concat(F.lit("t"), k % 3)).alias("tags"),
+        F.array(pair("isbn", k.cast("string")), pair("isbn", k.cast("string")), pair("order", (k % 500).cast("string"))).alias("identifiers"),
+    )
+
+
+def catalogue_after_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All relations of all books once the drafts are written."""
+    after = C.put_books(tables(spark, sf_dir), _drafts(spark, sf_dir))
+    return C.relations(after).join(after.books.select(F.col("id").alias("book_id"), "title"), "book_id")
+
+
+CATALOGUE_AFTER_WRITES = f"""WITH e AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey ELSE o_orderkey + 100000000 END AS book_id, o_orderkey AS k FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 100 = 1),
+r AS (SELECT * FROM ({BOOK_RELATIONS}) WHERE book_id % 7 <> 0 UNION ALL SELECT book_id, 'author', '0', 'New Author ' || (k % 11) FROM e UNION ALL SELECT book_id, 'author', '1', 'Second Hand' FROM e
+  UNION ALL SELECT book_id, 'series', (k % 9)::VARCHAR, 'Series ' || (k % 5) FROM e WHERE k % 2 = 0 UNION ALL SELECT book_id, 'tag', NULL, unnest(['edited', 't' || (k % 3)]) FROM e
+  UNION ALL SELECT book_id, 'identifier', 'isbn', k::VARCHAR FROM e UNION ALL SELECT book_id, 'identifier', 'order', (k % 500)::VARCHAR FROM e),
+b AS (SELECT book_id, 'Edited ' || k AS title FROM e UNION ALL SELECT o_orderkey, {_TITLE} FROM orders WHERE o_orderkey % 7 <> 0)
+SELECT book_id, kind, secondary, value, title FROM r JOIN b USING (book_id)"""
+
+
+_ALL = (book_relations, book_page, books_by_identifier, files_with_metadata, best_variants, library_statistics, search_documents, catalogue_search, catalogue_after_writes, file_orphans, metadata_changes, scan_changes, scan_snapshot, scan_report, text_search, phrase_search)
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {name: globals()[name.upper()] for name in QUERIES}

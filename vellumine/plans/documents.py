@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumine.functions import text as T
@@ -83,12 +83,17 @@ PAGE_GEOMETRY = """SELECT p_partkey, round(s, 6) AS scale, round((800 - p_size *
 
 
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier names with the number unpadded, in natural order."""
-    names = read(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("Supplier "), F.col("s_suppkey")).alias("name"))
-    return names.orderBy(T.natural_key(F.col("name"))).limit(40).select("s_suppkey", "name")
+    """Each nation's suppliers by names of mixed case with two numbers, some padded with zeros, in natural order."""
+    k = F.col("s_suppkey")
+    number = F.when(k % 3 == 0, F.concat(F.lit("00"), k)).otherwise(k.cast("string"))
+    name = F.concat(F.when(k % 2 == 0, "SUPPLIER ").otherwise("Supplier "), k % 13, F.lit(" no"), number)
+    named = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", name.alias("name"))
+    place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy(T.natural_key(F.col("name"))))
+    return named.select("s_suppkey", "name", place.cast("long").alias("place"))
 
 
-NATURAL_ORDER = "SELECT s_suppkey, 'Supplier ' || s_suppkey AS name FROM supplier ORDER BY s_suppkey LIMIT 40"
+NATURAL_ORDER = """SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'SUPPLIER ' ELSE 'Supplier ' END || (s_suppkey % 13) || ' no' || CASE WHEN s_suppkey % 3 = 0 THEN '00' ELSE '' END || s_suppkey AS name,
+row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 13, s_suppkey) AS place FROM supplier"""
 
 
 def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ def format_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unionByName(docs).groupBy(files.detected_format(F.col("path"), F.col("content")).alias("format")).agg(F.count("*").alias("n"))
 
 
-FORMAT_COUNTS = r"""SELECT format, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(lower(left(html, 512)), '^\s*(?:<!doctype html|<html|<head|<body)') THEN 'html' ELSE 'unknown' END AS format FROM pages
+FORMAT_COUNTS = r"""SELECT format, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(lower(left(html, 512)), '^\s*(?:<!doctype html|<html|<head|<body)') THEN 'html' ELSE 'unsupported' END AS format FROM pages
 UNION ALL SELECT CASE WHEN doc_id % 2 = 1 THEN 'markdown' WHEN regexp_matches(lower(left(text, 512)), '^\s*(?:<!doctype html|<html|<head|<body)') THEN 'html' ELSE 'text' END FROM documents) GROUP BY format"""
 
 

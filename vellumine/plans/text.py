@@ -84,11 +84,11 @@ _HEADINGS = f"""{_BOOKS}, {_LINES.format(source="books")}, b AS (SELECT conv_id,
 n AS (SELECT *, coalesce(lag(blank) OVER w, true) AS before, coalesce(lead(blank) OVER w, true) AS after FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
 c AS (SELECT *, regexp_extract(x, '(?i)^(chapter|part|book)[ \\t:]+([0-9]+)([\\s:.-]|$)', 1) AS word, regexp_extract(x, '(?i)^(chapter|part|book)[ \\t:]+([0-9]+)([\\s:.-]|$)', 2) AS num FROM n
   WHERE NOT blank AND length(x) <= 70 AND NOT regexp_matches(x, '[。！？!?；;]\\s*$')),
-s AS (SELECT conv_id, i, x, CASE WHEN lower(word) = 'chapter' THEN 'Chapter' ELSE 'Volume' END AS kind, num::INT AS number,
-  least(100, greatest(0, 55 + CASE WHEN length(x) <= 30 THEN 12 WHEN length(x) <= 60 THEN 6 ELSE 0 END + CASE WHEN before THEN CASE WHEN i = 0 THEN 22 ELSE 14 END ELSE 0 END
+s AS (SELECT conv_id, i, x, CASE WHEN lower(word) = 'chapter' THEN 'Chapter' ELSE 'Volume' END AS kind, lower(word) AS detector, num::INT AS number,
+  least(100, greatest(0, 55 + CASE WHEN length(x) <= 30 THEN 12 WHEN length(x) <= 60 THEN 6 ELSE 0 END + CASE WHEN before THEN CASE WHEN i = 0 THEN 8 ELSE 14 END ELSE 0 END
   + CASE WHEN after THEN 8 ELSE 0 END + CASE WHEN NOT before AND NOT after THEN -12 ELSE 0 END)) AS score FROM c WHERE num <> ''),
-q AS (SELECT *, lag(number) OVER w AS p, lag(kind) OVER w AS pk FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
-t AS (SELECT *, CASE WHEN pk = kind AND number = p + 1 THEN least(100, score + 15) WHEN pk = kind AND (number <= p OR number - p > 4) THEN greatest(0, score - 18) ELSE score END AS final FROM q),
+q AS (SELECT *, lag(number) OVER w AS p, lag(detector) OVER w AS pk FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+t AS (SELECT *, CASE WHEN pk = detector AND number = p + 1 THEN least(100, score + 15) WHEN pk = detector AND (number <= p OR number - p > 4) THEN greatest(0, score - 18) ELSE score END AS final FROM q),
 g AS (SELECT *, count(*) FILTER (WHERE final >= 65) OVER (PARTITION BY conv_id) > 1 OR (min(i) OVER (PARTITION BY conv_id) = 0 AND first_value(final) OVER (PARTITION BY conv_id ORDER BY i) >= 85) AS gate FROM t),
 k AS (SELECT * FROM g WHERE gate AND final >= 75)"""
 BOOK_HEADINGS = f"""WITH {_HEADINGS}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumine.plans import catalogue, documents, streams, text
+from vellumine.plans import books, catalogue, documents, streams, text
 
-_PLANS = (text, catalogue, documents, streams)
+_PLANS = (text, catalogue, documents, books, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

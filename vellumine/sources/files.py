@@ -40,26 +40,46 @@ def byte_range(content: Column, offset: int, length: int) -> Column:
 
 
 def detected_format(path: Column, content: Column) -> Column:
-    """A file's format: signatures first, then markup, then its extension."""
+    """A file's format: signatures first, then markup, then its extension; ``unsupported`` if none fits.
+
+    A ZIP has to hold what makes it an EPUB (its first entry), a DOCX or an
+    HTMLZ; a file named for ZIP or text has to be that.
+    """
     def starts(hexed: str) -> Column:
         return F.startswith(F.hex(F.substring(content, 1, 16)), F.lit(hexed))
 
+    def holds(what: bytes) -> Column:
+        return F.contains(content, F.lit(what))
+
     # The opening as text, whatever its encoding: bytes beyond ASCII count as question marks.
     pairs = F.regexp_extract_all(F.hex(F.substring(content, 1, 512)), F.lit("[0-9A-F]{2}"), F.lit(0))
     ascii_pairs = F.transform(pairs, lambda p: F.when(p.rlike("^[89A-F]|00"), "3F").otherwise(p))
     text = F.lower(F.decode(F.unhex(F.array_join(ascii_pairs, "")), "UTF-8"))
     ext = extension(path)
+    epub = (F.hex(F.substring(content, 31, 8)) == b"mimetype".hex().upper()) & holds(b"application/epub+zip")
+    zipped = F.when(epub, "epub").when(holds(b"[Content_Types].xml") & holds(b"word/document.xml"), "docx").when((ext == "htmlz") | holds(b"index.html"), "htmlz").otherwise("unsupported")
+    marked = starts("EFBBBF") | starts("FFFE") | starts("FEFF")
+    plain = F.when(marked | ~holds(b"\0") | F.contains(F.hex(F.substring(content, 1, 8)), F.lit("00")), True).otherwise(False)
+    book = F.contains(text, F.lit("<fictionbook"))
+    html = ext.isin("html", "htm", "xhtml") | text.rlike(r"^\s*(?:<!doctype html|<html|<head|<body)")
+    # Record zero of a Palm database begins where the first entry of its list says.
+    zero = F.conv(F.hex(F.substring(content, 79, 4)), 16, 10).cast("int")
+
+    def record(offset: int) -> Column:
+        return F.hex(content.substr(zero + offset + 1, F.lit(4)))
+
+    mobi = F.when(record(16) != b"MOBI".hex().upper(), "unsupported").when(holds(b"BOUNDARY"), "kf7_kf8_combo").when((ext == "azw3") | (record(32) == "00000008"), "kf8").otherwise("kf7")
     return (
         F.when(starts("434F4E54"), "kfx")
-        .when(starts("504B0304"), F.when(ext.isin("docx", "htmlz", "cbz"), ext).otherwise("epub"))
-        .when(starts("25504446"), "pdf")
-        .when(F.hex(F.substring(content, 61, 8)) == "424F4F4B4D4F4249", "mobi")
-        .when(ext.isin("md", "markdown"), "markdown")
-        .when(F.contains(text, F.lit("<fictionbook")), "fb2")
-        .when(text.rlike(r"^\s*(?:<!doctype html|<html|<head|<body)"), "html")
-        .when(ext.isin("html", "htm", "xhtml"), "html")
-        .when(ext.isin("txt", "text"), "text")
-        .otherwise("unknown")
+        .when(starts("46464B4658000100"), "ffkfx")
+        .when(starts("504B0304"), zipped)
+        .when(ext.isin("epub", "zip"), "unsupported")
+        .when(ext.isin("md", "markdown"), F.when(plain, "markdown").otherwise("unsupported"))
+        .when(html & ~book, "html")
+        .when((ext == "fb2") | book, F.when(F.is_valid_utf8(content.cast("string")), "fb2").otherwise("unsupported"))
+        .when(ext.isin("txt", "text"), F.when(plain, "text").otherwise("unsupported"))
+        .when(F.hex(F.substring(content, 61, 8)) == b"BOOKMOBI".hex().upper(), mobi)
+        .otherwise("unsupported")
     )
 
 
