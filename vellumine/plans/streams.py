@@ -42,7 +42,7 @@ UNION ALL SELECT CASE WHEN doc_id % 2 = 1 THEN 'markdown' WHEN regexp_matches(lo
 
 
 def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents encoded one way or another and decoded again (no SQL: a heuristic on bytes)."""
+    """Documents encoded one way or another and decoded again, which gives them back."""
     docs = read(spark, sf_dir, "documents")
     k = F.col("doc_id") % 3
     data = F.when(k == 0, F.encode("text", "UTF-16LE")).when(k == 1, F.encode("text", "UTF-8")).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
@@ -50,6 +50,9 @@ def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "encoding", (F.sha2("text", 256) == F.col("wanted")).alias("same"))
 
 
+DECODED_TEXTS = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND text <> '' THEN 'utf-16-le' ELSE 'utf-8' END AS encoding, true AS same FROM documents"
+
+
 _ALL = (event_windows, job_states, format_counts, decoded_texts)
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}
