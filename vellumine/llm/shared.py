@@ -28,18 +28,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Tables that ``saved`` has written, by application.
+_written: dict[str, list[str]] = {}
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     Cuts the lineage: work after it survives lost executors without repeating
-    what led to the table.
+    what led to the table. Results read such tables, so that they stay until
+    ``clear``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/vq-{what}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that operators of this session have written between jobs; how many. For when all results are written."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

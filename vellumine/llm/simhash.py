@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from vellumine.llm import words as W
 from vellumine.llm.components import connected
-from vellumine.llm.shared import joined, keyed, map_texts, saved, with_known
+from vellumine.llm.shared import joined, keyed, map_texts, saved, unused, with_known
 
 U = np.uint64
 _P1, _P2, _P3, _P4, _P5 = (
@@ -223,11 +223,11 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
 
 def first_of_each(docs: DataFrame, rooted: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The first row of ``docs`` of each root of ``rooted`` (doc_id, h, root)."""
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    kept = rooted.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("n")).select("first.doc_id", "first.h", "n")
+    first, n = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"), unused(docs, "vq_n")
+    kept = rooted.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias(n)).select("first.doc_id", "first.h", n)
     stay = joined(docs, kept, "inner", doc_id, text)
-    alone = stay.where("n = 1").drop("n")  # cannot be repeated: no second row has this root
-    return alone.unionByName(_first_rows(stay.where("n > 1").drop("n"), doc_id, text))
+    alone = stay.where(F.col(n) == 1).drop(n)  # cannot be repeated: no second row has this root
+    return alone.unionByName(_first_rows(stay.where(F.col(n) > 1).drop(n), doc_id, text))
 
 
 def _first_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
