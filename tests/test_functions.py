@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from vellumine.functions import text as T
-from vellumine.operators import changes, linkage, markup, reader, search, text_structure
+from vellumine.operators import changes, linkage, links, markup, reader, search, styles, text_structure
 from vellumine.operators import catalogue
 from vellumine.sources import files
 
@@ -86,6 +86,17 @@ def test_scan_and_next_snapshot(spark):
     assert not {"c", "m", "y"} & after.keys() and len(after) == 12
 
 
+def test_hrefs_and_css(spark):
+    cases = [("t/a.xhtml", "b.xhtml#x", "t/b.xhtml#x"), ("t/a.xhtml", "#x", "t/a.xhtml#x"), ("t/a.xhtml", "../c%20d.xhtml", "c d.xhtml"), ("a.xhtml", "../x", None), ("a.xhtml", "http://x/y", "http://x/y"), ("t/a.xhtml", "//h/x", "//h/x"), ("t/a.xhtml", "./u/.././v+w.xhtml", "t/v+w.xhtml")]
+    df = spark.createDataFrame([(i, d, h) for i, (d, h, _) in enumerate(cases)], "i int, d string, h string")
+    assert {r.i: r.x for r in df.select("i", links.resolved(F.col("d"), F.col("h")).alias("x")).collect()} == {i: x for i, (_, _, x) in enumerate(cases)}
+    css = "a, b > c.x#y:hover { Color : red ; color: BLUE;; bad } @media print { p { margin:0 } } @media (amzn-kf8) { p { margin:1 } } @page { margin: 3 } /* open"
+    sheet = spark.createDataFrame([(1, 0, css)], "book_id long, position int, css string")
+    got = [(r.selector, r.tag, r.ids, r.classes, tuple(r.specificity), [tuple(d) for d in r.declarations]) for r in styles.rules(sheet, "kf7").orderBy("place").collect()]
+    blue = [("color", "BLUE")]
+    assert got == [("a", "a", [], [], (0, 0, 1), blue), ("b > c.x#y:hover", "c", ["y"], ["x"], (1, 1, 4), blue), ("p", "p", [], [], (0, 0, 1), [("margin", "0")])]
+
+
 def test_heading_scores(spark):
     """Points of each rule, written out."""
     text = "Chapter 1\n\nChapter 2\ntext\nPart 3\n\nBook 4\n\n第三章 風\n\n第四回\n\nChapter 9"

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.operators import edits, validation
+from vellumine.operators import edits, links, styles, validation
 from vellumine.plans.text import read
 
 
@@ -101,6 +101,47 @@ SELECT b AS book_id, n AS document_id, row_number() OVER (PARTITION BY b ORDER B
 CASE WHEN NOT one THEN 'Part ' || (p % 10) WHEN n = 1 THEN 'First' WHEN p % 10 = 3 THEN 'Third' ELSE 'Part ' || (p % 10) END AS label
 FROM (SELECT *, bool_or(n = 1) OVER (PARTITION BY b) AS one FROM l)"""
 
-_ALL = (book_faults, book_verdicts, edited_books, edited_order)
+def navigation_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where links of every kind lead in books whose documents and anchors may be there twice."""
+    line = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+    n, p, s = F.col("n"), F.col("p"), F.col("s")
+    path = F.concat(F.lit("c"), n, F.lit(".xhtml"))
+    href = F.when(p % 11 == 0, " ").when(p % 11 == 1, "mailto:x").when(p % 11 == 2, "#a1").when(p % 11 == 3, "zz.xhtml#a").otherwise(F.concat(path, F.when(p % 3 == 0, "").otherwise(F.concat(F.lit("#a"), s % 5))))
+    documents = line.select("book_id", n.alias("document_id"), path.alias("href"))
+    anchors = line.select("book_id", n.alias("document_id"), F.concat(F.lit("a"), s % 5).alias("name"), (n * 10 + p % 3).alias("node_id"))
+    nodes = line.select("book_id", n.alias("document_id"), F.explode(F.array(n * 10, n * 10 + 1)).alias("node_id"))
+    made = links.navigation_targets(line.select("book_id", n.alias("n"), href.alias("href")), documents, anchors, nodes)
+    return made.groupBy("book_id", "n", "href", "document_id", "node_id", "reason").agg(F.count("*").alias("n_points"))
+
+
+NAVIGATION_TARGETS = """WITH l AS (SELECT l_orderkey AS b, l_linenumber::BIGINT AS n, l_partkey AS p, l_suppkey AS s FROM lineitem),
+h AS (SELECT *, CASE p % 11 WHEN 0 THEN ' ' WHEN 1 THEN 'mailto:x' WHEN 2 THEN '#a1' WHEN 3 THEN 'zz.xhtml#a' ELSE 'c' || n || '.xhtml' || CASE WHEN p % 3 = 0 THEN '' ELSE '#a' || (s % 5) END END AS href FROM l),
+d AS (SELECT b, n, count(*) AS docs FROM l GROUP BY ALL), a AS (SELECT b, n, 'a' || (s % 5) AS name, count(*) AS marks, min(n * 10 + p % 3) AS node FROM l WHERE p % 3 < 2 GROUP BY ALL),
+r AS (SELECT h.b AS book_id, h.n, href, node, CASE WHEN p % 11 = 0 THEN 'empty_target' WHEN p % 11 = 1 THEN 'external_target' WHEN p % 11 = 2 THEN 'missing_document_context' WHEN p % 11 = 3 THEN 'document_not_found' WHEN docs > 1 THEN 'ambiguous_document'
+  WHEN p % 3 = 0 THEN NULL WHEN marks IS NULL THEN 'anchor_not_found' WHEN marks > 1 THEN 'ambiguous_anchor' END AS reason, p % 3 = 0 AS plain FROM h JOIN d USING (b, n) LEFT JOIN a ON a.b = h.b AND a.n = h.n AND a.name = 'a' || (h.s % 5))
+SELECT book_id, n, href, CASE WHEN reason IS NULL THEN n END AS document_id, CASE WHEN reason IS NULL AND NOT plain THEN node END AS node_id, reason, count(*) AS n_points FROM r GROUP BY ALL"""
+
+
+_CSS = """/* base { color: red } */ p { color: black; margin: 0  auto; --own: 1 } .big, #k7 { font-size: 2em; color: blue }
+@media amzn-kf8 { p.big { color: green } } @media amzn-mobi { p { color: grey } } div > p.big.odd { font-weight: bold } * { line-height: 1.2 } @font-face { font-family: x } h1 { color: navy; color: teal }"""
+
+
+def computed_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet's cascade over parts as elements, for one target."""
+    part = read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    classes = F.array_compact(F.array(F.when(k % 3 == 0, "big"), F.when(k % 2 == 1, "odd")))
+    inline = F.when(k % 10 == 9, F.lit("color: white; MARGIN: 1px"))
+    elements = part.select(F.lit(1).cast("long").alias("book_id"), k.alias("node_id"), F.when(k % 4 == 0, "h1").otherwise("p").alias("tag"), F.concat(F.lit("k"), k % 50).alias("id"), classes.alias("classes"), inline.alias("inline"))
+    sheet = spark.range(1).select(F.lit(1).cast("long").alias("book_id"), F.lit(0).alias("position"), F.lit(_CSS).alias("css"))
+    return styles.computed(elements, styles.rules(sheet, "kf8")).select("node_id", "property", "value")
+
+
+COMPUTED_STYLES = """WITH e AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 0 THEN 'h1' ELSE 'p' END AS tag, p_partkey % 3 = 0 AS big, p_partkey % 2 = 1 AS odd, p_partkey % 50 = 7 AS seven, p_partkey % 10 = 9 AS own FROM part),
+v AS (SELECT k AS node_id, unnest([{'p': 'color', 'v': CASE WHEN own THEN 'white' WHEN seven THEN 'blue' WHEN big AND tag = 'p' THEN 'green' WHEN big THEN 'blue' WHEN tag = 'p' THEN 'black' ELSE 'teal' END},
+{'p': 'margin', 'v': CASE WHEN own THEN '1px' WHEN tag = 'p' THEN '0 auto' END}, {'p': 'font-size', 'v': CASE WHEN big OR seven THEN '2em' END}, {'p': 'font-weight', 'v': CASE WHEN tag = 'p' AND big AND odd THEN 'bold' END}, {'p': 'line-height', 'v': '1.2'}]) AS x FROM e)
+SELECT node_id, x.p AS property, x.v AS value FROM v WHERE x.v IS NOT NULL"""
+
+_ALL = (book_faults, book_verdicts, edited_books, edited_order, navigation_targets, computed_styles)
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {name: globals()[name.upper()] for name in QUERIES}
