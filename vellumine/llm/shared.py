@@ -28,6 +28,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of an Arrow batch to and from Python; texts are long, and both sides hold a batch or two.
+BATCH_ROWS, _SETTING = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: Tables that ``saved`` has written, by application.
 _written: dict[str, list[str]] = {}
 
@@ -37,9 +40,12 @@ def saved(df: DataFrame, what: str) -> DataFrame:
 
     Cuts the lineage: work after it survives lost executors without repeating
     what led to the table. Results read such tables, so that they stay until
-    ``clear``.
+    ``clear``. A session that has left the rows of Arrow batches at Spark's
+    10,000 goes on with BATCH_ROWS.
     """
     spark = df.sparkSession
+    if spark.conf.get(_SETTING) == "10000":
+        spark.conf.set(_SETTING, BATCH_ROWS)
     path = f"{shared_folder(spark).rstrip('/')}/vq-{what}-{uuid.uuid4().hex}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
