@@ -6,14 +6,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMATS = ("EPUB3", "KF7", "KF8", "KFX")
-#: Level of each feature by format in FORMATS' order; fixed values. N native, C compatible,
-#: A approximate, F flattenable, U unsupported.
+#: Level of each feature by format in FORMATS' order; fixed values.
 LEVELS = {
-    "Text": "NNNN", "Heading": "NNNN", "Navigation": "NCCN", "Image": "NCNN", "Svg": "NANN", "EmbeddedFont": "NANN",
-    "Ruby": "NACN", "Math": "NAAN", "VerticalWriting": "NUCN", "ComplexTable": "NFCC", "Float": "NFCN",
-    "FixedPosition": "NFCN", "FixedLayout": "NFCN", "Footnote": "NACN", "Endnote": "NACN", "PageBreak": "NNNN",
-    "DropCap": "NACN", "Poetry": "NCCN", "Aside": "NACN", "Link": "NCNN", "SemanticStructure": "NCNN",
-}
+    "Text": ("Native", "Native", "Native", "Native"),
+    "Heading": ("Native", "Native", "Native", "Native"),
+    "Navigation": ("Native", "Compatible", "Compatible", "Native"),
+    "Image": ("Native", "Compatible", "Native", "Native"),
+    "Svg": ("Native", "Approximate", "Native", "Native"),
+    "EmbeddedFont": ("Native", "Approximate", "Native", "Native"),
+    "Ruby": ("Native", "Approximate", "Compatible", "Native"),
+    "Math": ("Native", "Approximate", "Approximate", "Native"),
+    "VerticalWriting": ("Native", "Unsupported", "Compatible", "Native"),
+    "ComplexTable": ("Native", "Flattenable", "Compatible", "Compatible"),
+    "Float": ("Native", "Flattenable", "Compatible", "Native"),
+    "FixedPosition": ("Native", "Flattenable", "Compatible", "Native"),
+    "FixedLayout": ("Native", "Flattenable", "Compatible", "Native"),
+    "Footnote": ("Native", "Approximate", "Compatible", "Native"),
+    "Endnote": ("Native", "Approximate", "Compatible", "Native"),
+    "PageBreak": ("Native", "Native", "Native", "Native"),
+    "DropCap": ("Native", "Approximate", "Compatible", "Native"),
+    "Poetry": ("Native", "Compatible", "Compatible", "Native"),
+    "Aside": ("Native", "Approximate", "Compatible", "Native"),
+    "Link": ("Native", "Compatible", "Native", "Native"),
+    "SemanticStructure": ("Native", "Compatible", "Native", "Native"),
+}
 #: What a plan makes of a feature, by rank, and the overall quality of a plan with it; fixed values.
 OUTCOMES = ("Exact", "Equivalent", "CompatibleApproximation", "StructuralFallback", "Drop")
 OVERALL = ("Exact", "High", "Compatible", "Reduced", "SevereLoss")
@@ -31,13 +47,13 @@ def capabilities(spark: SparkSession) -> DataFrame:
 def outcome(feature: Column, level: Column, has_text: Column) -> Column:
     """The rank in OUTCOMES: native and compatible as they are; what is left by feature, level and readable text."""
     return (
-        F.when(level == "N", 0)
-        .when(level == "C", 1)
-        .when((feature == "Svg") & level.isin("A", "U") & ~has_text, 3)
-        .when((level == "U") & (feature == "VerticalWriting"), 2)
-        .when((level == "U") & feature.isin("Svg", "FixedLayout"), 3)
-        .when(level == "A", 2)
-        .when(level == "F", 3)
+        F.when(level == "Native", 0)
+        .when(level == "Compatible", 1)
+        .when((feature == "Svg") & level.isin("Approximate", "Unsupported") & ~has_text, 3)
+        .when((level == "Unsupported") & (feature == "VerticalWriting"), 2)
+        .when((level == "Unsupported") & feature.isin("Svg", "FixedLayout"), 3)
+        .when(level == "Approximate", 2)
+        .when(level == "Flattenable", 3)
         .when(has_text, 2)
         .otherwise(4)
     )
@@ -59,7 +75,7 @@ def plan(asked: DataFrame, mode: str = "compatible", key: str = "page_id") -> Da
     matrix = capabilities(asked.sparkSession)
     formats = F.explode(F.array(*[F.lit(f) for f in FORMATS])).alias("format")
     each = asked.select("*", formats).join(F.broadcast(matrix), ["feature", "format"], "left")
-    each = each.withColumn("rank", outcome(F.col("feature"), F.coalesce("level", F.lit("U")), F.col("feature") != "Image"))
+    each = each.withColumn("rank", outcome(F.col("feature"), F.coalesce("level", F.lit("Unsupported")), F.col("feature") != "Image"))
     counts = [F.sum(F.when(F.col("rank") == i, F.col("n")).otherwise(0)).alias(f"n_{name.lower()}") for i, name in enumerate(OUTCOMES)]
     worst = F.max("rank")
     out = each.groupBy(key, "format").agg(F.sum("n").alias("n_items"), worst.alias("worst"), *counts)

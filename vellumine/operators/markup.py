@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Elements without an end tag; fixed by the HTML standard.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
-NODE_SCHEMA = "page_id bigint, node_id int, parent_id int, depth int, pre int, post int, tag string, text string, href string, name string"
+NODE_SCHEMA = "page_id bigint, node_id int, parent_id int, depth int, pre int, post int, tag string, text string, href string, name string, classes string, epub_type string, aria_role string"
 
 
 def without_doctype(html: Column) -> Column:
@@ -76,7 +76,7 @@ class _Nodes(HTMLParser):
 
     def _add(self, tag: str, text: str | None = None, attrs: dict | None = None) -> int:
         parent, attrs = (self.open[-1] if self.open else None), attrs or {}
-        self.rows.append([self.page, len(self.rows), parent, len(self.open), self.clock, self.clock, tag, text, attrs.get("href") or attrs.get("src"), attrs.get("id") or attrs.get("name")])
+        self.rows.append([self.page, len(self.rows), parent, len(self.open), self.clock, self.clock, tag, text, attrs.get("href") or attrs.get("src"), attrs.get("id") or attrs.get("name"), attrs.get("class"), attrs.get("epub:type"), attrs.get("role")])
         self.clock += 1
         return len(self.rows) - 1
 
@@ -113,16 +113,63 @@ def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
         for f in frames:
+            rows = []
             for page, text in zip(f[key], f[html]):
                 parser = _Nodes(page)
                 parser.feed(text or "")
-                out = pd.DataFrame(parser.done(), columns=columns)
-                out["parent_id"] = out["parent_id"].astype("Int64")
-                yield out
+                rows += parser.done()
+            out = pd.DataFrame(rows, columns=columns)
+            out["parent_id"] = out["parent_id"].astype("Int64")
+            yield out
 
     return pages.select(F.col(key).alias(key), html).mapInPandas(parse, NODE_SCHEMA)
 
 
+#: The role of an element by its tag, where no mark says otherwise; fixed values.
+ROLES = {
+    "Heading": ("h1", "h2", "h3", "h4", "h5", "h6"),
+    "Paragraph": ("p",),
+    "Quote": ("blockquote",),
+    "Aside": ("aside",),
+    "Figure": ("figure",),
+    "Caption": ("figcaption", "caption"),
+    "Code": ("code", "pre"),
+    "Table": ("table", "tr", "td", "th"),
+    "Ruby": ("ruby",),
+    "Math": ("math",),
+    "Link": ("a",),
+    "Image": ("img", "svg"),
+    "PageBreak": ("br", "hr"),
+    "List": ("ol", "ul", "li"),
+    "Section": ("body", "section", "article", "header", "footer"),
+}
+
+
+def semantic(tree: DataFrame) -> DataFrame:
+    """The elements of ``tree`` of ``nodes`` with ``role`` and ``confidence``.
+
+    Marks go before the tag, in this order: the class of a page break, the
+    types chapter, endnote and footnote, a scene break by type or class; a
+    paragraph of the type poem is poetry.
+    """
+
+    def words(c: str) -> Column:
+        return F.split(F.coalesce(c, F.lit("")), r"\s+")
+
+    def typed(*names: str) -> Column:
+        return F.arrays_overlap(F.transform(words("epub_type"), F.lower), F.array(*[F.lit(n) for n in names]))
+
+    def classed(*names: str) -> Column:
+        return F.arrays_overlap(words("classes"), F.array(*[F.lit(n) for n in names]))
+
+    role = F.when(classed("ff-pagebreak"), "PageBreak").when(typed("chapter"), "Chapter").when(typed("endnote"), "Endnote").when(typed("footnote"), "Footnote")
+    role = role.when(typed("separation", "scene-break", "scenebreak") | classed("scene-break", "scenebreak", "separator"), "SceneBreak").when((F.col("tag") == "p") & typed("poem"), "Poetry")
+    for name, tags in ROLES.items():
+        role = role.when(F.col("tag").isin(*tags), name)
+    explicit = F.col("epub_type").isNotNull() | F.col("aria_role").isNotNull() | F.col("tag").rlike("^(?:h[1-6]|p|figure)$")
+    return tree.where("tag <> '#text'").withColumns({"role": role.otherwise("Generic"), "confidence": F.when(explicit, "Explicit").otherwise("StronglyInferred")})
+
+
 def text_of(tree: DataFrame) -> DataFrame:
     """(page_id, text): the texts of a page in document order, a space between."""
     parts = tree.where("tag = '#text'").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pre", "text"))).alias("t"))

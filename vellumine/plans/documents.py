@@ -29,6 +29,24 @@ def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 TAG_COUNTS = "SELECT tag, count(*) AS n_tags, count(DISTINCT page_id) AS n_pages FROM (SELECT page_id, unnest(regexp_extract_all(lower(html), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag"
 
 
+_SCRIPTLESS = r"regexp_replace(regexp_replace(html, '(?is)(<script[^>]*>).*?</script>', '\1', 'g'), '(?s)<!--.*?-->', '', 'g')"
+
+
+def page_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of the pages by role and confidence, with some of each kind of mark added."""
+    k = F.col("page_id")
+    more = F.when(k % 2 == 0, '<section epub:type="x Chapter"><p epub:type="poem">v</p><p class="a separator">*</p><aside role="note" epub:type="FootNote">f</aside><figure></figure></section>').otherwise("")
+    made = markup.semantic(markup.nodes(read(spark, sf_dir, "pages").withColumn("html", F.concat("html", more))))
+    return made.groupBy("page_id", "role", "confidence").agg(F.count("*").alias("n"))
+
+
+_ROLES = " ".join(f"WHEN tag IN ({', '.join(repr(t) for t in tags)}) THEN '{role}'" for role, tags in markup.ROLES.items())
+PAGE_ROLES = f"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(lower({_SCRIPTLESS}), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages),
+r AS (SELECT page_id, CASE {_ROLES} ELSE 'Generic' END AS role, CASE WHEN regexp_matches(tag, '^(h[1-6]|p|figure)$') THEN 'Explicit' ELSE 'StronglyInferred' END AS confidence FROM t
+UNION ALL SELECT page_id, unnest(['Chapter', 'Poetry', 'SceneBreak', 'Footnote', 'Figure']), 'Explicit' FROM pages WHERE page_id % 2 = 0)
+SELECT page_id, role, confidence, count(*) AS n FROM r GROUP BY ALL"""
+
+
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First heading of each page, from its tree."""
     return markup.first_heading(markup.nodes(read(spark, sf_dir, "pages")))
@@ -74,7 +92,7 @@ _MATRIX = ", ".join(f"('{f}', '{fmt}', '{row[i]}')" for f, row in compat.LEVELS.
 _COUNTS = ", ".join(f"sum(CASE WHEN rank = {i} THEN n ELSE 0 END)::BIGINT AS n_{name.lower()}" for i, name in enumerate(compat.OUTCOMES))
 COMPATIBILITY_PLAN = f"""WITH r AS (SELECT page_id, CASE tag {_TAGS} END AS feature, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(lower(html), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY ALL HAVING feature IS NOT NULL),
 m AS (SELECT * FROM (VALUES {_MATRIX}) AS t(feature, format, level)),
-i AS (SELECT page_id, format, n, CASE level WHEN 'N' THEN 0 WHEN 'C' THEN 1 WHEN 'A' THEN 2 WHEN 'F' THEN 3 ELSE 4 END AS rank FROM r JOIN m USING (feature))
+i AS (SELECT page_id, format, n, CASE level WHEN 'Native' THEN 0 WHEN 'Compatible' THEN 1 WHEN 'Approximate' THEN 2 WHEN 'Flattenable' THEN 3 ELSE 4 END AS rank FROM r JOIN m USING (feature))
 SELECT page_id, format, sum(n)::BIGINT AS n_items, max(rank)::BIGINT AS worst, {_COUNTS}, ['Exact', 'High', 'Compatible', 'Reduced', 'SevereLoss'][max(rank) + 1] AS overall, max(rank) > 1 AS blocked FROM i GROUP BY page_id, format"""
 
 
@@ -156,6 +174,6 @@ s AS (SELECT *, CASE WHEN k % 11 = 0 THEN 0.40 WHEN lower(n) = lower(f) THEN 0.9
 SELECT k AS c_custkey, round(least(b + CASE WHEN k % 2 = 0 THEN 0.06 ELSE 0 END, 0.98)::DOUBLE, 6) AS confidence,
 CASE k % 3 WHEN 1 THEN f WHEN 0 THEN CASE WHEN lower(n) = lower(f) THEN n ELSE n || '; ' || f END ELSE n END AS merged FROM s"""
 
-_ALL = (page_heads, tag_counts, page_titles, page_text, page_integrity, compatibility_plan, reading_order, page_spreads, page_geometry, natural_order, output_names, retained_jobs, linkage_scores)
+_ALL = (page_heads, tag_counts, page_roles, page_titles, page_text, page_integrity, compatibility_plan, reading_order, page_spreads, page_geometry, natural_order, output_names, retained_jobs, linkage_scores)
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}
