@@ -329,10 +329,15 @@ def _rest(sets: DataFrame, open_: DataFrame, threshold: float) -> DataFrame:
     return met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
-def _word_sets(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """(class, words): the words, as 64-bit hashes, of each class of ``pairs``, read from its first line; a saved table."""
+def _paired(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, first) of the classes of ``pairs``; a saved table."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    where = classes.select("class", "first").join(wanted, "class").groupBy("first.doc_id", "first.h").agg(F.collect_list(F.struct("first.line", "class")).alias("wanted"))
+    return saved(classes.select("class", "first").join(wanted, "class"), "paired")
+
+
+def _word_sets(paired: DataFrame, rows: DataFrame) -> DataFrame:
+    """(class, words): the words, as 64-bit hashes, of each class of ``paired``, read from its first line; a saved table."""
+    where = paired.groupBy("first.doc_id", "first.h").agg(F.collect_list(F.struct("first.line", "class")).alias("wanted"))
     where = saved(where.withColumnsRenamed({"doc_id": "vq_id", "h": "vq_h"}), "wanted")
     found = rows.join(broadcast_if_small(where), rows["doc_id"].eqNullSafe(where["vq_id"]) & (rows["h"] == where["vq_h"]))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -356,10 +361,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _earlier(links: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(class, near): of each class that matches an earlier one, the place of the earliest match known."""
+    """(class, near): of each class that matches an earlier one, the place of the earliest match known; a saved table."""
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     ends = ends.join(firsts.select(F.col("class").alias("b"), F.col("first").alias("near")), "b").join(firsts.select(F.col("class").alias("a"), "first"), "a")
-    return ends.where("near < first").groupBy(F.col("a").alias("class")).agg(F.min("near").alias("near"))
+    return saved(ends.where("near < first").groupBy(F.col("a").alias("class")).agg(F.min("near").alias("near")), "earlier")
 
 
 def later_lines(rows: DataFrame, threshold: float = 0.8, least: int = 1) -> DataFrame:
@@ -368,20 +373,26 @@ def later_lines(rows: DataFrame, threshold: float = 0.8, least: int = 1) -> Data
     classes = saved(_classes(sets), "classes")
     found = saved(_candidates(sets, threshold), "candidates")
     pairs = found.where("b IS NOT NULL")
-    words = _word_sets(pairs, classes, rows)
+    paired = _paired(pairs, classes)
+    words, firsts = _word_sets(paired, rows), broadcast_if_small(paired)
     # A class is settled by an earlier match: the most alike by bitmap is tried first, then its others.
     best = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x")).select("a", "x.b")
     links = saved(_verified(best, words, threshold), "matches")
-    others = pairs.join(_earlier(links, classes).select(F.col("class").alias("a")), "a", "left_anti")
-    links = links.unionByName(saved(_verified(others, words, threshold), "more-matches"))
+    earlier = _earlier(links, firsts)
+    others = pairs.join(broadcast_if_small(earlier.select(F.col("class").alias("a"))), "a", "left_anti")
+    more = saved(_verified(others, words, threshold), "more-matches")
+    earlier = earlier.unionByName(_earlier(more, firsts))
     # One that has none, but pairs that were left out, meets all of them.
     until = F.coalesce("first.doc_id", F.lit((1 << 63) - 1)).alias("until")
-    open_ = found.where("b IS NULL").select(F.col("a").alias("class")).join(_earlier(links, classes), "class", "left_anti")
-    open_ = saved(open_.join(classes.select("class", until), "class"), "open")
-    if not open_.isEmpty():
+    cut = saved(found.where("b IS NULL").select(F.col("a").alias("class")).join(earlier, "class", "left_anti"), "cut")
+    if not cut.isEmpty():
+        open_ = saved(classes.join(broadcast_if_small(cut), "class").select("class", until), "open")
         rest = saved(_rest(sets, open_, threshold), "rest-pairs")
-        links = links.unionByName(saved(_verified(rest, _word_sets(rest, classes, rows), threshold), "rest-matches"))
-    bound = classes.join(_earlier(links, classes), "class", "left").where((F.col("copies") > 1) | F.col("near").isNotNull())
+        paired = _paired(rest, classes)
+        met = saved(_verified(rest, _word_sets(paired, rows), threshold), "rest-matches")
+        earlier = earlier.unionByName(_earlier(met, broadcast_if_small(paired)))
+    near = saved(earlier.groupBy("class").agg(F.min("near").alias("near")), "near")
+    bound = classes.join(broadcast_if_small(near), "class", "left").where((F.col("copies") > 1) | F.col("near").isNotNull())
     bound = saved(bound.select("class", F.least("first", F.coalesce("near", "first")).alias("bound")), "bounds")
     later = sets.select("doc_id", "h", "line", "class").join(broadcast_if_small(bound), "class").where(_place() > F.col("bound"))
     return later.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("lines"))
