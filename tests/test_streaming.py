@@ -20,6 +20,7 @@ def test_latest_states(spark, sf, tmp_path):
     events.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     jobs.keep_latest(stream, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
-    last = max((tmp_path / "t").iterdir(), key=lambda p: int(p.name.split("=")[1]))
-    got = {r.job_id: r.state for r in spark.read.parquet(str(last)).collect()}
-    assert got == {r.job_id: r.state for r in jobs.latest_states(events).collect()}
+    jobs.compacted(spark, str(tmp_path / "t"), str(tmp_path / "u"))
+    want = {r.job_id: r.state for r in jobs.latest_states(events).collect()}
+    for table in ("t", "u"):
+        assert {r.job_id: r.state for r in jobs.current_states(spark, str(tmp_path / table)).collect()} == want
