@@ -396,6 +396,71 @@ def test_quality_rules_outliers(spark):
     assert all(got[i] for i in range(300)) and not any(got[i] for i in range(300, 320))
 
 
+def test_quality_rules_estimate(spark):
+    """Distances of a group against the same estimate in numpy, from the statistics of all its rows."""
+    rng = np.random.default_rng(15)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), int(n))) for n in rng.integers(2, 9, 400)]
+    texts = [". ".join(" ".join(rng.choice(vocabulary, 9)) for _ in range(int(rng.integers(8, 30)))) + "#" * int(rng.integers(0, 4)) for _ in range(300)]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").repartition(3)
+    names = list(quality_rules.STATS)
+    stats = quality_rules.counted(keyed(df)).select("doc_id", *quality_rules.transformed()).toPandas().sort_values("doc_id")
+    x, floor = stats[names].to_numpy(), np.array(list(quality_rules.STATS.values()))
+    q = np.stack([np.sort(x, axis=0)[int(np.ceil(p * len(x))) - 1] for p in (0.25, 0.5, 0.75)])
+    mean, inverse = q[1], np.diag(1 / np.maximum((q[2] - q[0]) / 1.349, floor) ** 2)
+    for _ in range(5):
+        d2 = np.einsum("ni,ij,nj->n", x - mean, inverse, x - mean)
+        band = np.floor(np.log2(d2 + 1e-6) * quality_rules.BANDS)
+        core = x[[np.sum(band < b) < quality_rules.CORE * len(x) for b in band]]
+        mean = core.mean(axis=0)
+        inverse = np.linalg.inv(np.cov(core.T, bias=True) * quality_rules.CONSISTENCY + np.diag(floor**2))
+    want = np.sqrt(np.einsum("ni,ij,nj->n", x - mean, inverse, x - mean))
+    got = quality_rules.rate(df).select("doc_id", "distance", "pool").toPandas().sort_values("doc_id")
+    assert np.allclose(got["distance"], want, rtol=1e-6) and got["pool"].nunique() == 1
+
+
+def test_classifier_parts():
+    """The isotonic step against least squares over all cuts into blocks of rising levels."""
+    rng = np.random.default_rng(16)
+    for _ in range(30):
+        n = int(rng.integers(1, 9))
+        weight, total = rng.integers(1, 9, n).astype(float), rng.integers(0, 9, n).astype(float)
+        centres, levels = quality_classifier._isotonic(np.arange(n), np.minimum(total, weight), weight)
+        y = np.minimum(total, weight) / weight
+        best = np.inf
+        for cuts in range(1 << (n - 1)):
+            edges = [0, *[k + 1 for k in range(n - 1) if cuts >> k & 1], n]
+            means = [np.average(y[a:b], weights=weight[a:b]) for a, b in zip(edges, edges[1:])]
+            if all(a <= b for a, b in zip(means, means[1:])):
+                fit = np.concatenate([[m] * (b - a) for m, a, b in zip(means, edges, edges[1:])])
+                best = min(best, float(np.sum(weight * (y - fit) ** 2)))
+        assert (np.diff(levels) > 0).all()
+        # Rebuild the blocks from their centres: each is a weighted mean of its bins.
+        at, got = 0, 0.0
+        for c, level in zip(centres, levels):
+            end = at + 1
+            while abs(np.average(np.arange(at, end), weights=weight[at:end]) - c) > 1e-9:
+                end += 1
+            got += float(np.sum(weight[at:end] * (y[at:end] - level) ** 2))
+            at = end
+        assert at == n and abs(got - best) < 1e-9
+
+
+def test_classifier_normal_equations(spark):
+    """The weights of partition sums against one solution over all rows."""
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(400, len(quality_classifier.INPUTS)))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 > 0.3).astype(float)
+    rows = [(*map(float, r), float(v), i % 4 == 0) for i, (r, v) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in quality_classifier.INPUTS) + ", label double, calibrate boolean").repartition(5)
+    model = quality_classifier.fit(df, features=24)
+    kept = np.arange(400) % 4 != 0
+    z = model.features(x[kept])
+    penalty = np.full(25, 1e-3 * kept.sum())
+    penalty[-1] = 0
+    want = np.linalg.solve(z.T @ z + np.diag(penalty) + 1e-9 * np.eye(25), z.T @ y[kept])
+    assert np.allclose(model.weights, want, atol=1e-8) and np.allclose(model.mean, x[kept].mean(axis=0))
+
+
 def test_quality_classifier(spark, odd, none):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
