@@ -86,6 +86,20 @@ def test_scan_and_next_snapshot(spark):
     assert not {"c", "m", "y"} & after.keys() and len(after) == 12
 
 
+def test_imported_modes(spark):
+    text = "Chapter 1\n\nOne line\nwrapped here\n  indented\nlast\n\n字\n字"
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+
+    def nodes(**settings):
+        return [(r.node_id, r.document, r.line, r.kind, r.text) for r in text_structure.imported(df, novel=True, **settings).orderBy("node_id").collect()]
+
+    head = (0, 0, 0, "heading", "Chapter 1")
+    assert nodes(requested="blank_line") == [head, (1, 0, 2, "paragraph", "One line wrapped here indented last"), (2, 0, 7, "paragraph", "字字")]
+    assert nodes(requested="indented") == [head, (1, 0, 2, "paragraph", "One line wrapped here"), (2, 0, 4, "paragraph", "indented last"), (3, 0, 7, "paragraph", "字字")]
+    assert [x[3:] for x in nodes(requested="every_line")] == [("heading", "Chapter 1"), *[("paragraph", x) for x in ("One line", "wrapped here", "  indented", "last", "字", "字")]]
+    assert [x[1] for x in nodes(requested="blank_line", document_bytes=40)] == [0, 1, 2]
+
+
 def test_hrefs_and_css(spark):
     cases = [("t/a.xhtml", "b.xhtml#x", "t/b.xhtml#x"), ("t/a.xhtml", "#x", "t/a.xhtml#x"), ("t/a.xhtml", "../c%20d.xhtml", "c d.xhtml"), ("a.xhtml", "../x", None), ("a.xhtml", "http://x/y", "http://x/y"), ("t/a.xhtml", "//h/x", "//h/x"), ("t/a.xhtml", "./u/.././v+w.xhtml", "t/v+w.xhtml")]
     df = spark.createDataFrame([(i, d, h) for i, (d, h, _) in enumerate(cases)], "i int, d string, h string")

@@ -96,16 +96,24 @@ def line_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
-def paragraph_mode(stats: DataFrame) -> DataFrame:
-    """``stats`` of ``line_statistics`` with ``mode``, ``confidence`` and ``protected``."""
+def paragraph_mode(stats: DataFrame, requested: str = "auto") -> DataFrame:
+    """``stats`` of ``line_statistics`` with ``mode``, ``confidence`` and ``protected``.
+
+    ``requested`` is auto, every_line, indented, blank_line or hard_wrap; a
+    text whose lines look like verse or code is never unwrapped.
+    """
     n = F.greatest("n_full", F.lit(1))
     protected = (F.col("n_full") > 0) & (100 * F.col("n_short") >= 65 * n) & ((100 * F.col("n_indented") >= 10 * n) | F.col("irregular"))
     blank = F.col("n_lines") - F.col("n_full")
     wrapped = F.col("median_length").between(42, 90) & (F.col("pct_wrapped") >= 65) & (100 * blank < 12 * F.col("n_lines"))
     empty = F.col("n_full") == 0
-    mode = F.when(empty, "blank_line").when(protected, "every_line").when(wrapped, "hard_wrap").otherwise("blank_line")
-    sure = F.when(empty, 100).when(protected, 88).when(wrapped, 82).otherwise(76)
-    return stats.select("*", mode.alias("mode"), sure.alias("confidence"), (~empty & protected).alias("protected"))
+    if requested == "auto":
+        mode, sure = F.when(protected, "every_line").when(wrapped, "hard_wrap").otherwise("blank_line"), F.when(protected, 88).when(wrapped, 82).otherwise(76)
+    elif requested == "hard_wrap":
+        mode, sure = F.when(protected, "every_line").otherwise("hard_wrap"), F.when(protected, 92).when(wrapped, 86).otherwise(62)
+    else:
+        mode, sure = F.lit(requested), F.lit({"every_line": 100, "indented": 85, "blank_line": 90}[requested])
+    return stats.select("*", F.when(empty, "blank_line").otherwise(mode).alias("mode"), F.when(empty, 100).otherwise(sure).alias("confidence"), (~empty & protected).alias("protected"))
 
 
 _HEADING = "struct<kind:string,number:int,detector:string>"
@@ -198,6 +206,59 @@ def sections(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str =
     return each.where(~F.coalesce(F.array_contains("marks", F.col("line")), F.lit(False))).select(key, "paragraph", "line", under.alias("section_line"), F.length("text").alias("n_chars"))
 
 
+#: Marks that tell a preformatted line as code; fixed values.
+CODE = ("{", "}", "=>", "fn ", "let ", "class ", "#include", "</")
+#: Bytes of text that one document of an import holds at most.
+DOCUMENT_BYTES = 32 << 20
+
+
+def imported(docs: DataFrame, key: str = "doc_id", text: str = "text", requested: str = "auto", novel: bool = False, document_bytes: int = DOCUMENT_BYTES) -> DataFrame:
+    """The nodes of imported texts: (key, node_id, document, line, kind, level, text, preformatted, code, confidence).
+
+    Headings and paragraphs in the order of their lines, numbered from 0. A
+    paragraph ends at a blank line or a heading; every line is one in the
+    mode every_line, an indented line begins one in the mode indented. A text
+    too long for one document goes on in the next at a node. Null text counts
+    as empty and gives no nodes.
+    """
+    found = headings(docs, key, text, novel)
+    marks = found.groupBy(key).agg(F.collect_set("line").alias("marks"))
+    modes = paragraph_mode(line_statistics(docs, key, text), requested).select(key, "mode", "protected", "confidence")
+    made = with_lines(docs, text).select(key, "lines").join(modes, key).join(marks, key, "left").withColumn("marks", F.coalesce("marks", F.array().cast("array<int>")))
+
+    def used(x: Column, i: Column) -> Column:
+        return ~is_blank(x) & ~F.array_contains("marks", i)
+
+    made = made.withColumn("used", F.transform("lines", used))
+
+    def begins(x: Column, i: Column) -> Column:
+        first = (i == 0) | ~F.get("used", i - 1) | (F.col("mode") == "every_line") | ((F.col("mode") == "indented") & x.rlike("^[ \t　]"))
+        return F.when(F.get("used", i) & first, i)
+
+    made = made.withColumn("starts", F.array_compact(F.transform("lines", begins)))
+    each = made.select("*", F.posexplode("starts").alias("k", "line"))
+    stop = F.coalesce(F.get("starts", F.col("k") + 1), F.size("lines"))
+    part = F.filter(F.slice("lines", F.col("line") + 1, stop - F.col("line")), lambda x, i: F.get("used", F.col("line") + i))
+    kept = F.col("protected") & F.col("mode").isin("every_line", "hard_wrap")
+    body = F.when(kept & (F.col("mode") == "every_line"), F.get(part, F.lit(0))).otherwise(_joined(part))
+    code = kept & F.greatest(*[F.contains(body, F.lit(c)) for c in CODE])
+    paragraphs_ = each.select(key, "line", F.lit("paragraph").alias("kind"), F.lit(None).cast("int").alias("level"), body.alias("text"), kept.alias("preformatted"), code.alias("code"), "confidence")
+    heads = found.select(key, "line", F.lit("heading").alias("kind"), "level", F.col("title").alias("text"), F.lit(False).alias("preformatted"), F.lit(False).alias("code"), F.col("score").alias("confidence"))
+    w = Window.partitionBy(key).orderBy("line", "kind")
+    numbered = paragraphs_.unionByName(heads).withColumn("node_id", (F.row_number().over(w) - 1).cast("long"))
+    # Greedy runs of nodes: a fold over sizes only.
+    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("document"), F.lit(0).cast("long").alias("bytes"))
+
+    def put(s: Column, x: Column) -> Column:
+        more = (s["bytes"] > 0) & (s["bytes"] + x["size"] > document_bytes)
+        document = s["document"] + F.when(more, 1).otherwise(0)
+        return F.struct(F.concat(s["out"], F.array(document)).alias("out"), document.alias("document"), F.when(more, x["size"]).otherwise(s["bytes"] + x["size"]).alias("bytes"))
+
+    sizes = numbered.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("node_id", F.octet_length("text").cast("long").alias("size")))).alias("sizes"))
+    placed = sizes.select(key, F.posexplode(F.aggregate("sizes", start, put, lambda s: s["out"])).alias("node_id", "document"))
+    return numbered.join(placed.withColumn("node_id", F.col("node_id").cast("long")), [key, "node_id"]).select(key, "node_id", "document", "line", "kind", "level", "text", "preformatted", "code", F.when(F.col("confidence") >= 85, "StronglyInferred").otherwise("Heuristic").alias("confidence"))
+
+
 def file_name_guess(name: Column) -> Column:
     """struct<title, author> from a file name: 《title》作者：author, title[author] or title - author."""
     stem = F.regexp_replace(name, r"\.[A-Za-z0-9]{1,5}$", "")

@@ -96,6 +96,31 @@ SELECT conv_id, x AS title, kind, i::BIGINT AS line, number::BIGINT AS number, f
   CASE WHEN kind <> 'Volume' THEN max(CASE WHEN kind = 'Volume' THEN i END) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END::BIGINT AS volume_line FROM k"""
 
 
+def imported_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The books' nodes: headings and paragraphs by the mode that their lines call for."""
+    turns = book_text(spark, sf_dir)
+    # Every third book as verse: short lines of uneven length, some indented.
+    verse = F.regexp_replace("text", "([^\n]{1,30}) ", "$1\n  ")
+    made = S.imported(turns.withColumn("text", F.when(F.col("conv_id") % 3 == 0, verse).otherwise(F.col("text"))), "conv_id")
+    return made.select("conv_id", "node_id", F.col("line").cast("long").alias("line"), "kind", F.sha2("text", 256).alias("text_sha256"), "preformatted", "confidence")
+
+
+_VERSE = """plain_books AS (SELECT * FROM books), shaped AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN regexp_replace(text, '([^\\n]{1,30}) ', '\\1' || chr(10) || '  ', 'g') ELSE text END AS text FROM books)"""
+IMPORTED_BOOKS = f"""WITH {_HEADINGS.replace(_LINES.format(source="books"), _VERSE + ", " + _LINES.format(source="shaped"))},
+x AS (SELECT lined.conv_id, lined.i, lined.x AS raw, trim(lined.x, chr(32) || chr(9) || chr(13)) AS x, NOT ({_BLANK.format(x="lined.x")}) AS used0, length(lined.x) AS n FROM lined),
+f AS (SELECT conv_id, count(*) AS n_lines, count(*) FILTER (WHERE used0) AS n_full, list_sort(list(n) FILTER (WHERE used0))[count(*) FILTER (WHERE used0) // 2 + 1] AS median, arg_min(n, i) FILTER (WHERE used0) AS first,
+  count(*) FILTER (WHERE used0 AND n <= 42) AS short, count(*) FILTER (WHERE used0 AND regexp_matches(raw, '^[ \t　]')) AS indented, count(*) FILTER (WHERE used0 AND n BETWEEN 35 AND 100) AS mid FROM x GROUP BY 1),
+m AS (SELECT f.*, n_full > 0 AND 100 * short >= 65 * n_full AND (100 * indented >= 10 * n_full OR EXISTS (SELECT 1 FROM x WHERE x.conv_id = f.conv_id AND used0 AND 2 * abs(n - first) > greatest(n, first))) AS protected,
+  median BETWEEN 42 AND 90 AND 100 * mid // greatest(n_full, 1) >= 65 AND 100 * (n_lines - n_full) < 12 * n_lines AS wrapped FROM f),
+u AS (SELECT x.*, protected, used0 AND (x.conv_id, x.i) NOT IN (SELECT (conv_id, i) FROM k) AS used FROM x JOIN m USING (conv_id)),
+marked AS (SELECT *, CASE WHEN used AND (protected OR coalesce(NOT lag(used) OVER w, true)) THEN 1 ELSE 0 END AS s FROM u WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+grouped AS (SELECT *, sum(s) OVER (PARTITION BY conv_id ORDER BY i) AS para FROM marked),
+n2 AS (SELECT conv_id, min(i) AS line, 'paragraph' AS kind, CASE WHEN bool_or(protected) THEN min(raw) ELSE string_agg(x, ' ' ORDER BY i) END AS text, bool_or(protected) AS preformatted, 'x' AS c FROM grouped WHERE used GROUP BY conv_id, para
+  UNION ALL SELECT conv_id, i, 'heading', x, false, CASE WHEN final >= 85 THEN 'StronglyInferred' ELSE 'Heuristic' END FROM k)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY line, kind) - 1 AS node_id, line::BIGINT AS line, kind, sha256(text) AS text_sha256, preformatted,
+CASE WHEN kind = 'heading' THEN c WHEN preformatted THEN 'StronglyInferred' ELSE 'Heuristic' END AS confidence FROM n2"""
+
+
 def normal_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitespace collapse, language casing, sort key and path checks over documents and parts."""
     docs = read(spark, sf_dir, "documents")
@@ -113,5 +138,5 @@ def normal_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 NORMAL_FIELDS = r"""SELECT doc_id, length(trim(regexp_replace(text, '[\s\x0B\x{85}\p{Z}]+', ' ', 'g'))) AS n_collapsed, lower(lang) || '-Latn-US' AS tag,
   CASE WHEN doc_id % 7 <> 0 THEN source || '/' || doc_id || '.txt' END AS path, len(regexp_extract_all(text, '\r\n?|[\x{85}\x{2028}\x{2029}]')) AS n_newline_changes FROM documents"""
 
-QUERIES = {f.__name__: f for f in (paragraph_counts, book_paragraphs, line_statistics, book_headings, normal_fields)}
-SQL = {"paragraph_counts": PARAGRAPH_COUNTS, "book_paragraphs": BOOK_PARAGRAPHS, "line_statistics": LINE_STATISTICS, "book_headings": BOOK_HEADINGS, "normal_fields": NORMAL_FIELDS}
+QUERIES = {f.__name__: f for f in (paragraph_counts, book_paragraphs, line_statistics, book_headings, imported_books, normal_fields)}
+SQL = {"paragraph_counts": PARAGRAPH_COUNTS, "book_paragraphs": BOOK_PARAGRAPHS, "line_statistics": LINE_STATISTICS, "book_headings": BOOK_HEADINGS, "imported_books": IMPORTED_BOOKS, "normal_fields": NORMAL_FIELDS}
