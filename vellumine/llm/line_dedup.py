@@ -104,6 +104,8 @@ def _frequencies(rows: DataFrame) -> np.ndarray:
         for a in range(0, TABLE, PART):
             if table[a : a + PART].any():
                 yield pa.RecordBatch.from_arrays([pa.array([a // PART], pa.int32()), pa.array([table[a : a + PART].tobytes()])], ["part", "counts"])
+        del table, held
+        W.release()
 
     def added(batches):
         sums: dict[int, np.ndarray] = {}
@@ -208,6 +210,8 @@ def _sets(rows: DataFrame, threshold: float, least: int) -> DataFrame:
                 owner = pa.array(lines.owner[wide])
                 columns = [part.column("doc_id").take(owner), part.column("h").take(owner), pa.array(lines.number[wide].astype(np.int32)), pa.array(code[wide].view(np.int64))]
                 yield pa.RecordBatch.from_arrays([*columns, shown.take(pa.array(at, mask=at < 0))], ["doc_id", "h", "line", "class", "set"])
+        del rank, often, seen
+        W.release()
 
     ordered = rows.sortWithinPartitions(F.asc_nulls_last("doc_id"), "h")
     return ordered.mapInArrow(of_batches, "doc_id long, h long, line int, class long, set struct<n:int,bits0:bigint,bits1:bigint,keys:array<bigint>>")
@@ -311,6 +315,8 @@ def _candidates(sets: DataFrame, threshold: float) -> DataFrame:
                 yield made
         if waiting:
             yield paired(held, waiting)[1]
+        del held, waiting
+        W.release()
 
     return side.mapInArrow(of_batches, "a long, b long, apart long").distinct()
 

@@ -159,6 +159,8 @@ def distinct_words(rows: DataFrame, model: Model) -> DataFrame:
                         yield _counts(held)
                         held = []
         yield _counts(held)
+        del cutter, held
+        W.release()
 
     counted = rows.select("text").mapInArrow(of_batches, "word string, n long, hash long")
     # Dealt out by hash, as the edges are grouped later; tasks have counted already.
@@ -494,6 +496,8 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: M
                 per = np.bincount(owner, weights=size[back], minlength=part.num_rows).astype(np.int64)
                 offsets = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.ListArray.from_arrays(offsets, out.astype(np.int32))], columns)
+        del cutter
+        W.release()
 
     return rows.mapInArrow(of_batches, "doc_id long, h long, ids array<int>")
 

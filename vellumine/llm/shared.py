@@ -167,6 +167,7 @@ def map_texts(rows: DataFrame, compute, fields: str) -> DataFrame:
             for part in W.slices(batch, "text"):
                 made = [pa.array(x) for x in compute(W.Texts(part.column("text")))]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *made], names)
+        W.release()
 
     return rows.mapInArrow(of_batches, schema)
 

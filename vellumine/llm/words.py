@@ -7,6 +7,8 @@ followed by a newline, which no word class holds, so words never cross texts.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,6 +76,16 @@ def looked_up(data: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.frombuffer(data.tobytes().translate(table.view(np.uint8).tobytes()), np.uint8)
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system: its worker process lives on beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
 class Texts:
     """The texts of a string column as one byte array.
 
