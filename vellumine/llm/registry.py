@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import decontaminate, divergence, line_dedup, pii, quality_classifier, quality_rules, secrets, sentencepiece_lattice, simhash, substring_dedup, token_counts
+from vellumine.llm import decontaminate, divergence, line_dedup, packing, pii, quality_classifier, quality_rules, secrets, sentencepiece_lattice, simhash, substring_dedup, token_counts
 from vellumine.llm.shared import read
 
 
@@ -96,6 +96,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read(spark, sf_dir, "documents"), f"{token_counts.TOKENIZERS}/word_bpe_49k.json")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
 
@@ -122,7 +127,7 @@ WHERE part = 'pair' OR rank <= 50
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_sentencepiece, op4_pii, op5_simhash, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_line_dedup, op10_substring_dedup, op12_source_divergence)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_sentencepiece, op4_pii, op5_simhash, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_line_dedup, op10_substring_dedup, op11_packing, op12_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
