@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import decontaminate, divergence, line_dedup, packing, pii, quality_classifier, quality_rules, secrets, sentencepiece_lattice, simhash, substring_dedup, token_counts
+from vellumine.llm import decontaminate, divergence, hard_negatives, line_dedup, packing, pii, quality_classifier, quality_rules, secrets, sentencepiece_lattice, simhash, substring_dedup, token_counts
 from vellumine.llm.shared import read
 
 
@@ -126,9 +126,24 @@ WHERE part = 'pair' OR rank <= 50
 """
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), relabelled=lambda i, label: F.when(i % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+OP13_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_sentencepiece, op4_pii, op5_simhash, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_line_dedup, op10_substring_dedup, op11_packing, op12_source_divergence)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_sentencepiece, op4_pii, op5_simhash, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_line_dedup, op10_substring_dedup, op11_packing, op12_source_divergence, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": OP8_SQL, "op12_source_divergence": OP12_SQL}
+    return {"op8_decontamination": OP8_SQL, "op12_source_divergence": OP12_SQL, "op13_hard_negatives": OP13_SQL}
