@@ -3,10 +3,11 @@
 A task counts terms in a byte trie for each language. A leaf holds how often
 its term occurs in each source and in how many of the language's documents;
 the root, which stands for the empty term, counts the documents of the
-sources. Tries are written leaf by leaf in byte order, dealt by prefix range
-and merged range by range, so that a merged trie is one cell of neighbouring
-terms. Walking a cell in UTF-8 order yields its part of every pair's sum and
-its best candidates with ties in order; cells' parts are then added up.
+sources. Tries are written as walks of their leaves in byte order, dealt by
+prefix range and merged range by range: equal leaves meet and add up. A cell
+is a run of neighbouring leaves. Walking it in UTF-8 order yields its part of
+every pair's sum and its best candidates with ties in order; cells' parts are
+then added up.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,25 +26,28 @@ from vellumine.llm.shared import broadcast_if_small, saved
 
 #: `[^\x00-\x40\x5B-\x60\x7B-\x7F]`, lower case.
 LETTER = W._table(lambda b: 0x61 <= b <= 0x7A or b >= 0x80)
-#: Bytes of text counted at a time; counters and bytes of terms after which a task writes its tries and begins anew; leaves of a merged cell; entries of a matrix.
-SLICE_BYTES, COUNTERS, TERM_BYTES, CELL, MATRIX = 2 << 20, 300_000, 16 << 20, 4096, 1 << 20
-LEAVES = "lang string, term string, docs long, sources array<string>, counts array<long>"
+#: Bytes of text counted at a time; leaves, counters and bytes of terms after which a task writes its tries and begins anew; leaves of a merged cell; entries of a matrix.
+SLICE_BYTES, LEAVES, COUNTERS, TERM_BYTES, CELL, MATRIX = 2 << 20, 500_000, 4_000_000, 32 << 20, 4096, 1 << 20
+ROWS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+SQL_ROWS = "lang string, term string, docs long, sources array<string>, counts array<long>"
 
 
 class Trie:
-    """A radix tree over byte strings. A node is [label, children by first byte, leaf]; a leaf is [documents, count by source]."""
+    """A radix tree over byte strings. A node is [label, children by first byte, number of the leaf that ends there]."""
 
     def __init__(self):
-        self.root, self.leaves, self.size = [b"", {}, None], 0, 0
+        self.root, self.size, self.number = [b"", {}, None], 0, {}
 
-    def leaf(self, term: bytes) -> list:
-        """The leaf of ``term``, made if it is not there."""
+    def leaf(self, term: bytes, number: int) -> int:
+        """The number of the term's leaf; a term that is not there gets a leaf with ``number``."""
+        known = self.number.get(term)
+        if known is not None:
+            return known
         node, at = self.root, 0
         while at < len(term):
             child = node[1].get(term[at])
             if child is None:
                 child = node[1][term[at]] = [term[at:], {}, None]
-                self.size += len(term) - at
                 at = len(term)
             elif term.startswith(child[0], at):
                 at += len(child[0])
@@ -54,128 +59,161 @@ class Trie:
                 child = node[1][term[at]] = [label[:k], {label[k]: child}, None]
                 at += k
             node = child
-        if node[2] is None:
-            node[2] = [0, {}]
-            self.leaves += 1
-        return node[2]
+        node[2] = self.number[term] = number
+        self.size += len(term)
+        return number
 
-    def walk(self) -> Iterator[tuple[bytes, list]]:
-        """Terms and leaves in byte order, which is that of UTF-8."""
+    def walk(self) -> Iterator[tuple[bytes, int]]:
+        """Terms and their leaves' numbers in byte order, which is that of UTF-8."""
         open_ = [(b"", self.root)]
         while open_:
-            before, (label, children, leaf) = open_.pop()
+            before, (label, children, number) = open_.pop()
             term = before + label
-            if leaf is not None:
-                yield term, leaf
+            if number is not None:
+                yield term, number
             open_ += [(term, children[b]) for b in sorted(children, reverse=True)]
 
 
-def _counted(texts: W.Texts, langs: list[str], sources: list[str], tries: dict[str, Trie]) -> int:
-    """Count the terms of ``texts`` in the tries of their languages; how many counters were touched."""
-    for lang, source in zip(langs, sources):
-        leaf = tries.setdefault(lang, Trie()).leaf(b"")
-        leaf[0] += 1
-        leaf[1][source] = leaf[1].get(source, 0) + 1
-    low = texts.lowered()
-    start, end = W.spans(low, LETTER)
-    if not len(start):
-        return 0
-    packed, cuts = low[W.looked_up(low, LETTER).view(bool)], np.concatenate([[0], np.cumsum(end - start)])
-    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(packed)]).dictionary_encode()
-    terms, k = coded.dictionary.to_pylist(), len(coded.dictionary)
-    groups = {g: i for i, g in enumerate(dict.fromkeys(zip(langs, sources)))}
-    names = {x: i for i, x in enumerate(dict.fromkeys(langs))}
-    group, name = np.array([groups[g] for g in zip(langs, sources)]), np.array([names[x] for x in langs])
-    in_doc, n = np.unique(texts.owner(start) * k + coded.indices.to_numpy(), return_counts=True)
-    doc, code = np.divmod(in_doc, k)
-    found = {}
-    tries_of = [tries[x] for x in names]
-    for key, docs in zip(*(a.tolist() for a in np.unique(name[doc] * k + code, return_counts=True))):
-        found[key] = leaf = tries_of[key // k].leaf(terms[key % k])
-        leaf[0] += docs
-    pairs, place = np.unique(group[doc] * k + code, return_inverse=True)
-    sums = np.bincount(place, weights=n).astype(np.int64)  # of a slice: far below 2**53
-    whose = [(names[lang] * k, source) for lang, source in groups]
-    for key, count in zip(pairs.tolist(), sums.tolist()):
-        base, source = whose[key // k]
-        counts = found[base + key % k][1]
-        counts[source] = counts.get(source, 0) + count
-    return len(pairs)
-
-
-def _rows(leaves: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Leaves as batches of rows of (lang, term, docs, sources, counts, more)."""
-    held: list[tuple] = []
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64()]
-
-    def batch():
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names)
-
-    size = 0
-    for row in leaves:
-        held.append(row)
-        size += len(row[1]) + 32 * len(row[3])
-        if size > 2 << 20:
-            yield batch()
-            held, size = [], 0
-    if held:
-        yield batch()
-
-
-def _leaves(lang: str, trie: Trie) -> Iterator[tuple]:
-    return ((lang, term.decode(), docs, list(counts), list(counts.values())) for term, (docs, counts) in trie.walk())
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of the values of each."""
+    order = np.argsort(keys, kind="stable")
+    keys, first = keys[order], np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    return keys[first], np.add.reduceat(values[order], np.flatnonzero(first)) if len(keys) else values
+
+
+class Tries:
+    """The tries of a task, one for each language, and their leaves' counters."""
+
+    def __init__(self):
+        self.tries: dict[str, Trie] = {}
+        self.sources: dict[str, int] = {}
+        self.leaves = 0
+        self.docs: list[tuple[np.ndarray, np.ndarray]] = []  # leaves and documents
+        self.counts: list[tuple[np.ndarray, np.ndarray]] = []  # leaf << 32 | source, occurrences
+        self.held = 0
+
+    def _leaf(self, lang: str, term: bytes) -> int:
+        number = self.tries.setdefault(lang, Trie()).leaf(term, self.leaves)
+        self.leaves += number == self.leaves
+        return number
+
+    def _add(self, leaves, docs, keys, counts) -> None:
+        self.docs.append((leaves, docs))
+        self.counts.append((keys, counts))
+        self.held += len(keys)
+        if self.held > COUNTERS:
+            for rows in (self.docs, self.counts):
+                rows[:] = [summed(*(np.concatenate([r[k] for r in rows]) for k in (0, 1)))]
+            self.held = len(self.counts[0][0])
+
+    def count(self, texts: W.Texts, langs: list[str], sources: list[str]) -> None:
+        """Count the terms of ``texts``; the root of a language counts its documents."""
+        group = np.array([self.sources.setdefault(s, len(self.sources)) for s in sources], np.int64)
+        roots = np.array([self._leaf(x, b"") for x in langs], np.int64)
+        self._add(*summed(roots, np.ones_like(roots)), *summed(roots << 32 | group, np.ones_like(roots)))
+        low = texts.lowered()
+        start, end = W.spans(low, LETTER)
+        if not len(start):
+            return
+        packed, cuts = low[W.looked_up(low, LETTER).view(bool)], np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(cuts), pa.py_buffer(packed)]).dictionary_encode()
+        terms, k = coded.dictionary.to_pylist(), len(coded.dictionary)
+        names = {x: i for i, x in enumerate(dict.fromkeys(langs))}
+        name = np.array([names[x] for x in langs], np.int64)
+        in_doc, n = np.unique(texts.owner(start) * k + coded.indices.to_numpy(), return_counts=True)
+        doc, code = np.divmod(in_doc, k)
+        distinct, at, docs = np.unique(name[doc] * k + code, return_inverse=True, return_counts=True)
+        of = list(names)
+        leaves = np.array([self._leaf(of[x // k], terms[x % k]) for x in distinct.tolist()], np.int64)
+        self._add(leaves, docs, *summed(leaves[at] << 32 | group[doc], n))
+
+    def full(self) -> bool:
+        return self.leaves > LEAVES or self.held > COUNTERS or sum(t.size for t in self.tries.values()) > TERM_BYTES
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """The leaves of all tries as they are walked, with their documents and the counts of their sources."""
+        if not self.leaves:
+            return
+        docs = np.zeros(self.leaves, np.int64)
+        for leaves, n in self.docs:
+            np.add.at(docs, leaves, n)
+        key, n = summed(*(np.concatenate([c[k] for c in self.counts]) for k in (0, 1)))
+        names, source = pa.array(list(self.sources), pa.string()), pa.array((key & 0xFFFFFFFF).astype(np.int32))
+        first = np.searchsorted(key >> 32, np.arange(self.leaves + 1))
+        for lang, trie in self.tries.items():
+            walked = list(trie.walk())
+            for a in range(0, len(walked), 8192):
+                terms, order = zip(*walked[a : a + 8192])
+                order = np.array(order)
+                size = (first[order + 1] - first[order]).astype(np.int64)
+                upto = np.cumsum(size)
+                places = np.arange(upto[-1]) + np.repeat(first[order] - upto + size, size)
+                offsets = pa.array(np.append(0, upto).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, names.take(source.take(pa.array(places)))), pa.ListArray.from_arrays(offsets, pa.array(n[places]))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(docs[order]), *lists], schema=ROWS)
 
 
 def partial_tries(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """The leaves of the tries that tasks make of their documents; a term has a row for each trie that it is in."""
     rows = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
-    names = [c.split()[0] for c in LEAVES.split(", ")]
 
     def count(batches):
-        tries, touched = {}, 0
+        tries = Tries()
         for batch in batches:
             for part in W.slices(batch, "text", SLICE_BYTES):
-                touched += _counted(W.Texts(part.column("text")), part.column("lang").to_pylist(), part.column("source").to_pylist(), tries)
-                if touched > COUNTERS and sum(len(leaf[1]) for t in tries.values() for _, leaf in t.walk()) <= COUNTERS // 2 and sum(t.size for t in tries.values()) < TERM_BYTES:
-                    touched //= 2
-                elif touched > COUNTERS or sum(t.size for t in tries.values()) > TERM_BYTES:
-                    for x, t in tries.items():
-                        yield from _rows(_leaves(x, t), names)
-                    tries, touched = {}, 0
-        for x, t in tries.items():
-            yield from _rows(_leaves(x, t), names)
+                tries.count(W.Texts(part.column("text")), part.column("lang").to_pylist(), part.column("source").to_pylist())
+                if tries.full():
+                    yield from tries.rows()
+                    tries = Tries()
+        yield from tries.rows()
         del tries
         W.release()
 
-    return rows.mapInArrow(count, LEAVES)
+    return rows.mapInArrow(count, SQL_ROWS)
+
+
+def _merged(rows: pa.Table) -> pa.Table:
+    """Rows in order of language and term, one for each: documents added up, and occurrences by source."""
+    lang, term = (rows.column(c).combine_chunks() for c in ("lang", "term"))
+    new = np.ones(len(term), bool)
+    if len(term) > 1:
+        new[1:] = pc.or_(pc.not_equal(term[1:], term[:-1]), pc.not_equal(lang[1:], lang[:-1])).to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(new)
+    lists = rows.column("sources").combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    leaf = np.repeat(np.cumsum(new) - 1, np.diff(lists.offsets.to_numpy()))
+    key, n = summed(leaf << 32 | coded.indices.to_numpy(), rows.column("counts").combine_chunks().flatten().to_numpy())
+    offsets = pa.array(np.searchsorted(key >> 32, np.arange(len(first) + 1)).astype(np.int32))
+    docs, at = np.add.reduceat(rows.column("docs").to_numpy(), first), pa.array(first)
+    sources = coded.dictionary.take(pa.array(key & 0xFFFFFFFF))
+    return pa.Table.from_arrays([lang.take(at), term.take(at), pa.array(docs), pa.ListArray.from_arrays(offsets, sources), pa.ListArray.from_arrays(offsets, pa.array(n))], schema=ROWS)
 
 
 def merged_tries(parts: DataFrame, least: int) -> DataFrame:
     """The leaves of the merged tries with ``cell``, the number of the prefix range that a leaf is in: roots, and terms of at least ``least`` documents.
 
-    Equal terms meet in one range; as rows come in byte order, a range's trie
-    is written as soon as it has CELL leaves, and memory stays bounded.
+    Equal terms meet in one range and follow each other there, as walks are
+    in byte order; only the last leaf of a batch waits for the next one.
     """
-    names = [c.split()[0] for c in LEAVES.split(", ")]
 
     def merge(batches):
-        trie, cell, lang, last = Trie(), TaskContext.get().partitionId() << 32, None, None
+        first, wait, n = TaskContext.get().partitionId() << 32, ROWS.empty_table(), 0
+        for batch in batches:
+            rows = _merged(pa.concat_tables([wait, pa.Table.from_batches([batch], ROWS)]))
+            wait, rows = rows.slice(len(rows) - 1), rows.slice(0, len(rows) - 1)
+            rows = kept(rows)
+            yield from numbered(rows, first + n // CELL)
+            n += len(rows)
+        yield from numbered(kept(wait), first + n // CELL)
 
-        def done():
-            return _rows(((*row, cell) for row in _leaves(lang, trie) if row[2] >= least or not row[1]), [*names, "cell"])
+    def kept(rows):
+        return rows.filter(pc.or_(pc.greater_equal(rows.column("docs"), least), pc.equal(rows.column("term"), "")))
 
-        for batch in batches:
-            for x, term, docs, sources, counts in zip(*(batch.column(c).to_pylist() for c in names)):
-                if x != lang or trie.leaves >= CELL and term != last:
-                    yield from done()
-                    trie, cell, lang = Trie(), cell + 1, x
-                leaf, last = trie.leaf(term.encode()), term
-                leaf[0] += docs
-                for source, n in zip(sources, counts):
-                    leaf[1][source] = leaf[1].get(source, 0) + n
-        yield from done()
-
-    return parts.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(merge, LEAVES + ", cell long")
+    def numbered(rows, cell):
+        return rows.append_column("cell", pa.array(np.full(len(rows), cell))).to_batches()
+
+    return parts.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(merge, SQL_ROWS + ", cell long")
 
 
 def shares(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
