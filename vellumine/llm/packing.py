@@ -32,6 +32,10 @@ GRID = 64
 SLICE_BYTES, CACHED = 2 << 20, 4 << 20
 #: A word that ends a sentence; signs that end one inside a run without blanks.
 ENDS, INNER = re.compile(r"[.!?…。！？][\"'”’»)\]]*$"), ("。", "！", "？")
+#: The last signs of such a word.
+CLOSES = frozenset(".!?…。！？\"'”’»)]")
+#: Letters of ASCII.
+LETTERS = W._table(lambda b: 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)
 #: What kind of cut the place after an id is.
 PLAIN, SENTENCE, DOCUMENT = 0, 1, 2
 
@@ -39,7 +43,12 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that never joins words over ASCII white space: each distinct word is encoded once."""
+    """Ids of texts, each distinct word of which is encoded once.
+
+    For a tokenizer that joins nothing over ASCII white space, nor a run of
+    letters with the sign behind it. Words are cut in both places, but not in
+    front of a bar: that may be a special token's end.
+    """
 
     def __init__(self, model: bytes, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -50,51 +59,57 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.starts, self.sizes, self.total = {b"": 0}, [0], [1], 1
-        self.flat, self.ends = np.array([self.end_id], np.int32), np.array([DOCUMENT], np.uint8)  # entry 0: the end of a document
+        self.known, self.starts, self.sizes, self.total = {b"\n": 0}, np.zeros(1, np.int32), np.ones(1, np.int32), 1
+        self.flat, self.ends = np.array([self.end_id], np.int32), np.array([DOCUMENT], np.uint8)  # entry 0: a line end stands for a document's
 
     def _learn(self, new: list[bytes]) -> None:
-        texts = [w.decode() for w in new]
-        flat, ends = [self.flat], [self.ends]
-        for word, text, found in zip(new, texts, self.model.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(found.ids, np.int32)
-            kinds = np.isin(ids, self.inner).astype(np.uint8) if not text.isascii() else np.zeros(len(ids), np.uint8)
-            if len(ids) and ENDS.search(text):
-                kinds[-1] = SENTENCE
-            self.known[word] = len(self.starts)
-            self.starts.append(self.total)
-            self.sizes.append(len(ids))
-            self.total += len(ids)
-            flat.append(ids)
-            ends.append(kinds)
-        self.flat, self.ends = np.concatenate(flat), np.concatenate(ends)
+        texts, ids, sizes = [w.decode() for w in new], [], []
+        for found in self.model.encode_batch_fast(texts, add_special_tokens=False):
+            own = found.ids
+            ids += own
+            sizes.append(len(own))
+        self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
+        upto = self.total + np.cumsum(sizes)
+        ids = np.array(ids, np.int32)
+        kinds = np.isin(ids, self.inner).astype(np.uint8)
+        ends = np.array([n > 0 and t[-1] in CLOSES and ENDS.search(t) is not None for n, t in zip(sizes, texts)])
+        kinds[upto[ends] - 1 - self.total] = SENTENCE
+        self.starts = np.concatenate([self.starts, (upto - sizes).astype(np.int32)])
+        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int32)])
+        self.flat, self.ends, self.total = np.concatenate([self.flat, ids]), np.concatenate([self.ends, kinds]), int(upto[-1])
 
     def encode(self, texts: W.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts in turn, each with its end; the kind of the place after each id; how many ids each text has."""
         if self.total > CACHED:
             self._forget()
-        start, end = W.spans(texts.data, W.NOT_BLANK)
-        owner = texts.owner(start)
-        cuts = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
-        packed = texts.data[W.looked_up(texts.data, W.NOT_BLANK).view(bool)]
-        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(cuts), pa.py_buffer(packed)]).dictionary_encode()
-        terms = coded.dictionary.to_pylist()
-        if new := [w for w in terms if w not in self.known]:
-            self._learn(new)
-        entry = np.array([self.known[w] for w in terms], np.int64)[coded.indices.to_numpy()] if len(start) else np.zeros(0, np.int64)
-        lines = np.concatenate([[0], np.cumsum(texts.data == 10)])
-        last = np.append(start[1:], len(texts.data))[: len(start)]
-        broken = lines[last] > lines[end]
-        at = np.searchsorted(owner, np.arange(texts.n), side="right")
-        entry, broken = np.insert(entry, at, 0), np.insert(broken, at, False)
-        sizes = np.array(self.sizes, np.int64)[entry]
-        upto = np.cumsum(sizes)
-        places = np.arange(upto[-1] if len(upto) else 0) + np.repeat(np.array(self.starts, np.int64)[entry] - upto + sizes, sizes)
+        data, ends = texts.data, texts.start[1:] - 1
+        inside, letter = W.looked_up(data, W.NOT_BLANK).view(bool).copy(), W.looked_up(data, LETTERS).view(bool)
+        inside[ends] = True  # the line end behind each text is a word of its own
+        cut = inside.copy()  # where a word begins
+        cut[1:] &= ~inside[:-1] | (letter[:-1] & ~letter[1:] & (data[1:] < 0x80) & (data[1:] != 0x7C))
+        cut[ends], cut[ends[:-1] + 1] = True, inside[ends[:-1] + 1]
+        start = np.flatnonzero(cut)
+        length = np.add.reduceat(inside, start, dtype=np.int64)
+        cuts = np.concatenate([[0], np.cumsum(length)])
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(cuts), pa.py_buffer(data[inside])]).dictionary_encode()
+        _, offsets, packed = coded.dictionary.buffers()
+        upto = np.frombuffer(offsets, np.int64)[: len(coded.dictionary) + 1].tolist()
+        packed, known = packed.to_pybytes(), self.known
+        terms = [packed[a:b] for a, b in zip(upto, upto[1:])]
+        numbers = [known.get(w, -1) for w in terms]
+        if -1 in numbers:
+            self._learn([w for w, k in zip(terms, numbers) if k < 0])
+            numbers = [known[w] for w in terms]
+        entry = np.array(numbers, np.int32)[coded.indices.to_numpy()]
+        lines = np.cumsum(data == 10, dtype=np.int32)
+        broken = lines[start[1:] - 1] > lines[start[:-1] + length[:-1] - 1]
+        sizes = self.sizes[entry]
+        upto = np.cumsum(sizes)  # a slice has fewer ids than bytes and ends
+        places = np.arange(upto[-1], dtype=np.int32) + np.repeat(self.starts[entry] - (upto - sizes).astype(np.int32), sizes)
         ids, kinds = self.flat[places], self.ends[places]
-        at_end = upto[broken & (sizes > 0)] - 1
+        at_end = upto[:-1][broken & (sizes[:-1] > 0) & (entry[:-1] > 0)] - 1
         kinds[at_end] = np.maximum(kinds[at_end], SENTENCE)
-        ends = upto[np.flatnonzero(entry == 0)]
-        return ids, kinds, np.diff(ends, prepend=0)
+        return ids, kinds, np.diff(upto[entry == 0], prepend=0)
 
 
 _encoders: dict[int, Encoder] = {}
@@ -148,11 +163,13 @@ def least_cost(places: np.ndarray, cost: np.ndarray, size: int, per_window: int)
             head += 1
         i = queue[head]
         best = g[i] + size - p
-        for e in exact[upto[j] : upto[j + 1]]:
-            if f[e] < best:
-                best, i = f[e], e
-        f[j], back[j] = best + per_window + c[j], i
-        g[j] = value = f[j] + p
+        if upto[j] != upto[j + 1]:
+            for e in exact[upto[j] : upto[j + 1]]:
+                if f[e] < best:
+                    best, i = f[e], e
+        best += per_window + c[j]
+        f[j], back[j] = best, i
+        g[j] = value = best + p
         while len(queue) > head and g[queue[-1]] > value:
             queue.pop()
         queue.append(j)
