@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.functions.text import WS, ascii_lower, let, lines, normal_newlines, utrim
+from vellumine.session import checkpointed
 
 #: Beyond the parts of a path that count inlines: nested lists and footnotes come after them; the end of a node's own children.
 AFTER, END = 1 << 30, (1 << 31) - 1
@@ -98,10 +99,10 @@ def _body(text_lines: Column) -> Column:
 
 
 def levels(first: DataFrame, step: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
-    """``first`` and what ``step`` makes of each level until one is empty. Levels are kept while the result is used."""
-    found = [first.persist()]
+    """``first`` and what ``step`` makes of each level until one is empty. Each level is a checkpoint."""
+    found = [checkpointed(first)]
     while not found[-1].isEmpty():
-        found.append(step(found[-1]).persist())
+        found.append(checkpointed(step(found[-1])))
     return found[:-1] or found
 
 
@@ -307,7 +308,7 @@ def nodes(books: DataFrame, key: str = "book_id", text: str = "text", images: Da
 
 def navigation(tree: DataFrame, key: str = "book_id") -> DataFrame:
     """(key, anchor, node_id, label, in_toc, title): an anchor for each heading, in order, then for each footnote; ``title`` is the first heading that stands in no other node."""
-    tree = tree.persist()  # read for headings, texts and footnotes
+    tree = checkpointed(tree)  # read for headings, texts and footnotes
     heads = tree.where("kind = 'Heading'").select(key, "node_id", F.col("path").alias("head"), "place")
     inside = tree.where("label IS NOT NULL").select(key, "path", "place", "label").withColumn("head", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))))
     texts = heads.select(key, "head").join(inside, [key, "head"]).groupBy(key, "head").agg(F.array_sort(F.collect_list(F.struct("place", "label"))).alias("t"))

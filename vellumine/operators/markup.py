@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Elements without an end tag; fixed by the HTML standard.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
-NODE_SCHEMA = "page_id bigint, node_id int, parent_id int, depth int, pre int, post int, tag string, text string, href string, name string, classes string, epub_type string, aria_role string"
+NODE_SCHEMA = "page_id bigint, node_id int, parent_id int, depth int, pre int, post int, tag string, text string, href string, name string, classes string, epub_type string, aria_role string, alt string, path array<int>"
 
 
 def without_doctype(html: Column) -> Column:
@@ -70,13 +70,16 @@ def tag_counts(pages: DataFrame, html: str = "html", key: str = "page_id") -> Da
 class _Nodes(HTMLParser):
     """Rows of a page's elements and texts in document order."""
 
-    def __init__(self, page: int):
+    def __init__(self, page: int, spaced: bool = False):
         super().__init__(convert_charrefs=True)
-        self.page, self.rows, self.open, self.clock = page, [], [], 0
+        self.page, self.rows, self.open, self.clock, self.spaced, self.below = page, [], [], 0, spaced, {}
 
     def _add(self, tag: str, text: str | None = None, attrs: dict | None = None) -> int:
         parent, attrs = (self.open[-1] if self.open else None), attrs or {}
-        self.rows.append([self.page, len(self.rows), parent, len(self.open), self.clock, self.clock, tag, text, attrs.get("href") or attrs.get("src"), attrs.get("id") or attrs.get("name"), attrs.get("class"), attrs.get("epub:type"), attrs.get("role")])
+        ordinal = self.below[parent] = self.below.get(parent, -1) + 1
+        path = (self.rows[parent][14] if self.open else []) + [ordinal]
+        alt = attrs.get({"svg": "aria-label", "math": "alttext"}.get(tag, "alt"))
+        self.rows.append([self.page, len(self.rows), parent, len(self.open), self.clock, self.clock, tag, text, attrs.get("href") or attrs.get("src"), attrs.get("id") or attrs.get("name"), attrs.get("class"), attrs.get("epub:type"), attrs.get("role"), alt, path])
         self.clock += 1
         return len(self.rows) - 1
 
@@ -97,8 +100,13 @@ class _Nodes(HTMLParser):
             self._close(self.open.pop())
 
     def handle_data(self, data):
-        if data.strip() and (not self.open or self.rows[self.open[-1]][6] not in ("script", "style")):
-            self._close(self._add("#text", " ".join(data.split())))
+        if self.open and self.rows[self.open[-1]][6] in ("script", "style"):
+            return
+        text = " ".join(data.split())
+        if self.spaced:
+            text = (" " if data[0].isspace() else "") + text + (" " if text and data[-1].isspace() else "")
+        if text:
+            self._close(self._add("#text", text))
 
     def done(self) -> list:
         self.close()
@@ -107,15 +115,19 @@ class _Nodes(HTMLParser):
         return self.rows
 
 
-def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """One row for each element and text: place, parent, depth, nested-set bounds, text, href, name."""
+def nodes(pages: DataFrame, key: str = "page_id", html: str = "html", spaced: bool = False) -> DataFrame:
+    """One row for each element and text: place, parent, depth, nested-set bounds, text, href, name, path of ordinals.
+
+    Texts are collapsed and trimmed, blank ones left out; ``spaced`` keeps one
+    space at an end that has some, and of a blank text one space.
+    """
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
         for f in frames:
             rows = []
             for page, text in zip(f[key], f[html]):
-                parser = _Nodes(page)
+                parser = _Nodes(page, spaced)
                 parser.feed(text or "")
                 rows += parser.done()
             out = pd.DataFrame(rows, columns=columns)

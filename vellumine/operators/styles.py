@@ -9,17 +9,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumine.functions.text import utrim
+
 #: Words of a media query by the target that it is for; fixed values. Others hold for screens, print and all.
 MEDIA = {"amzn-mobi": "kf7", "amzn-kf8": "kf8"}
 
 
-def _media(css: Column, target: str) -> Column:
-    """The sheet with the media blocks that hold for ``target`` unwrapped and the others taken out."""
-    block = r"@media([^{]*%s[^{]*)\{((?:[^{}]*\{[^{}]*\})*)\s*\}"
+#: Blocks within blocks that are told apart.
+DEPTH = 5
+_QUOTED = r"\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'"
+
+
+def _inside(depth: int) -> str:
+    """The pattern of what stands between two braces: quoted text may hold braces, blocks may hold blocks."""
+    return rf"(?:{_QUOTED}|[^{{}}\"'])*+" if not depth else rf"(?:{_QUOTED}|[^{{}}\"']|\{{{_inside(depth - 1)}\}})*+"
+
+
+def _blocks(css: Column) -> Column:
+    """array<struct<head, body>> of the blocks of a scope, up to one that is not closed."""
+    each = F.regexp_extract_all(css, F.lit(rf"(?s)\G[^{{]*\{{{_inside(DEPTH)}\}}"), F.lit(0))
+    return F.transform(each, lambda b: F.struct(utrim(F.split_part(b, F.lit("{"), F.lit(1))).alias("head"), F.substring(b, F.instr(b, "{") + 1, F.length(b) - F.instr(b, "{") - 1).alias("body")))
+
+
+def _holds(head: Column, target: str) -> Column:
+    """Whether a media query holds for ``target``."""
+    lower, found = F.lower(head), F.when(F.lit(False), False)
     for word, of in MEDIA.items():
-        css = F.regexp_replace(css, "(?i)" + block % word, "$2" if of == target else "")
-    css = F.regexp_replace(css, "(?i)" + block % "(?:screen|all|print)", "$2")
-    return F.regexp_replace(css, "(?i)" + block % "", "$2" if target == "generic" else "")
+        found = found.when(F.contains(lower, F.lit(word)), of == target)
+    return found.when(lower.rlike("screen|all|print"), True).otherwise(target == "generic")
+
+
+def _scope(css: Column, target: str) -> Column:
+    """The rules of a sheet in order; media blocks that hold are opened, all other blocks of an at-rule go."""
+    found = _blocks(css)
+    none = F.array().cast("array<struct<head:string,body:string>>")
+    for _ in range(DEPTH - 1):
+        found = F.flatten(F.transform(found, lambda b: F.when(~F.startswith(F.lower(b["head"]), F.lit("@media")), F.array(b)).when(_holds(b["head"], target), _blocks(b["body"])).otherwise(none)))
+    return F.filter(found, lambda b: ~F.startswith(b["head"], F.lit("@")))
 
 
 def declarations(body: Column) -> Column:
@@ -33,10 +59,9 @@ def declarations(body: Column) -> Column:
 def rules(sheets: DataFrame, target: str = "generic", key: str = "book_id") -> DataFrame:
     """(key, place, selector, tag, ids, classes, specificity, declarations) of ``sheets`` (key, position, css)."""
     plain = F.regexp_replace(F.regexp_replace("css", r"(?s)/\*.*?\*/", ""), r"(?s)/\*.*$", "")
-    each = sheets.select(key, "position", F.posexplode(F.regexp_extract_all(_media(plain, target), F.lit(r"[^{}]+\{[^{}]*\}"), F.lit(0))).alias("r", "rule"))
-    head, body = F.trim(F.split_part("rule", F.lit("{"), F.lit(1))), F.rtrim(F.split_part("rule", F.lit("{"), F.lit(2)))
-    each = each.select(key, "position", "r", head.alias("head"), declarations(F.regexp_replace(body, r"\}$", "")).alias("declarations")).where("NOT startswith(head, '@') AND size(declarations) > 0")
-    each = each.select(key, "position", "r", F.posexplode(F.split("head", ",")).alias("s", "selector"), "declarations").withColumn("selector", F.trim("selector")).where("selector <> ''")
+    each = sheets.select(key, "position", F.posexplode(_scope(plain, target)).alias("r", "rule"))
+    each = each.select(key, "position", "r", "rule.head", declarations(F.col("rule.body")).alias("declarations")).where("size(declarations) > 0")
+    each = each.select(key, "position", "r", F.posexplode(F.split("head", ",")).alias("s", "selector"), "declarations").withColumn("selector", utrim(F.col("selector"))).where("selector <> ''")
     place = F.row_number().over(Window.partitionBy(key).orderBy("position", "r", "s")) - 1
     last = F.regexp_extract("selector", r"([^\s>]+)[\s>]*$", 1)
     compound = F.split_part(last, F.lit(":"), F.lit(1))
@@ -61,3 +86,39 @@ def computed(elements: DataFrame, sheet_rules: DataFrame, key: str = "book_id")
     top = F.struct(F.lit(1).alias("inline"), F.struct(F.lit(0).alias("ids"), F.lit(0).alias("classes"), F.lit(0).alias("elements")).alias("specificity"), F.lit(0).alias("place"))
     inline = elements.where("inline IS NOT NULL").select(key, "node_id", top.alias("rank"), F.inline(declarations(F.col("inline"))))
     return met.unionByName(inline).groupBy(key, "node_id", "property").agg(F.max_by("value", "rank").alias("value"))
+
+
+#: Properties that pass down the tree, and the values of those that every element has; fixed values.
+INHERITED = ("color", "direction", "font-family", "font-size", "font-style", "font-weight", "line-height", "text-align", "visibility", "white-space", "writing-mode")
+DEFAULTS = {"color": "#000000", "direction": "ltr", "font-size": "1em", "line-height": "normal", "visibility": "visible", "white-space": "normal", "writing-mode": "horizontal-tb"}
+BOLD, ITALIC = ("strong", "b", "h1", "h2", "h3", "h4", "h5", "h6"), ("em", "i")
+INLINE = ("a", "abbr", "b", "br", "code", "em", "i", "img", "ruby", "small", "span", "strong", "sub", "sup")
+
+
+def defaults(tag: Column) -> Column:
+    """array<struct<property, value>>: what an element of a tag has before any rule."""
+    by_tag = {"display": F.when(tag.isin(*INLINE), "inline").otherwise("block"), "font-weight": F.when(tag.isin(*BOLD), "bold").otherwise("normal"), "font-style": F.when(tag.isin(*ITALIC), "italic").otherwise("normal")}
+    return F.array(*[F.struct(F.lit(p).alias("property"), v.alias("value")) for p, v in (by_tag | {p: F.lit(v) for p, v in DEFAULTS.items()}).items()])
+
+
+def resolved(elements: DataFrame, declared: DataFrame, key: str = "book_id") -> DataFrame:
+    """(key, node_id, property, value): all that each of ``elements`` (key, node_id, tag, above) has, with ``declared`` as ``computed`` gives it.
+
+    ``above`` lists the elements around one, nearest first. An inherited
+    property comes from the nearest element, itself included, that declares
+    it, else it is the outermost element's default; any other is declared or
+    the element's own default. Each declaration meets the elements below it by
+    an equal key; of those that meet, the nearest counts.
+    """
+    passed = F.col("property").isin(*INHERITED)
+    around = elements.select(key, "node_id", F.posexplode(F.concat(F.array(F.col("node_id").cast("long")), F.col("above").cast("array<long>"))).alias("steps", "at"))
+    given = declared.select(key, F.col("node_id").cast("long").alias("at"), "property", "value")
+    down = around.join(given.where(passed), [key, "at"]).select(key, "node_id", "property", "value", "steps")
+    own = declared.where(~passed).select(key, "node_id", "property", "value", F.lit(0).alias("steps"))
+    tags = elements.select(key, F.col("node_id").cast("long").alias("at"), "tag")
+    outer = elements.select(key, "node_id", F.coalesce(F.try_element_at(F.col("above").cast("array<long>"), F.lit(-1)), F.col("node_id").cast("long")).alias("at")).join(tags, [key, "at"])
+    last = F.lit(1 << 30).alias("steps")
+    first = outer.select(key, "node_id", F.inline(defaults(F.col("tag"))), last).where(passed)
+    plain = elements.select(key, "node_id", F.inline(defaults(F.col("tag"))), last).where(~passed)
+    every = down.unionByName(own).unionByName(first).unionByName(plain)
+    return every.groupBy(key, "node_id", "property").agg(F.min_by("value", "steps").alias("value"))

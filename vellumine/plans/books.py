@@ -122,7 +122,7 @@ r AS (SELECT h.b AS book_id, h.n, href, node, CASE WHEN p % 11 = 0 THEN 'empty_t
 SELECT book_id, n, href, CASE WHEN reason IS NULL THEN n END AS document_id, CASE WHEN reason IS NULL AND NOT plain THEN node END AS node_id, reason, count(*) AS n_points FROM r GROUP BY ALL"""
 
 
-_CSS = """/* base { color: red } */ p { color: black; margin: 0  auto; --own: 1 } .big, #k7 { font-size: 2em; color: blue }
+_CSS = """@supports (display: grid) { p { color: red } } @keyframes k { from { top: 0 } } p.big::before, q { content: "}"; quotes: none } /* base { color: red } */ p { color: black; margin: 0  auto; --own: 1 } .big, #k7 { font-size: 2em; color: blue }
 @media amzn-kf8 { p.big { color: green } } @media amzn-mobi { p { color: grey } } div > p.big.odd { font-weight: bold } * { line-height: 1.2 } @font-face { font-family: x } h1 { color: navy; color: teal }"""
 
 
@@ -139,7 +139,8 @@ def computed_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 COMPUTED_STYLES = """WITH e AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 0 THEN 'h1' ELSE 'p' END AS tag, p_partkey % 3 = 0 AS big, p_partkey % 2 = 1 AS odd, p_partkey % 50 = 7 AS seven, p_partkey % 10 = 9 AS own FROM part),
 v AS (SELECT k AS node_id, unnest([{'p': 'color', 'v': CASE WHEN own THEN 'white' WHEN seven THEN 'blue' WHEN big AND tag = 'p' THEN 'green' WHEN big THEN 'blue' WHEN tag = 'p' THEN 'black' ELSE 'teal' END},
-{'p': 'margin', 'v': CASE WHEN own THEN '1px' WHEN tag = 'p' THEN '0 auto' END}, {'p': 'font-size', 'v': CASE WHEN big OR seven THEN '2em' END}, {'p': 'font-weight', 'v': CASE WHEN tag = 'p' AND big AND odd THEN 'bold' END}, {'p': 'line-height', 'v': '1.2'}]) AS x FROM e)
+{'p': 'margin', 'v': CASE WHEN own THEN '1px' WHEN tag = 'p' THEN '0 auto' END}, {'p': 'font-size', 'v': CASE WHEN big OR seven THEN '2em' END}, {'p': 'font-weight', 'v': CASE WHEN tag = 'p' AND big AND odd THEN 'bold' END}, {'p': 'line-height', 'v': '1.2'},
+{'p': 'content', 'v': CASE WHEN tag = 'p' AND big THEN '"}"' END}, {'p': 'quotes', 'v': CASE WHEN tag = 'p' AND big THEN 'none' END}]) AS x FROM e)
 SELECT node_id, x.p AS property, x.v AS value FROM v WHERE x.v IS NOT NULL"""
 
 _ALL = (book_faults, book_verdicts, edited_books, edited_order, navigation_targets, computed_styles)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumine.plans import books, catalogue, documents, markdown, streams, text
+from vellumine.plans import books, catalogue, documents, markdown, streams, text, trees
 
-_PLANS = (text, catalogue, documents, books, markdown, streams)
+_PLANS = (text, catalogue, documents, books, markdown, trees, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

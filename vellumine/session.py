@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -27,3 +27,18 @@ def ship(spark: SparkSession) -> SparkSession:
                 out.write(path, f"{root.name}/{path.relative_to(root)}")
         context.addPyFile(str(archive))
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read from there: later plans begin at it, lost executors do not repeat what led to it.
+
+    The folder is that of ``spark.checkpoint.dir``; only on a local master
+    that names none a temporary one is made.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="vellumine-"))
+    return df.checkpoint()
