@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumine.plans import bookfiles, books, catalogue, documents, markdown, streams, text, trees
+from vellumine.plans import bookfiles, books, catalogue, documents, fb2, markdown, streams, text, trees
 
-_PLANS = (text, catalogue, documents, books, markdown, trees, bookfiles, streams)
+_PLANS = (text, catalogue, documents, books, markdown, trees, bookfiles, fb2, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
