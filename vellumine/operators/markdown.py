@@ -16,6 +16,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from vellumine.functions.text import WS, ascii_lower, let, lines, normal_newlines, utrim
 from vellumine.session import checkpointed
@@ -193,7 +194,7 @@ def inlines(runs: DataFrame, key: str = "book_id") -> DataFrame:
     return nodes.unionByName(texts)
 
 
-@F.pandas_udf("array<array<int>>")
+@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
 def _item_places(indents: pd.Series, ordered: pd.Series) -> pd.Series:
     """The path of each item of a list within it: an item belongs to the last one before it that is less indented; siblings of another indent or kind begin another list."""
 

@@ -206,7 +206,8 @@ def without_fonts(resources: DataFrame, key: str = "book_id") -> DataFrame:
 
 def preferred_variant(variants: Column, target: str) -> Column:
     """The first of ``variants`` (array of structs with ``target``) for the first of the target's choices that there is."""
-    return F.coalesce(*[F.get(F.filter(variants, lambda v, t=t: v["target"] == t), F.lit(0)) for t in VARIANTS[target]])
+    first = lambda name: F.get(F.filter(variants, lambda v: v["target"] == name), F.lit(0))
+    return F.coalesce(*[first(name) for name in VARIANTS[target]])
 
 
 def lowered(tree: DataFrame, target: str, tables: DataFrame | None = None, key: str = "book_id") -> DataFrame:
