@@ -28,51 +28,84 @@ class BookTables:
     links: DataFrame  # origin (navigation, start, edge), href; navigation is flattened
 
 
-def _said(rows: DataFrame, code: str, severity: str, subject: Column) -> DataFrame:
-    return rows.select("book_id", F.lit(code).alias("code"), F.lit(severity).alias("severity"), subject.cast("string").alias("subject"))
+def _claim(space: str, *key, defines: bool = False, place=None, code: str | None = None, severity: str = "error", subject=None, when=None) -> Column:
+    """What a row says of a key of its book: it defines it, or needs it and is at fault (``code``) where nothing defines it. A definition with a code is at fault where it repeats one."""
+    known = F.lit(True)
+    for k in key:
+        known = known & F.col(k).isNotNull()
+    told = F.struct(
+        F.lit(space).alias("space"),
+        F.to_json(F.struct(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(key)])).alias("key"),
+        F.lit(defines).alias("defines"),
+        known.alias("known"),
+        F.col(place or "book_id").cast("long").alias("place"),
+        F.lit(code).cast("string").alias("code"),
+        F.lit(severity).alias("severity"),
+        (F.lit(None) if subject is None else subject).cast("string").alias("subject"),
+    )
+    return told if when is None else F.when(when, told)
 
 
-def _again(rows: DataFrame, *key: str) -> DataFrame:
-    """The rows whose key stands at an earlier position of their book."""
-    place = F.row_number().over(Window.partitionBy("book_id", *key).orderBy("position"))
-    return rows.withColumn("k", place).where("k > 1").drop("k")
+def _claims(rows: DataFrame, *claims: Column) -> DataFrame:
+    """All that the rows of a table say, in one scan of it."""
+    return rows.select("book_id", F.explode(F.array_compact(F.array(*claims))).alias("c")).select("book_id", "c.*")
 
 
-def _without(rows: DataFrame, others: DataFrame, *key: str) -> DataFrame:
-    return rows.join(others.select("book_id", *key).distinct(), ["book_id", *key], "left_anti")
+def _at_once(rows: DataFrame, code: str, severity: str, subject: str) -> DataFrame:
+    return rows.select("book_id", F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col(subject).cast("string").alias("subject"))
 
 
 def diagnostics(b: BookTables) -> DataFrame:
-    """(book_id, code, severity, subject): one row for each fault."""
-    shifted = b.resources.withColumn("k", F.row_number().over(Window.partitionBy("book_id", "resource_id").orderBy("position"))).where("k > 1 OR resource_id <> position")
-    images = b.nodes.where("resource_id IS NOT NULL")
+    """(book_id, code, severity, subject): one row for each fault.
+
+    Each table is read once and tells what it defines and needs; one shuffle
+    by book, kind of key and key brings both together, definitions first, so
+    that a running maximum tells what is missing and a running number what is
+    repeated. No key is held: windows run over sorted rows.
+    """
     path = F.split_part("href", F.lit("#"), F.lit(1))
     outside = (path == "") | (F.col("origin") == "navigation") | F.contains(path, F.lit("://")) | F.startswith(path, F.lit("mailto:")) | F.startswith(path, F.lit("data:"))
-    inner = b.links.where(~outside).withColumn("full", F.col("href")).withColumn("href", path)
-    points = b.links.where((F.col("origin") == "navigation") & (path != "")).withColumn("full", F.col("href")).withColumn("href", path)
     at = F.instr("href", "#")
-    fragments = b.links.where((F.col("origin") == "edge") & (at > 0)).withColumn("name", F.substring("href", at + 1, F.length("href"))).where("name <> ''")
-    found = (
-        _said(shifted, "RES-0001", "error", F.col("resource_id")),
-        _said(_without(b.fonts, b.resources.where("kind = 'font'"), "resource_id"), "FONT-0001", "error", F.col("family")),
-        _said(b.fonts.where(is_blank(F.col("family"))), "FONT-0002", "error", F.col("family")),
-        _said(_again(b.anchors, "document_id", "name"), "ANCHOR-0001", "error", F.col("name")),
-        _said(_without(b.anchors, b.documents, "document_id"), "ANCHOR-0002", "error", F.col("name")),
-        _said(_without(b.anchors, b.nodes.join(b.documents.select("book_id", "document_id").distinct(), ["book_id", "document_id"]), "document_id", "node_id"), "ANCHOR-0003", "error", F.col("name")),
-        _said(_again(b.nodes, "node_id"), "NODE-0001", "error", F.col("node_id")),
-        _said(_without(b.nodes, b.styles, "style_id"), "STYLE-0001", "error", F.col("node_id")),
-        _said(_without(b.variants, b.styles, "style_id"), "STYLE-0002", "error", F.concat_ws(":", "node_id", "target")),
-        _said(_without(images.where("kind = 'image'"), b.resources, "resource_id"), "RES-0002", "error", F.col("node_id")),
-        _said(_without(images.where("kind = 'svg'"), b.resources, "resource_id"), "RES-0003", "error", F.col("node_id")),
-        _said(b.nodes.where("kind IN ('link', 'footnote') AND href = ''"), "LINK-0001", "warning", F.col("node_id")),
-        _said(_without(points, b.documents, "href"), "NAV-0001", "warning", F.col("full")),
-        _said(_without(inner, b.documents, "href"), "EDGE-0001", "warning", F.col("full")),
-        _said(_without(fragments, b.anchors, "name"), "EDGE-0002", "warning", F.col("href")),
+    links = b.links.withColumns({"path": path, "name": F.when(at > 0, F.substring("href", at + 1, F.length("href"))), "inner": ~outside})
+    name, node, href = F.col("name"), F.col("node_id"), F.col("href")
+    said = (
+        _claims(b.resources, _claim("resource", "resource_id", defines=True, place="position", code="RES-0001", subject=F.col("resource_id")), _claim("font", "resource_id", defines=True, when=F.col("kind") == "font")),
+        _claims(b.fonts, _claim("font", "resource_id", code="FONT-0001", subject=F.col("family"))),
+        _claims(
+            b.anchors,
+            _claim("anchor", "document_id", "name", defines=True, place="position", code="ANCHOR-0001", subject=name),
+            _claim("document", "document_id", code="ANCHOR-0002", place="position", subject=name),
+            _claim("placed", "document_id", "node_id", code="ANCHOR-0003", subject=name),
+            _claim("name", "name", defines=True),
+        ),
+        _claims(b.documents, _claim("document", "document_id", defines=True), _claim("href", "href", defines=True)),
+        _claims(
+            b.nodes,
+            _claim("node", "node_id", defines=True, place="position", code="NODE-0001", subject=node),
+            _claim("style", "style_id", code="STYLE-0001", subject=node),
+            _claim("resource", "resource_id", code="RES-0002", subject=node, when=(F.col("kind") == "image") & F.col("resource_id").isNotNull()),
+            _claim("resource", "resource_id", code="RES-0003", subject=node, when=(F.col("kind") == "svg") & F.col("resource_id").isNotNull()),
+        ),
+        # a node stands where its document does
+        _claims(b.nodes.join(b.documents.select("book_id", "document_id"), ["book_id", "document_id"], "left_semi"), _claim("placed", "document_id", "node_id", defines=True)),
+        _claims(b.variants, _claim("style", "style_id", code="STYLE-0002", subject=F.concat_ws(":", "node_id", "target"))),
+        _claims(b.styles, _claim("style", "style_id", defines=True)),
+        _claims(
+            links,
+            _claim("href", "path", code="NAV-0001", severity="warning", subject=href, when=(F.col("origin") == "navigation") & (F.col("path") != "")),
+            _claim("href", "path", code="EDGE-0001", severity="warning", subject=href, when=F.col("inner")),
+            _claim("name", "name", code="EDGE-0002", severity="warning", subject=href, when=(F.col("origin") == "edge") & (name != "")),
+        ),
     )
-    out = found[0]
-    for rows in found[1:]:
-        out = out.unionByName(rows)
-    return out
+    every = said[0]
+    for rows in said[1:]:
+        every = every.unionByName(rows)
+    by_key = Window.partitionBy("book_id", "space", "key").orderBy(F.desc("defines"), "place").rowsBetween(Window.unboundedPreceding, 0)
+    met = every.withColumns({"there": F.max(F.col("defines") & F.col("known")).over(by_key), "n": F.count("*").over(by_key)})
+    again = (F.col("n") > 1) | (F.col("space") == "resource") & (F.col("subject") != F.col("place").cast("string"))
+    fault = F.col("code").isNotNull() & F.when(F.col("defines"), again).otherwise(~F.col("there"))
+    direct = _at_once(b.fonts.where(is_blank(F.col("family"))), "FONT-0002", "error", "family").unionByName(_at_once(b.nodes.where("kind IN ('link', 'footnote') AND href = ''"), "LINK-0001", "warning", "node_id"))
+    return met.where(fault).select("book_id", "code", "severity", "subject").unionByName(direct)
 
 
 def verdicts(books: DataFrame, found: DataFrame) -> DataFrame:
