@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.session import checkpointed
+
 #: A token: letters and digits, lower-cased.
 TOKEN = r"[\p{L}\p{N}]+"
 EDGE = r"[\p{L}\p{N}]"
@@ -16,18 +18,24 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def _whole(first: str, rest: str = rf"(?!{EDGE})") -> str:
+    """The pattern of a token, by its letters first: what stands before it is looked at only where they are found."""
+    return rf"{first}(?<!{EDGE}{first}){rest}"
+
+
 def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of documents with any of the terms, larger is better.
 
-    One scan counts lengths and the terms' occurrences inside each row; only
+    One scan counts lengths and the terms' occurrences inside each row, which
+    are kept as a checkpoint; only
     two aggregates (document count and mean length, the terms' document
     frequencies) leave it, both of fixed size.
     """
     terms = sorted({t.lower() for t in terms})
     low = F.lower(F.coalesce(text, F.lit("")))
-    counts = [F.regexp_count(low, F.lit(rf"(?<!{EDGE}){term}(?!{EDGE})")).alias(f"tf{i}") for i, term in enumerate(terms)]
-    # Lengths and counts are few bytes a row; both uses of them read the texts, which costs less than to keep them.
-    rows = docs.select(key, F.regexp_count(low, F.lit(TOKEN + "+")).alias("n"), *counts)
+    counts = [F.regexp_count(low, F.lit(_whole(term))).alias(f"tf{i}") for i, term in enumerate(terms)]
+    # counted once and kept: a few bytes a row, which the statistics and the scores both read
+    rows = checkpointed(docs.select(key, F.regexp_count(low, F.lit(TOKEN + "+")).alias("n"), *counts))
     s = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -44,7 +52,7 @@ def phrase(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text")
         return docs.select(key, F.lit(0).alias("n_hits")).limit(0)
     edge, gap = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]+"
     rest = rf"(?={gap}{gap.join(wanted[1:])}(?!{edge}))" if len(wanted) > 1 else rf"(?!{edge})"
-    hits = F.regexp_count(F.lower(text), F.lit(rf"(?<!{edge}){wanted[0]}{rest}"))
+    hits = F.regexp_count(F.lower(text), F.lit(_whole(wanted[0], rest)))
     return docs.where(F.contains(F.lower(text), F.lit(wanted[0]))).select(key, hits.alias("n_hits")).where("n_hits > 0")
 
 
@@ -61,9 +69,9 @@ def ranked_phrase(rows: DataFrame, query: str, fields: list[str], key: str = "bo
     gap = r"[^\p{L}\p{N}]+"
     rest = rf"(?={gap}{gap.join(wanted[1:])}(?!{EDGE}))" if len(wanted) > 1 else rf"(?!{EDGE})"
     text = [F.lower(F.coalesce(f, F.lit(""))) for f in fields]
-    hits = sum((F.regexp_count(t, F.lit(rf"(?<!{EDGE}){wanted[0]}{rest}")) for t in text), F.lit(0))
+    hits = sum((F.regexp_count(t, F.lit(_whole(wanted[0], rest))) for t in text), F.lit(0))
     size = sum((F.regexp_count(t, F.lit(TOKEN + "+")) for t in text), F.lit(0))
-    counted = rows.select(key, hits.alias("f"), size.alias("d"))
+    counted = checkpointed(rows.select(key, hits.alias("f"), size.alias("d")))
     s = counted.agg(F.count("*").alias("n"), F.count_if(F.col("f") > 0).alias("hit"), F.avg("d").alias("mean")).first()
     idf = max(math.log((s["n"] - s["hit"] + 0.5) / (s["hit"] + 0.5)), 1e-6)
     f = F.col("f")

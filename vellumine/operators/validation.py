@@ -28,19 +28,24 @@ class BookTables:
     links: DataFrame  # origin (navigation, start, edge), href; navigation is flattened
 
 
-def _claim(space: str, *key, defines: bool = False, place=None, code: str | None = None, severity: str = "error", subject=None, when=None) -> Column:
+#: Kinds of keys, and the faults of keys; the last three are warnings.
+SPACES = ("resource", "font", "anchor", "document", "placed", "name", "href", "node", "style")
+CODES = ("RES-0001", "FONT-0001", "ANCHOR-0001", "ANCHOR-0002", "ANCHOR-0003", "NODE-0001", "STYLE-0001", "STYLE-0002", "RES-0002", "RES-0003", "NAV-0001", "EDGE-0001", "EDGE-0002")
+WARNINGS = CODES[-3:]
+
+
+def _claim(space: str, *key, defines: bool = False, place=None, code: str | None = None, subject=None, when=None) -> Column:
     """What a row says of a key of its book: it defines it, or needs it and is at fault (``code``) where nothing defines it. A definition with a code is at fault where it repeats one."""
     known = F.lit(True)
     for k in key:
         known = known & F.col(k).isNotNull()
     told = F.struct(
-        F.lit(space).alias("space"),
-        F.to_json(F.struct(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(key)])).alias("key"),
+        F.lit(SPACES.index(space)).cast("byte").alias("space"),
+        F.concat_ws("\0", *[F.col(k).cast("string") for k in key]).alias("key"),  # of several keys all but the last are numbers
         F.lit(defines).alias("defines"),
         known.alias("known"),
         F.col(place or "book_id").cast("long").alias("place"),
-        F.lit(code).cast("string").alias("code"),
-        F.lit(severity).alias("severity"),
+        F.lit(CODES.index(code) if code else None).cast("byte").alias("code"),
         (F.lit(None) if subject is None else subject).cast("string").alias("subject"),
     )
     return told if when is None else F.when(when, told)
@@ -92,20 +97,22 @@ def diagnostics(b: BookTables) -> DataFrame:
         _claims(b.styles, _claim("style", "style_id", defines=True)),
         _claims(
             links,
-            _claim("href", "path", code="NAV-0001", severity="warning", subject=href, when=(F.col("origin") == "navigation") & (F.col("path") != "")),
-            _claim("href", "path", code="EDGE-0001", severity="warning", subject=href, when=F.col("inner")),
-            _claim("name", "name", code="EDGE-0002", severity="warning", subject=href, when=(F.col("origin") == "edge") & (name != "")),
+            _claim("href", "path", code="NAV-0001", subject=href, when=(F.col("origin") == "navigation") & (F.col("path") != "")),
+            _claim("href", "path", code="EDGE-0001", subject=href, when=F.col("inner")),
+            _claim("name", "name", code="EDGE-0002", subject=href, when=(F.col("origin") == "edge") & (name != "")),
         ),
     )
     every = said[0]
     for rows in said[1:]:
         every = every.unionByName(rows)
-    by_key = Window.partitionBy("book_id", "space", "key").orderBy(F.desc("defines"), "place").rowsBetween(Window.unboundedPreceding, 0)
-    met = every.withColumns({"there": F.max(F.col("defines") & F.col("known")).over(by_key), "n": F.count("*").over(by_key)})
-    again = (F.col("n") > 1) | (F.col("space") == "resource") & (F.col("subject") != F.col("place").cast("string"))
+    by_key = Window.partitionBy("book_id", "space", "key").orderBy(F.desc("defines"), "place")
+    met = every.withColumns({"there": F.max(F.col("defines") & F.col("known")).over(by_key.rowsBetween(Window.unboundedPreceding, 0)), "n": F.row_number().over(by_key)})
+    again = (F.col("n") > 1) | (F.col("space") == SPACES.index("resource")) & (F.col("subject") != F.col("place").cast("string"))
     fault = F.col("code").isNotNull() & F.when(F.col("defines"), again).otherwise(~F.col("there"))
     direct = _at_once(b.fonts.where(is_blank(F.col("family"))), "FONT-0002", "error", "family").unionByName(_at_once(b.nodes.where("kind IN ('link', 'footnote') AND href = ''"), "LINK-0001", "warning", "node_id"))
-    return met.where(fault).select("book_id", "code", "severity", "subject").unionByName(direct)
+    code = F.get(F.array(*[F.lit(c) for c in CODES]), F.col("code").cast("int"))
+    told = met.where(fault).select("book_id", code.alias("code"), F.when(code.isin(*WARNINGS), "warning").otherwise("error").alias("severity"), "subject")
+    return told.unionByName(direct)
 
 
 def verdicts(books: DataFrame, found: DataFrame) -> DataFrame:
