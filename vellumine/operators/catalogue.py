@@ -62,6 +62,37 @@ def by_identifier(c: Catalogue, scheme: str, value: str, limit: int = PAGE_LIMIT
     return c.books.join(hits, "id").orderBy("sort_title", "id").limit(min(limit, PAGE_LIMIT))
 
 
+def book(c: Catalogue, book_id: int) -> DataFrame:
+    """A book by id; the condition reaches the scan."""
+    return c.books.where(F.col("id") == book_id)
+
+
+def file(c: Catalogue, file_id: int) -> DataFrame:
+    """A file by id, with its inspected metadata, if any."""
+    found, meta = c.variants.where(F.col("id") == file_id), c.file_metadata.where(F.col("file_id") == file_id)
+    return found.join(meta, found.id == meta.file_id, "left").drop("file_id")
+
+
+def files_of_root(c: Catalogue, root_id: int) -> DataFrame:
+    """The files below a storage root that is there."""
+    root = c.roots.where(F.col("id") == root_id).select(F.col("id").alias("root_id"))
+    return c.variants.where(F.col("root_id") == root_id).join(root, "root_id", "left_semi")
+
+
+def counted_page(books: DataFrame, offset: int, limit: int) -> DataFrame:
+    """``page`` with ``n_books``, how many books there are in all."""
+    return page(books, offset, limit).crossJoin(F.broadcast(books.agg(F.count("*").alias("n_books"))))  # one row
+
+
+def ordered_relations(c: Catalogue, books: DataFrame) -> DataFrame:
+    """(book_id, place, kind, secondary, value): the relations of ``books`` (id), by kind, then by position or index as text, then by value; null first."""
+    own = relations(c).join(books.select(F.col("id").alias("book_id")), "book_id", "left_semi")
+    # identifiers have no position here: their scheme is no part of the order
+    shown = F.when(F.col("kind") == "identifier", None).otherwise(F.col("secondary"))
+    by = Window.partitionBy("book_id").orderBy("kind", shown, "value")
+    return own.withColumn("place", F.row_number().over(by) - 1)
+
+
 def files_with_metadata(c: Catalogue) -> DataFrame:
     """Each file with its inspected metadata, if any."""
     meta = c.file_metadata

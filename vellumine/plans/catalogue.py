@@ -68,6 +68,35 @@ def books_by_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOOKS_BY_IDENTIFIER = f"SELECT o_orderkey AS id, {_TITLE} AS title FROM orders WHERE o_orderkey % 500 = 42 ORDER BY {_TITLE}, o_orderkey LIMIT 1000"
 
 
+def book_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A book, a file with its metadata and the files of a root, by their ids."""
+    c = tables(spark, sf_dir)
+    found = C.book(c, 33).select(F.lit("book").alias("what"), "id", F.col("title").alias("text"), F.lit(None).cast("long").alias("pages"))
+    files = C.files_of_root(c, 7).select(F.lit("root"), "id", "path", F.lit(None).cast("long"))
+    return found.union(C.file(c, 332).select(F.lit("file"), "id", "path", "pages")).union(C.file(c, 333).select(F.lit("file"), "id", "path", "pages")).union(files)
+
+
+BOOK_LOOKUPS = f"""WITH m AS (SELECT {_FILE} AS id, min(l_quantity::BIGINT) AS pages FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1), f AS (SELECT {_FILE} AS id, l_suppkey AS root, l_returnflag || '/' || {_FILE} AS path FROM lineitem)
+SELECT 'book' AS what, o_orderkey AS id, {_TITLE} AS text, NULL::BIGINT AS pages FROM orders WHERE o_orderkey = 33 UNION ALL SELECT 'file', f.id, path, pages FROM f LEFT JOIN m USING (id) WHERE f.id IN (332, 333) UNION ALL SELECT 'root', id, path, NULL FROM f WHERE root = 7"""
+
+
+def counted_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the list with the number of all books."""
+    return C.counted_page(tables(spark, sf_dir).books, 10, 25).select("id", "title", "n_books")
+
+
+COUNTED_PAGE = f"SELECT o_orderkey AS id, {_TITLE} AS title, (SELECT count(*) FROM orders) AS n_books FROM orders ORDER BY lower({_TITLE}), o_orderkey LIMIT 25 OFFSET 10"
+
+
+def ordered_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relations of all books in their order."""
+    c = tables(spark, sf_dir)
+    return C.ordered_relations(c, c.books).select("book_id", F.col("place").cast("long").alias("place"), "kind", "secondary", "value")
+
+
+ORDERED_RELATIONS = f"""SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY kind, CASE WHEN kind <> 'identifier' THEN secondary END NULLS FIRST, value) - 1 AS place, kind, secondary, value FROM ({BOOK_RELATIONS})"""
+
+
 def files_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.files_with_metadata(tables(spark, sf_dir)).select("id", "book_id", "path", "state", "pages")
 
@@ -253,6 +282,6 @@ b AS (SELECT book_id, 'Edited ' || k AS title FROM e UNION ALL SELECT o_orderkey
 SELECT book_id, kind, secondary, value, title FROM r JOIN b USING (book_id)"""
 
 
-_ALL = (book_relations, book_page, books_by_identifier, files_with_metadata, best_variants, library_statistics, search_documents, catalogue_search, catalogue_after_writes, file_orphans, metadata_changes, scan_changes, scan_snapshot, scan_report, text_search, phrase_search)
+_ALL = (book_relations, book_page, book_lookups, counted_page, ordered_relations, books_by_identifier, files_with_metadata, best_variants, library_statistics, search_documents, catalogue_search, catalogue_after_writes, file_orphans, metadata_changes, scan_changes, scan_snapshot, scan_report, text_search, phrase_search)
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {name: globals()[name.upper()] for name in QUERIES}
