@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumine.plans import bookfiles, books, catalogue, documents, fb2, markdown, pages, streams, text, trees
+from vellumine.plans import bookfiles, books, candidates, catalogue, documents, fb2, markdown, pages, streams, text, trees
 
-_PLANS = (text, catalogue, documents, books, markdown, trees, bookfiles, fb2, pages, streams)
+_PLANS = (text, catalogue, documents, books, markdown, trees, bookfiles, fb2, pages, candidates, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
