@@ -40,6 +40,9 @@ UNKNOWN_PENALTY = 10.0
 #: Bytes of text and distinct words that a task works on at a time; they bound its memory.
 SLICE_BYTES, TASK_WORDS = 500_000, 300_000
 
+#: Times the usual number of partitions that the words are dealt out to.
+FINER = 4
+
 U = W.U
 
 
@@ -163,8 +166,10 @@ def distinct_words(rows: DataFrame, model: Model) -> DataFrame:
         W.release()
 
     counted = rows.select("text").mapInArrow(of_batches, "word string, n long, hash long")
-    # Dealt out by hash, as the edges are grouped later; tasks have counted already.
-    return counted.repartition("hash").groupBy("hash", "word").agg(F.sum("n").alias("n"))
+    # Dealt out by hash, as the edges are grouped later; tasks have counted already. A word has some thirty edges, which
+    # are sorted where it is: more partitions than usual keep what a task sorts in memory.
+    parts = FINER * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return counted.repartition(parts, "hash").groupBy("hash", "word").agg(F.sum("n").alias("n"))
 
 
 def _spans(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
