@@ -38,7 +38,8 @@ def reordered(documents: DataFrame, order: DataFrame, key: str = "book_id") -> D
     """``documents`` (key, document_id, position, ...) with the listed ones first, in the list's order, the rest as before.
 
     ``order`` has (key, place, document_id); documents that a book does not
-    have are ignored, and of repeated ones the first place counts.
+    have are ignored. Of a document that is listed twice the first place
+    counts: a book never holds a document twice.
     """
     listed = order.groupBy(key, "document_id").agg(F.min("place").alias("place"))
     both = documents.join(listed, [key, "document_id"], "left")
