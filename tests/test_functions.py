@@ -150,3 +150,12 @@ def test_files(spark, tmp_path):
     assert {r.name: r.f for r in found.select("name", files.detected_format(F.col("path"), F.col("content")).alias("f")).collect()} == {"x.txt": "text", "y.epub": "epub", "z.txt": "text", "n.bin": "unsupported"}
     got = {r.name: (r.encoding, r.text) for r in files.decoded(found.select("name", "content")).collect()}
     assert got["x.txt"] == ("utf-8", "héllo") and got["z.txt"][0] == "shift_jis" and got["n.bin"] == (None, None)
+
+
+def test_short_texts_without_marks(spark):
+    texts = ["a", "ab", "abc", "é", "abcd"]
+    rows = [(n, t.encode(code)) for n, t in enumerate(texts) for code in ("utf-16-le", "utf-16-be")]
+    got = [(r.n, r.encoding, r.text) for r in files.decoded(spark.createDataFrame(rows, "n int, content binary")).collect()]
+    assert sorted(got) == sorted((n, code, t) for n, t in enumerate(texts) for code in ("utf-16-le", "utf-16-be"))
+    odd = [(1, b"\0"), (2, b"\0\0"), (3, b"a\0\0"), (4, b"ab")]
+    assert [(r.n, r.text) for r in files.decoded(spark.createDataFrame(odd, "n int, content binary")).orderBy("n").collect()] == [(1, None), (2, None), (3, None), (4, "ab")]

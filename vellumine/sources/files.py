@@ -117,7 +117,7 @@ def _decoded(data: bytes | None) -> tuple[str | None, str | None]:
             except UnicodeDecodeError:
                 return None, None
     even, odd = data[0::2], data[1::2]
-    if len(odd) >= 4 and len(data) % 2 == 0:
+    if odd and len(data) % 2 == 0:
         for zeros, others, name in ((odd, even, "utf-16-le"), (even, odd, "utf-16-be")):
             if zeros.count(0) * 4 >= 3 * len(zeros) and others.count(0) * 10 <= len(others):
                 return name, data.decode(name, "replace")
