@@ -47,3 +47,16 @@ def test_candidates(spark):
         6: [(2, 0.58)],
     }
     assert candidates.candidates(spark.createDataFrame([], SCHEMA), records).count() == 0
+
+
+def test_alike_requests_and_records_do_not_meet_pair_by_pair(spark):
+    """20,000 requests against 20,000 records of one title: 400 million pairs, which no plan may form."""
+    records = spark.range(20_000).selectExpr("id as record_id", "if(id % 2 = 0, 'The Book', ' the  BOOK') as title", "array(concat('a', id % 2)) as authors", "array('1') as isbns", "cast(null as array<string>) as identifiers")
+    asked = spark.range(20_000).selectExpr("id as request_id", "'the book' as query", "cast(null as string) as isbn", "cast(null as string) as identifier", "cast(null as string) as title", "if(id = 7, 'A1', null) as author", "'en' as locale", "cast(id % 25 as int) as max_results")
+    asked = asked.withColumn("isbn", F.when(F.col("request_id") == 7, "1"))
+    made = candidates.candidates(asked, records).persist()
+    most = {k: min(max(k % 25, 1), 20) for k in range(20_000)}
+    assert made.count() == sum(most.values())
+    assert [(r.record_id, r.confidence) for r in made.where("request_id = 19999").orderBy("place").collect()] == [(n, 0.92) for n in range(most[19_999])]
+    assert [(r.record_id, r.confidence) for r in made.where("request_id = 7").orderBy("place").collect()] == [(2 * n + 1, 0.98) for n in range(7)]
+    made.unpersist()

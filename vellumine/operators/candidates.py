@@ -2,7 +2,10 @@
 
 A request takes the first route that it has a field for: ISBN, identifier,
 title and author, free text. Records offer a key for each route, so that one
-equality join by route and key finds all candidates.
+equality join by route and key finds all candidates. Requests that ask the
+same are one question, and of records that no question tells apart only the
+first can be among the results, so that the work follows the records and the
+questions, not their pairs.
 """
 
 from __future__ import annotations
@@ -90,16 +93,23 @@ def candidates(requests: DataFrame, records: DataFrame, key: str = "request_id")
 
     pair = F.transform(authors, lambda a: F.concat(title, F.lit("\n"), a))
     offers = F.concat(offer("isbn", F.array_distinct("isbns")), offer("identifier", F.array_distinct(F.coalesce("identifiers", F.array().cast("array<string>")))), offer("title", F.array(title)), offer("author", authors), offer("both", pair))
-    offered = clean.select("record_id", "r_title", "r_authors", F.inline(offers))
+    told = ["untitled", "found", "writers"]  # all of a record that its confidence depends on
+    offered = clean.select("record_id", F.col("r_title").isNull().alias("untitled"), title.alias("found"), F.array_sort(authors).alias("writers"), F.inline(offers))
+    among = F.row_number().over(Window.partitionBy("route", "at", *told).orderBy("record_id"))
+    offered = offered.withColumn("among", among).where(F.col("among") <= MAX_RESULTS)
     t, a = filled("title"), filled("author")
     by = F.when(route() != "fields", F.when(route() == "text", "title").otherwise(route())).when(t.isNull(), "author").when(a.isNull(), "title").otherwise("both")
     at = F.when(route() == "isbn", filled("isbn")).when(route() == "identifier", filled("identifier")).when(route() == "text", normal(filled("query"))).when(by == "author", normal(a)).when(by == "title", normal(t)).otherwise(F.concat(normal(t), F.lit("\n"), normal(a)))
-    asked = requests.where(fault().isNull()).select(key, by.alias("route"), at.alias("at"), F.coalesce(t, F.col("query")).alias("q_title"), F.col("author").alias("q_author"), result_limit(F.col("max_results")).alias("most"))
-    met = asked.join(offered, ["route", "at"])
-    wanted, found = normal(F.col("q_title")), normal(F.col("r_title"))
+    question = ["route", "at", "wanted", "named", "writer"]
+    asked = requests.where(fault().isNull()).select(
+        key, by.alias("route"), at.alias("at"), normal(F.coalesce(t, F.col("query"))).alias("wanted"), F.col("author").isNotNull().alias("named"), normal(F.col("author")).alias("writer"), result_limit(F.col("max_results")).alias("most")
+    )
+    met = asked.groupBy(*question).agg(F.max("most").alias("most")).join(offered, ["route", "at"])
+    wanted, found = F.col("wanted"), F.col("found")
     base = F.when(wanted == found, linkage.EQUAL).when((wanted != "") & (F.contains(wanted, found) | F.contains(found, wanted)), linkage.INSIDE).otherwise(linkage.OTHER)
-    same = F.coalesce(F.exists("r_authors", lambda x: normal(x) == normal(F.col("q_author"))), F.lit(False)) & F.col("q_author").isNotNull()
-    sure = F.when(F.col("r_title").isNull(), linkage.UNASKED).otherwise(F.least(base + F.when(same, linkage.AUTHOR).otherwise(0.0), F.lit(linkage.CAP)))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("confidence"), "record_id"))
-    ranked = met.withColumn("confidence", F.round(sure, 6)).withColumn("place", place)
-    return ranked.where((F.col("place") <= MAX_RESULTS) & (F.col("place") <= F.col("most"))).select(key, "place", "record_id", "confidence")
+    same = F.col("named") & F.coalesce(F.array_contains("writers", F.col("writer")), F.lit(False))
+    sure = F.when(F.col("untitled"), linkage.UNASKED).otherwise(F.least(base + F.when(same, linkage.AUTHOR).otherwise(0.0), F.lit(linkage.CAP)))
+    place = F.row_number().over(Window.partitionBy(*question).orderBy(F.desc("confidence"), "record_id"))
+    ranked = met.withColumn("confidence", F.round(sure, 6)).withColumn("place", place).where((F.col("place") <= MAX_RESULTS) & (F.col("place") <= F.col("most")))
+    answers = ranked.groupBy(*question).agg(F.array_sort(F.collect_list(F.struct("place", "record_id", "confidence"))).alias("answers"))
+    return asked.join(answers, question).select(key, F.inline(F.slice("answers", F.lit(1), F.col("most"))))
