@@ -99,6 +99,13 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_simhash_index_is_not_broadcast(spark, tmp_path):
+    """A table of fingerprints is small and its index 64 times as large; under Spark's own threshold the join still has to shuffle it."""
+    spark.range(1000).select(F.xxhash64("id").alias("bits")).write.parquet(f"file://{tmp_path}/bits")
+    plan = simhash.links(spark.read.parquet(f"file://{tmp_path}/bits"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
 def test_simhash_hot_fingerprint(spark):
     """Hundreds of copies among a few others: the hot fingerprint is joined by broadcast, results are the same."""
     texts = ["the same text of many copies here"] * 400 + [f"text {i} of its own {i * 7} words {i * i}" for i in range(60)] + ["", None]

@@ -163,7 +163,9 @@ def links(prints: DataFrame, max_bits: int = 4, blocks: int | None = None) -> Da
     """(a, b): each pair of different fingerprints at most ``max_bits`` bits apart, a < b, once.
 
     ``prints`` has distinct ``bits``. A pair meets at several variants; the
-    join keeps it at the first of them only.
+    join keeps it at the first of them only. Both sides are shuffled: Spark
+    guesses the index as small as the table of fingerprints, which it holds
+    64 times, and would broadcast it through the driver.
     """
     if blocks is None:
         blocks = max_bits + 1 if prints.count() > MANY else 1
@@ -175,7 +177,7 @@ def links(prints: DataFrame, max_bits: int = 4, blocks: int | None = None) -> Da
         inside = x.bitwiseAND(F.lit(_mask(a, b)))
         low = F.shiftrightunsigned(inside, a)
         first_place = F.when(low == 0, F.lit(a)).when(F.bit_count(low) == 1, a + F.bit_count(low - 1)).otherwise(first_place)
-    met = left.join(right, ["place", "rest", "more"]).where((F.col("a") < F.col("b")) & (F.bit_count(x) <= max_bits))
+    met = left.hint("merge").join(right.hint("merge"), ["place", "rest", "more"]).where((F.col("a") < F.col("b")) & (F.bit_count(x) <= max_bits))
     if blocks > 1:
         return met.select("a", "b").distinct()
     return met.where(F.col("place") == first_place).select("a", "b")
