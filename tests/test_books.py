@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellumine.operators import bookfiles, compat, fb2, markdown, markup, pages, projection, styles, trees
+from vellumine.plans import fb2 as plan_fb2
+from vellumine.plans import trees as plan_trees
 from vellumine.sources import xml
 
 SAMPLE = """---
@@ -236,3 +238,18 @@ def test_pictures(spark):
     lost = lambda f, r="undecodable": (f, None, None, r)
     want = [size("png", 5, 7), lost("png"), size("gif", 5, 7), size("webp", 5, 7), size("jpeg", 20, 10), lost("jpeg"), lost("jpeg"), lost("jpeg"), lost(None), lost(None), lost(None), lost("png", "invalid_geometry")]
     assert [tuple(r) for r in got] == want
+
+
+def test_small_files_become_many_tasks(spark, tmp_path):
+    """A file of few bytes is one task; the documents that its rows become are dealt out by their number."""
+    spark.range(25_000).selectExpr("id as p_partkey", "'n' as p_name", "cast(id % 50 as int) as p_size").coalesce(1).write.parquet(f"file://{tmp_path}/part.parquet")
+    spark.range(25_000).selectExpr("id as c_custkey", "'n' as c_name").coalesce(1).write.parquet(f"file://{tmp_path}/customer.parquet")
+    for made in (plan_trees._marked(spark, f"file://{tmp_path}"), plan_fb2._elements(spark, f"file://{tmp_path}")):
+        assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_trees_are_parsed_once(spark, sf):
+    """The pages are parsed once and never joined with themselves: what is above a node is told by the order of the page's rows."""
+    for query in (plan_trees.lowered_nodes, plan_trees.compatibility_items):
+        plan = query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInPandas") == 1 and "p_partkey" in plan

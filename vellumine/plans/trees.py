@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumine.operators import compat, markup, projection, styles, trees
-from vellumine.plans.text import read
+from vellumine.plans.text import read, spread
 
 
 def contents_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,21 +70,19 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     svg = F.when(F.col("p_size") % 3 == 0, '<svg aria-label="drawn"></svg>').when(F.col("p_size") % 3 == 1, "<svg></svg>").otherwise("")
     table = F.when(F.col("p_size") % 5 == 0, "<table><tr><td>c</td></tr></table>").otherwise("")
     html = F.concat(F.lit("<html><head><title>no</title></head><body><h1>"), name, F.lit("</h1><p>one "), ruby, F.lit(' two<br>three<a epub:type="footnote" href="#n">1</a></p><hr>'), svg, table, F.lit('<p>end <math alttext="x"><mi>x</mi></math></p><script>no</script></body></html>'))
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    return spread(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")).select(F.col("p_partkey").alias("page_id"), html.alias("html"))
 
 
 def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = projection.with_kinds(markup.nodes(_marked(spark, sf_dir), spaced=True))
-    # a formula is taken as a whole
-    formulas = tree.where("kind = 'Math'").select("page_id", F.col("pre").alias("m_pre"), F.col("post").alias("m_post"))
-    return tree.join(formulas, (tree["page_id"] == formulas["page_id"]) & (tree["pre"] > F.col("m_pre")) & (tree["post"] < F.col("m_post")), "left_anti")
+    return projection.whole_formulas(projection.with_kinds(markup.nodes(_marked(spark, sf_dir), spaced=True)))
 
 
 def visible_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of the pages with and without regard to ruby, and their rubies."""
-    tree = _flow(spark, sf_dir).persist()
-    found = projection.ruby(tree).groupBy("page_id").agg(F.max("base").alias("base"), F.max("annotation").alias("annotation"))
-    texts = projection.text_content(tree).join(projection.visible_text(tree).withColumnRenamed("text", "visible"), "page_id")
+    tree = _flow(spark, sf_dir).select("page_id", "pre", "post", "path", "tag", "kind", "text", "alt").persist()
+    rubies = projection.ruby(tree).persist()
+    found = rubies.groupBy("page_id").agg(F.max("base").alias("base"), F.max("annotation").alias("annotation"))
+    texts = projection.text_content(tree).join(projection.visible_text(tree, rubies=rubies).withColumnRenamed("text", "visible"), "page_id")
     return texts.join(found, "page_id", "left").select("page_id", "text", "visible", "base", "annotation")
 
 
@@ -94,10 +92,8 @@ SELECT page_id, a || coalesce(base || '(' || chr(10) || 'anno)' || chr(10), '')
 
 
 def _roled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = _flow(spark, sf_dir)
-    roles = markup.semantic(tree).select("page_id", "node_id", "role")
-    texts = tree.where("tag = '#text'").select("page_id", "node_id", F.lit("Text").alias("role"))
-    return tree.join(roles.unionByName(texts), ["page_id", "node_id"]).withColumn("resource_kind", F.lit(None).cast("string"))
+    role = F.when(F.col("tag") == "#text", "Text").otherwise(markup.role())
+    return _flow(spark, sf_dir).withColumns({"role": role, "resource_kind": F.lit(None).cast("string")})
 
 
 def compatibility_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +125,8 @@ COMPATIBILITY_ITEMS = " UNION ALL ".join(
 def lowered_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages' nodes as the oldest target shows them, counted by kind, role, tag, text and link."""
     tree = _roled(spark, sf_dir).withColumnRenamed("page_id", "book_id").withColumns({"style_id": F.lit(0), "variants": F.array().cast("array<struct<target:string,style_id:int>>")})
-    made = projection.lowered(tree, "KF7", tree.where("kind = 'Table' AND book_id % 2 = 0"))
+    tabled = F.max((F.col("kind") == "Table") & (F.col("book_id") % 2 == 0)).over(Window.partitionBy("book_id"))
+    made = projection.lowered(tree, "KF7", tabled)
     shown = F.when(F.col("role").isin("Image", "Math", "Ruby", "Footnote", "Table"), F.col("text"))
     return made.where("role IN ('Image', 'Math', 'Ruby', 'Footnote', 'Table')").groupBy("kind", "role", "tag", shown.alias("text"), "href").agg(F.count("*").alias("n"))
 
