@@ -74,10 +74,12 @@ def nodes(elements: DataFrame, key: str = "book_id") -> DataFrame:
     targets = targets.where("attrs['id'] <> ''").select(key, attrs["id"].alias("note")).distinct().withColumn("is_note", F.lit(True))
     # a holder of no blocks is read as a line
     held = F.forall("around", lambda t: t.isin(*HOLDERS))
-    blocks = inside.where(held & (tag != "#text") & ~tag.isin(*LEFT_OUT)).select(key, F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))).alias("up")).distinct()
-    lone = inside.where(held & tag.isin(*[h for h in HOLDERS if h != "section"])).select(key, F.col("path").alias("up")).join(blocks, [key, "up"], "left_anti")
-    # what stands below such a holder, at any depth
-    over = F.explode(F.transform(F.sequence(F.lit(3), F.greatest(F.size("path"), F.lit(3))), lambda n: F.slice("path", F.lit(1), n - 1)))
+    inner = [h for h in HOLDERS if h != "section"]
+    blocks = inside.where(held & (tag != "#text") & ~tag.isin(*LEFT_OUT) & F.try_element_at("above", F.lit(-1)).isin(*inner)).select(key, F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))).alias("up")).distinct()
+    lone = inside.where(held & tag.isin(*inner)).select(key, F.col("path").alias("up")).join(blocks, [key, "up"], "left_anti")
+    # what stands below such a holder, at any depth; the tag of a place n above is known without a join
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size("above"), F.lit(1))), lambda n: F.coalesce(F.get("above", n - 1).isin(*inner), F.lit(False)))
+    over = F.explode(F.transform(places, lambda n: F.slice("path", F.lit(1), n)))
     lined = inside.select(key, "path", over.alias("up")).join(lone, [key, "up"]).select(key, "path").distinct().withColumn("lined", F.lit(True))
     rows = inside.join(lined, [key, "path"], "left").withColumn("lined", F.coalesce("lined", F.lit(False))).withColumn("block", held & ~F.col("lined"))
     # the first element that holds no blocks begins a line; what is left out, images and codes hold nothing
@@ -98,7 +100,7 @@ def nodes(elements: DataFrame, key: str = "book_id") -> DataFrame:
     met = met.withColumn("binary", F.when(tag == "image", F.regexp_replace(href, "^#+", ""))).join(binaries, [key, "binary"], "left")
     lost = (tag == "image") & F.col("resource_id").isNull()
     kind = F.when(lost, "GenericInline").when(is_note, "Footnote").otherwise(named)
-    words = texts(elements, inside.where("tag = 'code'"), key)
+    words = texts(elements.where("array_contains(above, 'code')"), inside.where("tag = 'code'"), key)
     in_list = F.col("block") & (tag == "p") & (F.try_element_at("above", F.lit(-1)) == "list")
     met = met.join(words, [key, "path"], "left").withColumns({"kind": kind, "in_list": in_list})
     none = F.lit(None).cast("string")
@@ -130,7 +132,7 @@ def metadata(elements: DataFrame, key: str = "book_id") -> DataFrame:
     """(key, title, language, authors, translators, description, keywords, genres, date, series, series_index, publisher, isbn) of the documents that have a description."""
     info = F.exists("above", lambda t: t.isin("title-info", "publish-info", "document-info"))
     rows = elements.where(info & (F.col("tag") != "#text")).select(key, "path", "tag", "attrs", F.element_at("above", -1).alias("up"))
-    said = rows.join(texts(elements, rows, key), [key, "path"], "left")
+    said = rows.join(texts(elements.where(info), rows, key), [key, "path"], "left")
     person = ("first-name", "middle-name", "last-name", "nickname")
     names = said.where(F.col("tag").isin(*person) & F.col("up").isin("author", "translator") & F.col("words").isNotNull())
     part = F.array_position(F.array(*[F.lit(p) for p in person]), F.col("tag"))

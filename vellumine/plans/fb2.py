@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.operators import fb2
-from vellumine.plans.text import read
+from vellumine.plans.text import read, spread
 from vellumine.sources import xml
 
 
@@ -19,13 +19,13 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
         '<list><p>item</p></list><poem><stanza><v>line</v></stanza></poem><cite>bare text</cite><strange>odd</strange><annotation><p>no</p></annotation><image l:href="#no"/></section></body>',
         '<body name="Notes"><section id="n1"><p>note</p></section></body><binary id="c.png" content-type="image/PNG">aGVs\\nbG8=</binary><binary>x</binary><binary id="b">?</binary>', if(c_custkey % 10 = 9, '<open>', ''), '</FictionBook>')"""
     )
-    books = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("book_id"), document.alias("content"))
-    return xml.elements(books).persist()
+    books = spread(read(spark, sf_dir, "customer").select("c_custkey", "c_name")).select(F.col("c_custkey").alias("book_id"), document.alias("content"))
+    return xml.elements(books)
 
 
 def fb2_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the documents."""
-    return fb2.nodes(_elements(spark, sf_dir)).drop("path")
+    return fb2.nodes(_elements(spark, sf_dir).persist()).drop("path")
 
 
 _T = [
@@ -54,6 +54,9 @@ FB2_NODES = " UNION ALL ".join(
 def fb2_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata of the documents, their binaries, and why some cannot be read."""
     elements = _elements(spark, sf_dir)
+    # what a body holds is no part of the metadata, but for binaries and descriptions within one
+    told = F.arrays_overlap("above", F.array(*[F.lit(t) for t in ("binary", "coverpage", "title-info", "publish-info", "document-info")]))
+    elements = elements.where(~F.coalesce(F.get("above", F.lit(1)) == "body", F.lit(False)) | (F.col("tag") == "binary") | told).persist()
     binaries = fb2.resources(elements).groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "resource_id", "name", "kind", F.col("size").cast("string"), "is_cover", "reason"))), "|").alias("binaries"))
     told = elements.groupBy("book_id").agg(F.max("reason").alias("reason"))
     made = fb2.metadata(elements).withColumns({c: F.array_join(c, "|") for c in ("authors", "translators", "subjects")})
