@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import decontaminate, line_dedup, near_copies, quality_rules, sentencepiece_lattice
-from vellumine.llm.shared import read, shared_folder
+from vellumine.llm import components, decontaminate, line_dedup, near_copies, quality_rules, sentencepiece_lattice, simhash
+from vellumine.llm.shared import keyed, read, shared_folder
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,14 +38,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: those linked by a similarity of 0.8 over shingles of five words.
+    """One document of each group of near duplicates.
+
+    Links are those of ``op5_simhash``: fingerprints at most four bits apart,
+    found by one-bit deletion variants. Texts that are alike by 0.8 over
+    shingles of five words, most of which fingerprints tell apart, add theirs.
 
     The one with the least id stays, of those that share it the one with the
     smaller text hash, of rows that repeat one another one. Texts without
     words, null ones too, are alike. All columns stay. An empty table stays
     empty.
     """
-    return near_copies.one_of_each(docs, shingle=5, threshold=0.8)
+    rows = keyed(docs)
+    near = components.united(simhash.rooted(rows, shingle=4, max_bits=4), near_copies.rooted(rows, shingle=5, threshold=0.8))
+    return simhash.first_of_each(docs, near, "doc_id", "text")
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

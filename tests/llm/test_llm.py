@@ -99,6 +99,26 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_united(spark):
+    """Links of the one kind and the other make chains; repeated rows stay repeated, a null id is a row."""
+    schema = "doc_id long, h long, root long"
+    a = [(1, 1, 10), (2, 2, 10), (3, 3, 3), (4, 4, 4), (5, 5, 5), (None, 6, 6), (7, 7, 7), (8, 8, 7), (8, 8, 7)]
+    b = [(1, 1, 1), (2, 2, 20), (3, 3, 20), (4, 4, 4), (5, 5, 50), (None, 6, 50), (7, 7, 70), (8, 8, 80), (8, 8, 80)]
+    groups = defaultdict(list)
+    for r in components.united(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).collect():
+        groups[r.root].append(r.h)
+    assert sorted(sorted(g) for g in groups.values()) == [[1, 2, 3], [4], [5, 6], [7, 8, 8]]
+
+
+def test_pipeline_links_by_fingerprints(spark, sf):
+    """Texts whose fingerprints link go together, however few of their shingles they share."""
+    base = [f"w45x{i}" for i in range(400)]
+    changed = ["z" + w if i % 36 == 20 else w for i, w in enumerate(base)]  # 4 bits apart; shingles of five words are alike by 0.756
+    docs = spark.createDataFrame([(0, " ".join(base)), (1, " ".join(changed)), (2, "another text of its own that is like no other one here")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.one_of_each(docs).collect()) == [0, 1, 2]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == [0, 2]
+
+
 def test_simhash_index_is_not_broadcast(spark, tmp_path):
     """A table of fingerprints is small and its index 64 times as large; under Spark's own threshold the join still has to shuffle it."""
     spark.range(1000).select(F.xxhash64("id").alias("bits")).write.parquet(f"file://{tmp_path}/bits")

@@ -46,3 +46,23 @@ def connected(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 6
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         state = now
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")
+
+
+def united(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(doc_id, h, root) of each row of ``b``: the components that the links behind both ``a`` and ``b`` make together.
+
+    Both tables have (doc_id, h, root) for the same rows. Components of the
+    one and the other that share a row are linked; one of a single row links
+    nothing.
+    """
+    i, h = F.col("doc_id").alias("i"), F.col("h").alias("k")
+    x = a.select(i, h, F.concat(F.lit("a"), "root").alias("x")).distinct()
+    y = b.select("doc_id", "h", F.concat(F.lit("b"), "root").alias("y"))
+    met = saved(x.join(y, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("h"))).select("doc_id", "h", "x", "y"), "both")
+    several = lambda c: met.select("doc_id", "h", c).distinct().groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(c)
+    xs, ys = saved(several("x"), "several"), saved(several("y"), "several")
+    pairs = met.join(xs, "x", "left_semi").join(ys, "y", "left_semi").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    roots = saved(connected(pairs), "roots")
+    of = lambda c, r: roots.select(F.col("node").alias(c), F.col("root").alias(r))
+    placed = met.join(of("x", "of_x"), "x", "left").join(of("y", "of_y"), "y", "left").join(xs.withColumn("several", F.lit(True)), "x", "left")
+    return placed.select("doc_id", "h", F.coalesce("of_x", "of_y", F.when(F.col("several"), F.col("x")).otherwise(F.col("y"))).alias("root"))

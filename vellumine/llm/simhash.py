@@ -217,10 +217,15 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     that share the least id the one with the smaller text hash stays, and of
     rows that share id and text one. An empty table stays empty.
     """
-    prints = saved(fingerprints(keyed(docs, doc_id, text), shingle), "fingerprints")
+    return first_of_each(docs, rooted(keyed(docs, doc_id, text), shingle, max_bits), doc_id, text)
+
+
+def rooted(rows: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    """(doc_id, h, root) of each row of ``keyed``; root names the component of the row's fingerprint."""
+    prints = saved(fingerprints(rows, shingle), "fingerprints")
     each = saved(prints.groupBy("bits").agg(F.count("*").alias("copies")), "distinct")
     known = saved(each.join(_roots(each.select("bits"), max_bits), "bits", "left").select("bits", "copies", F.coalesce("root", "bits").alias("root")), "roots")
-    return first_of_each(docs, with_known(prints, known, "bits", "copies").select("doc_id", "h", "root"), doc_id, text)
+    return with_known(prints, known, "bits", "copies").select("doc_id", "h", "root")
 
 
 def first_of_each(docs: DataFrame, rooted: DataFrame, doc_id: str, text: str) -> DataFrame:
