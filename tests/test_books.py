@@ -253,3 +253,23 @@ def test_trees_are_parsed_once(spark, sf):
     for query in (plan_trees.lowered_nodes, plan_trees.compatibility_items):
         plan = query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInPandas") == 1 and "p_partkey" in plan
+
+
+def test_leaves_do_not_climb_by_rounds(spark, monkeypatch):
+    """A book of 400 leaves below a chain of 5: rounds hold the chain alone, and styles are those of ``resolved``."""
+    chain = [(1, k, k - 1 if k else None, "h2" if not k else "div", {"color": f"c{k}"} if k % 3 == 1 else {"margin": "1px"}) for k in range(5)]
+    leaves = [(1, 10 + k, k % 5, "em", {"color": None, "text-align": "left"} if k % 2 else {"display": "none", "font-weight": "w"}) for k in range(400)]
+    nodes = spark.createDataFrame([*chain, *leaves], "book_id long, node_id long, parent_id long, tag string, own map<string,string>")
+    declared = nodes.select("book_id", "node_id", F.explode("own").alias("property", "value")).where("value IS NOT NULL")
+    want = styles.resolved(nodes.join(trees.above(nodes), ["book_id", "node_id"]), declared).collect()
+    held, keep = [], trees.checkpointed
+
+    def counted(df):
+        held.append(df.count())
+        return keep(df)
+
+    monkeypatch.setattr(trees, "checkpointed", counted)
+    got = styles.inherited(nodes).collect()
+    as_set = lambda rows: sorted((r.node_id, r.property, r.value) for r in rows)
+    assert as_set(got) == as_set(want)
+    assert held and max(held) == 5

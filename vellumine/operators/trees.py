@@ -21,19 +21,30 @@ def climb(nodes: DataFrame, merge: dict[str, Callable[[Column, Column], Column]]
     ``merge`` has for each column a function of (own, above); above is null
     where the chain ends. ``up`` is null at the end but for nodes on or below
     a cycle, which stop after as many rounds as the largest tree has bits.
-    Each round is a checkpoint.
+    Only nodes that others stand below climb by rounds, each a checkpoint; all
+    then take in one join what their parent has found.
     """
+    own = nodes.select(key, node, up, *merge)
+    ups = own.where(F.col(up).isNotNull()).select(key, F.col(up).alias(node)).distinct()
+    found = checkpointed(own.join(ups, [key, node], "left_semi"))
     if rounds is None:
-        largest = nodes.groupBy(key).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+        largest = found.groupBy(key).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
         rounds = int(largest).bit_length()
-    found = checkpointed(nodes.select(key, node, up, *merge))
     for _ in range(rounds):
-        if found.where(F.col(up).isNotNull()).isEmpty():
+        open_ = found.where(F.col(up).isNotNull())
+        if open_.isEmpty():
             break
-        above = found.select(key, F.col(node).alias(up), F.col(up).alias("vt_up"), *[F.col(c).alias(f"vt_{c}") for c in merge])
-        met = found.join(above, [key, up], "left")
-        found = checkpointed(met.select(key, node, F.col("vt_up").alias(up), *[f(F.col(c), F.col(f"vt_{c}")).alias(c) for c, f in merge.items()]))
-    return found
+        found = checkpointed(found.where(F.col(up).isNull()).unionByName(_risen(open_, found, merge, key, node, up)))
+    return _risen(own, found, merge, key, node, up)
+
+
+def _risen(rows: DataFrame, found: DataFrame, merge: dict[str, Callable[[Column, Column], Column]], key: str, node: str, up: str) -> DataFrame:
+    """``rows`` merged with what stands in ``found`` at their ``up``, and as far up as that has come."""
+    # a row at the end of its chain is dealt out by itself, not with all others that have no ``up``
+    at = F.coalesce(F.col(up), F.col(node))
+    above_ = found.select(F.col(key).alias("vt_key"), F.col(node).alias("vt_node"), F.col(up).alias("vt_up"), *[F.col(c).alias(f"vt_{c}") for c in merge])
+    met = rows.join(above_, (F.col(key) == F.col("vt_key")) & (at == F.col("vt_node")) & F.col(up).isNotNull(), "left")
+    return met.select(key, node, F.col("vt_up").alias(up), *[f(F.col(c), F.col(f"vt_{c}")).alias(c) for c, f in merge.items()])
 
 
 def above(nodes: DataFrame, key: str = "book_id", node: str = "node_id", parent: str = "parent_id") -> DataFrame:

@@ -48,9 +48,7 @@ def inherited_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = i.withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
     items = i.select(long("(l_orderkey * 1000 + k) * 10 + 2").alias("node_id"), long("l_orderkey * 10 + 1").alias("parent_id"), F.expr("if(l_linenumber % 2 = 0, 'em', 'p')").alias("tag"), F.expr("map('color', if(l_linenumber = 3, 'l', null), 'display', if(l_linenumber = 2, 'none', null))").alias("own"))
     tree = whole.unionByName(parts).unionByName(items).withColumn("book_id", F.lit(1).cast("long"))
-    elements = tree.select("book_id", "node_id", "tag").join(trees.above(tree), ["book_id", "node_id"])
-    declared = tree.select("book_id", "node_id", F.explode("own").alias("property", "value")).where("value IS NOT NULL")
-    return styles.resolved(elements, declared).groupBy("property", "value").agg(F.count("*").alias("n"))
+    return styles.inherited(tree).groupBy("property", "value").agg(F.count("*").alias("n"))
 
 
 INHERITED_STYLES = """WITH c AS (SELECT c_custkey AS k, CASE WHEN k % 4 = 0 THEN 'c' || k % 3 END AS color, CASE WHEN k % 5 = 0 THEN 'left' END AS align FROM customer),
