@@ -273,3 +273,20 @@ def test_leaves_do_not_climb_by_rounds(spark, monkeypatch):
     as_set = lambda rows: sorted((r.node_id, r.property, r.value) for r in rows)
     assert as_set(got) == as_set(want)
     assert held and max(held) == 5
+
+
+def test_contents_by_book_and_by_climbing(spark, monkeypatch):
+    """Small books are settled in one shuffle, without climbing; larger ones come out as by the same rules. Batches end within books."""
+    rows = [(b, p, (p * 7 + b * 13) % (b % 9 + 2) - 1 if (p + b) % 11 else None) for b in range(300) for p in range(b % 14 + 1)]
+    rows += [(1000, p, p - 1) for p in range(60)] + [(1001, p, (p + 1) % 40) for p in range(40)] + [(1002, 5, 99), (1002, 9, 5), (1002, -3, 9)]
+    points = spark.createDataFrame(rows, "book_id long, place long, parent long")
+    key = lambda t: (t[0], t[1], str(t[2:]))
+    told = lambda df: sorted(((r.book_id, r.place, r.under, tuple(r.path), r.n_below) for r in df.collect()), key=key)
+    want = told(trees.rebuilt(points, book_points=0))
+    assert told(trees.rebuilt(points, book_points=6)) == want
+    monkeypatch.setattr(trees, "checkpointed", lambda df: pytest.fail("a small book climbs"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        assert told(trees.rebuilt(points)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -7,10 +7,13 @@ rounds as its length has bits. Cycles do not end: the number of rounds does.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from vellumine.session import checkpointed
 
@@ -54,7 +57,11 @@ def above(nodes: DataFrame, key: str = "book_id", node: str = "node_id", parent:
     return climb(start, {"above": longer}, key, node).select(key, node, "above")
 
 
-def rebuilt(points: DataFrame, key: str = "book_id") -> DataFrame:
+#: Points of a book that are put in order in one task; larger books climb by joins.
+BOOK_POINTS = 1024
+
+
+def rebuilt(points: DataFrame, key: str = "book_id", book_points: int = BOOK_POINTS) -> DataFrame:
     """``points`` (key, place, parent, ...) with ``under``, ``path`` and ``n_below``: a table of contents from parent places.
 
     A point with the parent -1 stands at the top, the others below their
@@ -62,7 +69,75 @@ def rebuilt(points: DataFrame, key: str = "book_id") -> DataFrame:
     parent is missing, or they run in a circle) follow at the top, each with
     what is below it: of such a chain the point that comes first by place.
     ``under`` is the parent in the tree, ``path`` the ordinals from the top.
+    Books of up to ``book_points`` points meet by one shuffle and are settled
+    where they meet, the others by ``_climbed``.
     """
+    book = Window.partitionBy(key).orderBy("place")
+    counted = points.withColumns({"vt_n": F.count("*").over(book.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "vt_i": F.row_number().over(book)})
+    schema = StructType([*points.schema.fields]).add("under", points.schema["parent"].dataType).add("path", ArrayType(IntegerType())).add("n_below", LongType())
+    small = counted.where(F.col("vt_n") <= book_points).sortWithinPartitions(key, "place").mapInArrow(_settled, schema)
+    if points.groupBy(key).count().where(F.col("count") > book_points).isEmpty():
+        return small
+    return small.unionByName(_climbed(counted.where(F.col("vt_n") > book_points).drop("vt_n", "vt_i"), key))
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole books, in order, with where they stand; the book that a batch ends within waits for the next."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+        ends = np.flatnonzero(rows["vt_i"].to_numpy() == rows["vt_n"].to_numpy())
+        cut = int(ends[-1]) + 1 if ends.size else 0
+        held = rows.slice(cut)
+        if cut:
+            yield from _placed(rows.slice(0, cut).combine_chunks()).to_batches()
+
+
+def _placed(rows: pa.Table) -> pa.Table:
+    nth, place = rows["vt_i"].to_numpy(), rows["place"].to_numpy()
+    none = rows["parent"].is_null().to_numpy()
+    parent = rows["parent"].fill_null(0).to_numpy()
+    n, book = len(nth), np.cumsum(nth == 1) - 1
+    # a book's rows are in the order of places: its parents are found by bisection, codes standing for places
+    values, code = np.unique(np.concatenate([place, parent]), return_inverse=True)
+    own, wanted = book * len(values) + code[:n], book * len(values) + code[n:]
+    at = np.minimum(np.searchsorted(own, wanted), n - 1)
+    up = np.where((own[at] == wanted) & ~none, at, -1)
+    far, first, least = up.copy(), (parent == -1) & ~none, np.where(up >= 0, parent, np.iinfo(np.int64).max)
+    for _ in range(int(nth.max()).bit_length()):
+        on = np.flatnonzero(far >= 0)
+        above_ = far[on]
+        first[on], least[on], far[on] = first[on] | first[above_], np.minimum(least[on], least[above_]), far[above_]
+    alone = least == np.iinfo(np.int64).max
+    begins = ~first & (alone | (least >= place))
+    first &= alone
+    under = np.where(first | begins | none, -1, up)
+    group, rank = np.where(under >= 0, under, -1 - book), np.where(none, 2, np.where(first, 0, 1))
+    order = np.lexsort((np.arange(n), rank, group))
+    new = np.r_[True, group[order][1:] != group[order][:-1]]
+    ordinal = np.empty(n, dtype=np.int32)
+    ordinal[order] = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    depth, below = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    on, at = np.flatnonzero(under >= 0), under[under >= 0]
+    while on.size:
+        depth[on] += 1
+        below += np.bincount(at, minlength=n)
+        on, at = on[under[at] >= 0], under[at][under[at] >= 0]
+    stops = np.r_[0, np.cumsum(depth + 1)].astype(np.int32)
+    path = np.empty(stops[-1], dtype=np.int32)
+    on, at, last = np.arange(n), np.arange(n), stops[1:] - 1
+    while on.size:
+        path[last[on]] = ordinal[at]
+        last[on] -= 1
+        more = under[at] >= 0
+        on, at = on[more], under[at][more]
+    kept = rows.drop_columns(["vt_n", "vt_i"])
+    kept = kept.append_column("under", pa.array(parent, mask=under < 0).cast(rows["parent"].type))
+    return kept.append_column("path", pa.ListArray.from_arrays(pa.array(stops), pa.array(path))).append_column("n_below", pa.array(below))
+
+
+def _climbed(points: DataFrame, key: str) -> DataFrame:
+    """``rebuilt`` for books of any size, by climbing."""
     known = points.select(key, F.col("place").alias("parent")).withColumn("there", F.lit(True))
     linked = points.select(key, "place", "parent").join(known, [key, "parent"], "left")
     start = linked.select(
