@@ -290,3 +290,10 @@ def test_contents_by_book_and_by_climbing(spark, monkeypatch):
         assert told(trees.rebuilt(points)) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_lookups_do_not_climb(spark, sf, monkeypatch):
+    """Paths of small books are found without a round of climbing."""
+    monkeypatch.setattr(trees, "checkpointed", lambda df: pytest.fail("a small book climbs"))
+    found = plan_trees.contents_lookups(spark, sf).collect()
+    assert {r.path for r in found if r.place is not None} == {"1", "1.0"}
