@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellumine.operators import bookfiles, compat, fb2, markdown, markup, pages, projection, styles, trees
+from vellumine.plans import books as plan_books
 from vellumine.plans import fb2 as plan_fb2
+from vellumine.plans import text as plan_text
 from vellumine.plans import trees as plan_trees
 from vellumine.sources import xml
 
@@ -297,3 +299,12 @@ def test_lookups_do_not_climb(spark, sf, monkeypatch):
     monkeypatch.setattr(trees, "checkpointed", lambda df: pytest.fail("a small book climbs"))
     found = plan_trees.contents_lookups(spark, sf).collect()
     assert {r.path for r in found if r.place is not None} == {"1", "1.0"}
+
+
+def test_elements_are_dealt_out(spark, sf, monkeypatch):
+    """Elements go to tasks by their number, not by the file that they come from, before rules meet them."""
+    held = []
+    monkeypatch.setattr(plan_text, "TASK_ROWS", 10)
+    monkeypatch.setattr(styles, "computed", lambda elements, sheet: held.append(elements) or elements.selectExpr("node_id", "tag AS property", "id AS value"))
+    plan_books.computed_styles(spark, sf)
+    assert held[0].rdd.getNumPartitions() == held[0].count() // 10

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.operators import edits, links, styles, validation
-from vellumine.plans.text import read
+from vellumine.plans.text import read, spread
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> validation.BookTables:
@@ -128,7 +128,7 @@ _CSS = """@supports (display: grid) { p { color: red } } @keyframes k { from { t
 
 def computed_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sheet's cascade over parts as elements, for one target."""
-    part = read(spark, sf_dir, "part")
+    part = spread(read(spark, sf_dir, "part"))
     k = F.col("p_partkey")
     classes = F.array_compact(F.array(F.when(k % 3 == 0, "big"), F.when(k % 2 == 1, "odd")))
     inline = F.when(k % 10 == 9, F.lit("color: white; MARGIN: 1px"))
