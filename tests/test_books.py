@@ -308,3 +308,9 @@ def test_elements_are_dealt_out(spark, sf, monkeypatch):
     monkeypatch.setattr(styles, "computed", lambda elements, sheet: held.append(elements) or elements.selectExpr("node_id", "tag AS property", "id AS value"))
     plan_books.computed_styles(spark, sf)
     assert held[0].rdd.getNumPartitions() == held[0].count() // 10
+
+
+def test_styles_of_books_are_made_once_a_book(spark, sf):
+    """Books are told apart before each gets its styles, so that no line makes rows that are dropped again."""
+    plan = plan_books._tables(spark, sf).styles._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")

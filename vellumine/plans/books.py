@@ -25,7 +25,7 @@ def _tables(spark: SparkSession, sf_dir: str) -> validation.BookTables:
         documents=line.select("book_id", n.alias("document_id"), F.concat(F.lit("c"), n, F.lit(".xhtml")).alias("href")),
         nodes=nodes.withColumn("position", F.col("node_id")),
         variants=line.where("p % 5 = 0").select("book_id", (n * 10).alias("node_id"), F.lit("kf7").alias("target"), (s % 6).alias("style_id")),
-        styles=line.select("book_id", F.explode(F.array(*[F.lit(k).cast("long") for k in range(4)])).alias("style_id")).distinct(),
+        styles=line.select("book_id").distinct().select("book_id", F.explode(F.array(*[F.lit(k).cast("long") for k in range(4)])).alias("style_id")),
         links=line.select("book_id", F.when(p % 3 == 0, "edge").when(p % 3 == 1, "navigation").otherwise("start").alias("origin"), F.when(s % 13 == 0, "mailto:x@y.z").otherwise(F.concat(pages, F.lit("#a"), s % 7)).alias("href")),
     )
 
