@@ -1,0 +1,11 @@
+from vellumine.llm import shared
+
+
+def test_saved_tables_release_what_finished_jobs_held(spark):
+    """What nothing refers to any more is gone from the driver once a table is written, not at some later collection."""
+    shared._released.clear()
+    held = spark._jvm.java.lang.ref.WeakReference(spark._jvm.java.util.ArrayList())
+    assert held.get() is not None
+    made = shared.saved(spark.range(10).toDF("id"), "release")
+    assert held.get() is None
+    assert sorted(r.id for r in made.collect()) == list(range(10))
