@@ -81,11 +81,16 @@ def line_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ``pct_wrapped`` is a whole percentage; ``irregular`` says that a line
     differs from the first by over half of the longer. No lines: zeros.
     """
-    made = with_lines(docs, text).withColumn("full", F.filter("lines", lambda x: ~is_blank(x)))
+    return _measured(with_lines(docs, text), key)
+
+
+def _measured(made: DataFrame, *kept: str) -> DataFrame:
+    """``kept`` of ``made`` and the statistics of its ``lines``."""
+    made = made.withColumn("full", F.filter("lines", lambda x: ~is_blank(x)))
     made = made.withColumn("n", F.transform("full", lambda x: F.length(x)))
     first = F.get("n", F.lit(0))
     return made.select(
-        key,
+        *kept,
         F.size("lines").alias("n_lines"),
         F.size("n").alias("n_full"),
         F.coalesce(F.get(F.array_sort("n"), F.floor(F.size("n") / 2).cast("int")), F.lit(0)).alias("median_length"),
@@ -148,16 +153,8 @@ def _heading(line: Column) -> Column:
     return F.when(fits, F.coalesce(*japanese, kana, F.when(F.startswith(line, F.lit("第")), by_mark).otherwise(F.coalesce(extra, special, worded))))
 
 
-def headings(docs: DataFrame, key: str = "doc_id", text: str = "text", novel: bool = False) -> DataFrame:
-    """One row for each heading that is accepted: line, kind, number, score, level, volume_line.
-
-    A candidate's score rises with shortness and with blank lines around it,
-    and again if its number follows the previous candidate's. It is accepted
-    at 75 if the document as a whole looks structured (more than one
-    candidate of 65, or the first is line 0 with 85), or always if ``novel``.
-    ``volume_line`` is the line of the last volume before a chapter.
-    """
-    made = with_lines(docs, text)
+def _candidates() -> Column:
+    """The lines of ``lines`` that may be headings: line, title, kind, number, detector and score, in order."""
     n = F.size("lines")
 
     def scored(x: Column, i: Column) -> Column:
@@ -180,8 +177,21 @@ def headings(docs: DataFrame, key: str = "doc_id", text: str = "text", novel: bo
         title = utrim(x)
         return let(F.struct(i.alias("line"), title.alias("title"), let(title, _heading).alias("head"), before.alias("before"), after.alias("after")), score)
 
+    return F.filter(F.transform("lines", scored), lambda h: h.isNotNull())
+
+
+def headings(docs: DataFrame, key: str = "doc_id", text: str = "text", novel: bool = False) -> DataFrame:
+    """One row for each heading that is accepted: line, kind, number, score, level, volume_line.
+
+    A candidate's score rises with shortness and with blank lines around it,
+    and again if its number follows the previous candidate's. It is accepted
+    at 75 if the document as a whole looks structured (more than one
+    candidate of 65, or the first is line 0 with 85), or always if ``novel``.
+    ``volume_line`` is the line of the last volume before a chapter.
+    """
+    made = with_lines(docs, text)
     # Only headings leave their document's row: what follows is a window over few rows.
-    each = made.select(F.col(key), F.explode(F.filter(F.transform("lines", scored), lambda h: h.isNotNull())).alias("h")).select(key, "h.*")
+    each = made.select(F.col(key), F.explode(_candidates()).alias("h")).select(key, "h.*")
     w = Window.partitionBy(key).orderBy("line")
     numbered = F.col("number").isNotNull()
     before = F.last(F.when(numbered, F.struct("kind", "number", "detector")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -221,42 +231,64 @@ def imported(docs: DataFrame, key: str = "doc_id", text: str = "text", requested
     too long for one document goes on in the next at a node. Null text counts
     as empty and gives no nodes.
     """
-    found = headings(docs, key, text, novel)
-    marks = found.groupBy(key).agg(F.collect_set("line").alias("marks"))
-    modes = paragraph_mode(line_statistics(docs, key, text), requested).select(key, "mode", "protected", "confidence")
-    made = with_lines(docs, text).select(key, "lines").join(modes, key).join(marks, key, "left").withColumn("marks", F.coalesce("marks", F.array().cast("array<int>")))
-
-    def used(x: Column, i: Column) -> Column:
-        return ~is_blank(x) & ~F.array_contains("marks", i)
-
-    made = made.withColumn("used", F.transform("lines", used))
+    made = paragraph_mode(_measured(with_lines(docs, text), key, "lines"), requested).select(key, "lines", "mode", "protected", "confidence")
+    made = made.withColumn("found", _candidates()).withColumn("found", _accepted(novel))
+    # Each line's mark, so that none is looked for among all headings.
+    gaps = F.transform("found", lambda h, i: F.concat(F.array_repeat(F.lit(False), h["line"] - F.when(i == 0, 0).otherwise(F.get("found", i - 1)["line"] + 1)), F.array(F.lit(True))))
+    made = made.withColumn("used", let(F.flatten(gaps), lambda marked: F.transform("lines", lambda x, i: ~is_blank(x) & ~F.coalesce(F.get(marked, i), F.lit(False)))))
 
     def begins(x: Column, i: Column) -> Column:
         first = (i == 0) | ~F.get("used", i - 1) | (F.col("mode") == "every_line") | ((F.col("mode") == "indented") & x.rlike("^[ \t　]"))
         return F.when(F.get("used", i) & first, i)
 
     made = made.withColumn("starts", F.array_compact(F.transform("lines", begins)))
-    each = made.select("*", F.posexplode("starts").alias("k", "line"))
-    stop = F.coalesce(F.get("starts", F.col("k") + 1), F.size("lines"))
-    part = F.filter(F.slice("lines", F.col("line") + 1, stop - F.col("line")), lambda x, i: F.get("used", F.col("line") + i))
     kept = F.col("protected") & F.col("mode").isin("every_line", "hard_wrap")
-    body = F.when(kept & (F.col("mode") == "every_line"), F.get(part, F.lit(0))).otherwise(_joined(part))
-    code = kept & F.greatest(*[F.contains(body, F.lit(c)) for c in CODE])
-    paragraphs_ = each.select(key, "line", F.lit("paragraph").alias("kind"), F.lit(None).cast("int").alias("level"), body.alias("text"), kept.alias("preformatted"), code.alias("code"), "confidence")
-    heads = found.select(key, "line", F.lit("heading").alias("kind"), "level", F.col("title").alias("text"), F.lit(False).alias("preformatted"), F.lit(False).alias("code"), F.col("score").alias("confidence"))
-    w = Window.partitionBy(key).orderBy("line", "kind")
-    numbered = paragraphs_.unionByName(heads).withColumn("node_id", (F.row_number().over(w) - 1).cast("long"))
-    # Greedy runs of nodes: a fold over sizes only.
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("document"), F.lit(0).cast("long").alias("bytes"))
+
+    def paragraph(line: Column, k: Column) -> Column:
+        stop = F.coalesce(F.get("starts", k + 1), F.size("lines"))
+        part = F.filter(F.slice("lines", line + 1, stop - line), lambda x, i: F.get("used", line + i))
+        body = F.when(kept & (F.col("mode") == "every_line"), F.get(part, F.lit(0))).otherwise(_joined(part))
+        return let(body, lambda body: _node(line, "paragraph", F.lit(None).cast("int"), body, kept, kept & F.greatest(*[F.contains(body, F.lit(c)) for c in CODE]), F.col("confidence")))
+
+    def heading(h: Column) -> Column:
+        return _node(h["line"], "heading", F.when(h["kind"] == "Volume", 1).otherwise(2), h["title"], F.lit(False), F.lit(False), h["score"])
+
+    nodes = F.array_sort(F.concat(F.transform("starts", paragraph), F.transform("found", heading)))
+    # A document's row stays one until here; of the fold over sizes only the nodes that begin a document are kept.
+    start = F.struct(F.array().cast("array<int>").alias("firsts"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("bytes"))
 
     def put(s: Column, x: Column) -> Column:
-        more = (s["bytes"] > 0) & (s["bytes"] + x["size"] > document_bytes)
-        document = s["document"] + F.when(more, 1).otherwise(0)
-        return F.struct(F.concat(s["out"], F.array(document)).alias("out"), document.alias("document"), F.when(more, x["size"]).otherwise(s["bytes"] + x["size"]).alias("bytes"))
+        size = F.octet_length(x["text"]).cast("long")
+        more = (s["bytes"] > 0) & (s["bytes"] + size > document_bytes)
+        return F.struct(F.when(more, F.concat(s["firsts"], F.array(s["n"]))).otherwise(s["firsts"]).alias("firsts"), (s["n"] + 1).alias("n"), F.when(more, size).otherwise(s["bytes"] + size).alias("bytes"))
+
+    placed = made.select(key, nodes.alias("nodes")).withColumn("firsts", F.aggregate("nodes", start, put, lambda s: s["firsts"]))
+    # Outer: else Spark asks for the nodes in a filter below too, and makes them once more for it.
+    each = placed.select(key, "firsts", F.posexplode_outer("nodes").alias("node_id", "node")).where("node IS NOT NULL")
+    document = F.size(F.filter("firsts", lambda f: f <= F.col("node_id")))
+    return each.select(key, F.col("node_id").cast("long").alias("node_id"), document.alias("document"), *[F.col(f"node.{x}").alias(x) for x in ("line", "kind", "level", "text", "preformatted", "code")], F.when(F.col("node.confidence") >= 85, "StronglyInferred").otherwise("Heuristic").alias("confidence"))
+
+
+def _node(line: Column, kind: str, level: Column, text: Column, preformatted: Column, code: Column, confidence: Column) -> Column:
+    """A node of an import; nodes sort by line and kind."""
+    fields = {"line": line, "kind": F.lit(kind), "level": level, "text": text, "preformatted": preformatted, "code": code, "confidence": confidence}
+    return F.struct(*[c.alias(k) for k, c in fields.items()]).cast("struct<line:int,kind:string,level:int,text:string,preformatted:boolean,code:boolean,confidence:int>")
+
+
+def _accepted(novel: bool) -> Column:
+    """Of ``found``, the candidates of a document, those that ``headings`` accepts, with their final scores."""
+    def moved(h: Column, before: Column) -> Column:
+        alike, step = (before["kind"] == h["kind"]) & (before["detector"] == h["detector"]), h["number"] - before["number"]
+        score = F.when(alike & (step == 1), F.least(F.lit(100), h["score"] + 15)).when(alike & ((step <= 0) | (step > 4)), F.greatest(F.lit(0), h["score"] - 18)).otherwise(h["score"])
+        return h.withField("score", score)
+
+    def gated(all_: Column) -> Column:
+        gate = (F.size(F.filter(all_, lambda h: h["score"] >= 65)) > 1) | F.exists(all_, lambda h: (h["line"] == 0) & (h["score"] >= 85))
+        return F.filter(all_, lambda h: (h["score"] >= 75) & (F.lit(novel) | gate))
 
-    sizes = numbered.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("node_id", F.octet_length("text").cast("long").alias("size")))).alias("sizes"))
-    placed = sizes.select(key, F.posexplode(F.aggregate("sizes", start, put, lambda s: s["out"])).alias("node_id", "document"))
-    return numbered.join(placed.withColumn("node_id", F.col("node_id").cast("long")), [key, "node_id"]).select(key, "node_id", "document", "line", "kind", "level", "text", "preformatted", "code", F.when(F.col("confidence") >= 85, "StronglyInferred").otherwise("Heuristic").alias("confidence"))
+    # The numbered candidate before a numbered one is its neighbour among them; the others keep their score.
+    numbered = let(F.filter("found", lambda h: h["number"].isNotNull()), lambda ns: F.transform(ns, lambda h, i: F.when(i == 0, h).otherwise(moved(h, F.get(ns, i - 1)))))
+    return let(F.array_sort(F.concat(numbered, F.filter("found", lambda h: h["number"].isNull()))), gated)
 
 
 def file_name_guess(name: Column) -> Column:
