@@ -44,6 +44,22 @@ def relations(c: Catalogue) -> DataFrame:
     return authors.union(series).union(tags).union(identifiers)
 
 
+#: Books whose relations one task puts beside their titles.
+TASK_BOOKS = 50_000
+
+
+def titled_relations(c: Catalogue, n_books: int) -> DataFrame:
+    """``relations`` with ``title``, those of books that are there.
+
+    ``n_books`` is about how many books there are: they are dealt out by that
+    number, or else Spark puts as many together as its cores leave of them
+    and a task sorts what grows with the catalogue.
+    """
+    parts = max(c.books.sparkSession.sparkContext.defaultParallelism, n_books // TASK_BOOKS)
+    titles = c.books.select(F.col("id").alias("book_id"), "title")
+    return relations(c).repartition(parts, "book_id").join(titles.repartition(parts, "book_id"), "book_id")
+
+
 def page(books: DataFrame, offset: int, limit: int) -> DataFrame:
     """A page of the list by sort title (ASCII case aside) and id: a bounded top-k, never a full sort."""
     return books.orderBy(ascii_lower(F.col("sort_title")), "id").offset(offset).limit(min(limit, PAGE_LIMIT))
@@ -173,7 +189,9 @@ def put_books(c: Catalogue, drafts: DataFrame) -> Catalogue:
     people, all_series, all_tags = with_new_names(c.people, authors), with_new_names(c.series, series), with_new_names(c.tags, tags)
 
     def linked(rows: DataFrame, names: DataFrame, key: str, like: DataFrame) -> DataFrame:
-        return rows.join(names.withColumnRenamed("id", key), "name").select(*[F.col(x).cast(like.schema[x].dataType) for x in like.columns])
+        # a name that many drafts share meets the few that drafts have, not all that there are
+        known = names.join(rows.select("name").distinct(), "name").withColumnRenamed("id", key)
+        return rows.join(known, "name").select(*[F.col(x).cast(like.schema[x].dataType) for x in like.columns])
 
     books = c.books.join(ids.withColumnRenamed("book_id", "id"), "id", "left_anti").unionByName(drafts.select(F.col("book_id").alias("id"), "title", "sort_title"))
     identifiers = drafts.select("book_id", F.inline("identifiers")).select("book_id", "scheme", "value").distinct()

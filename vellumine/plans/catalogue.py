@@ -270,8 +270,8 @@ def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalogue_after_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All relations of all books once the drafts are written."""
-    after = C.put_books(tables(spark, sf_dir), _drafts(spark, sf_dir))
-    return C.relations(after).join(after.books.select(F.col("id").alias("book_id"), "title"), "book_id")
+    before = tables(spark, sf_dir)
+    return C.titled_relations(C.put_books(before, _drafts(spark, sf_dir)), before.books.count())
 
 
 CATALOGUE_AFTER_WRITES = f"""WITH e AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey ELSE o_orderkey + 100000000 END AS book_id, o_orderkey AS k FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 100 = 1),
