@@ -76,7 +76,8 @@ def rebuilt(points: DataFrame, key: str = "book_id", book_points: int = BOOK_POI
     counted = points.withColumns({"vt_n": F.count("*").over(book.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "vt_i": F.row_number().over(book)})
     schema = StructType([*points.schema.fields]).add("under", points.schema["parent"].dataType).add("path", ArrayType(IntegerType())).add("n_below", LongType())
     small = counted.where(F.col("vt_n") <= book_points).sortWithinPartitions(key, "place").mapInArrow(_settled, schema)
-    if points.groupBy(key).count().where(F.col("count") > book_points).isEmpty():
+    # keys alone, in the order that they come in, are shuffled smaller than counts of theirs: most books' points are few
+    if points.select(key).repartition(key).groupBy(key).count().where(F.col("count") > book_points).isEmpty():
         return small
     return small.unionByName(_climbed(counted.where(F.col("vt_n") > book_points).drop("vt_n", "vt_i"), key))
 
@@ -169,5 +170,9 @@ def with_paths(tree: DataFrame, key: str = "book_id") -> DataFrame:
 
 
 def at_path(tree: DataFrame, wanted: DataFrame, key: str = "book_id") -> DataFrame:
-    """``wanted`` (key, path, ...) with the place of the point there; null where there is none."""
-    return wanted.join(tree.select(key, "path", "place"), [key, "path"], "left")
+    """``wanted`` (key, path, ...) with the place of the point there; null where there is none.
+
+    The tree is always shuffled: what looks small to Spark, compressed, is
+    many times larger in the table that a broadcast makes of it.
+    """
+    return wanted.join(tree.select(key, "path", "place").hint("merge"), [key, "path"], "left")

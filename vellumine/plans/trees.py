@@ -9,10 +9,16 @@ from vellumine.operators import compat, markup, projection, styles, trees
 from vellumine.plans.text import read, spread
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(book_id, place, l_partkey): the orders' items in order, dealt out once by the name that later steps know the book by."""
+    place = F.row_number().over(Window.partitionBy("book_id").orderBy("l_linenumber", "l_partkey")) - 1
+    items = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book_id"), "l_linenumber", "l_partkey")
+    return items.select("book_id", place.cast("long").alias("place"), "l_partkey")
+
+
 def contents_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of contents of the orders' items: parents from other columns, some missing, some in circles."""
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) - 1
-    points = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book_id"), place.cast("long").alias("place"), (F.col("l_partkey") % 9 - 1).alias("parent"))
+    points = _items(spark, sf_dir).select("book_id", "place", (F.col("l_partkey") % 9 - 1).alias("parent"))
     made = trees.rebuilt(points)
     return made.select("book_id", "place", "parent", "under", F.array_join("path", ".").alias("path"), "n_below")
 
@@ -28,9 +34,9 @@ SELECT o.book_id, o.place, o.parent, o.under, t.path, (SELECT count(*) FROM t b
 
 def contents_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points by their path, the first below each top point and one that is not there."""
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) - 1
-    points = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book_id"), place.cast("long").alias("place"), F.when(place > 2, F.lit(1)).otherwise(-1).cast("long").alias("parent"))
-    wanted = points.select("book_id").distinct().select("book_id", F.explode(F.array(F.array(F.lit(1)), F.array(F.lit(1), F.lit(0)), F.array(F.lit(9)))).alias("path"))
+    points = _items(spark, sf_dir).select("book_id", "place", F.when(F.col("place") > 2, F.lit(1)).otherwise(-1).cast("long").alias("parent"))
+    # each book has one first point: no distinct ids are shuffled beside the points
+    wanted = points.where("place = 0").select("book_id", F.explode(F.array(F.array(F.lit(1)), F.array(F.lit(1), F.lit(0)), F.array(F.lit(9)))).alias("path"))
     return trees.at_path(trees.rebuilt(points), wanted).select("book_id", F.array_join("path", ".").alias("path"), "place")
 
 
