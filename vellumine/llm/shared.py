@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,24 +35,6 @@ BATCH_ROWS, _SETTING = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 _written: dict[str, list[str]] = {}
 
 
-#: Seconds between two collections of ``release``, and when the last one was, by application.
-RELEASE_S, _released = 3.0, {}
-
-
-def release(spark: SparkSession) -> None:
-    """Have the driver collect its garbage, unless it did RELEASE_S seconds ago.
-
-    Spark lets go of the broadcasts, shuffles and plans of finished jobs when
-    the driver's collector finds them unused. A driver that runs many small
-    jobs would fill its heap with them before, and keep that memory.
-    """
-    now, app = time.monotonic(), spark.sparkContext.applicationId
-    if now - _released.get(app, 0.0) >= RELEASE_S:
-        _released[app] = now
-        gc.collect()  # what Python refers to stays in the JVM
-        spark.sparkContext._jvm.System.gc()
-
-
 def saved(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
@@ -69,7 +49,6 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/vq-{what}-{uuid.uuid4().hex}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
