@@ -43,18 +43,41 @@ def texts(elements: DataFrame, rows: DataFrame, key: str = "book_id") -> DataFra
     return found.select(key, "path", collapse(F.array_join(F.transform("t", lambda x: x["text"]), " ")).alias("words"))
 
 
+def _parent() -> Column:
+    return F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0)))
+
+
+def _joined_texts(said: Column) -> Column:
+    """The texts of ``said`` (at, text) in order, a space between, white space collapsed."""
+    return collapse(F.array_join(F.transform(F.array_sort(said), lambda x: x["text"]), " "))
+
+
 def resources(elements: DataFrame, key: str = "book_id") -> DataFrame:
-    """(key, resource_id, name, media_type, kind, size, is_cover, reason) of the binaries that have an id; ``reason`` if one is not Base64 or too large. Ids are dense in document order."""
-    binaries = elements.where("tag = 'binary' AND attrs['id'] <> ''").select(key, "path", F.col("attrs")["id"].alias("name"), F.coalesce(F.col("attrs")["content-type"], F.lit("application/octet-stream")).alias("media_type"))
-    first = elements.where("tag = '#text'").select(key, F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))).alias("path"), F.col("path").alias("at"), "text").groupBy(key, "path").agg(F.min_by("text", "at").alias("body"))
-    met = binaries.join(first, [key, "path"], "left").withColumn("bytes", F.try_to_binary(F.regexp_replace(F.coalesce("body", F.lit("")), r"[\s]+", ""), F.lit("base64")))
+    """(key, resource_id, name, media_type, kind, size, is_cover, reason) of the binaries that have an id; ``reason`` if one is not Base64 or too large. Ids are dense in document order.
+
+    A binary meets its text by equal paths and the cover by a window of its
+    book: rows that are dealt out by the key stay where they are.
+    """
+    attrs = F.col("attrs")
+    binary = (F.col("tag") == "binary") & (attrs["id"] != "")
+    body = (F.col("tag") == "#text") & (F.get("above", F.size("above") - 1) == "binary")
+    page = (F.col("tag") == "image") & F.array_contains("above", "coverpage") & attrs["href"].isNotNull()
+    told = elements.where(binary | body | page).select(
+        key,
+        F.when(body, _parent()).otherwise(F.col("path")).alias("path"),
+        F.when(binary, attrs["id"]).alias("name"),
+        F.when(binary, F.coalesce(attrs["content-type"], F.lit("application/octet-stream"))).alias("media_type"),
+        F.when(body, F.struct(F.col("path").alias("at"), "text")).alias("body"),
+        F.when(page, F.regexp_replace(attrs["href"], "^#+", "")).alias("cover"),
+    )
+    met = told.groupBy(key, "path").agg(F.max("name").alias("name"), F.max("media_type").alias("media_type"), F.min("body")["text"].alias("body"), F.max("cover").alias("cover"))
+    first = F.min(F.when(F.col("cover").isNotNull(), F.struct("path", "cover"))).over(Window.partitionBy(key))["cover"]
+    met = met.withColumn("first", first).where("name IS NOT NULL").withColumn("bytes", F.try_to_binary(F.regexp_replace(F.coalesce("body", F.lit("")), r"[\s]+", ""), F.lit("base64")))
     lower, name = F.lower("media_type"), F.lower("name")
     kind = F.when(lower.isin("image/jpeg", "image/jpg"), "Jpeg").when(lower == "image/png", "Png").when(lower == "image/gif", "Gif").when(lower == "image/svg+xml", "Svg").when(name.rlike(r"\.jpe?g$"), "Jpeg").when(name.rlike(r"\.png$"), "Png").otherwise("Unknown")
-    page = elements.where("tag = 'image' AND array_contains(above, 'coverpage') AND attrs['href'] IS NOT NULL").groupBy(key).agg(F.min_by(F.regexp_replace(F.col("attrs")["href"], "^#+", ""), "path").alias("cover"))
     reason = F.when(F.col("bytes").isNull(), "invalid_base64").when(F.octet_length("bytes") > MAX_BINARY, "too_large")
-    told = met.join(page, key, "left")
     number = (F.row_number().over(Window.partitionBy(key).orderBy("path")) - 1).cast("int")
-    return told.select(key, number.alias("resource_id"), "name", "media_type", kind.alias("kind"), F.octet_length("bytes").cast("long").alias("size"), F.coalesce(F.col("name") == F.col("cover"), F.lit(False)).alias("is_cover"), reason.alias("reason"))
+    return met.select(key, number.alias("resource_id"), "name", "media_type", kind.alias("kind"), F.octet_length("bytes").cast("long").alias("size"), F.coalesce(F.col("name") == F.col("first"), F.lit(False)).alias("is_cover"), reason.alias("reason"))
 
 
 def nodes(elements: DataFrame, key: str = "book_id") -> DataFrame:
@@ -128,39 +151,59 @@ def nodes(elements: DataFrame, key: str = "book_id") -> DataFrame:
     return each.select(key, "body", (before - 1).cast("long").alias("node_id"), F.col("place").alias("path"), "kind", "level", "tag", "text", "href", "resource", "role", "anchor")
 
 
+#: Elements with the metadata; parts of a name in their order; elements whose texts count. Fixed values.
+INFO = ("title-info", "publish-info", "document-info")
+PERSON = ("first-name", "middle-name", "last-name", "nickname")
+WORDED = (*PERSON, "genre", "book-title", "lang", "annotation", "keywords", "date", "publisher", "isbn")
+
+
 def metadata(elements: DataFrame, key: str = "book_id") -> DataFrame:
-    """(key, title, language, authors, translators, description, keywords, genres, date, series, series_index, publisher, isbn) of the documents that have a description."""
-    info = F.exists("above", lambda t: t.isin("title-info", "publish-info", "document-info"))
-    rows = elements.where(info & (F.col("tag") != "#text")).select(key, "path", "tag", "attrs", F.element_at("above", -1).alias("up"))
-    said = rows.join(texts(elements.where(info), rows, key), [key, "path"], "left")
-    person = ("first-name", "middle-name", "last-name", "nickname")
-    names = said.where(F.col("tag").isin(*person) & F.col("up").isin("author", "translator") & F.col("words").isNotNull())
-    part = F.array_position(F.array(*[F.lit(p) for p in person]), F.col("tag"))
-    names = names.groupBy(key, "up", F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))).alias("whose"), part.alias("part")).agg(F.min_by("words", "path").alias("words"))
-    names = names.groupBy(key, "up", "whose").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "words"))), lambda x: x["words"]), " ").alias("name"))
-    lists = lambda up: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("up") == up, F.struct("whose", "name")))), lambda x: x["name"]))
-    people = names.groupBy(key).agg(lists("author").alias("authors"), lists("translator").alias("translators"))
-
-    def first(name: str, up: str, value=None) -> Column:
+    """(key, title, language, authors, translators, description, subjects, date, series, series_index, publisher, isbn) of the documents that have a description.
+
+    Elements meet their texts, names their parts and books their fields in
+    three aggregates, each by the key and less beside it: rows that are dealt
+    out by the key stay where they are.
+    """
+    tag, attrs, is_info = F.col("tag"), F.col("attrs"), lambda t: t.isin(*INFO)
+    none = F.lit(None).cast("string")
+    said = F.struct(F.col("path").alias("at"), "text")
+    # the first element with metadata above a node: what stands below it may be a field
+    begins = F.array_position(F.transform("above", is_info), F.lit(True)).cast("int")
+    upto = F.filter(F.sequence(begins + 1, F.greatest(F.size("above"), begins + 1)), lambda n: F.coalesce(F.get("above", n - 1).isin(*WORDED), F.lit(False)))
+    each = lambda path, name, up, series, number, text: F.struct(path.alias("path"), name.alias("tag"), up.alias("up"), series.alias("series"), number.alias("number"), text.alias("said"))
+    own = each(F.col("path"), tag, F.get("above", F.size("above") - 1), attrs["name"], attrs["number"], F.lit(None).cast("struct<at:array<int>,text:string>"))
+    texts = F.transform(upto, lambda n: each(F.slice("path", F.lit(1), n), none, none, none, none, said))
+    rows = elements.where(F.exists("above", is_info)).select(key, F.inline(F.when(tag == "#text", texts).otherwise(F.array(own))))
+    rows = rows.groupBy(key, "path").agg(*[F.max(c).alias(c) for c in ("tag", "up", "series", "number")], F.collect_list("said").alias("said")).withColumn("words", _joined_texts(F.col("said")))
+    part = F.col("tag").isin(*PERSON) & F.col("up").isin("author", "translator") & F.col("words").isNotNull()
+    rows = rows.select(key, "path", F.when(part, _parent()).otherwise(F.col("path")).alias("whose"), "tag", "up", "series", "number", "words", part.alias("part"))
+    names = [F.min(F.when(F.col("part") & (F.col("tag") == p), F.struct("path", "words")))["words"] for p in PERSON]
+    others = [F.max(F.when(~F.col("part"), F.col(c))).alias(c) for c in ("tag", "up", "series", "number", "words")]
+    rows = rows.groupBy(key, "whose").agg(F.max(F.when(F.col("part"), F.col("up"))).alias("person"), F.array_join(F.array(*names), " ").alias("name"), F.max(F.col("up") == "document-info").alias("has_document"), *others)
+    lists = lambda up: F.when(F.count("person") > 0, F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("person") == up, F.struct("whose", "name")))), lambda x: x["name"])))
+
+    def first(name: str, up: str, value: str = "words") -> Column:
         here = (F.col("tag") == name) & (F.col("up") == up)
-        return F.min_by(F.when(here, F.col("words") if value is None else value), F.when(here, F.col("path")))
+        return F.min_by(F.when(here, F.col(value)), F.when(here, F.col("whose")))
 
-    genres = F.transform(F.array_sort(F.collect_list(F.when((F.col("tag") == "genre") & (F.col("up") == "title-info") & F.col("words").isNotNull(), F.struct("path", "words")))), lambda x: x["words"])
-    found = said.groupBy(key).agg(
+    genres = F.transform(F.array_sort(F.collect_list(F.when((F.col("tag") == "genre") & (F.col("up") == "title-info") & F.col("words").isNotNull(), F.struct("whose", "words")))), lambda x: x["words"])
+    found = rows.groupBy(key).agg(
         first("book-title", "title-info").alias("title"),
         first("lang", "title-info").alias("language"),
+        lists("author").alias("authors"),
+        lists("translator").alias("translators"),
         first("annotation", "title-info").alias("description"),
         first("keywords", "title-info").alias("k"),
         F.array_distinct(genres).alias("g"),
         first("date", "title-info").alias("title_date"),
         first("date", "document-info").alias("document_date"),
-        F.max(F.col("up") == "document-info").alias("has_document"),
-        first("sequence", "title-info", F.col("attrs")["name"]).alias("series"),
-        first("sequence", "title-info", F.col("attrs")["number"]).try_cast("double").alias("series_index"),
+        F.max("has_document").alias("has_document"),
+        first("sequence", "title-info", "series").alias("series"),
+        first("sequence", "title-info", "number").try_cast("double").alias("series_index"),
         first("publisher", "publish-info").alias("publisher"),
         first("isbn", "publish-info").alias("isbn"),
     )
     words = F.filter(F.transform(F.split(F.coalesce("k", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     subjects = F.concat(words, F.filter("g", lambda x: ~F.array_contains(words, x)))
     date = F.when(F.col("has_document"), F.col("document_date")).otherwise(F.col("title_date"))
-    return found.join(people, key, "left").select(key, "title", "language", "authors", "translators", "description", subjects.alias("subjects"), date.alias("date"), "series", "series_index", "publisher", "isbn")
+    return found.select(key, "title", "language", "authors", "translators", "description", subjects.alias("subjects"), date.alias("date"), "series", "series_index", "publisher", "isbn")

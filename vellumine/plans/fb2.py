@@ -56,11 +56,13 @@ def fb2_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     elements = _elements(spark, sf_dir)
     # what a body holds is no part of the metadata, but for binaries and descriptions within one
     told = F.arrays_overlap("above", F.array(*[F.lit(t) for t in ("binary", "coverpage", "title-info", "publish-info", "document-info")]))
-    elements = elements.where(~F.coalesce(F.get("above", F.lit(1)) == "body", F.lit(False)) | (F.col("tag") == "binary") | told).persist()
+    elements = elements.where(~F.coalesce(F.get("above", F.lit(1)) == "body", F.lit(False)) | (F.col("tag") == "binary") | told)
+    # dealt out by their book once; what is told of a book meets there, and no side goes through the driver
+    elements = elements.repartition("book_id").persist()
     binaries = fb2.resources(elements).groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "resource_id", "name", "kind", F.col("size").cast("string"), "is_cover", "reason"))), "|").alias("binaries"))
     told = elements.groupBy("book_id").agg(F.max("reason").alias("reason"))
     made = fb2.metadata(elements).withColumns({c: F.array_join(c, "|") for c in ("authors", "translators", "subjects")})
-    return told.join(made, "book_id", "left").join(binaries, "book_id", "left")
+    return told.join(made.hint("merge"), "book_id", "left").join(binaries.hint("merge"), "book_id", "left")
 
 
 FB2_METADATA = """WITH c AS (SELECT *, c_custkey % 10 <> 9 AS good FROM customer)
