@@ -35,14 +35,6 @@ def inline_text(x: Column) -> Column:
     return F.when(inner == "", F.when(before, " ").otherwise("")).otherwise(F.concat(F.when(before, " ").otherwise(""), inner, F.when(after, " ").otherwise("")))
 
 
-def texts(elements: DataFrame, rows: DataFrame, key: str = "book_id") -> DataFrame:
-    """(key, path, words): the texts below each of ``rows`` (key, path), a space between, white space collapsed."""
-    below = elements.where("tag = '#text'").select(key, F.col("path").alias("at"), "text")
-    above = below.withColumn("path", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("at") - 1, F.lit(1))), lambda n: F.slice("at", F.lit(1), n))))
-    found = above.join(rows.select(key, "path").distinct(), [key, "path"]).groupBy(key, "path").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("t"))
-    return found.select(key, "path", collapse(F.array_join(F.transform("t", lambda x: x["text"]), " ")).alias("words"))
-
-
 def _parent() -> Column:
     return F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0)))
 
@@ -86,58 +78,89 @@ def nodes(elements: DataFrame, key: str = "book_id") -> DataFrame:
     Node ids follow the order in which nodes are made: a heading, a list and
     an item around a paragraph come after what they hold, and an image in a
     line takes two. An image without a binary is a plain inline. ``path`` is
-    that of the element; an item around a paragraph shares it.
+    that of the element; an item around a paragraph shares it. Elements are
+    dealt out by the key once; windows and one aggregate tell the rest, so
+    that there is no join whose side Spark might broadcast.
     """
-    tag, above, attrs = F.col("tag"), F.col("above"), F.col("attrs")
-    inside = elements.where("size(path) > 2 AND above[1] = 'body'").withColumn("around", F.slice("above", F.lit(3), F.size("above")))
-    bodies = elements.where("size(path) = 2 AND tag = 'body'").select(key, F.col("path").alias("b"), F.lower(F.coalesce(attrs["name"], F.lit(""))).alias("b_name"))
-    bodies = bodies.withColumn("body", (F.row_number().over(Window.partitionBy(key).orderBy("b")) - 1).cast("int"))
-    notes = bodies.where("b_name = 'notes'").groupBy(key).agg(F.max("body").alias("notes"))
-    targets = inside.join(bodies.where("b_name = 'notes'").select(key, "b"), (inside[key] == bodies[key]) & (F.slice(inside["path"], F.lit(1), F.lit(2)) == F.col("b")), "left_semi")
-    targets = targets.where("attrs['id'] <> ''").select(key, attrs["id"].alias("note")).distinct().withColumn("is_note", F.lit(True))
+    tag, attrs, around = F.col("tag"), F.col("attrs"), F.col("around")
+    inner = [h for h in HOLDERS if h != "section"]
+    s = inline_text(F.col("text"))
+    is_body = (F.size("path") == 2) & (tag == "body")
+    is_binary = (tag == "binary") & (attrs["id"] != "")
+    rows = elements.withColumn("inside", (F.size("path") > 2) & (F.get("above", F.lit(1)) == "body")).where(F.col("inside") | is_body | is_binary)
+    rows = rows.withColumn("around", F.when(F.col("inside"), F.slice("above", F.lit(3), F.size("above"))).otherwise(F.array().cast("array<string>")))
     # a holder of no blocks is read as a line
     held = F.forall("around", lambda t: t.isin(*HOLDERS))
-    inner = [h for h in HOLDERS if h != "section"]
-    blocks = inside.where(held & (tag != "#text") & ~tag.isin(*LEFT_OUT) & F.try_element_at("above", F.lit(-1)).isin(*inner)).select(key, F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))).alias("up")).distinct()
-    lone = inside.where(held & tag.isin(*inner)).select(key, F.col("path").alias("up")).join(blocks, [key, "up"], "left_anti")
-    # what stands below such a holder, at any depth; the tag of a place n above is known without a join
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size("above"), F.lit(1))), lambda n: F.coalesce(F.get("above", n - 1).isin(*inner), F.lit(False)))
-    over = F.explode(F.transform(places, lambda n: F.slice("path", F.lit(1), n)))
-    lined = inside.select(key, "path", over.alias("up")).join(lone, [key, "up"]).select(key, "path").distinct().withColumn("lined", F.lit(True))
-    rows = inside.join(lined, [key, "path"], "left").withColumn("lined", F.coalesce("lined", F.lit(False))).withColumn("block", held & ~F.col("lined"))
+    lone = F.col("inside") & held & tag.isin(*inner) & F.forall("holds", lambda t: t.isin("#text", *LEFT_OUT))
     # the first element that holds no blocks begins a line; what is left out, images and codes hold nothing
     outer = F.array_position(F.transform("around", lambda t: ~t.isin(*HOLDERS)), F.lit(True)).cast("int")
     begins = F.when(outer > 0, F.get("around", outer - 1)).otherwise(tag)
-    within = F.when(F.col("lined") | (outer == 0), F.col("around")).otherwise(F.slice("around", outer + 1, F.size("around")))
-    gone = (~F.col("lined") & (begins.isin(*LEFT_OUT) | ((outer > 0) & begins.isin("image", "empty-line")) | (held & (tag == "#text")))) | F.exists(within, lambda t: t.isin("code", "image"))
-    rows = rows.where(~gone)
-    s = inline_text(F.col("text"))
-    rows = rows.where((tag != "#text") | (s != ""))
-    named = F.when(F.col("block"), F.coalesce(_named(BLOCKS)[tag], F.lit("GenericBlock"))).otherwise(F.coalesce(_named(INLINES)[tag], F.lit("GenericInline")))
+    left = begins.isin(*LEFT_OUT) | ((outer > 0) & begins.isin("image", "empty-line")) | (held & (tag == "#text"))
+    empty = lambda t: t.isin("code", "image")
+    # the first code or image within a line, by its place in ``around``: in any line, and in one that a block begins
+    first = F.array_position(F.transform("around", empty), F.lit(True)).cast("int")
+    after = F.when(outer > 0, F.array_position(F.transform(F.slice("around", outer + 1, F.size("around")), empty), F.lit(True)).cast("int")).otherwise(first)
+    later = F.when(after > 0, after + F.when(outer > 0, outer).otherwise(0)).otherwise(0)
     href = attrs["href"]
-    target = F.when(F.startswith(href, F.lit("#")), F.substring(href, F.lit(2), F.length(href)))
-    met = rows.withColumn("note", target).join(targets, [key, "note"], "left").join(notes, key, "left")
-    is_note = (tag == "a") & ~F.col("block") & (F.coalesce(F.lower(attrs["type"]) == "note", F.lit(False)) | F.col("is_note").isNotNull())
-    link = F.when(is_note & F.col("note").isNotNull() & F.col("notes").isNotNull(), F.concat(F.lit("body-"), F.col("notes") + 1, F.lit(".xhtml#"), F.col("note"))).otherwise(F.coalesce(href, F.lit("")))
-    binaries = resources(elements, key).select(key, F.col("name").alias("binary"), "resource_id").dropDuplicates([key, "binary"])
-    met = met.withColumn("binary", F.when(tag == "image", F.regexp_replace(href, "^#+", ""))).join(binaries, [key, "binary"], "left")
+    rows = rows.select(
+        key, "path", "tag", "inside", is_body.alias("is_body"), is_binary.alias("is_binary"), F.when(is_body, F.lower(F.coalesce(attrs["name"], F.lit("")))).alias("b_name"),
+        F.when(tag == "#text", s).alias("s"), href.alias("href"), attrs["id"].alias("id"), attrs["name"].alias("name"), (F.lower(attrs["type"]) == "note").alias("noted"),
+        held.alias("held"), F.when(lone, F.col("path")).alias("lone"), left.alias("left"), first.alias("first"), later.alias("later"), (F.get("above", F.size("above") - 1) == "list").alias("listed"),
+    ).where("tag <> '#text' OR s <> ''")
+    # all that follows is by the key and less beside it: rows stay where this brings them
+    rows = rows.repartition(key)
+    upto = Window.partitionBy(key).orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(key)
+    rows = rows.withColumns({"body": (F.count_if("is_body").over(upto) - 1).cast("int"), "b_name": F.last("b_name", True).over(upto), "lone": F.last("lone", True).over(upto), "resource_id": (F.count_if("is_binary").over(upto) - 1).cast("int")})
+    rows = rows.withColumn("notes", F.max(F.when(F.col("b_name") == "notes", F.col("body"))).over(whole))
+    # holders of no blocks stand in none of their kind: of those that have begun the last one counts
+    lined = (F.size("path") > F.size("lone")) & (F.slice("path", F.lit(1), F.size("lone")) == F.col("lone"))
+    rows = rows.withColumn("lined", F.coalesce(lined, F.lit(False))).withColumn("block", F.col("held") & ~F.col("lined"))
+    stop = F.when(F.col("lined"), F.col("first")).otherwise(F.col("later"))
+    gone = ~F.col("inside") | (~F.col("lined") & F.col("left")) | (stop > 0)
+    # an element meets what it names: a link its note, an image its binary, a code its texts
+    target = F.when(F.startswith("href", F.lit("#")), F.expr("substring(href, 2)"))
+    of_code = (tag == "#text") & F.col("inside") & (stop > 0) & (F.col("lined") | ~F.col("left"))
+    named = F.when(tag == "a", F.concat(F.lit("n"), target)).when(tag == "image", F.concat(F.lit("b"), F.regexp_replace("href", "^#+", "")))
+    carried = ("path", "tag", "s", "href", "name", "id", "noted", "body", "notes", "block", "listed")
+    nothing = F.lit(None)
+
+    def meet(by, place, own=None, note=None, binary=None, said=None) -> Column:
+        return F.struct(
+            (nothing if by is None else by).cast("string").alias("by"), (nothing if place is None else place).cast("array<int>").alias("at"), (F.struct(*carried) if own else nothing).alias("own"),
+            (nothing if note is None else note).cast("boolean").alias("is_note"), (nothing if binary is None else binary).cast("int").alias("resource_id"), (nothing if said is None else said).alias("said"),
+        )
+
+    say = F.struct(F.col("path").alias("at"), F.col("s").alias("text"))
+    claims = F.array_compact(
+        F.array(
+            F.when(~gone, meet(named, F.when(named.isNull(), F.col("path")), own=True)),
+            F.when(F.col("inside") & (F.col("b_name") == "notes") & (F.col("id") != ""), meet(F.concat(F.lit("n"), "id"), None, note=F.lit(True))),
+            F.when(F.col("is_binary"), meet(F.concat(F.lit("b"), "id"), None, binary=F.col("resource_id"))),
+            F.when(of_code, meet(None, F.slice("path", F.lit(1), stop + 2), said=say)),
+        )
+    )
+    met = rows.select(key, F.inline(claims)).groupBy(key, "by", "at").agg(F.collect_list("own").alias("own"), F.max("is_note").alias("is_note"), F.min("resource_id").alias("resource_id"), _joined_texts(F.collect_list("said")).alias("words"))
+    met = met.select(key, "is_note", "resource_id", "words", F.inline("own")).withColumn("note", target)
+    is_note = (tag == "a") & ~F.col("block") & (F.coalesce("noted", F.lit(False)) | F.coalesce("is_note", F.lit(False)))
+    link = F.when(is_note & F.col("note").isNotNull() & F.col("notes").isNotNull(), F.concat(F.lit("body-"), F.col("notes") + 1, F.lit(".xhtml#"), F.col("note"))).otherwise(F.coalesce("href", F.lit("")))
     lost = (tag == "image") & F.col("resource_id").isNull()
-    kind = F.when(lost, "GenericInline").when(is_note, "Footnote").otherwise(named)
-    words = texts(elements.where("array_contains(above, 'code')"), inside.where("tag = 'code'"), key)
-    in_list = F.col("block") & (tag == "p") & (F.try_element_at("above", F.lit(-1)) == "list")
-    met = met.join(words, [key, "path"], "left").withColumns({"kind": kind, "in_list": in_list})
+    kinds = F.when(F.col("block"), F.coalesce(_named(BLOCKS)[tag], F.lit("GenericBlock"))).otherwise(F.coalesce(_named(INLINES)[tag], F.lit("GenericInline")))
+    kind = F.when(lost, "GenericInline").when(is_note, "Footnote").otherwise(kinds)
+    in_list = F.col("block") & (tag == "p") & F.col("listed")
+    met = met.withColumns({"kind": kind, "in_list": in_list})
     none = F.lit(None).cast("string")
     own_tag = F.when(F.col("kind").isin("GenericBlock", "GenericInline"), F.when(tag == "v", "verse").when(tag == "strikethrough", "s").otherwise(tag))
     role = F.when(F.col("block") & tag.isin(*POETRY), "Poetry").when(lost, none).when(F.col("kind") == "GenericBlock", "Generic").otherwise(_named(ROLES)[F.col("kind")])
     level = F.when(F.col("kind") == "Heading", F.when(tag == "title", 2).otherwise(3))
     anchored = F.col("block") & tag.isin("p", "epigraph", "cite", "list-item", *POETRY) | (F.col("block") & (F.col("kind") == "GenericBlock"))
-    anchor = F.when(anchored, F.nullif(F.coalesce(attrs["id"], attrs["name"]), F.lit("")))
+    anchor = F.when(anchored, F.nullif(F.coalesce("id", "name"), F.lit("")))
     late = (F.col("kind") == "Heading") | (F.col("block") & (tag == "list"))
     weight = F.when((tag == "image") & ~F.col("block"), 2).otherwise(1)
     own = F.struct(
         F.col("path").alias("place"),
         F.when(late, F.concat("path", F.array(F.lit(END)))).otherwise(F.col("path")).alias("made"),
-        "kind", level.alias("level"), own_tag.alias("tag"), F.when(tag == "#text", s).alias("text"), F.when(F.col("kind").isin("Link", "Footnote"), link).alias("href"), F.when(F.col("kind") == "Image", F.col("resource_id")).alias("resource"), role.alias("role"), anchor.alias("anchor"), weight.alias("weight"),
+        "kind", level.alias("level"), own_tag.alias("tag"), F.when(tag == "#text", F.col("s")).alias("text"), F.when(F.col("kind").isin("Link", "Footnote"), link).alias("href"), F.when(F.col("kind") == "Image", F.col("resource_id")).alias("resource"), role.alias("role"), anchor.alias("anchor"), weight.alias("weight"),
     )
 
     def plain(place: Column, made: Column, name: str, text: Column = none, role_name: str | None = None) -> Column:
@@ -146,7 +169,7 @@ def nodes(elements: DataFrame, key: str = "book_id") -> DataFrame:
     item = plain(F.col("path"), F.concat("path", F.array(F.lit(END))), "ListItem", role_name="List")
     code = plain(F.concat("path", F.array(F.lit(0))), F.concat("path", F.array(F.lit(0))), "Text", F.coalesce("words", F.lit("")))
     made = F.when(F.col("in_list"), F.array(own, item)).when(~F.col("block") & (tag == "code"), F.array(own, code)).otherwise(F.array(own))
-    each = met.select(key, F.slice("path", F.lit(1), F.lit(2)).alias("b"), F.inline(made)).join(bodies.select(key, "b", "body"), [key, "b"])
+    each = met.select(key, "body", F.inline(made))
     before = F.sum("weight").over(Window.partitionBy(key).orderBy("made"))
     return each.select(key, "body", (before - 1).cast("long").alias("node_id"), F.col("place").alias("path"), "kind", "level", "tag", "text", "href", "resource", "role", "anchor")
 

@@ -25,7 +25,7 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fb2_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the documents."""
-    return fb2.nodes(_elements(spark, sf_dir).persist()).drop("path")
+    return fb2.nodes(_elements(spark, sf_dir)).drop("path")
 
 
 _T = [
@@ -58,7 +58,7 @@ def fb2_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.arrays_overlap("above", F.array(*[F.lit(t) for t in ("binary", "coverpage", "title-info", "publish-info", "document-info")]))
     elements = elements.where(~F.coalesce(F.get("above", F.lit(1)) == "body", F.lit(False)) | (F.col("tag") == "binary") | told)
     # dealt out by their book once; what is told of a book meets there, and no side goes through the driver
-    elements = elements.repartition("book_id").persist()
+    elements = elements.drop("holds").repartition("book_id").persist()
     binaries = fb2.resources(elements).groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "resource_id", "name", "kind", F.col("size").cast("string"), "is_cover", "reason"))), "|").alias("binaries"))
     told = elements.groupBy("book_id").agg(F.max("reason").alias("reason"))
     made = fb2.metadata(elements).withColumns({c: F.array_join(c, "|") for c in ("authors", "translators", "subjects")})
