@@ -81,10 +81,10 @@ def line_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ``pct_wrapped`` is a whole percentage; ``irregular`` says that a line
     differs from the first by over half of the longer. No lines: zeros.
     """
-    return _measured(with_lines(docs, text), key)
+    return measured(with_lines(docs, text), key)
 
 
-def _measured(made: DataFrame, *kept: str) -> DataFrame:
+def measured(made: DataFrame, *kept: str) -> DataFrame:
     """``kept`` of ``made`` and the statistics of its ``lines``."""
     made = made.withColumn("full", F.filter("lines", lambda x: ~is_blank(x)))
     made = made.withColumn("n", F.transform("full", lambda x: F.length(x)))
@@ -231,7 +231,7 @@ def imported(docs: DataFrame, key: str = "doc_id", text: str = "text", requested
     too long for one document goes on in the next at a node. Null text counts
     as empty and gives no nodes.
     """
-    made = paragraph_mode(_measured(with_lines(docs, text), key, "lines"), requested).select(key, "lines", "mode", "protected", "confidence")
+    made = paragraph_mode(measured(with_lines(docs, text), key, "lines"), requested).select(key, "lines", "mode", "protected", "confidence")
     made = made.withColumn("found", _candidates()).withColumn("found", _accepted(novel))
     # Each line's mark, so that none is looked for among all headings.
     gaps = F.transform("found", lambda h, i: F.concat(F.array_repeat(F.lit(False), h["line"] - F.when(i == 0, 0).otherwise(F.get("found", i - 1)["line"] + 1)), F.array(F.lit(True))))
