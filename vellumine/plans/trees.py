@@ -130,14 +130,17 @@ def lowered_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages' nodes as the oldest target shows them, counted by kind, role, tag, text and link."""
     tree = _roled(spark, sf_dir).withColumnRenamed("page_id", "book_id").withColumns({"style_id": F.lit(0), "variants": F.array().cast("array<struct<target:string,style_id:int>>")})
     tabled = F.max((F.col("kind") == "Table") & (F.col("book_id") % 2 == 0)).over(Window.partitionBy("book_id"))
-    made = projection.lowered(tree, "KF7", tabled)
-    shown = F.when(F.col("role").isin("Image", "Math", "Ruby", "Footnote", "Table"), F.col("text"))
-    return made.where("role IN ('Image', 'Math', 'Ruby', 'Footnote', 'Table')").groupBy("kind", "role", "tag", shown.alias("text"), "href").agg(F.count("*").alias("n"))
+    return projection.lowered(tree, "KF7", tabled).groupBy("kind", "role", "tag", "text", "href").agg(F.count("*").alias("n"))
 
 
-LOWERED_NODES = """WITH x AS (SELECT p_size % 2 = 0 AS ruby, p_size % 3 AS svg, p_size % 5 = 0 AS tabled, p_partkey % 2 = 0 AS even FROM part),
-v AS (SELECT 'Text' AS kind, 'Image' AS role, 'svg' AS tag, CASE WHEN svg = 0 THEN 'drawn' ELSE '[SVG image]' END AS text, NULL AS href FROM x WHERE svg < 2
-UNION ALL SELECT 'Text', 'Math', 'math', 'x', NULL FROM x UNION ALL SELECT 'Inline', 'Ruby', 'ruby', NULL, NULL FROM x WHERE ruby UNION ALL SELECT 'Link', 'Footnote', 'a', NULL, '#n' FROM x
+LOWERED_NODES = """WITH x AS (SELECT p_partkey, p_name, p_size % 2 = 0 AS ruby, p_size % 3 AS svg, p_size % 5 = 0 AS tabled, p_partkey % 2 = 0 AS even FROM part),
+t AS (SELECT unnest([p_name, 'three', '1', 'end ']) AS text FROM x UNION ALL SELECT unnest(['one ', 'ba' || p_partkey, '(', 'an', 'no', ')', ' two']) FROM x WHERE ruby UNION ALL SELECT 'one two' FROM x WHERE NOT ruby UNION ALL SELECT 'c' FROM x WHERE tabled),
+v AS (SELECT 'Text' AS kind, 'Text' AS role, '#text' AS tag, text, NULL AS href FROM t
+UNION ALL SELECT kind, role, tag, NULL, NULL FROM x, (VALUES ('Section', 'Section', 'body'), ('Heading', 'Heading', 'h1'), ('Paragraph', 'Paragraph', 'p'), ('Paragraph', 'Paragraph', 'p'), ('PageBreak', 'PageBreak', 'hr')) AS t(kind, role, tag)
+UNION ALL SELECT 'Text', 'PageBreak', 'br', chr(10), NULL FROM x
+UNION ALL SELECT kind, role, tag, NULL, NULL FROM x, (VALUES ('GenericBlock', 'Generic', 'rp'), ('GenericBlock', 'Generic', 'rp'), ('GenericInline', 'Generic', 'rt'), ('Strong', 'Generic', 'b'), ('Inline', 'Ruby', 'ruby')) AS t(kind, role, tag) WHERE ruby
+UNION ALL SELECT 'Text', 'Image', 'svg', CASE WHEN svg = 0 THEN 'drawn' ELSE '[SVG image]' END, NULL FROM x WHERE svg < 2
+UNION ALL SELECT 'Text', 'Math', 'math', 'x', NULL FROM x UNION ALL SELECT 'Link', 'Footnote', 'a', NULL, '#n' FROM x
 UNION ALL SELECT CASE WHEN even THEN 'GenericBlock' ELSE kind END, 'Table', CASE WHEN even THEN 'div' ELSE tag END, NULL, NULL FROM x, (VALUES ('Table', 'table'), ('TableRow', 'tr'), ('TableCell', 'td')) AS t(kind, tag) WHERE tabled)
 SELECT kind, role, tag, text, href, count(*) AS n FROM v GROUP BY ALL"""
 
