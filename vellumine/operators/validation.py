@@ -28,10 +28,10 @@ class BookTables:
     links: DataFrame  # origin (navigation, start, edge), href; navigation is flattened
 
 
-#: Kinds of keys, and the faults of keys; the last three are warnings.
-SPACES = ("resource", "font", "anchor", "document", "placed", "name", "href", "node", "style")
-CODES = ("RES-0001", "FONT-0001", "ANCHOR-0001", "ANCHOR-0002", "ANCHOR-0003", "NODE-0001", "STYLE-0001", "STYLE-0002", "RES-0002", "RES-0003", "NAV-0001", "EDGE-0001", "EDGE-0002")
-WARNINGS = CODES[-3:]
+#: Kinds of keys, nothing is ever of the last one; the faults of keys, the last four are warnings.
+SPACES = ("resource", "font", "anchor", "document", "placed", "name", "href", "node", "style", "nothing")
+CODES = ("FONT-0002", "RES-0001", "FONT-0001", "ANCHOR-0001", "ANCHOR-0002", "ANCHOR-0003", "NODE-0001", "STYLE-0001", "STYLE-0002", "RES-0002", "RES-0003", "NAV-0001", "EDGE-0001", "EDGE-0002", "LINK-0001")
+WARNINGS = CODES[-4:]
 
 
 def _claim(space: str, *key, defines: bool = False, place=None, code: str | None = None, subject=None, when=None) -> Column:
@@ -56,17 +56,22 @@ def _claims(rows: DataFrame, *claims: Column) -> DataFrame:
     return rows.select("book_id", F.explode(F.array_compact(F.array(*claims))).alias("c")).select("book_id", "c.*")
 
 
-def _at_once(rows: DataFrame, code: str, severity: str, subject: str) -> DataFrame:
-    return rows.select("book_id", F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col(subject).cast("string").alias("subject"))
+def _placed(b: BookTables) -> DataFrame:
+    """(book_id, document_id, node_id) of the nodes whose document there is; a window tells, so that rows stay with their book."""
+    none = F.lit(None).cast("long")
+    both = b.documents.select("book_id", "document_id", none.alias("node_id"), F.lit(True).alias("there")).unionByName(b.nodes.select("book_id", "document_id", "node_id", F.lit(False).alias("there")))
+    by_document = Window.partitionBy("book_id", "document_id").orderBy(F.desc("there")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("known", F.max("there").over(by_document)).where("known AND NOT there AND document_id IS NOT NULL").select("book_id", "document_id", "node_id")
 
 
 def diagnostics(b: BookTables) -> DataFrame:
     """(book_id, code, severity, subject): one row for each fault.
 
-    Each table is read once and tells what it defines and needs; one shuffle
-    by book, kind of key and key brings both together, definitions first, so
-    that a running maximum tells what is missing and a running number what is
-    repeated. No key is held: windows run over sorted rows.
+    Each table tells what it defines and needs; sorted by book, kind of key
+    and key, definitions first, a running maximum tells what is missing and a
+    running number what is repeated. No key is held: windows run over sorted
+    rows. Tables that are dealt out by book already, in as many parts, are not
+    shuffled again: their rows are fewer and narrower than what they say.
     """
     path = F.split_part("href", F.lit("#"), F.lit(1))
     outside = (path == "") | (F.col("origin") == "navigation") | F.contains(path, F.lit("://")) | F.startswith(path, F.lit("mailto:")) | F.startswith(path, F.lit("data:"))
@@ -75,7 +80,7 @@ def diagnostics(b: BookTables) -> DataFrame:
     name, node, href = F.col("name"), F.col("node_id"), F.col("href")
     said = (
         _claims(b.resources, _claim("resource", "resource_id", defines=True, place="position", code="RES-0001", subject=F.col("resource_id")), _claim("font", "resource_id", defines=True, when=F.col("kind") == "font")),
-        _claims(b.fonts, _claim("font", "resource_id", code="FONT-0001", subject=F.col("family"))),
+        _claims(b.fonts, _claim("font", "resource_id", code="FONT-0001", subject=F.col("family")), _claim("nothing", code="FONT-0002", subject=F.col("family"), when=is_blank(F.col("family")))),
         _claims(
             b.anchors,
             _claim("anchor", "document_id", "name", defines=True, place="position", code="ANCHOR-0001", subject=name),
@@ -90,9 +95,10 @@ def diagnostics(b: BookTables) -> DataFrame:
             _claim("style", "style_id", code="STYLE-0001", subject=node),
             _claim("resource", "resource_id", code="RES-0002", subject=node, when=(F.col("kind") == "image") & F.col("resource_id").isNotNull()),
             _claim("resource", "resource_id", code="RES-0003", subject=node, when=(F.col("kind") == "svg") & F.col("resource_id").isNotNull()),
+            _claim("nothing", code="LINK-0001", subject=node, when=F.col("kind").isin("link", "footnote") & (F.col("href") == "")),
         ),
         # a node stands where its document does
-        _claims(b.nodes.join(b.documents.select("book_id", "document_id"), ["book_id", "document_id"], "left_semi"), _claim("placed", "document_id", "node_id", defines=True)),
+        _claims(_placed(b), _claim("placed", "document_id", "node_id", defines=True)),
         _claims(b.variants, _claim("style", "style_id", code="STYLE-0002", subject=F.concat_ws(":", "node_id", "target"))),
         _claims(b.styles, _claim("style", "style_id", defines=True)),
         _claims(
@@ -105,14 +111,13 @@ def diagnostics(b: BookTables) -> DataFrame:
     every = said[0]
     for rows in said[1:]:
         every = every.unionByName(rows)
-    by_key = Window.partitionBy("book_id", "space", "key").orderBy(F.desc("defines"), "place")
-    met = every.withColumns({"there": F.max(F.col("defines") & F.col("known")).over(by_key.rowsBetween(Window.unboundedPreceding, 0)), "n": F.row_number().over(by_key)})
+    # the hash leads the sort: rows that share a book differ in it at once
+    by_key = Window.partitionBy("hash", "book_id", "space", "key").orderBy(F.desc("defines"), "place")
+    met = every.withColumn("hash", F.xxhash64("book_id", "space", "key")).withColumns({"there": F.max(F.col("defines") & F.col("known")).over(by_key.rowsBetween(Window.unboundedPreceding, 0)), "n": F.row_number().over(by_key)})
     again = (F.col("n") > 1) | (F.col("space") == SPACES.index("resource")) & (F.col("subject") != F.col("place").cast("string"))
     fault = F.col("code").isNotNull() & F.when(F.col("defines"), again).otherwise(~F.col("there"))
-    direct = _at_once(b.fonts.where(is_blank(F.col("family"))), "FONT-0002", "error", "family").unionByName(_at_once(b.nodes.where("kind IN ('link', 'footnote') AND href = ''"), "LINK-0001", "warning", "node_id"))
     code = F.get(F.array(*[F.lit(c) for c in CODES]), F.col("code").cast("int"))
-    told = met.where(fault).select("book_id", code.alias("code"), F.when(code.isin(*WARNINGS), "warning").otherwise("error").alias("severity"), "subject")
-    return told.unionByName(direct)
+    return met.where(fault).select("book_id", code.alias("code"), F.when(code.isin(*WARNINGS), "warning").otherwise("error").alias("severity"), "subject")
 
 
 def verdicts(books: DataFrame, found: DataFrame) -> DataFrame:

@@ -12,8 +12,14 @@ from vellumine.operators import edits, links, styles, validation
 from vellumine.plans.text import read, spread
 
 
+#: Lines of a task where each says some twenty things of its book.
+TASK_LINES = 100_000
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> validation.BookTables:
     line = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("flag"))
+    # every table is made of lines that stand with their book: what they say is not shuffled
+    line = line.repartition(max(spark.sparkContext.defaultParallelism, line.count() // TASK_LINES), "book_id")
     n, p, s = F.col("n"), F.col("p"), F.col("s")
     pages = F.concat(F.lit("c"), n + F.when(p % 4 == 0, 3).otherwise(0), F.lit(".xhtml"))
     node = F.explode(F.array(n * 10, n * 10 + F.when(p % 31 == 0, 0).otherwise(1))).alias("node_id")
