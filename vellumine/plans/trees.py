@@ -83,11 +83,7 @@ def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def visible_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of the pages with and without regard to ruby, and their rubies."""
-    tree = _flow(spark, sf_dir).select("page_id", "pre", "post", "path", "tag", "kind", "text", "alt").persist()
-    rubies = projection.ruby(tree).persist()
-    found = rubies.groupBy("page_id").agg(F.max("base").alias("base"), F.max("annotation").alias("annotation"))
-    texts = projection.text_content(tree).join(projection.visible_text(tree, rubies=rubies).withColumnRenamed("text", "visible"), "page_id")
-    return texts.join(found, "page_id", "left").select("page_id", "text", "visible", "base", "annotation")
+    return projection.reading_texts(_flow(spark, sf_dir))
 
 
 VISIBLE_TEXTS = """WITH t AS (SELECT p_partkey AS page_id, CASE WHEN p_size % 2 = 0 THEN 'ba' || p_partkey END AS base,
